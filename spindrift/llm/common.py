@@ -7,7 +7,9 @@ import tempfile
 import uuid
 from urllib.parse import urlparse
 
+import numpy as np
 import pyarrow.fs as pafs
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,3 +74,59 @@ def partitions(df: DataFrame) -> int:
 
 def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name), F.lit(""))
+
+
+class WordHashes(dict):
+    """64-bit hashes of words, remembered; at most ``most`` of them when a text begins."""
+
+    def __init__(self, most: int = 500_000) -> None:
+        super().__init__()
+        self.most = most
+
+    def __missing__(self, word: bytes) -> int:
+        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        return h
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        if len(self) > self.most:
+            self.clear()
+        return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
+
+
+def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of all rolling k-grams of word hashes; k is mixed in, so sizes never meet."""
+    n = len(words) - k + 1
+    if n <= 0:
+        return np.zeros(0, dtype=np.uint64)
+    h = np.full(n, k, dtype=np.uint64)
+    for j in range(k):
+        h = (h ^ words[j : j + n]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return h
+
+
+def text_keys() -> list:
+    """Two 64-bit hashes of column text: rows with both equal have the same text."""
+    return [F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(7), F.col("text")).alias("k2")]
+
+
+def components(links: DataFrame) -> DataFrame:
+    """node, component (its smallest node) of every node in links (a, b: long), by alternating large and small stars.
+
+    Each round is written to the shared folder; nothing but two sums per round reaches the driver.
+    """
+    edges = written(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+    seen = None
+    while True:
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = large.unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
+        edges = written(small.where("a <> b").distinct(), "links")
+        now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
+        if (now["n"], now["s"]) == seen:
+            break
+        seen = (now["n"], now["s"])
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

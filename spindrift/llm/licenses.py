@@ -17,12 +17,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import folded_words, pick, written
+from .common import WordHashes, folded_words, gram_hashes, pick, written
 
 # Phrases and labels of the base rule, then well-known license notices (public texts) by label.
 BASE = [("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl")]
@@ -51,31 +50,15 @@ def default_templates() -> list[tuple[str, str, bool]]:
     return [(label, phrase, True) for phrase, label in BASE] + [(label, text, False) for label, text in NOTICES]
 
 
-def _word_hash(word: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(word)
-
-
-def _gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
-    """Hashes of all rolling k-grams; k is mixed in, so sizes never meet."""
-    n = len(words) - k + 1
-    if n <= 0:
-        return np.zeros(0, dtype=np.uint64)
-    h = np.full(n, k, dtype=np.uint64)
-    for j in range(k):
-        h = (h ^ words[j : j + n]) * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(29)
-    return h
-
-
 def template_grams(templates: list[tuple[str, str, bool]], k: int) -> tuple[list[list[bytes]], list[tuple[int, int, int, int]]]:
     """The templates' words, and (gram, template, position, k) of all their grams."""
     words = [folded_words(text) for _, text, _ in templates]
-    grams = []
+    grams, hashes = [], WordHashes()
     for t, w in enumerate(words):
         size = min(k, len(w))
         if size:
-            hashes = _gram_hashes(np.array([_word_hash(x) for x in w], dtype=np.uint64), size).view(np.int64)
-            grams += [(int(h), t, j, size) for j, h in enumerate(hashes.tolist())]
+            found = gram_hashes(hashes.of(w), size).view(np.int64)
+            grams += [(int(h), t, j, size) for j, h in enumerate(found.tolist())]
     if len(grams) > MAX_GRAMS:
         raise ValueError(f"{len(grams)} template grams; scan in runs of at most {MAX_GRAMS}")
     return words, grams
@@ -83,21 +66,16 @@ def template_grams(templates: list[tuple[str, str, bool]], k: int) -> tuple[list
 
 def _scanner(sizes: list[int], wanted: np.ndarray):
     def run(batches):
-        known: dict[bytes, int] = {}
+        known = WordHashes()
         for batch in batches:
             rows, docs, texts = (c.to_pylist() for c in batch.columns)
-            if len(known) > 500_000:
-                known.clear()
             n_words, pos, gram, kept = [], [], [], []
             for text in texts:
                 words = folded_words(text)
-                for w in words:
-                    if w not in known:
-                        known[w] = _word_hash(w)
-                ids = np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
+                ids = known.of(words)
                 at, found = [], []
                 for k in sizes:
-                    h = _gram_hashes(ids, k).view(np.int64)
+                    h = gram_hashes(ids, k).view(np.int64)
                     i = np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)
                     hit = np.flatnonzero(wanted[i] == h)
                     at.append(hit)
@@ -163,7 +141,8 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str, bool]] | None
     spans = spans.select("row", F.struct("template", F.when(F.col("base"), F.col("first")).otherwise(start).alias("start"), F.when(F.col("base"), F.col("last")).otherwise(end).alias("end")).alias("s"))
     candidates = spans.groupBy("row").agg(F.collect_list("s").alias("spans"))  # bounded by the document's length
     checked = scanned.where("words is not null").select("row", "words").join(candidates, "row").select("row", "words", "spans")
-    arrays = [np.array([_word_hash(x) for x in w], dtype=np.uint64) for w in words]
+    hashes = WordHashes()
+    arrays = [hashes.of(w) for w in words]
     verified = checked.mapInArrow(_verifier(arrays), "row long, template int, start long, end long, similarity double").where(F.col("similarity") >= min_similarity)
     verified = verified.join(F.broadcast(names), "template").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("label", "base", "start", "end", "similarity"))).alias("spans"))
     empty = F.array().cast("array<struct<label:string,base:boolean,start:bigint,end:bigint,similarity:double>>")
