@@ -1,0 +1,3 @@
+"""Registered queries by area; importing this package fills the registry."""
+
+from . import registry, stats_queries  # noqa: F401

@@ -2,5 +2,23 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from ..sources.tables import Tables, oracle_views
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None, views: str = ""):
+    """Register a function of Tables. sql: DuckDB SQL for the same rows over the tables and the named derived views."""
+
+    def add(build: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
+        QUERIES[name] = lambda spark, sf_dir: build(Tables(spark, sf_dir))
+        if sql:
+            ORACLES[name] = oracle_views(views.split(), sql)
+        return build
+
+    return add
