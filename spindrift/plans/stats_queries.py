@@ -13,7 +13,7 @@ from .registry import query
 AUC = """SELECT {by}, n_pos, n_neg, round(CASE WHEN n_pos > 0 AND n_neg > 0 THEN w / (CAST(n_pos AS DOUBLE) * n_neg) END, 6) AS auc FROM (
  SELECT {by}, CAST(sum(a) AS BIGINT) AS n_pos, CAST(sum(b) AS BIGINT) AS n_neg, sum(CAST(a AS DOUBLE) * below + CAST(0.5 AS DOUBLE) * a * b) AS w FROM (
   SELECT *, coalesce(sum(b) OVER (PARTITION BY {by} ORDER BY level ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM {hist}) GROUP BY {by})"""
-DRAW = "((((CAST({slot} AS BIGINT) * 1103515245 + CAST({number} AS BIGINT) * 12345 + {seed}) % 2147483647 * 48271) % 2147483647)"
+DRAW = "(((CAST({slot} AS BIGINT) * 1103515245 + CAST({number} AS BIGINT) * 12345 + {seed}) % 2147483647 * 48271) % 2147483647)"
 
 
 def _draw(slot: str, number: str, seed: int = 0) -> str:
