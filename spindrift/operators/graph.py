@@ -10,11 +10,8 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark, name: str) -> str:
-    """A new folder below spark.checkpoint.dir; the setting is made where it is missing (one machine)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", root)
+    """A new folder below spark.checkpoint.dir; a local one only where the setting is missing (one machine)."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
