@@ -162,12 +162,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, n: int = 10, max_windows:
 
 def _without(text: str, starts: list[int], ends: list[int]) -> str:
     """The text without the words of the spans; one space stands for what lay between a span's words."""
-    words = list(_WORD.finditer(text))
+    words = list(_WORD.finditer(text or ""))
     out, at = [], 0
-    for a, b in _merge(zip(starts, ends, strict=True)):
+    for a, b in _merge(zip(starts or (), ends or (), strict=True)):  # texts without spans come here too
         out.append(text[at : words[a].start()])
         at = words[b - 1].end()
-    return "".join([*out, text[at:]])
+    return "".join([*out, (text or "")[at:]])
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, action: str = "documents", max_windows: int = 2_000_000) -> DataFrame:

@@ -130,7 +130,7 @@ def zip_members(file) -> dict[str, tuple[int, int, int, int]]:
     tail_at = max(0, file.size - (1 << 16) - 22)
     tail = file.read(tail_at, file.size - tail_at)
     end = tail.rfind(b"PK\5\6")
-    while end >= 0 and end + 22 + struct.unpack_from("<H", tail, end + 20)[0] != len(tail):  # the mark may stand in a comment
+    while end >= 0 and (end + 22 > len(tail) or end + 22 + struct.unpack_from("<H", tail, end + 20)[0] != len(tail)):  # the mark may stand in a comment
         end = tail.rfind(b"PK\5\6", 0, end)
     if end < 0:
         raise ValueError("no end of central directory")
