@@ -101,3 +101,16 @@ def keyword_score(c: Column, groups: dict[str, tuple[list[str], int, int]], nega
     total = reduce(lambda a, b: a + b, points.values()) - F.size(term_hits(c, negative)) * penalty
     parts = F.array(*[F.struct(F.lit(n).alias("label"), p.alias("points")) for n, p in points.items()])
     return F.greatest(F.lit(0), F.least(F.lit(100), total)), parts
+
+
+def words(c: Column) -> Column:
+    return F.split(c, " ")
+
+
+def windows_at(w: Column, query_words: int, gram: int) -> Column:
+    """Array of (gram, window) for a column of words: at each word, the next few words as a key and the next query_words words.
+
+    w is a column of its own (not an expression), else every window would split the text again.
+    """
+    part = lambda i, n: F.array_join(F.slice(w, i, F.lit(n)), " ")
+    return F.when(F.size(w) >= query_words, F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - query_words + 1, F.lit(1))), lambda i: F.struct(part(i, gram).alias("gram"), part(i, query_words).alias("window"))))

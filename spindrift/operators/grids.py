@@ -16,10 +16,14 @@ def neighbours(df: DataFrame, by: list[str], row: str, col: str, value: str) ->
 
 
 def box_sum(df: DataFrame, by: list[str], value: str, radius: int, name: str = "box") -> DataFrame:
-    """Sum of the value over a square around each node; absent nodes count nothing. Two passes, one per axis."""
-    across = W.partitionBy(*by, "y").orderBy("x").rangeBetween(-radius, radius)
+    """df with the sum of the value over a square around each node; absent nodes count nothing.
+
+    Values are spread along their row first, to absent nodes too, so a hole above or below a node hides nothing of its row.
+    """
+    keys = [*by, "y", "x"]
+    row = df.select(*by, "y", F.explode(F.sequence(F.col("x") - radius, F.col("x") + radius)).alias("x"), F.col(value).alias("_v")).groupBy(*keys).agg(F.sum("_v").alias("_row"))
     down = W.partitionBy(*by, "x").orderBy("y").rangeBetween(-radius, radius)
-    return df.withColumn("_row", F.sum(value).over(across)).withColumn(name, F.sum("_row").over(down)).drop("_row")
+    return df.join(row.select(*keys, F.sum("_row").over(down).alias(name)), keys)
 
 
 def smooth3x3(df: DataFrame, by: list[str], value: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.regression import IsotonicRegression, LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -75,3 +76,16 @@ def platt_fit(df: DataFrame, score: str, label: str, rounds: int = 15) -> tuple[
         a -= (hbb * r["ga"] - r["hab"] * r["gb"]) / det
         b -= (haa * r["gb"] - r["hab"] * r["ga"]) / det
     return a, b
+
+
+def ridge_out_of_fold(df: DataFrame, key: str, vector: str, target: str, folds: int = 3, penalty: float = 0.1) -> DataFrame:
+    """key, fold, predicted: ridge predictions of each fold by a model of the other folds, made monotone by an isotonic fit on those folds."""
+    rows = df.select(key, array_to_vector(F.transform(vector, lambda x: x.cast("double"))).alias("features"), F.col(target).cast("double").alias("label"), F.pmod(F.xxhash64(key), F.lit(folds)).cast("int").alias("fold"))
+    out = None
+    for k in range(folds):
+        train, test = rows.where(F.col("fold") != k), rows.where(F.col("fold") == k)
+        ridge = LinearRegression(regParam=penalty, elasticNetParam=0.0).fit(train)
+        steps = IsotonicRegression(featuresCol="prediction", predictionCol="calibrated").fit(ridge.transform(train))
+        part = steps.transform(ridge.transform(test)).select(key, "fold", F.col("calibrated").alias("predicted"))
+        out = part if out is None else out.unionByName(part)
+    return out

@@ -171,8 +171,7 @@ def w3(t):
     return t.px.select("map_id", "y", "x").join(means, ["map_id", "y", "x"])
 
 
-@query("w16_box_sum", views="px", sql="""
-SELECT map_id, y, x, sum(s) OVER (PARTITION BY map_id, x ORDER BY y RANGE BETWEEN 3 PRECEDING AND 3 FOLLOWING)::BIGINT AS box FROM (SELECT map_id, y, x, sum(ink) OVER (PARTITION BY map_id, y ORDER BY x RANGE BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS s FROM px)""")
+@query("w16_box_sum", views="px", sql="SELECT a.map_id, a.y, a.x, sum(b.ink)::BIGINT AS box FROM px a JOIN px b ON a.map_id = b.map_id AND b.y BETWEEN a.y - 3 AND a.y + 3 AND b.x BETWEEN a.x - 3 AND a.x + 3 GROUP BY 1, 2, 3")
 def w16(t):
     return gr.box_sum(t.px, ["map_id"], "ink", 3).select("map_id", "y", "x", "box")
 

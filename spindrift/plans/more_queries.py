@@ -7,9 +7,11 @@ from functools import reduce
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..functions import text as tx
 from ..operators import graph as g
 from ..operators import grids as gr
 from ..operators import stats as st
+from ..operators import vectors as vc
 from ..operators.stats import r6
 from ..sources import files as fl
 from .registry import query
@@ -235,3 +237,45 @@ def e6(t):
     d = F.atan2(F.col("right.y") - F.col("cy"), F.col("right.x") - F.col("cx")) - F.atan2(F.col("y") - F.col("cy"), F.col("x") - F.col("cx"))
     d = F.when(d > F.pi(), d - 2 * F.pi()).when(d < -F.pi(), d + 2 * F.pi()).otherwise(d)
     return a.groupBy("m", "cx", "cy").agg(r6(F.sum(F.abs(d)) / (2 * F.pi())).alias("turns"))
+
+
+@query("x11_locate", sql="""
+WITH q AS (SELECT item_id, string_split(text, ' ') AS w FROM benchmark), k AS (SELECT item_id, array_to_string(w[1:3], ' ') AS gram, array_to_string(w[1:10], ' ') AS q FROM q WHERE len(w) >= 10),
+t AS (SELECT doc_id, string_split(text, ' ') AS w FROM documents WHERE lang = 'en'), p AS (SELECT doc_id, w, unnest(range(1, len(w) - 8)) AS i FROM t WHERE len(w) >= 10), x AS (SELECT doc_id, array_to_string(w[i:i + 2], ' ') AS gram, array_to_string(w[i:i + 9], ' ') AS win FROM p)
+SELECT item_id, count(*) AS candidates, min(levenshtein(win, q))::INT AS distance FROM k JOIN x USING (gram) GROUP BY 1""")
+def x11(t):
+    q = t.benchmark.select("item_id", tx.words(F.col("text")).alias("w")).where(F.size("w") >= 10)
+    q = q.select("item_id", F.array_join(F.slice("w", 1, 3), " ").alias("gram"), F.array_join(F.slice("w", 1, 10), " ").alias("q"))
+    x = t.documents.where("lang = 'en'").select(tx.words(F.col("text")).alias("w")).select(F.explode(tx.windows_at(F.col("w"), 10, 3)).alias("x")).select("x.gram", "x.window")
+    return x.join(q, "gram").groupBy("item_id").agg(F.count("*").alias("candidates"), F.min(F.levenshtein("window", "q")).alias("distance"))
+
+
+@query("j7_missing_sector", sql="""
+WITH p AS (SELECT o_orderkey AS k, o_orderkey % 360 AS arc, o_custkey % 500 AS z, o_orderstatus AS s FROM orders), n AS (SELECT q.k, t.s FROM p q JOIN p t ON q.s = 'P' AND t.s <> 'P' AND t.z = q.z AND least(abs(t.arc - q.arc), 360 - abs(t.arc - q.arc)) <= 3)
+SELECT k FROM n GROUP BY 1 HAVING count(*) FILTER (s = 'O') > 0 AND count(*) FILTER (s = 'F') = 0""")
+def j7b(t):
+    p = t.orders.select(F.col("o_orderkey").alias("k"), (F.col("o_orderkey") % 360).alias("arc"), (F.col("o_custkey") % 500).alias("z"), F.col("o_orderstatus").alias("s"))
+
+    def reach(status):
+        marks = p.where(F.col("s") == status).select("z", "arc").distinct()
+        return marks.withColumn("arc", F.explode(F.sequence(F.col("arc") - 3, F.col("arc") + 3))).select("z", F.pmod("arc", F.lit(360)).alias("arc")).distinct()
+
+    return p.where("s = 'P'").join(reach("O"), ["z", "arc"], "left_semi").join(reach("F"), ["z", "arc"], "left_anti").select("k")
+
+
+@query("w5_flag_steps", views="px", sql="""
+WITH r AS (SELECT *, (rank() OVER (PARTITION BY map_id ORDER BY v) + (count(*) OVER (PARTITION BY map_id, v) - 1) / CAST(2 AS DOUBLE)) / count(*) OVER (PARTITION BY map_id) AS share FROM px), n AS (SELECT a.map_id, a.y, a.x, avg(b.v) AS near FROM px a JOIN px b ON b.map_id = a.map_id AND b.y BETWEEN a.y - 2 AND a.y + 2 AND b.x BETWEEN a.x - 2 AND a.x + 2 GROUP BY 1, 2, 3)
+SELECT map_id, count(*) FILTER (share > 0.95) AS by_rank, count(*) FILTER (v >= 250) AS by_value, count(*) FILTER (near > 160.01) AS by_near, count(*) FILTER (share > 0.95 OR v >= 250 OR near > 160.01) AS flagged FROM r JOIN n USING (map_id, y, x) GROUP BY 1""")
+def w5(t):
+    px = t.px.select("map_id", "y", "x", "v").withColumn("one", F.lit(1))
+    near = gr.box_sum(gr.box_sum(px, ["map_id"], "v", 2, "s"), ["map_id"], "one", 2, "n")
+    total = px.groupBy("map_id").agg(F.count("*").alias("total"))
+    r = st.mid_rank(near, "v", ["map_id"]).join(total, "map_id")
+    rank, value, around = F.col("rank") / F.col("total") > 0.95, F.col("v") >= 250, F.col("s") / F.col("n") > 160.01
+    return r.groupBy("map_id").agg(F.count_if(rank).alias("by_rank"), F.count_if(value).alias("by_value"), F.count_if(around).alias("by_near"), F.count_if(rank | value | around).alias("flagged"))
+
+
+@query("v4_ridge_head")
+def v4(t):
+    out = vc.ridge_out_of_fold(t.embeddings, "vec_id", "embedding", "label")
+    return out.select("vec_id", "fold", F.round("predicted", 4).alias("predicted"))
