@@ -9,11 +9,11 @@ earliest time of a point below its weights: two documents share a register's poi
 weighted Jaccard similarity. A process stops once its time is later than all of the document's registers, so large bags
 cost little more than one point per shingle.
 
-Bands of registers make buckets. In a bucket every document is verified against the bucket's first one (linear in the
-bucket), the links make components, and only pairs of a bucket that are in different components are compared further,
-less those that the triangle inequality excludes (one minus the weighted Jaccard similarity is a metric). So no link of
-two documents in a bucket is lost for the classes, and a group of thousands of near copies costs thousands of
-comparisons, not their square. Exact copies are one node from the start.
+Bands of registers make buckets. In a bucket every document is verified against the bucket's pivot (linear in the
+bucket) and the links make components. Only pairs of a bucket in different components could still change the classes; of
+these, the overlaps with the pivot exclude all but pairs that share shingles the pivot lacks or whose sizes leave room
+(see :func:`_apart`), and those are verified too. So no link of two documents in a bucket is lost for the classes, and a
+group of thousands of near copies costs thousands of comparisons, not their square. Exact copies are one node from the start.
 
 With 25 bands of 5 registers a pair of similarity 0.8 shares no bucket with probability 5e-5.
 
@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from .common import WordHashes, components, folded_words, gram_hashes, pick, text_keys, written
 
@@ -114,7 +115,7 @@ def _band_keys(times: np.ndarray, bands: int) -> np.ndarray:
     return key.view(np.int64)
 
 
-def _signer(size: int, bands: int, rows: int, most: int = 400_000):
+def _signer(size: int, bands: int, rows: int, most: int = 250_000):
     def run(batches):
         hashes = WordHashes()
         for batch in batches:
@@ -147,20 +148,43 @@ def _bags(size: int):
     return run
 
 
-def overlap(a: np.ndarray, b: np.ndarray) -> float:
-    """Weighted Jaccard similarity of two sorted bags; of two empty ones 0."""
+def common(a: np.ndarray, b: np.ndarray) -> int:
+    """Size of the intersection of two sorted bags."""
     x, n = np.unique(a, return_counts=True)
     y, k = np.unique(b, return_counts=True)
     _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
-    both = int(np.minimum(n[i], k[j]).sum())
+    return int(np.minimum(n[i], k[j]).sum())
+
+
+def overlap(a: np.ndarray, b: np.ndarray) -> float:
+    """Weighted Jaccard similarity of two sorted bags; of two empty ones 0."""
+    both = common(a, b)
     return both / (len(a) + len(b) - both) if both else 0.0
 
 
+def _arrays(column):
+    return (np.frombuffer(x.as_py(), dtype=np.uint64) for x in column)
+
+
 def _compare(batches):
     for batch in batches:
-        a, b, x, y = batch.column(0), batch.column(1), batch.column(2), batch.column(3)
-        sims = [overlap(np.frombuffer(p.as_py(), dtype=np.uint64), np.frombuffer(q.as_py(), dtype=np.uint64)) for p, q in zip(x, y, strict=True)]
-        yield pa.RecordBatch.from_arrays([a, b, pa.array(sims, pa.float64())], names=["a", "b", "similarity"])
+        out = [(common(x, y), len(x), len(y)) for x, y in zip(_arrays(batch.column(2)), _arrays(batch.column(3)), strict=True)]
+        cols = list(zip(*out, strict=True)) if out else [[]] * 3
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(list(c), pa.int64()) for c in cols]], names=["a", "b", "both", "size_a", "size_b"])
+
+
+def _novel(batches):
+    """The shingles that b has and a has not, or not as often, and how often more."""
+    for batch in batches:
+        out, more = [], []
+        for x, y in zip(_arrays(batch.column(2)), _arrays(batch.column(3)), strict=True):
+            (x, n), (y, k) = np.unique(x, return_counts=True), np.unique(y, return_counts=True)
+            if len(x):
+                at = np.minimum(np.searchsorted(x, y), len(x) - 1)
+                k = k - np.where(x[at] == y, n[at], 0)
+            out.append(y[k > 0].view(np.int64))
+            more.append(k[k > 0])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.int64())), pa.array(more, pa.list_(pa.int64()))], names=["a", "b", "novel", "more"])
 
 
 def _few(df: DataFrame) -> DataFrame:
@@ -168,15 +192,59 @@ def _few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= MAX_BROADCAST else df
 
 
-def _similarities(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, name: str) -> DataFrame:
-    """a, b, similarity of written pairs of nodes. Texts of these nodes alone are read again, as bags, and moved."""
+def _bag_pairs(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, name: str) -> DataFrame:
+    """a, b and both bags of written pairs of nodes. Texts of these nodes alone are read again, as bags, and moved."""
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     wanted = written(wanted.join(nodes.select("node", "id", "k1", "k2"), "node"), f"{name}-nodes")
     texts = docs.join(_few(wanted), ["id", "k1", "k2"]).select("node", "text")
-    bags = texts.mapInArrow(_bags(size), "node long, bag binary").dropDuplicates(["node"])
-    bags = written(bags, f"{name}-bags")
-    both = pairs.join(bags.select(F.col("node").alias("b"), F.col("bag").alias("bag_b")), "b").join(bags.select(F.col("node").alias("a"), F.col("bag").alias("bag_a")), "a")
-    return written(both.select("a", "b", "bag_a", "bag_b").mapInArrow(_compare, "a long, b long, similarity double"), f"{name}-similar")
+    bags = written(texts.mapInArrow(_bags(size), "node long, bag binary").dropDuplicates(["node"]), f"{name}-bags")
+    return pairs.select("a", "b").join(bags.select(F.col("node").alias("b"), F.col("bag").alias("bag_b")), "b").join(bags.select(F.col("node").alias("a"), F.col("bag").alias("bag_a")), "a").select("a", "b", "bag_a", "bag_b")
+
+
+def _similarities(both: DataFrame, name: str) -> DataFrame:
+    """a, b, both (common shingles), size_a, size_b, similarity."""
+    compared = both.mapInArrow(_compare, "a long, b long, both long, size_a long, size_b long")
+    return written(compared.withColumn("similarity", F.col("both") / (F.col("size_a") + F.col("size_b") - F.col("both"))), f"{name}-similar")
+
+
+def _apart(known: DataFrame, parts: DataFrame, both: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of documents compared with the same pivot, in different components, that may still reach the threshold.
+
+    With m the smaller of two documents' overlaps with their pivot, their own overlap is at most m plus the shingles that
+    both have and the pivot lacks. So a pair reaches the threshold only if m alone would allow it, or if it shares shingles
+    that the pivot lacks. The second kind is found by prefix filtering: a document x must share at least
+    threshold * |x| - m of these shingles, hence one of those that remain when its most frequent ones, fewer than that, are
+    set aside; and m plus the smaller number of such shingles must allow the threshold. These conditions are joined on,
+    instead of all pairs of the pivot's documents.
+    """
+    named = known.select(F.col("a").alias("pivot"), F.col("b").alias("node"), F.col("both").alias("m"), F.col("size_b").alias("size"))
+    place = lambda df, node, name: df.join(parts.select(F.col("node").alias(node), F.col("component").alias(name)), node, "left").withColumn(name, F.coalesce(name, node))
+    named = place(place(named, "node", "component"), "pivot", "main")
+    open_ = named.groupBy("pivot").agg(F.count("*").alias("n"), F.count_if(F.col("component") != F.col("main")).alias("off")).where("n > 1 and off > 0").select("pivot")
+    named = written(named.join(open_, "pivot"), "open")
+    x, y = named.where("component <> main").alias("x"), named.alias("y")
+    m = F.least("x.m", "y.m")
+    differ = (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("y.main")) | (F.col("x.node") < F.col("y.node")))
+    fits = m >= threshold * (F.col("x.size") + F.col("y.size") - m) - 1e-9
+    pair = [F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")]
+    near = x.join(y, (F.col("x.pivot") == F.col("y.pivot")) & differ & fits).select(*pair)
+    novel = both.join(named.select(F.col("pivot").alias("a"), F.col("node").alias("b")), ["a", "b"]).select("a", "b", "bag_a", "bag_b").mapInArrow(_novel, "a long, b long, novel array<long>, more array<long>")
+    novel = written(novel.select(F.col("a").alias("pivot"), F.col("b").alias("node"), F.explode(F.arrays_zip("novel", "more")).alias("s")).select("pivot", "node", F.col("s.novel").alias("shingle"), F.col("s.more").alias("weight")), "novel")
+    common_ = novel.groupBy("pivot", "shingle").agg(F.count("*").alias("n")).where("n > 1")
+    rest = W.partitionBy("pivot", "node").orderBy(F.desc("n"), F.desc("shingle"))  # one document's shingles
+    ranked = novel.join(common_, ["pivot", "shingle"], "left").withColumn("n", F.coalesce("n", F.lit(1))).withColumn("suffix", F.sum("weight").over(rest))
+    ranked = ranked.join(named, ["pivot", "node"]).where((F.col("n") > 1) & (F.col("suffix") >= F.greatest(F.lit(1.0), F.ceil(threshold * F.col("size") - F.col("m") - 1e-9))))
+    # by shingle: its most frequent component is compared with the others, whatever shares it within one component is not
+    ranked = written(ranked.select("pivot", "shingle", "node", "component", "m", "size"), "ranked")
+    sizes = ranked.groupBy("pivot", "shingle", "component").agg(F.count("*").alias("n"))
+    most = sizes.groupBy("pivot", "shingle").agg(F.max(F.struct("n", "component"))["component"].alias("main"), F.count("*").alias("parts")).where("parts > 1").select("pivot", "shingle", "main")
+    mixed = written(ranked.join(most, ["pivot", "shingle"]), "mixed")
+    x, y = mixed.where("component <> main").alias("x"), mixed.alias("y")
+    most_common = m + F.least(F.col("x.size") - F.col("x.m"), F.col("y.size") - F.col("y.m"))
+    allowed = most_common >= threshold * (F.col("x.size") + F.col("y.size") - most_common) - 1e-9
+    shared = x.join(y, (F.col("x.pivot") == F.col("y.pivot")) & (F.col("x.shingle") == F.col("y.shingle")) & differ & allowed).select(*pair)
+    pairs = near.unionByName(shared).distinct()
+    return written(pairs.join(known.select("a", "b"), ["a", "b"], "left_anti"), "cross")
 
 
 def _with_keys(docs: DataFrame) -> DataFrame:
@@ -190,27 +258,22 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.8, band
     signed = written(plain.mapInArrow(_signer(size, bands, rows), "row long, doc_id long, k1 long, k2 long, n_shingles long, bands array<long>"), "signatures")
     nodes = written(signed.groupBy("k1", "k2").agg(F.min("row").alias("node"), F.min("doc_id").alias("id"), F.first("bands").alias("bands")), "nodes")
     in_bucket = nodes.select("node", F.explode("bands").alias("bucket"))
-    shared = in_bucket.groupBy("bucket").agg(F.min("node").alias("first"), F.count("*").alias("n")).where("n > 1").select("bucket", "first")
+    shared = in_bucket.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     members = written(in_bucket.join(shared, "bucket"), "buckets")
-    pairs = written(members.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
-    known = _similarities(pairs, nodes, keyed, size, "star")
-    links = known.where(F.col("similarity") >= threshold)
+    # the pivot of a bucket is its document with most company over all buckets: of edited copies, most likely their original
+    company = members.groupBy("node").agg(F.sum("n").alias("company"))
+    members = written(members.join(company, "node").select("bucket", "node", "company"), "members")
+    pivots = members.groupBy("bucket").agg(F.max(F.struct("company", (-F.col("node")).alias("k")))["k"].alias("k")).select("bucket", (-F.col("k")).alias("pivot"))
+    pairs = members.join(pivots, "bucket").where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+    pairs = written(pairs, "pairs")
+    both = _bag_pairs(pairs, nodes, keyed, size, "star")
+    known = _similarities(both, "star")
+    links = known.where(F.col("similarity") >= threshold).select("a", "b", "similarity")
     parts = written(components(links), "components")
-    # pairs of a bucket in different components, unless their distances to the bucket's first document rule them out
-    placed = members.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    placed = placed.join(known.select(F.col("a").alias("first"), F.col("b").alias("node"), (1 - F.col("similarity")).alias("away")), ["first", "node"], "left")
-    placed = written(placed.select("bucket", "node", "component", F.coalesce("away", F.lit(0.0)).alias("away")), "placed")
-    sizes = placed.groupBy("bucket", "component").agg(F.count("*").alias("n"))
-    main = sizes.groupBy("bucket").agg(F.max(F.struct("n", "component"))["component"].alias("main"), F.count("*").alias("parts")).where("parts > 1").select("bucket", "main")
-    mixed = written(placed.join(main, "bucket"), "mixed")
-    x, y = mixed.where("component <> main").alias("x"), mixed.alias("y")
-    apart = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.component") != F.col("y.component")) & (F.abs(F.col("x.away") - F.col("y.away")) <= 1 - threshold + 1e-9)
-    once = (F.col("y.component") == F.col("y.main")) | (F.col("x.node") < F.col("y.node"))
-    cross = x.join(y, apart & once).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-    cross = written(cross.join(known.select("a", "b"), ["a", "b"], "left_anti"), "cross")
+    cross = _apart(known, parts, both, threshold)
     if cross.limit(1).count():
-        more = _similarities(cross, nodes, keyed, size, "cross").where(F.col("similarity") >= threshold)
-        links = links.unionByName(more)
+        more = _similarities(_bag_pairs(cross, nodes, keyed, size, "cross"), "cross").where(F.col("similarity") >= threshold)
+        links = links.unionByName(more.select("a", "b", "similarity"))
         parts = written(components(links), "components")
     whole = nodes.select("node", "id", "k1", "k2").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     classes = whole.groupBy("component").agg(F.min("id").alias("class_id"))
