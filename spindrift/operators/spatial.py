@@ -91,9 +91,7 @@ def asof_interp(points: DataFrame, line: DataFrame, z: str, value: str, width: f
     ends = pts.agg(F.min("_z").alias("z_low"), F.min_by("_v", "_z").alias("v_low"), F.max("_z").alias("z_high"), F.max_by("_v", "_z").alias("v_high"))
     iv = iv.withColumn("_c", F.explode(F.sequence(cell("_z", width), cell("_z2", width))))
     p = points.join(F.broadcast(ends)).withColumn("_c", cell(z, width))  # ends is one row
-    inside = F.col("_c").eqNullSafe(iv["_c"]) & (F.col(z) >= F.col("_z")) & (F.col(z) < F.col("_z2"))
     out = p.join(iv.withColumnRenamed("_c", "_ic"), (F.col("_c") == F.col("_ic")) & (F.col(z) >= F.col("_z")) & (F.col(z) < F.col("_z2")), "left")
-    del inside
     linear = F.col("_v") + (F.col("_v2") - F.col("_v")) * (F.col(z) - F.col("_z")) / (F.col("_z2") - F.col("_z"))
     got = F.when(F.col(z) < F.col("z_low"), F.col("v_low")).when(F.col(z) >= F.col("z_high"), F.col("v_high")).otherwise(linear)
     return out.select(*[points[c] for c in points.columns], got.alias(value))

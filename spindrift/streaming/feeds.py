@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from ..operators.graph import shared_dir, written
-from ..operators.setops import fingerprint, snapshot_diff
+from ..operators.graph import shared_dir
+from ..operators.setops import snapshot_diff
 
 
 def read_stream(spark: SparkSession, folder: str, pattern: str, schema: StructType, files_per_trigger: int = 1) -> DataFrame:
@@ -107,6 +107,3 @@ def run_to_table(stream: DataFrame, name: str, mode: str = "append") -> DataFram
     q = stream.writeStream.outputMode(mode).format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/progress").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}/rows")
-
-
-__all__ = ["Versions", "collect", "evict", "fingerprint", "queue_refresh", "read_stream", "run_to_table", "sessions", "timeline", "upsert", "upsert_stream", "watch_stream", "with_activity", "written"]
