@@ -33,9 +33,30 @@ from .common import filesystem, partitions, pick, work_dir, write_file, written
 MAGIC = b"HUFFIDS1"
 _LATIN = "0-9A-Za-zÀ-ÖØ-öø-įı-ɏ"
 _OTHER = re.compile(f"[^\x00-\x7f{_LATIN}]")
+_STOP = re.compile(f"[^ \t\n\r\x0b\x0c{_LATIN}][.,]")
 _PIECE = re.compile(f"[^ \t\n\r\x0b\x0c{_LATIN}]*[{_LATIN}]+|[^ \t\n\r\x0b\x0c{_LATIN}]+")
 
 
+def _byte_letters() -> dict[int, int]:
+    """The letter that byte-level models use for each byte: itself where it prints, else the next one from 256 on."""
+    hidden = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)]
+    return {b: 256 + i for i, b in enumerate(hidden)}
+
+
+_BYTE_LETTERS = _byte_letters()
+
+
+def _pieces(text: str, raw: bytes) -> list[bytes]:
+    """Pieces that are encoded one by one: cut at ASCII white space and, in plain Latin text, where punctuation follows a letter or digit. raw: its UTF-8 with A-Z lower-cased."""
+    if _OTHER.search(text):
+        return raw.split()
+    if _STOP.search(text):  # stops after other punctuation belong to it
+        return [p.encode() for p in _PIECE.findall(raw.decode())]
+    for a, b in ((b". ", b" . "), (b", ", b" , "), (b".\n", b" . "), (b",\n", b" , ")):
+        raw = raw.replace(a, b)
+    return raw.split()
+
+
 class WordEncoder:
     """The ids of whole texts, by encoding each distinct piece once.
 
@@ -44,47 +65,37 @@ class WordEncoder:
     letter or digit. Texts that hold an added token's string are encoded whole.
     """
 
-    def __init__(self, path: str, end_id: int, by_words: bool = True, most: int = 400_000) -> None:
+    def __init__(self, path: str, end_id: int, by_words: bool = True, most: int = 1_200_000) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.end, self.by_words, self.most = Tokenizer.from_file(path), np.array([end_id], dtype="<u4").tobytes(), by_words, most
         config = json.loads(self.tokenizer.to_str())
-        self.added = [x["content"] for x in config["added_tokens"]]
-        suffix = config["model"].get("end_of_word_suffix")
-        vocab = self.tokenizer.get_vocab(with_added_tokens=False)
-        self.last = np.zeros(max(vocab.values(), default=0) + 1, dtype=bool)
-        if suffix:
-            self.last[[i for x, i in vocab.items() if x.endswith(suffix)]] = True
-        self.known: dict[str, bytes] = {}
-
-    def _learn(self, pieces: list[str]) -> None:
-        plain = [p for p in pieces if p.isalpha() and not _OTHER.search(p)] if self.last.any() else []
-        done = set()
-        for i in range(0, len(plain), 500):
-            some = plain[i : i + 500]
-            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, dtype="<u4")
-            ends = np.flatnonzero(self.last[ids]) + 1
-            if len(ends) == len(some):
-                raw, a = ids.tobytes(), 0
-                for p, b in zip(some, (4 * ends).tolist(), strict=True):
-                    self.known[p] = raw[a:b]
-                    a = b
-                done.update(some)
-        rest = [p for p in pieces if p not in done]
-        for p, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+        self.added = [x["content"].encode().lower() for x in config["added_tokens"]]
+        kinds = lambda part, many: [x["type"] for x in (config[part] or {}).get(many, [])]
+        self.plain = kinds("normalizer", "normalizers") == ["NFC", "Replace", "Lowercase"] and kinds("pre_tokenizer", "pretokenizers") == ["Split", "ByteLevel"]
+        self.known: dict[bytes, bytes] = {}
+
+    def _learn(self, pieces: list[bytes]) -> None:
+        """Words of plain Latin letters go straight to the tokenizer's model: its normalizer only lower-cases them and its pre-tokenizer keeps them whole."""
+        rest = []
+        for p in pieces:
+            word = p.decode()
+            if self.plain and word.isalpha() and not _OTHER.search(word):
+                self.known[p] = np.array([t.id for t in self.tokenizer.model.tokenize(word.lower().encode().decode("latin-1").translate(_BYTE_LETTERS))], dtype="<u4").tobytes()
+            else:
+                rest.append(p)
+        for p, e in zip(rest, self.tokenizer.encode_batch_fast([p.decode() for p in rest], add_special_tokens=False), strict=True):
             self.known[p] = np.array(e.ids, dtype="<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text, the end id last."""
-        cut: list[list[str] | None] = []
+        cut: list[list[bytes] | None] = []
         for t in texts:
-            if not self.by_words or any(x in t for x in self.added):
-                cut.append(None)
-            else:
-                cut.append([x.decode() for x in t.encode("utf-8", "replace").split()] if _OTHER.search(t) else _PIECE.findall(t.encode().lower().decode()))
+            low = t.encode("utf-8", "replace").lower()
+            cut.append(None if not self.by_words or any(x in low for x in self.added) else _pieces(t, low))
         if len(self.known) > self.most:
             self.known.clear()
-        new = list({p for pieces in cut if pieces for p in pieces if p not in self.known})
+        new = list(set().union(*[c for c in cut if c]) - self.known.keys())
         if new:
             self._learn(new)
         get = self.known.__getitem__
