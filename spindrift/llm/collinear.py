@@ -6,7 +6,8 @@ it, so a passage that a third of all documents share costs a row per occurrence
 document's matches, ordered by position, are chained per anchor document: a Fenwick tree over the anchor's positions
 finds the best predecessor, and gaps cost in proportion to their words. Chains are aligned: gaps between matches by
 longest common subsequence, ends by extension while words go on agreeing, so a chain that holds only part of a passage
-grows to all of it. Passages of at least ``min_words`` words and ``min_identity`` are returned.
+grows to all of it. A chain may run over words that differ: it is cut at its gaps into the passages of at least
+``min_words`` words and ``min_identity`` that hold most of its equal words, each verified alone.
 
 Repeats inside one document are not reported. Defined results: null and empty texts and texts shorter than k words have no
 passages; the passages of an exact copy cover all its words; repeated rows are copies of each other; a null
@@ -149,10 +150,10 @@ def common_words(a: list, b: list) -> int:
     return int(best[-1])
 
 
-def extension(a: list, i: int, b: list, j: int, step: int, drop: int = 4) -> tuple[int, int]:
-    """How many words from a[i] and b[j] on agree (a mismatch costs one), and how many of them are equal."""
+def extension(a: list, i: int, b: list, j: int, step: int, drop: int = 4, most: int | None = None) -> tuple[int, int]:
+    """How many words from a[i] and b[j] on agree (a mismatch costs one), and how many of them are equal; ``most`` words are looked at."""
     score = best = words = equal = at = same = 0
-    while 0 <= i < len(a) and 0 <= j < len(b) and score > best - drop:
+    while 0 <= i < len(a) and 0 <= j < len(b) and score > best - drop and at != most:
         at += 1
         if a[i] == b[j]:
             score += 1
@@ -166,23 +167,79 @@ def extension(a: list, i: int, b: list, j: int, step: int, drop: int = 4) -> tup
     return words, equal
 
 
-def align(a: list, b: list, pieces: list[tuple[int, int, int]]) -> tuple[int, int, int, int, int]:
-    """(start, end, source start, source end, equal words) of a chain's alignment. Grams are hashed, so words are compared."""
-    p, q = pieces[0][0], pieces[0][1]
-    matched, i, j = 0, p, q
+def blocks(a: list, b: list, pieces: list[tuple[int, int, int]], most: int = 8, least: int = 4) -> list[tuple[int, int, int, int]]:
+    """A chain's pieces without overlaps, cut where ``most`` words in a row differ, as (start, other start, words, equal words). Grams are hashed, so words are compared."""
+    out, i, j = [], 0, 0
     for s, t, n in pieces:
-        if s < i or t < j:  # overlaps the piece before
-            cut = max(i - s, j - t)
-            s, t, n = s + cut, t + cut, n - cut
-            if n <= 0:
-                continue
-        if s > i and t > j:
-            matched += common_words(a[i:s], b[j:t])
-        matched += sum(x == y for x, y in zip(a[s : s + n], b[t : t + n], strict=False))
+        cut = max(i - s, j - t, 0)  # overlaps the piece before
+        s, t, n = s + cut, t + cut, n - cut
+        if n <= 0:
+            continue
         i, j = s + n, t + n
-    left, same = extension(a, p - 1, b, q - 1, -1)
-    right, more = extension(a, i, b, j, 1)
-    return p - left, i + right, q - left, j + right, matched + same + more
+        if a[s:i] == b[t:j]:
+            out.append((s, t, n, n))
+            continue
+        same = [x for x, (u, v) in enumerate(zip(a[s:i], b[t:j], strict=False)) if u == v]
+        first = 0
+        for x in range(1, len(same) + 1):
+            if x == len(same) or same[x] - same[x - 1] > most:
+                if x - first >= least:
+                    out.append((s + same[first], t + same[first], same[x - 1] + 1 - same[first], x - first))
+                first = x
+    return out
+
+
+def align(a: list, b: list, pieces: list[tuple[int, int, int]], min_words: int, min_identity: float, joint: int = 8) -> list[tuple[int, int, int, int, int]]:
+    """(start, end, source start, source end, equal words) of the passages in a chain.
+
+    Of all ways to cut the chain at gaps into passages of ``min_words`` and ``min_identity``, the one whose blocks hold most
+    equal words; among those, a gap stays inside a passage if its different words outnumber its equal ones by at most ``joint``.
+    """
+    parts = [list(x) for x in blocks(a, b, pieces)]
+    m = len(parts)
+    if not m:
+        return []
+    inside, worth = [0] * m, [0] * m
+    for x in range(m + 1):  # ends grow into the gap before part x, then its other words are aligned
+        i, j = (parts[x - 1][0] + parts[x - 1][2], parts[x - 1][1] + parts[x - 1][2]) if x else (0, 0)
+        s, t = (parts[x][0], parts[x][1]) if x < m else (len(a), len(b))
+        if x:
+            n, same = extension(a, i, b, j, 1, most=min(s - i, t - j))
+            parts[x - 1][2] += n
+            parts[x - 1][3] += same
+            i, j = i + n, j + n
+        if x < m:
+            n, same = extension(a, s - 1, b, t - 1, -1, most=min(s - i, t - j))
+            parts[x] = [s - n, t - n, parts[x][2] + n, parts[x][3] + same]
+            s, t = s - n, t - n
+        if 0 < x < m:
+            inside[x] = common_words(a[i:s], b[j:t]) if s > i and t > j else 0
+            worth[x] = 2 * inside[x] - max(s - i, t - j)
+    low, low2, n, e = (np.array(c, dtype=np.int64) for c in zip(*parts, strict=True))
+    high, high2 = low + n, low2 + n
+    equal, gaps, gains = (np.concatenate([[0], np.cumsum(c)]) for c in (e, inside, worth))
+
+    def matched(x, y):
+        return equal[y + 1] - equal[x] + gaps[y + 1] - gaps[x + 1]
+
+    best, start = np.zeros(m + 1, np.int64), [-1] * m
+    for y in range(m):
+        x = np.arange(y + 1)
+        size = high[y] - low[x]
+        fit = (size >= min_words) & (matched(x, y) >= min_identity * np.maximum(size, high2[y] - low2[x]))
+        value = np.where(fit, best[x] + (equal[y + 1] - equal[x]) * 1_000_000 + gains[y + 1] - gains[x + 1] - joint, -1)
+        best[y + 1] = best[y]
+        if value.max() > best[y]:
+            start[y] = int(value.argmax())
+            best[y + 1] = value[start[y]]
+    out, y = [], m - 1
+    while y >= 0:
+        x = start[y]
+        if x >= 0:
+            out.append((int(low[x]), int(high[y]), int(low2[x]), int(high2[y]), int(matched(x, y))))
+            y = x
+        y -= 1
+    return out[::-1]
 
 
 def _cutter(margin: int):
@@ -214,10 +271,8 @@ def _aligner(margin: int, min_words: int, min_identity: float):
                 a, base = raw.split(), max(0, pieces[1] - margin)
                 b = words[base : pieces[-2] + pieces[-1] + margin]
                 shifted = [(pieces[i] - low, pieces[i + 1] - base, pieces[i + 2]) for i in range(0, len(pieces), 3)]
-                start, end, s0, s1, matched = align(a, b, shifted)
-                identity = matched / max(end - start, s1 - s0)
-                if end - start >= min_words and identity >= min_identity:
-                    out.append((row, source, start + low, end + low, s0 + base, s1 + base, matched, identity))
+                for start, end, s0, s1, matched in align(a, b, shifted, min_words, min_identity):
+                    out.append((row, source, start + low, end + low, s0 + base, s1 + base, matched, matched / max(end - start, s1 - s0)))
             cols = list(zip(*out, strict=True)) if out else [[]] * 8
             yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.float64() if i == 7 else pa.int64()) for i, c in enumerate(cols)], names=["row", "source", "start", "end", "source_start", "source_end", "matched", "identity"])
 

@@ -136,6 +136,36 @@ def test_planted_passages_are_found(spark):
     assert sum(len(cut[i].split()) < 90 for i in range(12)) == 11 and all(cut[i] == rows[i][1] for i in range(12, 20))
 
 
+def test_chains_are_cut_at_gaps():
+    rng = random.Random(23)
+    word = lambda: f"r{rng.randrange(10**7)}"
+    for size, gap, other in [(60, 40, 40), (60, 100, 100), (60, 250, 250), (50, 33, 33), (200, 100, 90), (200, 1000, 900), (60, 40, 0)]:
+        first, second = ([word() for _ in range(size)] for _ in range(2))
+        a, b = ([word() for _ in range(9)] + first + [word() for _ in range(g)] + second + [word() for _ in range(9)] for g in (gap, other))
+        at, to = 9 + size + gap, 9 + size + other
+        want = [(9, 9 + size, 9, 9 + size, size), (at, at + size, to, to + size, size)]
+        assert cl.align(a, b, [(12, 12, 30), (at + 5, to + 5, 30)], 50, 0.8) == want
+        if gap == other:
+            assert cl.align(a, b, [(12, 12, gap + size + 30)], 50, 0.8) == want
+    # pieces too short alone stay together, and a small gap is no cut
+    a = [word() for _ in range(130)]
+    b = a[:30] + [word() for _ in range(6)] + a[33:]
+    assert cl.align(a[:60], b[:63], [(0, 0, 30), (33, 36, 27)], 50, 0.8) == [(0, 60, 0, 63, 57)]
+    assert cl.align(a, b, [(0, 0, 30), (33, 36, 97)], 20, 0.8) == [(0, 130, 0, 133, 127)]
+
+
+def test_pages_share_head_and_foot_around_their_bodies(spark):
+    rng = random.Random(29)
+    words = lambda n: [f"r{rng.randrange(10**7)}" for _ in range(n)]
+    head, foot = words(60), words(60)
+    sizes = [40, 60, 100, 250, 400, 1000]
+    rows = [(i, " ".join(head + words(n) + foot)) for i, n in enumerate(sizes)]
+    got = cl.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = {(i, s, s + 60) for i, n in enumerate(sizes) for s in (0, 60 + n)}
+    last = {r["source_id"] for r in got}
+    assert len(last) == 1 and {(r["doc_id"], r["start"], r["end"]) for r in got} == {w for w in want if w[0] not in last}
+
+
 def test_passages_of_odd_rows(odd, none):
     got = cl.repeated_passages(odd).collect()
     assert {(r["doc_id"], r["source_id"]) for r in got} in ({(5, 4)}, {(4, 5)})
