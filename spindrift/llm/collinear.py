@@ -2,8 +2,9 @@
 
 Seeds are the k-word grams with the smallest hash in each window of w grams (every exact run of w + k - 1 words that two
 documents share gives both the same seed). A seed's occurrences are joined to one anchor document, the first that holds
-it, so a passage that a third of all documents share costs a row per occurrence and no pair of them is enumerated. A
-document's matches, ordered by position, are chained per anchor document: a Fenwick tree over the anchor's positions
+it, so a passage that a third of all documents share costs a row per occurrence and no pair of them is enumerated. Seeds
+that this leaves without a passage (their anchor holds a part only) are joined again as pairs: two seeds about a passage
+apart, at one distance, have as anchor the first document that holds both, not the first that holds either. A document's matches, ordered by position, are chained per anchor document: a Fenwick tree over the anchor's positions
 finds the best predecessor, and gaps cost in proportion to their words. Chains are aligned: gaps between matches by
 longest common subsequence, ends by extension while words go on agreeing, so a chain that holds only part of a passage
 grows to all of it. A chain may run over words that differ: it is cut at its gaps into the passages of at least
@@ -48,7 +49,9 @@ def _seeder(k: int, window: int):
                 g = gram_hashes(hashes.of(folded_words(text)), k)
                 pos = seed_positions(g, window)
                 grams.append(g[pos].view(np.int64))
-                at.append(pos.astype(np.int32))
+                again = np.ones(len(pos), dtype=bool)
+                again[np.unique(g[pos], return_index=True)[1]] = False
+                at.append(np.where(again, ~pos, pos).astype(np.int32))  # a seed's later places in a text are negative
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(grams, pa.list_(pa.int64())), pa.array(at, pa.list_(pa.int32()))], names=["row", "doc_id", "k1", "k2", "grams", "at"])
 
     return run
@@ -122,7 +125,11 @@ def _chainer(k: int, gap: int, cost: float, min_seed_words: int):
             rows = {n: [] for n in ("row", "source", "pieces")}
             for row, matches in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 m = matches.values
-                source, pos, other = (m.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+                source, pos, other = (m.field(n).to_numpy(zero_copy_only=False) for n in ("source", "pos", "other"))
+                later = source != row
+                source, pos, other = source[later], pos[later], other[later]
+                if not len(source):
+                    continue
                 order = np.argsort(source, kind="stable")
                 source, pos, other = source[order], pos[order], other[order]
                 cuts = np.flatnonzero(np.concatenate([[True], source[1:] != source[:-1]])).tolist() + [len(source)]
@@ -139,6 +146,38 @@ def _chainer(k: int, gap: int, cost: float, min_seed_words: int):
     return run
 
 
+def seed_pairs(pos: np.ndarray, gram: np.ndarray, open_: np.ndarray, k: int, low: int, high: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, first and second position) of the pairs of seeds that span ``low`` to ``high`` words and hold an open one. The distance is part of the key."""
+    order = np.argsort(pos, kind="stable")
+    pos, gram, open_ = pos[order].astype(np.int64), gram[order].view(np.uint64), open_[order]
+    out = [np.zeros((3, 0), np.int64)]
+    for d in range(1, len(pos)):
+        span = pos[d:] - pos[:-d] + k
+        if span.min() > high:
+            break
+        i = np.flatnonzero((span >= low) & (span <= high) & (open_[d:] | open_[:-d]))
+        key = (gram[i] * np.uint64(0x9E3779B97F4A7C15) ^ gram[i + d]) * np.uint64(0xC2B2AE3D27D4EB4F) + span[i].astype(np.uint64)
+        key ^= key >> np.uint64(29)
+        out.append(np.stack([(key * np.uint64(0x9E3779B97F4A7C15)).view(np.int64), pos[i], pos[i + d]]))
+    return tuple(np.concatenate(out, axis=1))
+
+
+def _pairer(k: int, low: int, high: int):
+    def run(batches):
+        for batch in batches:
+            rows, found = [np.zeros(0, np.int64)], [np.zeros((3, 0), np.int64)]
+            for row, seeds in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                m = seeds.values
+                pairs = np.stack(seed_pairs(*(m.field(n).to_numpy(zero_copy_only=False) for n in ("pos", "gram", "open")), k, low, high))
+                # a pair's first place in the text
+                pairs = pairs[:, np.unique(pairs[0], return_index=True)[1]] if pairs.shape[1] else pairs
+                rows.append(np.full(pairs.shape[1], row, dtype=np.int64))
+                found.append(pairs)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(rows)), *map(pa.array, np.concatenate(found, axis=1))], names=["row", "pair", "pos", "pos2"])
+
+    return run
+
+
 def common_words(a: list, b: list) -> int:
     """Length of the longest common subsequence."""
     while a and b and a[0] == b[0] and len(a) == len(b) == 1:
@@ -283,17 +322,9 @@ def _few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= MAX_BROADCAST else df
 
 
-def repeated_passages(docs: DataFrame, k: int = 8, window: int = 12, min_words: int = 50, min_identity: float = 0.8, gap: int = 40, cost: float = 0.1, margin: int = 2000) -> DataFrame:
-    """A row for each passage of a document that an earlier document (by input order) holds too: word spans in both, equal words, identity, and the text keys of the document."""
-    plain = pick(docs, "doc_id", "text").select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), *text_keys(), F.coalesce("text", F.lit("")).alias("text"))
-    seeded = written(plain.mapInArrow(_seeder(k, window), "row long, doc_id long, k1 long, k2 long, grams array<long>, at array<int>"), "seeds")
-    seeds = seeded.select("row", F.explode(F.arrays_zip(F.col("grams").alias("gram"), F.col("at").alias("pos"))).alias("x")).select("row", "x.gram", "x.pos")
-    first = seeds.groupBy("gram").agg(F.min("row").alias("source"), F.max("row").alias("last")).where("source <> last").select("gram", "source")
-    shared = written(seeds.join(first, "gram"), "shared-seeds")
-    spots = shared.where("row = source").groupBy("gram").agg(F.min("pos").alias("other"))
-    matches = shared.where("row <> source").join(spots, "gram").groupBy("row").agg(F.collect_list(F.struct("source", "pos", "other")).alias("matches"))  # bounded by the document's seeds
+def _verified(plain: DataFrame, keys: DataFrame, matches: DataFrame, k: int, min_words: int, min_identity: float, gap: int, cost: float, margin: int) -> DataFrame:
+    """Passages (row, source, start, end, source_start, source_end, matched, identity) in the chains of matches (row, list of source, pos, other)."""
     chains = written(matches.mapInArrow(_chainer(k, gap, cost, 2 * k), "row long, source long, pieces array<long>"), "chains")
-    keys = seeded.select("row", "k1", "k2")
     named = chains.join(keys, "row").join(keys.select(F.col("row").alias("source"), F.col("k1").alias("s1"), F.col("k2").alias("s2")), "source")
     named = written(named, "chain-keys")
     wanted = written(named.select("k1", "k2").unionByName(named.select(F.col("s1").alias("k1"), F.col("s2").alias("k2"))).distinct(), "chain-texts")
@@ -303,7 +334,39 @@ def repeated_passages(docs: DataFrame, k: int = 8, window: int = 12, min_words:
     cut = texts.join(listed, ["k1", "k2"]).select("text", "chains").mapInArrow(_cutter(margin), "row long, source long, pieces array<long>, low long, words binary")
     sources = named.select("source", "s1", "s2").distinct().join(texts.toDF("s1", "s2", "text"), ["s1", "s2"]).select("source", "text")
     both = cut.join(sources, "source").select("row", "source", "pieces", "low", "words", "text")
-    aligned = both.mapInArrow(_aligner(margin, min_words, min_identity), "row long, source long, start long, end long, source_start long, source_end long, matched long, identity double")
+    return written(both.mapInArrow(_aligner(margin, min_words, min_identity), "row long, source long, start long, end long, source_start long, source_end long, matched long, identity double"), "aligned")
+
+
+def _paired(shared: DataFrame, found: DataFrame, k: int, low: int, high: int) -> DataFrame:
+    """Matches of the pairs of seeds around those that no passage in found explains, to the first document that holds the pair."""
+    spans = found.groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    seed = F.explode("seeds").alias("x")
+    inside = F.exists("spans", lambda s: (s["start"] <= F.col("x.pos")) & (s["end"] >= F.col("x.pos") + k))
+    left = shared.join(spans, "row", "left").select("row", "spans", seed).where((F.col("x.source") != F.col("row")) & ~F.coalesce(inside, F.lit(False)))
+    left = written(left.select("x.gram").distinct(), "open-seeds").withColumn("open", F.lit(True))
+    seeds = shared.select("row", seed).select("row", "x.gram", "x.pos").join(_few(left), "gram", "left")
+    seeds = seeds.groupBy("row").agg(F.collect_list(F.struct("pos", "gram", F.coalesce("open", F.lit(False)).alias("open"))).alias("seeds"), F.max("open").alias("any")).where("any").drop("any")  # bounded by the document's seeds
+    pairs = written(seeds.mapInArrow(_pairer(k, low, high), "row long, pair long, pos long, pos2 long"), "seed-pairs")
+    # a document holds a pair once
+    first = pairs.groupBy("pair").agg(F.min("row").alias("source"), F.max("row").alias("last"), F.min_by("pos", "row").alias("other"), F.min_by("pos2", "row").alias("other2")).where("source <> last").drop("last")
+    both = pairs.join(first, "pair").where("row <> source")
+    ends = F.array(F.struct("source", "pos", "other"), F.struct("source", F.col("pos2").alias("pos"), F.col("other2").alias("other")))
+    return both.groupBy("row").agg(F.flatten(F.collect_list(ends)).alias("matches"))  # bounded by the document's pairs
+
+
+def repeated_passages(docs: DataFrame, k: int = 6, window: int = 6, min_words: int = 50, min_identity: float = 0.8, gap: int = 40, cost: float = 0.1, margin: int = 2000) -> DataFrame:
+    """A row for each passage of a document that an earlier document (by input order) holds too: word spans in both, equal words, identity, and the text keys of the document."""
+    plain = pick(docs, "doc_id", "text").select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), *text_keys(), F.coalesce("text", F.lit("")).alias("text"))
+    seeded = written(plain.mapInArrow(_seeder(k, window), "row long, doc_id long, k1 long, k2 long, grams array<long>, at array<int>"), "seeds")
+    seeds = seeded.select("row", F.explode(F.arrays_zip(F.col("grams").alias("gram"), F.col("at").alias("pos"))).alias("x")).select("row", "x.gram", "x.pos")
+    # a document has one place that is not negative for each seed
+    first = seeds.where("pos >= 0").groupBy("gram").agg(F.min("row").alias("source"), F.max("row").alias("last"), F.min_by("pos", "row").alias("other")).where("source <> last").drop("last")
+    shared = seeds.withColumn("pos", F.greatest("pos", F.bitwise_not("pos"))).join(first, "gram")
+    shared = written(shared.groupBy("row").agg(F.collect_list(F.struct("gram", "source", "pos", "other")).alias("seeds")), "shared-seeds")  # bounded by the document's seeds
+    keys = seeded.select("row", "k1", "k2")
+    rules = (k, min_words, min_identity, gap, cost, margin)
+    found = _verified(plain, keys, shared, *rules)
+    aligned = found.unionByName(_verified(plain, keys, _paired(shared, found, k, max(k + 1, min_words - 2 * window), min_words), *rules))
     # chains of one document and source that grew into the same passage
     aligned = aligned.groupBy("row", "source", "start", "end").agg(F.max(F.struct("identity", "matched", "source_start", "source_end")).alias("x"))
     ids = seeded.select("row", "doc_id", "k1", "k2")

@@ -166,6 +166,27 @@ def test_pages_share_head_and_foot_around_their_bodies(spark):
     assert len(last) == 1 and {(r["doc_id"], r["start"], r["end"]) for r in got} == {w for w in want if w[0] not in last}
 
 
+def test_passages_whose_parts_have_earlier_holders(spark):
+    rng = random.Random(31)
+    words = lambda n: [f"r{rng.randrange(10**7)}" for _ in range(n)]
+    whole, quoted = words(60), [words(20) for _ in range(4)]
+    rows = [words(20) + part + words(20) for part in (whole[:30], whole[30:], *quoted)]
+    rows += [words(20) + body + words(20) for body in (whole, sum(quoted, [])) for _ in range(2)]
+    got = cl.repeated_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string").coalesce(1)).collect()
+    assert {(r["doc_id"], r["start"], r["end"], r["source_id"]) for r in got} == {(7, 20, 80, 6), (9, 20, 100, 8)}
+
+
+def test_edited_passages_are_found(spark):
+    rng = random.Random(37)
+    words = lambda n: [f"r{rng.randrange(10**7)}" for _ in range(n)]
+    rows = []
+    for _ in range(60):
+        passage = words(60)
+        rows += [words(30) + passage + words(30), words(30) + [w if i % 10 else words(1)[0] for i, w in enumerate(passage, 5)] + words(30)]
+    got = cl.repeated_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string").coalesce(1)).collect()
+    assert len({(r["doc_id"], r["source_id"]) for r in got} & {(2 * i + 1, 2 * i) for i in range(60)}) >= 57
+
+
 def test_passages_of_odd_rows(odd, none):
     got = cl.repeated_passages(odd).collect()
     assert {(r["doc_id"], r["source_id"]) for r in got} in ({(5, 4)}, {(4, 5)})
