@@ -3,7 +3,8 @@
 Lines are normalised (A-Z lower-cased, digits as 0, white space collapsed) and hashed. Per host, the distinct documents
 (by text: exact copies are one document) that hold a line are counted; a line in more than ``max_documents`` of them is
 boilerplate and is removed from every document of the host but the one with the smallest id. A document is depleted, and
-rejected, when the removed lines held more than ``max_removed`` of its words.
+rejected, when the removed lines held more than ``max_removed`` of its words. :func:`line_rules` gives the verdicts and
+:func:`clean_texts` the kept documents without their removed lines, both from the same flags.
 
 Only hashes and counts are shuffled, never texts: distinct (host, line, text) triples are counted after a partial
 aggregation, so a line that a third of all documents share arrives as one count per map task.
@@ -81,8 +82,8 @@ def _stats(batches):
         yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(docs, pa.int64()), pa.array(hosts, pa.string()), *[pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)]], names=[x.split()[0] for x in _STATS.split(", ")])
 
 
-def line_rules(docs: DataFrame, host: str = "source", max_documents: int = 50, max_removed: float = 0.7) -> DataFrame:
-    """A row for each row of docs: the base counts, n_removed (words in removed lines) and kept."""
+def _flagged(docs: DataFrame, host: str, max_documents: int) -> tuple[DataFrame, DataFrame]:
+    """(the base counts of each row of docs, row id included; row, line and words of each line to remove)."""
     plain = pick(docs, "doc_id", host, "text").toDF("doc_id", "host", "text")
     plain = plain.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("host").cast("string").alias("host"), "text")
     stats = written(plain.mapInArrow(_stats, _STATS), "line-stats")
@@ -90,11 +91,46 @@ def line_rules(docs: DataFrame, host: str = "source", max_documents: int = 50, m
     texts = lines.groupBy("host", "line", "text_hash").agg(F.min("id").alias("id"))
     common = texts.groupBy("host", "line").agg(F.count("*").alias("n"), F.min("id").alias("first_id")).where(F.col("n") > max_documents).select(F.col("host").alias("h"), F.col("line").alias("l"), "first_id")
     removed = lines.join(common, F.col("host").eqNullSafe(F.col("h")) & (F.col("line") == F.col("l")) & (F.col("id") != F.col("first_id")))
-    removed = removed.groupBy(F.col("row").alias("r")).agg(F.sum("words").alias("n_removed"))
-    out = stats.drop("lines", "line_words", "text_hash").join(removed, F.col("row") == F.col("r"), "left")
+    return stats.drop("lines", "line_words"), removed.select("row", "line", "words")
+
+
+def _verdicts(stats: DataFrame, removed: DataFrame, max_removed: float) -> DataFrame:
+    """The base counts with base_failed, n_removed and kept, and the hashes of the lines to remove."""
+    removed = removed.groupBy(F.col("row").alias("r")).agg(F.sum("words").alias("n_removed"), F.collect_list("line").alias("cut"))  # bounded by the document's lines
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     n_removed = F.coalesce("n_removed", F.lit(0)).cast("long")
-    return out.select("doc_id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), n_removed.alias("n_removed"), (~failed & (n_removed <= max_removed * F.col("n_words"))).alias("kept"))
+    out = stats.join(removed, F.col("row") == F.col("r"), "left").withColumn("n_removed", n_removed).withColumn("base_failed", failed)
+    return out.withColumn("kept", ~F.col("base_failed") & (F.col("n_removed") <= max_removed * F.col("n_words")))
+
+
+def line_rules(docs: DataFrame, host: str = "source", max_documents: int = 50, max_removed: float = 0.7) -> DataFrame:
+    """A row for each row of docs: the base counts, n_removed (words in removed lines) and kept."""
+    out = _verdicts(*_flagged(docs, host, max_documents), max_removed)
+    return out.select("doc_id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_removed", "kept")
+
+
+def without_lines(text: str | None, cut: list[int] | None) -> str | None:
+    """The text without the lines whose normalised form has one of these hashes; the other lines stay as they are, in order."""
+    if not cut or text is None:
+        return text
+    gone, out = set(cut), []
+    for line in text.split("\n"):
+        words = utf8(line).translate(_NORMAL).split()
+        if not words or xxhash.xxh3_64_intdigest(b" ".join(words)) - (1 << 63) not in gone:
+            out.append(line)
+    return "\n".join(out)
+
+
+def clean_texts(docs: DataFrame, host: str = "source", max_documents: int = 50, max_removed: float = 0.7) -> DataFrame:
+    """The rows of docs that :func:`line_rules` keeps, without the lines that it removes; columns as in docs."""
+    out = _verdicts(*_flagged(docs, host, max_documents), max_removed).where("kept")
+    # rows of one id, host and text have the same lines to remove
+    rules = out.select(F.col("doc_id").alias("_id"), F.col("host").alias("_host"), F.col("text_hash").alias("_hash"), F.coalesce("cut", F.array()).alias("_cut")).dropDuplicates(["_id", "_host", "_hash"])
+    digest = F.udf(lambda t: xxhash.xxh3_64_intdigest(utf8(t)) - (1 << 63), "long")
+    same = docs["doc_id"].cast("long").eqNullSafe(rules["_id"]) & docs[f"`{host}`"].cast("string").eqNullSafe(rules["_host"]) & (digest(docs["text"]) == rules["_hash"])
+    cut = F.udf(without_lines, "string")
+    text = F.when(F.size(rules["_cut"]) == 0, docs["text"]).otherwise(cut(docs["text"], rules["_cut"])).alias("text")
+    return docs.join(rules, same).select(*[text if c == "text" else docs[f"`{c}`"] for c in docs.columns])
 
 
 def op2_line_frequency(spark, sf_dir: str) -> DataFrame:

@@ -69,6 +69,20 @@ def test_copies_are_one_document_for_line_counts(spark):
     assert lf.line_rules(spark.createDataFrame(rows, "doc_id long, text string, source string"), max_documents=5).where("kept").count() == 30
 
 
+def test_texts_lose_their_common_lines_and_no_others(spark, odd, none):
+    body = lambda i, n: "\n".join(" ".join(chr(97 + i) + chr(97 + j) + chr(97 + k) for k in range(10)) for j in range(n))
+    menu, note = "Home | About | Contact 12", "All  rights reserved by the owner of this page and its parts"
+    rows = [(i, f"{menu}\n\n{body(i, 6)}\n{note.upper() if i % 2 else note}\nlast line {'z' * (i + 1)}", "h") for i in range(20)]
+    rows += [(20, "\n".join([note] * 20) + "\n" + body(20, 3), "h"), (21, rows[3][1], "other"), (5, rows[5][1], "h"), (None, rows[0][1] + "\nno id", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = sorted((str(r["doc_id"]), r["source"], r["text"]) for r in lf.clean_texts(df, max_documents=5).collect())
+    bare = lambda i: f"\n{body(i, 6)}\nlast line {'z' * (i + 1)}"
+    want = [("0", "h", rows[0][1]), ("21", "other", rows[3][1]), ("None", None, rows[-1][1]), ("5", "h", bare(5))] + [(str(i), "h", bare(i)) for i in range(1, 20)]
+    assert got == sorted(want)
+    kept = lf.clean_texts(odd)
+    assert kept.columns == odd.columns and kept.count() == lf.line_rules(odd).where("kept").count() and lf.clean_texts(none).count() == 0
+
+
 def test_line_rules_of_odd_rows(odd, none):
     got = lf.line_rules(odd).collect()
     assert len(got) == odd.count() and {r["n_words"] for r in got if r["doc_id"] in (1, 2, 3, 8)} == {0}
