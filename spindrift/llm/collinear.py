@@ -1,18 +1,25 @@
 """Substring dedup: fuzzy passages that repeat across documents, by collinear chaining of shared k-mer seeds.
 
-Seeds are the k-word grams with the smallest hash in each window of w grams (every exact run of w + k - 1 words that two
-documents share gives both the same seed). A seed's occurrences are joined to one anchor document, the first that holds
-it, so a passage that a third of all documents share costs a row per occurrence and no pair of them is enumerated. Seeds
-that this leaves without a passage (their anchor holds a part only) are joined again as pairs: two seeds about a passage
-apart, at one distance, have as anchor the first document that holds both, not the first that holds either. A document's matches, ordered by position, are chained per anchor document: a Fenwick tree over the anchor's positions
-finds the best predecessor, and gaps cost in proportion to their words. Chains are aligned: gaps between matches by
-longest common subsequence, ends by extension while words go on agreeing, so a chain that holds only part of a passage
-grows to all of it. A chain may run over words that differ: it is cut at its gaps into the passages of at least
-``min_words`` words and ``min_identity`` that hold most of its equal words, each verified alone.
+Equal texts are one node from the start; their copies are reported as whole. Seeds are the k-word grams with the smallest
+hash in each window of w grams (every exact run of w + k - 1 words that two texts share gives both the same seed). A seed's
+occurrences are joined to one anchor text, the first that holds it, so a passage that a third of all documents share costs
+a row per occurrence and no pair of them is enumerated. A text's matches are chained per anchor text: a Fenwick tree over
+the anchor's positions finds the best predecessor, gaps cost in proportion to their words, and predecessors that overlap
+are compared as well. Chains are aligned: gaps between matches by longest common subsequence, ends by extension while words
+go on agreeing. A chain may run over words that differ: it is cut at its gaps into the passages of at least ``min_words``
+words and ``min_identity`` that hold most of its equal words, each verified alone. Alignment reads ``margin`` words beyond
+a chain; where an end grows up to that edge, the chain is aligned again with sixteen times as many.
+
+Anchors alone would lose a passage whose seeds have different first holders, each of which holds less than a passage. So
+every run of ``min_words`` words that no passage found so far covers, and whose seeds all occur elsewhere, is hashed whole
+and joined to the first text that holds the same run. Thus every exact repeat of ``min_words`` words or more between two
+texts is covered: each of its runs lies in a reported passage. Edited passages are found where exact runs of k + w - 1
+words or luckily equal seeds remain, at least two of one anchor; the README states the recall.
 
 Repeats inside one document are not reported. Defined results: null and empty texts and texts shorter than k words have no
-passages; the passages of an exact copy cover all its words; repeated rows are copies of each other; a null
-doc_id is carried along; further columns are ignored or, in :func:`cut_passages`, kept; an empty table gives an empty result.
+passages; a copy's passage is its whole text, if that has ``min_words`` words; repeated rows are copies of each other; very
+long texts are taken whole; of ties the first in input order is the anchor; a null doc_id is carried along; further columns
+are ignored or, in :func:`cut_passages`, kept; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,12 +31,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, folded_words, gram_hashes, pick, text_keys, written
+from .common import WordHashes, few, folded_words, gram_hashes, pick, spread_join, text_keys, written
 
-#: Keys of texts that are broadcast at most to find the texts again; beyond it the join is by shuffle.
-MAX_BROADCAST = 500_000
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
-PASSAGE = "doc_id long, start long, end long, source_id long, source_start long, source_end long, matched long, identity double"
+_ALIGNED = "row long, source long, start long, end long, source_start long, source_end long, matched long, identity double"
 
 
 def seed_positions(grams: np.ndarray, window: int) -> np.ndarray:
@@ -44,15 +49,17 @@ def _seeder(k: int, window: int):
     def run(batches):
         hashes = WordHashes()
         for batch in batches:
-            grams, at = [], []
+            grams, at, sizes = [], [], []
             for text in batch.column(4).to_pylist():
-                g = gram_hashes(hashes.of(folded_words(text)), k)
+                words = hashes.of(folded_words(text))
+                g = gram_hashes(words, k)
                 pos = seed_positions(g, window)
                 grams.append(g[pos].view(np.int64))
                 again = np.ones(len(pos), dtype=bool)
                 again[np.unique(g[pos], return_index=True)[1]] = False
                 at.append(np.where(again, ~pos, pos).astype(np.int32))  # a seed's later places in a text are negative
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(grams, pa.list_(pa.int64())), pa.array(at, pa.list_(pa.int32()))], names=["row", "doc_id", "k1", "k2", "grams", "at"])
+                sizes.append(len(words))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(sizes, pa.int64()), pa.array(grams, pa.list_(pa.int64())), pa.array(at, pa.list_(pa.int32()))], names=["row", "doc_id", "k1", "k2", "n_words", "grams", "at"])
 
     return run
 
@@ -90,25 +97,46 @@ def runs(pos: np.ndarray, other: np.ndarray, k: int, gap: int) -> list[tuple[int
 
 
 def chain(pieces: list[tuple[int, int, int]], cost: float) -> list[list[tuple[int, int, int]]]:
-    """Chains of pieces that ascend in both texts. A chain's score is its words less ``cost`` for each word of its gaps."""
+    """Chains of pieces that ascend in both texts, the best first.
+
+    A chain's score is its words less ``cost`` for each word of its gaps; words that two neighbours overlap by count once.
+    A piece's best predecessor among those that end before it is found by the Fenwick tree, over ends in the other text in
+    the order of ends in this one; those that overlap it stand next to it in order of starts.
+    """
     pieces = sorted(pieces)
-    spots = sorted({o for _, o, _ in pieces})
-    rank = {o: i for i, o in enumerate(spots)}
-    tree, score, back = Fenwick(len(spots)), [], []
-    for i, (p, o, n) in enumerate(pieces):
-        value, j = tree.before(rank[o])
-        value -= cost * (p + o)
-        # overlapping words count once
-        if j >= 0:
-            q, r, m = pieces[j]
-            value -= max(0, q + m - p, r + m - o)
-        if j < 0 or value <= 0:
-            value, j = 0.0, -1
-        score.append(value + n)
-        back.append(j)
-        tree.put(rank[o], (score[i] + cost * (p + o + 2 * n), i))
-    out, used = [], [False] * len(pieces)
-    for i in sorted(range(len(pieces)), key=lambda i: -score[i]):
+    n = len(pieces)
+    p, o, size = (np.array(c, dtype=np.int64) for c in zip(*pieces, strict=True))
+    longest = int(size.max())
+    ends = sorted(range(n), key=lambda i: pieces[i][0] + pieces[i][2])
+    spots = np.unique(o + size)
+    rank = np.searchsorted(spots, o + size).tolist()  # a piece's place among the ends
+    upto = np.searchsorted(spots, o, side="right").tolist()
+    by_other = np.argsort(o, kind="stable")
+    sorted_o = o[by_other]
+    near = np.searchsorted(p, p - longest, side="right").tolist()
+    low, high = np.searchsorted(sorted_o, o - longest, side="right").tolist(), np.searchsorted(sorted_o, o).tolist()
+    tree, score, back, e = Fenwick(len(spots)), np.zeros(n), [-1] * n, 0
+    for i, (a, b, m) in enumerate(pieces):
+        while e < n and pieces[ends[e]][0] + pieces[ends[e]][2] <= a:
+            j = ends[e]
+            tree.put(rank[j], (score[j] + cost * (pieces[j][0] + pieces[j][1] + 2 * pieces[j][2]), j))
+            e += 1
+        value, best = tree.before(upto[i])
+        value -= cost * (a + b)
+        if i - near[i] > 0 or high[i] > low[i]:
+            js = np.concatenate([np.arange(near[i], i), by_other[low[i] : high[i]]])
+            js = js[(js < i) & (o[js] < b) & ((p[js] + size[js] > a) | (o[js] + size[js] > b))]
+            if len(js):
+                left, right = a - p[js] - size[js], b - o[js] - size[js]  # gaps; negative where they overlap
+                values = score[js] - cost * (left + right) - np.maximum(0, -np.minimum(left, right))
+                x = int(values.argmax())
+                if values[x] > value:
+                    value, best = float(values[x]), int(js[x])
+        if value > 0:
+            back[i] = best
+        score[i] = max(value, 0.0) + m
+    out, used = [], [False] * n
+    for i in sorted(range(n), key=lambda i: -score[i]):
         found = []
         while i >= 0 and not used[i]:
             used[i] = True
@@ -119,13 +147,15 @@ def chain(pieces: list[tuple[int, int, int]], cost: float) -> list[list[tuple[in
     return out
 
 
-def _chainer(k: int, gap: int, cost: float, min_seed_words: int):
+def _chainer(k: int, gap: int, cost: float, least: int, alone: bool):
+    """Chains of at least ``least`` words by row and source; alone: each piece is a chain."""
+
     def run(batches):
         for batch in batches:
             rows = {n: [] for n in ("row", "source", "pieces")}
             for row, matches in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 m = matches.values
-                source, pos, other = (m.field(n).to_numpy(zero_copy_only=False) for n in ("source", "pos", "other"))
+                source, pos, other = (m.field(n).to_numpy(zero_copy_only=False).astype(np.int64) for n in ("source", "pos", "other"))
                 later = source != row
                 source, pos, other = source[later], pos[later], other[later]
                 if not len(source):
@@ -134,10 +164,11 @@ def _chainer(k: int, gap: int, cost: float, min_seed_words: int):
                 source, pos, other = source[order], pos[order], other[order]
                 cuts = np.flatnonzero(np.concatenate([[True], source[1:] != source[:-1]])).tolist() + [len(source)]
                 for a, b in zip(cuts, cuts[1:], strict=False):
-                    if b - a == 1 and k < min_seed_words:
+                    if b - a == 1 and k < least:
                         continue
-                    for found in chain(runs(pos[a:b], other[a:b], k, gap), cost):
-                        if found[-1][0] + found[-1][2] - found[0][0] >= min_seed_words:
+                    pieces = runs(pos[a:b], other[a:b], k, gap)
+                    for found in [[x] for x in pieces] if alone else chain(pieces, cost):
+                        if found[-1][0] + found[-1][2] - found[0][0] >= least:
                             rows["row"].append(row)
                             rows["source"].append(int(source[a]))
                             rows["pieces"].append([x for piece in found for x in piece])
@@ -146,67 +177,37 @@ def _chainer(k: int, gap: int, cost: float, min_seed_words: int):
     return run
 
 
-def seed_pairs(pos: np.ndarray, gram: np.ndarray, open_: np.ndarray, k: int, low: int, high: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(key, first and second position) of the pairs of seeds that span ``low`` to ``high`` words and hold an open one. The distance is part of the key."""
-    order = np.argsort(pos, kind="stable")
-    pos, gram, open_ = pos[order].astype(np.int64), gram[order].view(np.uint64), open_[order]
-    out = [np.zeros((3, 0), np.int64)]
-    for d in range(1, len(pos)):
-        span = pos[d:] - pos[:-d] + k
-        if span.min() > high:
-            break
-        i = np.flatnonzero((span >= low) & (span <= high) & (open_[d:] | open_[:-d]))
-        key = (gram[i] * np.uint64(0x9E3779B97F4A7C15) ^ gram[i + d]) * np.uint64(0xC2B2AE3D27D4EB4F) + span[i].astype(np.uint64)
-        key ^= key >> np.uint64(29)
-        out.append(np.stack([(key * np.uint64(0x9E3779B97F4A7C15)).view(np.int64), pos[i], pos[i + d]]))
-    return tuple(np.concatenate(out, axis=1))
-
-
-def _pairer(k: int, low: int, high: int):
-    def run(batches):
-        for batch in batches:
-            rows, found = [np.zeros(0, np.int64)], [np.zeros((3, 0), np.int64)]
-            for row, seeds in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                m = seeds.values
-                pairs = np.stack(seed_pairs(*(m.field(n).to_numpy(zero_copy_only=False) for n in ("pos", "gram", "open")), k, low, high))
-                # a pair's first place in the text
-                pairs = pairs[:, np.unique(pairs[0], return_index=True)[1]] if pairs.shape[1] else pairs
-                rows.append(np.full(pairs.shape[1], row, dtype=np.int64))
-                found.append(pairs)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(rows)), *map(pa.array, np.concatenate(found, axis=1))], names=["row", "pair", "pos", "pos2"])
-
-    return run
-
-
-def common_words(a: list, b: list) -> int:
+def common_words(a: np.ndarray, b: np.ndarray) -> int:
     """Length of the longest common subsequence."""
-    while a and b and a[0] == b[0] and len(a) == len(b) == 1:
-        return 1
-    x, y = np.array(a), np.array(b)
-    best = np.zeros(len(y) + 1, dtype=np.int32)
-    for w in x:
-        best[1:] = np.maximum.accumulate(np.maximum(best[1:], best[:-1] + (y == w)))
+    if len(a) > len(b):
+        a, b = b, a
+    best = np.zeros(len(b) + 1, dtype=np.int32)
+    for w in a:
+        best[1:] = np.maximum.accumulate(np.maximum(best[1:], best[:-1] + (b == w)))
     return int(best[-1])
 
 
-def extension(a: list, i: int, b: list, j: int, step: int, drop: int = 4, most: int | None = None) -> tuple[int, int]:
-    """How many words from a[i] and b[j] on agree (a mismatch costs one), and how many of them are equal; ``most`` words are looked at."""
-    score = best = words = equal = at = same = 0
-    while 0 <= i < len(a) and 0 <= j < len(b) and score > best - drop and at != most:
-        at += 1
-        if a[i] == b[j]:
-            score += 1
-            same += 1
-        else:
-            score -= 1
-        if score > best:
-            best, words, equal = score, at, same
-        i += step
-        j += step
-    return words, equal
+def extension(a: np.ndarray, b: np.ndarray, drop: int = 4) -> tuple[int, int, bool]:
+    """How many words from the beginning of both on agree (a mismatch costs one; it ends ``drop`` below the best), how many of them are equal, and whether it came to the end of the shorter one."""
+    n = min(len(a), len(b))
+    if not n:
+        return 0, 0, True
+    for most in (64, n):  # most extensions are short
+        same = a[: min(most, n)] == b[: min(most, n)]
+        score = np.cumsum(np.where(same, 1, -1))
+        low = np.flatnonzero(score <= np.maximum(np.maximum.accumulate(score), 0) - drop)
+        if len(low):
+            same, score = same[: low[0]], score[: low[0]]
+            break
+        if most >= n:
+            break
+    best = int(score.argmax()) if len(score) else 0
+    if not len(score) or score[best] <= 0:
+        return 0, 0, not len(low)
+    return best + 1, int(same[: best + 1].sum()), not len(low)
 
 
-def blocks(a: list, b: list, pieces: list[tuple[int, int, int]], most: int = 8, least: int = 4) -> list[tuple[int, int, int, int]]:
+def blocks(a: np.ndarray, b: np.ndarray, pieces: list[tuple[int, int, int]], most: int = 8, least: int = 4) -> list[tuple[int, int, int, int]]:
     """A chain's pieces without overlaps, cut where ``most`` words in a row differ, as (start, other start, words, equal words). Grams are hashed, so words are compared."""
     out, i, j = [], 0, 0
     for s, t, n in pieces:
@@ -215,10 +216,10 @@ def blocks(a: list, b: list, pieces: list[tuple[int, int, int]], most: int = 8,
         if n <= 0:
             continue
         i, j = s + n, t + n
-        if a[s:i] == b[t:j]:
+        same = np.flatnonzero(a[s:i] == b[t:j]).tolist()
+        if len(same) == n:
             out.append((s, t, n, n))
             continue
-        same = [x for x, (u, v) in enumerate(zip(a[s:i], b[t:j], strict=False)) if u == v]
         first = 0
         for x in range(1, len(same) + 1):
             if x == len(same) or same[x] - same[x - 1] > most:
@@ -228,8 +229,8 @@ def blocks(a: list, b: list, pieces: list[tuple[int, int, int]], most: int = 8,
     return out
 
 
-def align(a: list, b: list, pieces: list[tuple[int, int, int]], min_words: int, min_identity: float, joint: int = 8) -> list[tuple[int, int, int, int, int]]:
-    """(start, end, source start, source end, equal words) of the passages in a chain.
+def align(a: np.ndarray, b: np.ndarray, pieces: list[tuple[int, int, int]], min_words: int, min_identity: float, joint: int = 8) -> tuple[list[tuple[int, int, int, int, int]], bool, bool]:
+    """The passages in a chain, as (start, end, source start, source end, equal words), and whether extension came to the beginning and to the end of a or b.
 
     Of all ways to cut the chain at gaps into passages of ``min_words`` and ``min_identity``, the one whose blocks hold most
     equal words; among those, a gap stays inside a passage if its different words outnumber its equal ones by at most ``joint``.
@@ -237,20 +238,22 @@ def align(a: list, b: list, pieces: list[tuple[int, int, int]], min_words: int,
     parts = [list(x) for x in blocks(a, b, pieces)]
     m = len(parts)
     if not m:
-        return []
-    inside, worth = [0] * m, [0] * m
+        return [], False, False
+    inside, worth, edges = [0] * m, [0] * m, [False, False]
     for x in range(m + 1):  # ends grow into the gap before part x, then its other words are aligned
         i, j = (parts[x - 1][0] + parts[x - 1][2], parts[x - 1][1] + parts[x - 1][2]) if x else (0, 0)
         s, t = (parts[x][0], parts[x][1]) if x < m else (len(a), len(b))
         if x:
-            n, same = extension(a, i, b, j, 1, most=min(s - i, t - j))
+            n, same, edge = extension(a[i:s], b[j:t])
             parts[x - 1][2] += n
             parts[x - 1][3] += same
             i, j = i + n, j + n
+            edges[1] |= edge and x == m
         if x < m:
-            n, same = extension(a, s - 1, b, t - 1, -1, most=min(s - i, t - j))
+            n, same, edge = extension(a[i:s][::-1], b[j:t][::-1])
             parts[x] = [s - n, t - n, parts[x][2] + n, parts[x][3] + same]
             s, t = s - n, t - n
+            edges[0] |= edge and x == 0
         if 0 < x < m:
             inside[x] = common_words(a[i:s], b[j:t]) if s > i and t > j else 0
             worth[x] = 2 * inside[x] - max(s - i, t - j)
@@ -278,119 +281,225 @@ def align(a: list, b: list, pieces: list[tuple[int, int, int]], min_words: int,
             out.append((int(low[x]), int(high[y]), int(low2[x]), int(high2[y]), int(matched(x, y))))
             y = x
         y -= 1
-    return out[::-1]
+    return out[::-1], edges[0], edges[1]
+
 
+def _hasher(batches):
+    """Texts as binary strings of 64-bit word hashes."""
+    hashes = WordHashes()
+    for batch in batches:
+        words = [hashes.of(folded_words(t)).tobytes() for t in batch.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(words, pa.binary())], names=["k1", "k2", "words"])
 
-def _cutter(margin: int):
-    """The document's words around each of its chains."""
+
+def _aligner(min_words: int, min_identity: float):
+    """Aligns the words around both sides of a chain: row, source, pieces, where the words begin in both, whether they are all there, words of both."""
 
     def run(batches):
         for batch in batches:
             out = []
-            for text, chains in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = folded_words(text)
-                for c in chains:
-                    pieces = c["pieces"]
-                    low = max(0, pieces[0] - margin)
-                    out.append((c["row"], c["source"], pieces, low, b" ".join(words[low : pieces[-3] + pieces[-1] + margin])))
-            cols = list(zip(*out, strict=True)) if out else [[]] * 5
-            kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, kinds, strict=True)], names=["row", "source", "pieces", "low", "words"])
+            for row, source, pieces, low, low2, first, last, raw, raw2 in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                a, b = np.frombuffer(raw, dtype=np.uint64), np.frombuffer(raw2, dtype=np.uint64)
+                shifted = [(pieces[i] - low, pieces[i + 1] - low2, pieces[i + 2]) for i in range(0, len(pieces), 3)]
+                found, left, right = align(a, b, shifted, min_words, min_identity)
+                if (left and not first) or (right and not last):
+                    out.append((row, source, None, None, None, None, None, None, pieces))
+                    continue
+                for start, end, s0, s1, matched in found:
+                    out.append((row, source, start + low, end + low, s0 + low2, s1 + low2, matched, matched / max(end - start, s1 - s0), None))
+            cols = list(zip(*out, strict=True)) if out else [[]] * 9
+            kinds = [pa.int64()] * 7 + [pa.float64(), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, kinds, strict=True)], names=[*(x.split()[0] for x in _ALIGNED.split(", ")), "again"])
 
     return run
 
 
-def _aligner(margin: int, min_words: int, min_identity: float):
+def _verified(plain: DataFrame, keys: DataFrame, matches: DataFrame, k: int, gap: int, cost: float, least: int, alone: bool, min_words: int, min_identity: float, margin: int) -> DataFrame:
+    """Passages (row, source, start, end, source_start, source_end, matched, identity) in the chains of matches (row, list of source, pos, other)."""
+    chains = written(matches.mapInArrow(_chainer(k, gap, cost, least, alone), "row long, source long, pieces array<long>"), "chains")
+    nodes = chains.select("row").unionByName(chains.select(F.col("source").alias("row"))).distinct()
+    named = written(keys.join(few(nodes), "row").select("row", "k1", "k2"), "chain-nodes")
+    texts = plain.select("k1", "k2", "text").join(few(named.select("k1", "k2")), ["k1", "k2"]).select("k1", "k2", "text").mapInArrow(_hasher, "k1 long, k2 long, words binary").dropDuplicates(["k1", "k2"])
+    words = written(named.join(texts, ["k1", "k2"]).select("row", "words", (F.octet_length("words") / 8).cast("long").alias("size")), "chain-words")
+    x = lambda i: F.element_at("pieces", i)
+    out = None
+    while True:
+        # many chains may have one source: its words are cut to the chain in the JVM before they move on
+        cut = lambda low, high: F.substring("words", (8 * low + 1).cast("int"), (8 * (high - low)).cast("int"))
+        spans = chains.withColumn("low", F.greatest(x(1) - margin, F.lit(0))).withColumn("low2", F.greatest(x(2) - margin, F.lit(0)))
+        for side, base, at, of in (("row", "low", -3, "a"), ("source", "low2", -2, "b")):
+            counts = written(spans.groupBy(F.col(side).alias("node")).agg(F.count("*").alias("n")), "chain-counts")
+            high = F.least(x(at) + x(-1) + margin, F.col("size"))
+            spans = spread_join(spans.withColumn("node", F.col(side)).withColumn("by", F.xxhash64("row", "source", "pieces")), words.withColumnRenamed("row", "node"), ["node"], "by", counts)
+            spans = spans.withColumn(of, cut(F.col(base), high)).withColumn(f"last_{of}", high == F.col("size")).drop("words", "size", "node", "by")
+        both = spans.select("row", "source", "pieces", "low", "low2", ((F.col("low") == 0) | (F.col("low2") == 0)).alias("first"), (F.col("last_a") | F.col("last_b")).alias("last"), "a", "b")
+        aligned = written(both.mapInArrow(_aligner(min_words, min_identity), f"{_ALIGNED}, again array<long>"), "aligned")
+        done = aligned.where("again is null").drop("again")
+        out = done if out is None else out.unionByName(done)
+        chains = aligned.where("again is not null").select("row", "source", F.col("again").alias("pieces"))
+        if not chains.limit(1).count():
+            return out
+        margin *= 16
+
+
+def _open_runs(k: int, window: int, size: int):
+    """Ranges of starts of runs of ``size`` words whose seeds all occur elsewhere, less those inside a span; and the seeds of those ranges, named by their anchors."""
+
     def run(batches):
         for batch in batches:
-            out, last, words = [], None, []
-            for row, source, pieces, low, raw, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if source != last:  # rows of one source come together
-                    last, words = source, folded_words(text)
-                a, base = raw.split(), max(0, pieces[1] - margin)
-                b = words[base : pieces[-2] + pieces[-1] + margin]
-                shifted = [(pieces[i] - low, pieces[i + 1] - base, pieces[i + 2]) for i in range(0, len(pieces), 3)]
-                for start, end, s0, s1, matched in align(a, b, shifted, min_words, min_identity):
-                    out.append((row, source, start + low, end + low, s0 + base, s1 + base, matched, matched / max(end - start, s1 - s0)))
-            cols = list(zip(*out, strict=True)) if out else [[]] * 8
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.float64() if i == 7 else pa.int64()) for i, c in enumerate(cols)], names=["row", "source", "start", "end", "source_start", "source_end", "matched", "identity"])
+            out = {n: [] for n in ("row", "low", "high", "source", "other")}
+            for row, seeds, spans in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+                m = seeds.values
+                ord_, source, pos, other = (m.field(n).to_numpy(zero_copy_only=False).astype(np.int64) for n in ("ord", "source", "pos", "other"))
+                order = np.argsort(ord_)
+                ord_, source, pos, other = ord_[order], source[order], pos[order], other[order]
+                for low, high in without(shared_runs(ord_, pos, k, window, size), [(s["start"], s["end"] - size + 1) for s in spans or ()]):
+                    inside = (pos >= low) & (pos <= high + size)
+                    for n, v in zip(out, (row, low, high, source[inside].tolist(), other[inside].tolist()), strict=True):
+                        out[n].append(v)
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)], names=list(out))
 
     return run
 
 
-def _few(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= MAX_BROADCAST else df
+def shared_runs(ord_: np.ndarray, pos: np.ndarray, k: int, window: int, size: int) -> list[tuple[int, int]]:
+    """Ranges [low, high) of starts of runs of ``size`` words that may have nothing but shared seeds. ord_ and pos: number and place of the text's shared seeds.
 
+    Seeds from ``window`` - 1 words behind a run's start to ``window`` + k - 2 words before its end are decided by the run alone, so two texts that
+    share the run share them; neighbouring ones are at most ``window`` words apart.
+    """
+    new = np.flatnonzero(np.concatenate([[True], np.diff(ord_) != 1])) if len(ord_) else np.zeros(0, dtype=np.int64)
+    last = np.concatenate([new[1:], [len(ord_)]]).astype(np.int64) - 1
+    low = np.maximum(pos[new] - 2 * window + 2, 0) if len(new) else new
+    high = pos[last] - (size - k - 2 * window + 1) if len(new) else new
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(zip(low.tolist(), high.tolist(), strict=True)):
+        if a >= b:
+            continue
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
 
-def _verified(plain: DataFrame, keys: DataFrame, matches: DataFrame, k: int, min_words: int, min_identity: float, gap: int, cost: float, margin: int) -> DataFrame:
-    """Passages (row, source, start, end, source_start, source_end, matched, identity) in the chains of matches (row, list of source, pos, other)."""
-    chains = written(matches.mapInArrow(_chainer(k, gap, cost, 2 * k), "row long, source long, pieces array<long>"), "chains")
-    named = chains.join(keys, "row").join(keys.select(F.col("row").alias("source"), F.col("k1").alias("s1"), F.col("k2").alias("s2")), "source")
-    named = written(named, "chain-keys")
-    wanted = written(named.select("k1", "k2").unionByName(named.select(F.col("s1").alias("k1"), F.col("s2").alias("k2"))).distinct(), "chain-texts")
-    texts = plain.select("k1", "k2", "text").join(_few(wanted), ["k1", "k2"]).dropDuplicates(["k1", "k2"])
-    texts = written(texts, "texts")
-    listed = named.groupBy("k1", "k2", "row").agg(F.collect_list(F.struct("row", "source", "pieces")).alias("chains")).drop("row")
-    cut = texts.join(listed, ["k1", "k2"]).select("text", "chains").mapInArrow(_cutter(margin), "row long, source long, pieces array<long>, low long, words binary")
-    sources = named.select("source", "s1", "s2").distinct().join(texts.toDF("s1", "s2", "text"), ["s1", "s2"]).select("source", "text")
-    both = cut.join(sources, "source").select("row", "source", "pieces", "low", "words", "text")
-    return written(both.mapInArrow(_aligner(margin, min_words, min_identity), "row long, source long, start long, end long, source_start long, source_end long, matched long, identity double"), "aligned")
-
-
-def _paired(shared: DataFrame, found: DataFrame, k: int, low: int, high: int) -> DataFrame:
-    """Matches of the pairs of seeds around those that no passage in found explains, to the first document that holds the pair."""
+
+def without(ranges: list[tuple[int, int]], gone: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Disjoint ranges [low, high) less other ranges."""
+    out = []
+    for low, high in ranges:
+        for a, b in sorted(gone):
+            if b <= a or b <= low or a >= high:
+                continue
+            if a > low:
+                out.append((low, a))
+            low = max(low, b)
+        if low < high:
+            out.append((low, high))
+    return out
+
+
+def _run_hashes(size: int):
+    """The hash of every run of ``size`` words that starts in the given ranges of a text, and whether it lies in an open one."""
+
+    def run(batches):
+        hashes = WordHashes()
+        for batch in batches:
+            for row, text, ranges, open_ in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                grams = gram_hashes(hashes.of(folded_words(text)), size)
+                wanted, first = np.zeros(len(grams) + 1, dtype=np.int8), np.zeros(len(grams) + 1, dtype=np.int8)
+                for flags, parts in ((wanted, ranges), (wanted, open_), (first, open_)):
+                    for r in parts or ():
+                        flags[r["low"] : r["high"]] = 1
+                at = np.flatnonzero(wanted[: len(grams)])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), row, dtype=np.int64)), pa.array(grams[at].view(np.int64)), pa.array(at), pa.array(first[at].astype(bool))], names=["row", "gram", "pos", "open"])
+
+    return run
+
+
+def _exact(plain: DataFrame, keys: DataFrame, shared: DataFrame, found: DataFrame, k: int, window: int, size: int) -> DataFrame | None:
+    """Matches (row, list of source, pos, other) of the runs of ``size`` words that no passage in found covers, to the first text that holds the same run."""
     spans = found.groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    seed = F.explode("seeds").alias("x")
-    inside = F.exists("spans", lambda s: (s["start"] <= F.col("x.pos")) & (s["end"] >= F.col("x.pos") + k))
-    left = shared.join(spans, "row", "left").select("row", "spans", seed).where((F.col("x.source") != F.col("row")) & ~F.coalesce(inside, F.lit(False)))
-    left = written(left.select("x.gram").distinct(), "open-seeds").withColumn("open", F.lit(True))
-    seeds = shared.select("row", seed).select("row", "x.gram", "x.pos").join(_few(left), "gram", "left")
-    seeds = seeds.groupBy("row").agg(F.collect_list(F.struct("pos", "gram", F.coalesce("open", F.lit(False)).alias("open"))).alias("seeds"), F.max("open").alias("any")).where("any").drop("any")  # bounded by the document's seeds
-    pairs = written(seeds.mapInArrow(_pairer(k, low, high), "row long, pair long, pos long, pos2 long"), "seed-pairs")
-    # a document holds a pair once
-    first = pairs.groupBy("pair").agg(F.min("row").alias("source"), F.max("row").alias("last"), F.min_by("pos", "row").alias("other"), F.min_by("pos2", "row").alias("other2")).where("source <> last").drop("last")
-    both = pairs.join(first, "pair").where("row <> source")
-    ends = F.array(F.struct("source", "pos", "other"), F.struct("source", F.col("pos2").alias("pos"), F.col("other2").alias("other")))
-    return both.groupBy("row").agg(F.flatten(F.collect_list(ends)).alias("matches"))  # bounded by the document's pairs
-
-
-def repeated_passages(docs: DataFrame, k: int = 6, window: int = 6, min_words: int = 50, min_identity: float = 0.8, gap: int = 40, cost: float = 0.1, margin: int = 2000) -> DataFrame:
+    open_ = written(shared.join(spans, "row", "left").select("row", "seeds", "spans").mapInArrow(_open_runs(k, window, size), "row long, low long, high long, source array<long>, other array<long>"), "open")
+    if not open_.limit(1).count():
+        return None
+    wanted = written(open_.select(F.explode(F.arrays_zip("source", "other")).alias("x")).select("x.source", "x.other").distinct(), "open-seeds")
+    holders = shared.select("row", F.explode("seeds").alias("x")).select("row", "x.source", "x.other").join(few(wanted), ["source", "other"], "left_semi").select("row").distinct()
+    holders = written(holders, "holders")
+    none = F.lit(None).cast("array<struct<start:long,end:long>>").alias("spans")
+    all_runs = shared.join(few(holders), "row").select("row", "seeds", none).mapInArrow(_open_runs(k, window, size), "row long, low long, high long, source array<long>, other array<long>")
+    listed = lambda df, name: df.groupBy("row").agg(F.collect_list(F.struct("low", "high")).alias(name))  # noqa: E731  bounded by the text's words
+    ranges = listed(all_runs, "ranges").join(listed(open_, "open"), "row", "left")
+    ranges = written(ranges.join(keys.select("row", "k1", "k2"), "row"), "ranges")
+    texts = plain.join(few(ranges.select("row")), "row").select("row", "text")
+    grams = written(texts.join(ranges, "row").select("row", "text", "ranges", "open").mapInArrow(_run_hashes(size), "row long, gram long, pos long, open boolean"), "run-hashes")
+    first = grams.groupBy("gram").agg(F.count("*").alias("n"), F.min("row").alias("source"), F.max("row").alias("last"), F.min_by("pos", F.struct("row", "pos")).alias("other"), F.max("open").alias("any"))
+    first = written(first.where("any and source <> last").select("gram", "n", "source", "other"), "first-runs")
+    both = spread_join(grams.where("open").select("row", "gram", "pos"), first.drop("n"), ["gram"], "row", first.select("gram", "n")).where("row <> source")
+    return both.groupBy("row").agg(F.collect_list(F.struct("source", "pos", "other")).alias("seeds"))  # bounded by the text's words
+
+
+def repeated_passages(docs: DataFrame, k: int = 6, window: int = 6, min_words: int = 50, min_identity: float = 0.8, gap: int = 40, cost: float = 0.1, margin: int = 128) -> DataFrame:
     """A row for each passage of a document that an earlier document (by input order) holds too: word spans in both, equal words, identity, and the text keys of the document."""
+    if min_words < k + 3 * window:
+        raise ValueError("min_words must be at least k + 3 * window")
     plain = pick(docs, "doc_id", "text").select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), *text_keys(), F.coalesce("text", F.lit("")).alias("text"))
-    seeded = written(plain.mapInArrow(_seeder(k, window), "row long, doc_id long, k1 long, k2 long, grams array<long>, at array<int>"), "seeds")
-    seeds = seeded.select("row", F.explode(F.arrays_zip(F.col("grams").alias("gram"), F.col("at").alias("pos"))).alias("x")).select("row", "x.gram", "x.pos")
-    # a document has one place that is not negative for each seed
-    first = seeds.where("pos >= 0").groupBy("gram").agg(F.min("row").alias("source"), F.max("row").alias("last"), F.min_by("pos", "row").alias("other")).where("source <> last").drop("last")
-    shared = seeds.withColumn("pos", F.greatest("pos", F.bitwise_not("pos"))).join(first, "gram")
-    shared = written(shared.groupBy("row").agg(F.collect_list(F.struct("gram", "source", "pos", "other")).alias("seeds")), "shared-seeds")  # bounded by the document's seeds
-    keys = seeded.select("row", "k1", "k2")
-    rules = (k, min_words, min_identity, gap, cost, margin)
-    found = _verified(plain, keys, shared, *rules)
-    aligned = found.unionByName(_verified(plain, keys, _paired(shared, found, k, max(k + 1, min_words - 2 * window), min_words), *rules))
+    seeded = written(plain.mapInArrow(_seeder(k, window), "row long, doc_id long, k1 long, k2 long, n_words long, grams array<long>, at array<int>"), "seeds")
+    keys = seeded.select("row", "doc_id", "k1", "k2", "n_words")
+    repeated = written(keys.groupBy("k1", "k2").agg(F.min("row").alias("node"), F.count("*").alias("n")).where("n > 1"), "repeated")
+    copies = written(spread_join(keys, repeated.drop("n"), ["k1", "k2"], "row", repeated.drop("node")).where("row <> node").select("row", "node", "n_words"), "copies")
+    texts = seeded.join(few(copies.select("row")), "row", "left_anti")
+    seeds = texts.select("row", F.posexplode(F.arrays_zip(F.col("grams").alias("gram"), F.col("at").alias("pos"))).alias("ord", "x")).select("row", "ord", "x.gram", "x.pos")
+    # a text has one place that is not negative for each seed
+    first = seeds.where("pos >= 0").groupBy("gram").agg(F.count("*").alias("n"), F.min("row").alias("source"), F.min_by("pos", "row").alias("other")).where("n > 1")
+    first = written(first, "anchors")
+    placed = seeds.withColumn("pos", F.greatest("pos", F.bitwise_not("pos")))
+    shared = spread_join(placed, first.drop("n"), ["gram"], "row", first.select("gram", "n"))
+    shared = written(shared.groupBy("row").agg(F.collect_list(F.struct("ord", "source", "pos", "other")).alias("seeds")), "shared-seeds")  # bounded by the text's seeds
+    found = _verified(plain, keys, shared, k, gap, cost, 2 * k, False, min_words, min_identity, margin)
+    exact = _exact(plain, keys, shared, found, k, window, min_words)
+    if exact is not None:
+        found = found.unionByName(_verified(plain, keys, exact, min_words, 1, cost, min_words, True, min_words, min_identity, margin))
+    whole = copies.where(F.col("n_words") >= min_words).select("row", F.col("node").alias("source"), F.lit(0).cast("long").alias("start"), F.col("n_words").alias("end"), F.lit(0).cast("long").alias("source_start"), F.col("n_words").alias("source_end"), F.col("n_words").alias("matched"), F.lit(1.0).alias("identity"))
     # chains of one document and source that grew into the same passage
-    aligned = aligned.groupBy("row", "source", "start", "end").agg(F.max(F.struct("identity", "matched", "source_start", "source_end")).alias("x"))
-    ids = seeded.select("row", "doc_id", "k1", "k2")
-    out = aligned.join(ids, "row").join(seeded.select(F.col("row").alias("source"), F.col("doc_id").alias("source_id")), "source")
-    return out.select("doc_id", "start", "end", "source_id", "x.source_start", "x.source_end", "x.matched", F.round("x.identity", 6).alias("identity"), "k1", "k2")
+    found = found.groupBy("row", "source", "start", "end").agg(F.max(F.struct("identity", "matched", "source_start", "source_end")).alias("x"))
+    found = written(found.select("row", "source", "start", "end", "x.source_start", "x.source_end", "x.matched", "x.identity").unionByName(whole), "passages")
+    counts = written(found.groupBy("source").agg(F.count("*").alias("n")), "source-counts")
+    ids = keys.select(F.col("row").alias("source"), F.col("doc_id").alias("source_id"))
+    out = spread_join(found.join(keys.drop("n_words"), "row"), ids.join(few(counts.select("source")), "source", "left_semi"), ["source"], "row", counts)
+    return out.select("doc_id", "start", "end", "source_id", "source_start", "source_end", "matched", F.round("identity", 6).alias("identity"), "k1", "k2")
+
+
+def _cutter(batches):
+    for batch in batches:
+        rows = zip(*(c.to_pylist() for c in batch.columns[-2:]), strict=True)
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array([_without(text, spans) for text, spans in rows], pa.string())], names=[*batch.schema.names[:-2], "cut"])
 
 
-def _without(text: str, starts: list[int], ends: list[int]) -> str:
-    words, out, at, done = list(_WORD.finditer(text or "")), [], 0, 0
-    for a, b in sorted(zip(starts or (), ends or (), strict=True)):  # texts without spans come here too
+def _without(text: str, spans: list[dict]) -> str:
+    words, out, at, done = list(_WORD.finditer(text)), [], 0, 0
+    for a, b in sorted((s["start"], s["end"]) for s in spans):
         if b > done:
             a = max(a, done)
             out.append(text[at : words[a].start()])
             at, done = words[b - 1].end(), b
-    return "".join([*out, (text or "")[at:]])
+    return "".join([*out, text[at:]])
 
 
 def cut_passages(docs: DataFrame, **settings) -> DataFrame:
-    """docs with every passage cut that an earlier document holds; columns as in docs. A whole copy keeps an empty text."""
-    spans = repeated_passages(docs, **settings).groupBy(F.coalesce("doc_id", F.lit(-(2**63))).alias("_id"), F.col("k1").alias("_k1"), F.col("k2").alias("_k2")).agg(F.collect_list("start").alias("_starts"), F.collect_list("end").alias("_ends"))
-    cut = F.udf(_without, "string")
-    same = (F.coalesce(docs["doc_id"].cast("long"), F.lit(-(2**63))) == spans["_id"]) & (F.xxhash64(docs["text"]) == spans["_k1"]) & (F.xxhash64(F.lit(7), docs["text"]) == spans["_k2"])
-    text = F.when(spans["_starts"].isNull(), docs["text"]).otherwise(cut(docs["text"], spans["_starts"], spans["_ends"])).alias("text")
-    return docs.join(spans, same, "left").select(*[text if c == "text" else docs[f"`{c}`"] for c in docs.columns])
+    """docs with every passage cut that an earlier document holds; columns as in docs. A whole copy keeps what stands around its words.
+
+    Rows of one text and doc_id are cut alike.
+    """
+    none = F.lit(-(2**63))
+    spans = repeated_passages(docs, **settings).groupBy(F.coalesce("doc_id", none).alias("_id"), F.col("k1").alias("_k1"), F.col("k2").alias("_k2")).agg(F.collect_set(F.struct("start", "end")).alias("_spans"))
+    spans = written(spans, "spans")
+    texts = pick(docs, "doc_id", "text").select(F.coalesce(F.col("doc_id").cast("long"), none).alias("_id"), F.xxhash64("text").alias("_k1"), F.xxhash64(F.lit(7), F.col("text")).alias("_k2"), "text")
+    cut = texts.join(spans, ["_id", "_k1", "_k2"]).dropDuplicates(["_id", "_k1", "_k2"]).mapInArrow(_cutter, "_id long, _k1 long, _k2 long, cut string")
+    cut = cut.withColumnRenamed("cut", "_cut")
+    same = (F.coalesce(docs["doc_id"].cast("long"), none) == cut["_id"]) & (F.xxhash64(docs["text"]) == cut["_k1"]) & (F.xxhash64(F.lit(7), docs["text"]) == cut["_k2"])
+    text = F.coalesce(cut["_cut"], docs["text"]).alias("text")
+    return docs.join(cut, same, "left").select(*[text if c == "text" else docs[f"`{c}`"] for c in docs.columns])
 
 
 def op9_collinear(spark, sf_dir: str) -> DataFrame:

@@ -34,9 +34,13 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
 def work_dir(spark: SparkSession, name: str) -> str:
     """A new folder below ``spark.checkpoint.dir``, which driver and executors share.
 
-    Only where the setting is missing (tests on one machine) it is a new local folder.
+    Only where the setting is missing and the master is local (tests on one machine) it is a new local folder.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -47,6 +51,34 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a few numbers that are broadcast at most, behind a count of them; beyond it the join is by shuffle.
+MAX_BROADCAST = 100_000
+#: Keys at most that :func:`spread_join` treats as hot.
+HOT_KEYS = 20_000
+
+
+def few(df: DataFrame) -> DataFrame:
+    """The rows, to be broadcast where their checked count allows it."""
+    return F.broadcast(df) if df.count() <= MAX_BROADCAST else df
+
+
+def spread_join(left: DataFrame, right: DataFrame, on: list[str], by: str, counts: DataFrame, how: str = "inner", least: int = 1000) -> DataFrame:
+    """left joined to right on keys of which some may be hot: right has a row for each key, counts (a written table) has column n, the rows of left of each key.
+
+    The rows of a key of more than ``least`` rows are dealt by column ``by`` over several parts of at most about so many, and
+    the key's row in right is repeated for each part. The bound rises with the rows, so there are never more than
+    :data:`HOT_KEYS` such keys, which are broadcast.
+    """
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    most = max(least, -(-total // HOT_KEYS))
+    hot = counts.where(F.col("n") > most).select(*on, F.ceil(F.col("n") / most).cast("int").alias("_parts"))
+    if not hot.limit(1).count():
+        return left.join(right, on, how)
+    left = left.join(F.broadcast(hot), on, "left").withColumn("_part", F.coalesce(F.pmod(F.xxhash64(by), F.col("_parts")).cast("int"), F.lit(0))).drop("_parts")
+    right = right.join(F.broadcast(hot), on, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
+    return left.join(right, [*on, "_part"], how).drop("_part")
+
+
 def filesystem(url: str) -> tuple[pafs.FileSystem, str]:
     """pyarrow's file system and the path in it; plain paths and file: URLs are local."""
     parts = urlparse(url)

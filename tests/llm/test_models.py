@@ -108,21 +108,78 @@ def test_near_duplicates_of_odd_rows(odd, none):
 
 def test_chains_score_like_all_predecessors():
     rng = random.Random(13)
-    for _ in range(40):
-        pieces = sorted({(rng.randrange(60), rng.randrange(60), rng.randrange(2, 6)) for _ in range(12)})
-        cost, best = 0.1, []
+    for case in range(400):
+        top = rng.choice([15, 60, 300])
+        pieces = sorted({(rng.randrange(top), rng.randrange(top), rng.randrange(2, 12)) for _ in range(rng.randrange(1, 30))})
+        cost, best = rng.choice([0.1, 0.5]), []
+        value = lambda j, i: -cost * ((pieces[i][0] - pieces[j][0] - pieces[j][2]) + (pieces[i][1] - pieces[j][1] - pieces[j][2])) - max(0, pieces[j][0] + pieces[j][2] - pieces[i][0], pieces[j][1] + pieces[j][2] - pieces[i][1])  # noqa: B023, E731
         for i, (p, o, n) in enumerate(pieces):
-            options = [0.0]
-            for j, (q, r, m) in enumerate(pieces[:i]):
-                if r < o:
-                    options.append(best[j] - cost * ((p - q - m) + (o - r - m)) - max(0, q + m - p, r + m - o))
-            best.append(max(options) + n)
+            # neighbours that overlap must ascend; those that do not are in order by themselves
+            options = [best[j] + value(j, i) for j, (q, r, m) in enumerate(pieces[:i]) if r < o or (q + m <= p and r + m <= o)]
+            best.append(max([0.0, *options]) + n)
         found = cl.chain(pieces, cost)
         assert sorted(x for c in found for x in c) == sorted(pieces)
-        assert all(a[0] <= b[0] and a[1] < b[1] for c in found for a, b in zip(c, c[1:], strict=False))
+        index = {x: i for i, x in enumerate(pieces)}
+        score = sum(x[2] for x in found[0]) + sum(value(index[a], index[b]) for a, b in zip(found[0], found[0][1:], strict=False))
+        assert abs(score - max(best)) < 1e-9, case
     assert cl.chain([(0, 0, 8), (10, 10, 8), (20, 200, 8)], 0.1)[0] == [(0, 0, 8), (10, 10, 8)]
 
 
+def exact_repeats(rows, size=50):
+    """(doc, start) of every run of size words that another text holds too."""
+    held = {}
+    for d, text in rows:
+        w = folded_words(text)
+        for i in range(len(w) - size + 1):
+            held.setdefault(tuple(w[i : i + size]), []).append((d, i))
+    texts = dict(rows)
+    return [x for x in held.values() if len({texts[d] for d, _ in x}) > 1]
+
+
+def test_every_exact_repeat_is_covered(spark):
+    rng = random.Random(41)
+    words = lambda n: [f"r{rng.randrange(10**7)}" for _ in range(n)]
+    rows, shared = [], [words(rng.randrange(50, 160)) for _ in range(8)]
+    for passage in shared:
+        # earlier documents hold slices, later ones the whole, some with edits
+        rows += [words(9) + passage[a : a + 37] + words(9) for a in range(0, len(passage) - 36, 23)]
+        rows += [words(30) + edited(rng, passage, rng.choice([0, 0, 0.1])) + words(30) for _ in range(4)]
+    rows += [sum((rng.choice([words(12), p[(a := rng.randrange(20)) : a + rng.randrange(20, 90)]]) for p in rng.choices(shared, k=6)), []) for _ in range(40)]
+    rng.shuffle(rows)
+    rows = [(i, " ".join(w)) for i, w in enumerate(rows)]
+    got = cl.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    repeats = exact_repeats(rows)
+    assert len(repeats) > 400
+    spans = {}
+    for r in got:
+        spans.setdefault(r["doc_id"], []).append((r["start"], r["end"]))
+        a, b = (folded_words(rows[d][1])[s:e] for d, s, e in ((r["doc_id"], r["start"], r["end"]), (r["source_id"], r["source_start"], r["source_end"])))
+        assert r["end"] - r["start"] >= 50 and r["identity"] >= 0.8 and r["matched"] <= cl.common_words(np.array(a), np.array(b))
+    # the first document that holds a run need not have it as a passage; all others do
+    missed = [(d, i) for x in repeats for d, i in x if d != min(d for d, _ in x) and not any(a <= i and i + 50 <= b for a, b in spans.get(d, ()))]
+    assert not missed
+
+
+def test_one_passage_over_slices_of_earlier_documents(spark):
+    rng = random.Random(43)
+    words = lambda n: [f"r{rng.randrange(10**7)}" for _ in range(n)]
+    passage = words(120)
+    rows = [words(20) + passage[a : a + 37] + words(20) for a in (0, 28, 56, 83)] + [words(30) + passage + words(30) for _ in range(2)]
+    got = cl.repeated_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string").coalesce(1)).collect()
+    assert [(r["doc_id"], r["start"], r["end"], r["source_id"], r["identity"]) for r in got] == [(5, 30, 150, 4, 1.0)]
+
+
+def test_a_long_passage_of_one_chain_grows_over_the_margin(spark):
+    rng = random.Random(47)
+    words = lambda n: [f"r{rng.randrange(10**7)}" for _ in range(n)]
+    passage = words(3000)
+    # every fifth word differs but in one place: seeds are found there only
+    other = [w if i % 5 or 1500 <= i < 1560 else words(1)[0] for i, w in enumerate(passage)]
+    rows = [words(50) + passage + words(50), words(70) + other + words(50)]
+    got = cl.repeated_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string").coalesce(1), margin=20).collect()
+    assert len(got) == 1 and got[0]["end"] - got[0]["start"] > 2900
+
+
 def test_planted_passages_are_found(spark):
     rng = random.Random(17)
     word = lambda: f"r{rng.randrange(10**7)}"
@@ -138,20 +195,21 @@ def test_planted_passages_are_found(spark):
 
 def test_chains_are_cut_at_gaps():
     rng = random.Random(23)
-    word = lambda: f"r{rng.randrange(10**7)}"
+    word = lambda: rng.randrange(10**7)
+    align = lambda a, b, *rest: cl.align(np.array(a), np.array(b), *rest)[0]
     for size, gap, other in [(60, 40, 40), (60, 100, 100), (60, 250, 250), (50, 33, 33), (200, 100, 90), (200, 1000, 900), (60, 40, 0)]:
         first, second = ([word() for _ in range(size)] for _ in range(2))
         a, b = ([word() for _ in range(9)] + first + [word() for _ in range(g)] + second + [word() for _ in range(9)] for g in (gap, other))
         at, to = 9 + size + gap, 9 + size + other
         want = [(9, 9 + size, 9, 9 + size, size), (at, at + size, to, to + size, size)]
-        assert cl.align(a, b, [(12, 12, 30), (at + 5, to + 5, 30)], 50, 0.8) == want
+        assert align(a, b, [(12, 12, 30), (at + 5, to + 5, 30)], 50, 0.8) == want
         if gap == other:
-            assert cl.align(a, b, [(12, 12, gap + size + 30)], 50, 0.8) == want
+            assert align(a, b, [(12, 12, gap + size + 30)], 50, 0.8) == want
     # pieces too short alone stay together, and a small gap is no cut
     a = [word() for _ in range(130)]
     b = a[:30] + [word() for _ in range(6)] + a[33:]
-    assert cl.align(a[:60], b[:63], [(0, 0, 30), (33, 36, 27)], 50, 0.8) == [(0, 60, 0, 63, 57)]
-    assert cl.align(a, b, [(0, 0, 30), (33, 36, 97)], 20, 0.8) == [(0, 130, 0, 133, 127)]
+    assert align(a[:60], b[:63], [(0, 0, 30), (33, 36, 27)], 50, 0.8) == [(0, 60, 0, 63, 57)]
+    assert align(a, b, [(0, 0, 30), (33, 36, 97)], 20, 0.8) == [(0, 130, 0, 133, 127)]
 
 
 def test_pages_share_head_and_foot_around_their_bodies(spark):
