@@ -260,12 +260,65 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>v
 
 
 def test_main_text():
-    found, paths = ch.blocks(PAGE)
-    assert ch._best(ch.container_scores(found, paths)) == "/html/body.x0/div/article.post-0"
+    page = ch.Page(PAGE)
+    scores = page.by_path()
+    assert max(scores, key=scores.get) == "/body.x0/div/article.post-0"
     assert ch.main_text(PAGE, None) == "Title & more\n\nFirst bold line éé.\n\nSecond one\n\nitem one\n\nitem two"
-    for broken in (None, "", "<", "<p", "</p></p>", "<!-- open", "<script>x", "text only", "<p class='a>x", "<div" * 500):
+    for broken in (None, "", "<", "<p", "</p></p>", "<!-- open", "<script>x", "text only", "<p class='a>x", "<div" * 500, "</>", "<!", "a < b > c", "<p title=don't>y</p>"):
         assert isinstance(ch.main_text(broken, None), str)
-    assert ch.main_text("text only", None) == "text only"
+    assert ch.main_text("text only", None) == "text only" and ch.main_text("a < b &lt; c", None) == "a < b < c" and ch.main_text("<p title=don't>y</p>", None) == "y"
+
+
+P = lambda t, n=1: "".join(f"<p>{t} {i} with a number of words in it.</p>" for i in range(n))
+
+
+def lines(html, winners=None):
+    return [x.split(" with ")[0] for x in ch.main_text(html, winners).split("\n\n")]
+
+
+def test_what_belongs_to_the_article_stays():
+    nested = f"<body><nav>Menu</nav><article><h1>Title</h1>{P('Lead')}<div class='body'>{P('Text', 9)}</div><p>Closing</p></article><div class='ad'>Buy</div></body>"
+    assert lines(nested) == ["Title", "Lead 0", *[f"Text {i}" for i in range(9)], "Closing"]
+    sections = "<article><h1>A</h1>" + "".join(f"<div>{P(f'Part {i}')}</div>" for i in range(3)) + "<p>Closing</p></article>"
+    assert lines(sections) == ["A", "Part 0 0", "Part 1 0", "Part 2 0", "Closing"]
+    intro = f"<article><section>{P('Intro', 6)}</section>{P('Rest', 3)}</article>"
+    assert len(lines(intro)) == 9
+    assert lines(f"<main><h1>T</h1><section>{P('a', 3)}</section><section>{P('b', 2)}</section></main>") == ["T", "a 0", "a 1", "a 2", "b 0", "b 1"]
+    assert lines(f"<body><h1>T</h1><div class='left'><a href='/'>x</a></div><div class='text'>{P('a', 3)}</div></body>") == ["T", "a 0", "a 1", "a 2"]
+    assert lines(f"<article><header><nav><h2>Menu</h2></nav><h1>T</h1><p>By me</p></header>{P('a')}</article>") == ["T", "a 0"]
+
+
+def test_names_are_taken_as_wholes():
+    for name in ("content no-sidebar", "has-sidebar", "entry-header", "with-comments", "post-title", "headers"):
+        assert lines(f"<body><div class='{name}'>{P('a', 3)}</div><div class='copyright'><p>small print</p></div></body>")[:1] == ["a 0"], name
+    for name in ("sidebar", "cookie-notice", "site-header", "post-comments", "adBanner", "share_buttons", "widget2", "main-menu", "page-header", "article-footer"):
+        assert lines(f"<body><article>{P('a')}<div class='{name}'>{P('b', 5)}</div></article></body>") == ["a 0"], name
+    assert lines(f"<body><article><h2 id='related-work'>Related</h2>{P('a')}<section id='notification'>{P('b')}</section></article>") == ["Related", "a 0", "b 0"]
+    assert lines(f"<body><form class='widget'>{P('a', 2)}</form></body>") == ["a 0", "a 1"]  # nothing else is there
+
+
+def test_time_and_memory_are_linear():
+    import time
+    import tracemalloc
+
+    pages = [
+        "<p>x <a " + "y" * 10_000 + "<p>", "<p>x <a " + "y " * 200_000, "<a <" * 200_000, "<a x=\"" * 100_000 + ">", "<a x=\">" * 100_001, "<p>" + "<b>" * 50_000 + "</i>" * 50_000, "<div>" * 50_000 + "x" + "</p>" * 50_000, "<div>x" * 50_000,
+        "<div class='c9'><p>x</p>" * 20_000, "<li>x" * 50_000, "<table><tr><td>x" * 20_000, "<!--" * 100_000, "<script>" * 50_000, "<i><div>" * 30_000 + "</i>" * 30_000, "<a class " + "class " * 50_000 + ">", "& " * 500_000, "<div>" * 9_000 + "<div>x</div>" * 9_000,
+    ]
+    tracemalloc.start()
+    for page in pages:
+        began = time.process_time()
+        ch.main_text(page, ["/div"])
+        assert time.process_time() - began < 15, page[:40]
+    assert tracemalloc.get_traced_memory()[1] < 200_000_000
+    tracemalloc.stop()
+
+
+def test_two_layouts_of_a_host():
+    page = f"<body><div class='a'>{P('short')}</div><div class='b'>{P('real', 60)}</div></body>"
+    assert lines(page, ["/body/div.a", "/body/div.b"]) == [f"real {i}" for i in range(60)]
+    assert lines(page, ["/body/div.x", "/body/div.b"])[0] == "real 0"
+    assert lines(f"<body><div class='a'>{P('voted', 4)}</div><div class='b'>{P('longer', 9)}</div></body>", ["/body/div.a"]) == [f"voted {i}" for i in range(4)]
 
 
 def test_host_paths_outvote_a_page(spark):
@@ -275,9 +328,43 @@ def test_host_paths_outvote_a_page(spark):
     df = spark.createDataFrame(pages, "page_id long, url string, html string, path string")
     got = {r["page_id"]: r["text"] for r in ch.extract_text(df).collect()}
     assert "More text" not in got[0] and got[0].startswith("Paragraph 0 0") and got[7] == "" and got[8] == "alone" and got[None] == ""
+    assert "More text" in ch.main_text(pages[0][2], None)  # without the vote
     assert ch.extract_text(df.limit(0)).count() == 0
 
 
+def article_text(html):
+    """The article of the given pages, by cutting strings."""
+    import html as h
+    import re
+
+    inner = re.sub(r"(?s)<!--.*?-->|<(div|form|section)\b[^>]*(?:class=\"(?:ad|comments?)\")[^>]*>.*?</\1>", "", html.split("<article>")[1].split("</article>")[0])
+    parts = re.split(r"</?(?:p|h1|h2|ul|li|div|blockquote)\b[^>]*>", inner)
+    texts = [" ".join(h.unescape(re.sub(r"<[^>]+>", "", re.sub(r"<br[^>]*>", " ", x))).split()) for x in parts]
+    return "\n\n".join(t for t in texts if t)
+
+
+def test_given_pages_against_cut_strings(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    html = {r["page_id"]: r["html"] for r in pages.collect()}
+    got = {r["page_id"]: (r["text"], r["n_chars"]) for r in ch.extract_text(pages).collect()}
+    assert len(got) == len(html) == 250
+    assert all(got[i][0] == article_text(x) and got[i][1] == len(got[i][0]) for i, x in html.items())
+
+
+def test_varied_pages_where_the_vote_decides(spark):
+    rng = random.Random(53)
+    rows, want = [], {}
+    for i in range(60):
+        paragraphs = [f"Article {i} {j} " + "word " * rng.randrange(5, 30) + "end." for j in range(rng.randrange(2, 7))]
+        talk = [f"Reader {i} {j} " + "says " * rng.randrange(20, 60) + "so." for j in range(rng.randrange(0, 9) if i % 4 == 0 else 0)]  # not marked as comments
+        lead, rest = paragraphs[:1], paragraphs[1:]
+        rows.append((i, f"http://host{i % 3}/p{i}", f"<html><body><div class='nav'>Menu</div><div class='wrap'><div class='post-{i}'><h1>Title {i}</h1>{''.join(f'<p>{x}</p>' for x in lead)}<div class='inner'>{''.join(f'<p>{x}</p>' for x in rest)}</div></div><div class='talk'>{''.join(f'<p>{x}</p>' for x in talk)}</div></div></body></html>"))
+        want[i] = "\n\n".join([f"Title {i}", *paragraphs])
+    got = {r["page_id"]: r["text"] for r in ch.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want
+    assert any(ch.main_text(html, None) != want[i] for i, _, html in rows)  # the vote changes these
+
+
 def test_pipeline_stages_against_brute_force(spark):
     import corpus_pipeline as cp
 
