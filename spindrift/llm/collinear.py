@@ -11,9 +11,9 @@ words and ``min_identity`` that hold most of its equal words, each verified alon
 a chain; where an end grows up to that edge, the chain is aligned again with sixteen times as many.
 
 Anchors alone would lose a passage whose seeds have different first holders, each of which holds less than a passage. So
-every run of ``min_words`` words that no passage found so far covers, and whose seeds all occur elsewhere, is hashed whole
-and joined to the first text that holds the same run. Thus every exact repeat of ``min_words`` words or more between two
-texts is covered: each of its runs lies in a reported passage. Edited passages are found where exact runs of k + w - 1
+every run of ``min_words`` words that the passages found so far do not cover, and whose seeds all occur in earlier texts, is
+hashed whole and joined to the first text that holds the same run; as few of these as cover the same words are reported.
+Thus, of every exact repeat of ``min_words`` words or more between two texts, all words lie in reported passages. Edited passages are found where exact runs of k + w - 1
 words or luckily equal seeds remain, at least two of one anchor; the README states the recall.
 
 Repeats inside one document are not reported. Defined results: null and empty texts and texts shorter than k words have no
@@ -147,36 +147,78 @@ def chain(pieces: list[tuple[int, int, int]], cost: float) -> list[list[tuple[in
     return out
 
 
-def _chainer(k: int, gap: int, cost: float, least: int, alone: bool):
-    """Chains of at least ``least`` words by row and source; alone: each piece is a chain."""
+def _chainer(k: int, gap: int, cost: float, least: int):
+    """Chains of at least ``least`` words by row and source."""
 
     def run(batches):
         for batch in batches:
             rows = {n: [] for n in ("row", "source", "pieces")}
-            for row, matches in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                m = matches.values
-                source, pos, other = (m.field(n).to_numpy(zero_copy_only=False).astype(np.int64) for n in ("source", "pos", "other"))
-                later = source != row
-                source, pos, other = source[later], pos[later], other[later]
-                if not len(source):
-                    continue
-                order = np.argsort(source, kind="stable")
-                source, pos, other = source[order], pos[order], other[order]
+            for row, source, pos, other in _matches(batch):
                 cuts = np.flatnonzero(np.concatenate([[True], source[1:] != source[:-1]])).tolist() + [len(source)]
                 for a, b in zip(cuts, cuts[1:], strict=False):
                     if b - a == 1 and k < least:
                         continue
-                    pieces = runs(pos[a:b], other[a:b], k, gap)
-                    for found in [[x] for x in pieces] if alone else chain(pieces, cost):
+                    for found in chain(runs(pos[a:b], other[a:b], k, gap), cost):
                         if found[-1][0] + found[-1][2] - found[0][0] >= least:
                             rows["row"].append(row)
                             rows["source"].append(int(source[a]))
                             rows["pieces"].append([x for piece in found for x in piece])
-            yield pa.RecordBatch.from_arrays([pa.array(rows["row"], pa.int64()), pa.array(rows["source"], pa.int64()), pa.array(rows["pieces"], pa.list_(pa.int64()))], names=["row", "source", "pieces"])
+            yield _chains(rows)
 
     return run
 
 
+def _coverer(size: int):
+    """Of matching runs of ``size`` words, as few pieces as cover the words of all."""
+
+    def run(batches):
+        for batch in batches:
+            rows = {n: [] for n in ("row", "source", "pieces")}
+            for row, source, pos, other in _matches(batch):
+                cuts = np.flatnonzero(np.concatenate([[True], source[1:] != source[:-1]])).tolist() + [len(source)]
+                pieces = sorted((*x, int(source[a])) for a, b in zip(cuts, cuts[1:], strict=False) for x in runs(pos[a:b], other[a:b], size, 1))
+                for p, o, n, src in covering(pieces):
+                    rows["row"].append(row)
+                    rows["source"].append(src)
+                    rows["pieces"].append([p, o, n])
+            yield _chains(rows)
+
+    return run
+
+
+def covering(pieces: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
+    """The fewest of the sorted pieces (start, other start, words, source) whose words are those of all."""
+    out, end, i = [], -1, 0
+    while i < len(pieces):
+        if pieces[i][0] > end:
+            end = pieces[i][0]
+        best = None
+        while i < len(pieces) and pieces[i][0] <= end:
+            if best is None or pieces[i][0] + pieces[i][2] > best[0] + best[2]:
+                best = pieces[i]
+            i += 1
+        if best[0] + best[2] > end:
+            out.append(best)
+            end = best[0] + best[2]
+    return out
+
+
+def _matches(batch):
+    """row, source, pos and other, by source, of each row's matches to earlier texts."""
+    for row, matches in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+        m = matches.values
+        source, pos, other = (m.field(n).to_numpy(zero_copy_only=False).astype(np.int64) for n in ("source", "pos", "other"))
+        later = source != row
+        source, pos, other = source[later], pos[later], other[later]
+        if len(source):
+            order = np.argsort(source, kind="stable")
+            yield row, source[order], pos[order], other[order]
+
+
+def _chains(rows: dict[str, list]):
+    return pa.RecordBatch.from_arrays([pa.array(rows["row"], pa.int64()), pa.array(rows["source"], pa.int64()), pa.array(rows["pieces"], pa.list_(pa.int64()))], names=["row", "source", "pieces"])
+
+
 def common_words(a: np.ndarray, b: np.ndarray) -> int:
     """Length of the longest common subsequence."""
     if len(a) > len(b):
@@ -314,9 +356,9 @@ def _aligner(min_words: int, min_identity: float):
     return run
 
 
-def _verified(plain: DataFrame, keys: DataFrame, matches: DataFrame, k: int, gap: int, cost: float, least: int, alone: bool, min_words: int, min_identity: float, margin: int) -> DataFrame:
+def _verified(plain: DataFrame, keys: DataFrame, matches: DataFrame, chainer, min_words: int, min_identity: float, margin: int) -> DataFrame:
     """Passages (row, source, start, end, source_start, source_end, matched, identity) in the chains of matches (row, list of source, pos, other)."""
-    chains = written(matches.mapInArrow(_chainer(k, gap, cost, least, alone), "row long, source long, pieces array<long>"), "chains")
+    chains = written(matches.mapInArrow(chainer, "row long, source long, pieces array<long>"), "chains")
     nodes = chains.select("row").unionByName(chains.select(F.col("source").alias("row"))).distinct()
     named = written(keys.join(few(nodes), "row").select("row", "k1", "k2"), "chain-nodes")
     texts = plain.select("k1", "k2", "text").join(few(named.select("k1", "k2")), ["k1", "k2"]).select("k1", "k2", "text").mapInArrow(_hasher, "k1 long, k2 long, words binary").dropDuplicates(["k1", "k2"])
@@ -342,18 +384,24 @@ def _verified(plain: DataFrame, keys: DataFrame, matches: DataFrame, k: int, gap
         margin *= 16
 
 
-def _open_runs(k: int, window: int, size: int):
-    """Ranges of starts of runs of ``size`` words whose seeds all occur elsewhere, less those inside a span; and the seeds of those ranges, named by their anchors."""
+def _open_runs(k: int, window: int, size: int, later: bool):
+    """Ranges of starts of runs of ``size`` words whose seeds all occur elsewhere, less those inside spans; and the seeds of those ranges, named by their anchors.
+
+    later: only runs that may have an earlier holder; a text that is itself the anchor of one of a run's seeds is the first to hold the run.
+    """
 
     def run(batches):
         for batch in batches:
             out = {n: [] for n in ("row", "low", "high", "source", "other")}
-            for row, seeds, spans in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+            for row, seeds, n_words, spans in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 m = seeds.values
                 ord_, source, pos, other = (m.field(n).to_numpy(zero_copy_only=False).astype(np.int64) for n in ("ord", "source", "pos", "other"))
                 order = np.argsort(ord_)
+                if later:
+                    order = order[source[order] != row]
                 ord_, source, pos, other = ord_[order], source[order], pos[order], other[order]
-                for low, high in without(shared_runs(ord_, pos, k, window, size), [(s["start"], s["end"] - size + 1) for s in spans or ()]):
+                ranges = [(a, min(b, n_words - size + 1)) for a, b in shared_runs(ord_, pos, k, window, size)]
+                for low, high in without(ranges, [(a, b - size + 1) for a, b in union((s["start"], s["end"]) for s in spans or ())]):
                     inside = (pos >= low) & (pos <= high + size)
                     for n, v in zip(out, (row, low, high, source[inside].tolist(), other[inside].tolist()), strict=True):
                         out[n].append(v)
@@ -373,10 +421,13 @@ def shared_runs(ord_: np.ndarray, pos: np.ndarray, k: int, window: int, size: in
     last = np.concatenate([new[1:], [len(ord_)]]).astype(np.int64) - 1
     low = np.maximum(pos[new] - 2 * window + 2, 0) if len(new) else new
     high = pos[last] - (size - k - 2 * window + 1) if len(new) else new
+    return union((a, b) for a, b in zip(low.tolist(), high.tolist(), strict=True) if a < b)
+
+
+def union(ranges) -> list[tuple[int, int]]:
+    """Disjoint ranges [low, high) that hold what these hold."""
     out: list[tuple[int, int]] = []
-    for a, b in sorted(zip(low.tolist(), high.tolist(), strict=True)):
-        if a >= b:
-            continue
+    for a, b in sorted(ranges):
         if out and a <= out[-1][1]:
             out[-1] = (out[-1][0], max(b, out[-1][1]))
         else:
@@ -420,14 +471,14 @@ def _run_hashes(size: int):
 def _exact(plain: DataFrame, keys: DataFrame, shared: DataFrame, found: DataFrame, k: int, window: int, size: int) -> DataFrame | None:
     """Matches (row, list of source, pos, other) of the runs of ``size`` words that no passage in found covers, to the first text that holds the same run."""
     spans = found.groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    open_ = written(shared.join(spans, "row", "left").select("row", "seeds", "spans").mapInArrow(_open_runs(k, window, size), "row long, low long, high long, source array<long>, other array<long>"), "open")
+    open_ = written(shared.join(spans, "row", "left").select("row", "seeds", "n_words", "spans").mapInArrow(_open_runs(k, window, size, True), "row long, low long, high long, source array<long>, other array<long>"), "open")
     if not open_.limit(1).count():
         return None
     wanted = written(open_.select(F.explode(F.arrays_zip("source", "other")).alias("x")).select("x.source", "x.other").distinct(), "open-seeds")
     holders = shared.select("row", F.explode("seeds").alias("x")).select("row", "x.source", "x.other").join(few(wanted), ["source", "other"], "left_semi").select("row").distinct()
     holders = written(holders, "holders")
     none = F.lit(None).cast("array<struct<start:long,end:long>>").alias("spans")
-    all_runs = shared.join(few(holders), "row").select("row", "seeds", none).mapInArrow(_open_runs(k, window, size), "row long, low long, high long, source array<long>, other array<long>")
+    all_runs = shared.join(few(holders), "row").select("row", "seeds", "n_words", none).mapInArrow(_open_runs(k, window, size, False), "row long, low long, high long, source array<long>, other array<long>")
     listed = lambda df, name: df.groupBy("row").agg(F.collect_list(F.struct("low", "high")).alias(name))  # noqa: E731  bounded by the text's words
     ranges = listed(all_runs, "ranges").join(listed(open_, "open"), "row", "left")
     ranges = written(ranges.join(keys.select("row", "k1", "k2"), "row"), "ranges")
@@ -455,11 +506,14 @@ def repeated_passages(docs: DataFrame, k: int = 6, window: int = 6, min_words: i
     first = written(first, "anchors")
     placed = seeds.withColumn("pos", F.greatest("pos", F.bitwise_not("pos")))
     shared = spread_join(placed, first.drop("n"), ["gram"], "row", first.select("gram", "n"))
-    shared = written(shared.groupBy("row").agg(F.collect_list(F.struct("ord", "source", "pos", "other")).alias("seeds")), "shared-seeds")  # bounded by the text's seeds
-    found = _verified(plain, keys, shared, k, gap, cost, 2 * k, False, min_words, min_identity, margin)
+    shared = shared.select("row", F.struct("ord", "source", "pos", "other").alias("x"), F.lit(None).cast("long").alias("n_words"))
+    sized = shared.unionByName(texts.where(F.col("n_words") >= min_words).select("row", "n_words"), allowMissingColumns=True)
+    shared = sized.groupBy("row").agg(F.collect_list("x").alias("seeds"), F.max("n_words").alias("n_words")).where("n_words is not null and size(seeds) > 0")
+    shared = written(shared, "shared-seeds")  # bounded by the text's seeds
+    found = _verified(plain, keys, shared, _chainer(k, gap, cost, 2 * k), min_words, min_identity, margin)
     exact = _exact(plain, keys, shared, found, k, window, min_words)
     if exact is not None:
-        found = found.unionByName(_verified(plain, keys, exact, min_words, 1, cost, min_words, True, min_words, min_identity, margin))
+        found = found.unionByName(_verified(plain, keys, exact, _coverer(min_words), min_words, min_identity, margin))
     whole = copies.where(F.col("n_words") >= min_words).select("row", F.col("node").alias("source"), F.lit(0).cast("long").alias("start"), F.col("n_words").alias("end"), F.lit(0).cast("long").alias("source_start"), F.col("n_words").alias("source_end"), F.col("n_words").alias("matched"), F.lit(1.0).alias("identity"))
     # chains of one document and source that grew into the same passage
     found = found.groupBy("row", "source", "start", "end").agg(F.max(F.struct("identity", "matched", "source_start", "source_end")).alias("x"))

@@ -156,10 +156,20 @@ def test_every_exact_repeat_is_covered(spark):
         a, b = (folded_words(rows[d][1])[s:e] for d, s, e in ((r["doc_id"], r["start"], r["end"]), (r["source_id"], r["source_start"], r["source_end"])))
         assert r["end"] - r["start"] >= 50 and r["identity"] >= 0.8 and r["matched"] <= cl.common_words(np.array(a), np.array(b))
     # the first document that holds a run need not have it as a passage; all others do
-    missed = [(d, i) for x in repeats for d, i in x if d != min(d for d, _ in x) and not any(a <= i and i + 50 <= b for a, b in spans.get(d, ()))]
+    missed = [(d, i) for x in repeats for d, i in x if d != min(d for d, _ in x) and not any(a <= i and i + 50 <= b for a, b in cl.union(spans.get(d, ())))]
     assert not missed
 
 
+def test_few_pieces_cover_all_words():
+    rng = random.Random(59)
+    for _ in range(200):
+        pieces = sorted((rng.randrange(60), rng.randrange(60), rng.randrange(3, 15), 0) for _ in range(rng.randrange(1, 25)))
+        words = lambda some: {i for p, _, n, _ in some for i in range(p, p + n)}
+        got = cl.covering(pieces)
+        assert words(got) == words(pieces)
+        assert all(words(got) != words([x for x in got if x is not y]) for y in got)
+
+
 def test_one_passage_over_slices_of_earlier_documents(spark):
     rng = random.Random(43)
     words = lambda n: [f"r{rng.randrange(10**7)}" for _ in range(n)]
