@@ -144,7 +144,46 @@ def test_poisson_cdf_is_the_distribution(spark):
         assert cdf[-1] > 1 - 1e-9
 
 
-def test_mix_of_odd_rows(odd, none):
+def test_large_rates_are_inverted_alike(spark):
+    rates = [1001.5, 5000.0, 250_000.0]
+    got = {r["source"]: r for r in pm.large_cdf(spark.createDataFrame([(str(x), x) for x in rates], "source string, rate double")).collect()}
+    small = spark.range(1).select(pm.poisson_cdf(F.lit(rates[0])).alias("c")).first()["c"]
+    first, cdf = got[str(rates[0])]["first"], got[str(rates[0])]["cdf"]
+    assert max(abs(a - b) for a, b in zip(small[first:], cdf, strict=False)) < 1e-9
+    for x in rates:
+        row = got[str(x)]
+        mean = row["first"] + sum(1 - c for c in row["cdf"])  # of the counts drawn
+        assert abs(mean - x) < 1e-3 and row["cdf"][0] < 1e-12 and abs(row["cdf"][-1] - 1) < 1e-6 and len(row["cdf"]) < 30 * x**0.5 + 100
+
+
+def test_a_rate_of_a_million(spark):
+    docs = spark.createDataFrame([(1, "x", "small"), (2, "y" * 2_000_000, "large"), (3, "", "small"), (4, None, "none")], "doc_id long, text string, source string")
+    out = pm.mix(docs, {"small": 1.0, "large": 1.0}).groupBy("doc_id").agg(F.count("*").alias("n"), F.max("copy").alias("last"), F.count_distinct("mix_key").alias("keys")).collect()
+    got = {r["doc_id"]: r["n"] for r in out}
+    assert abs(got[1] - 1_000_000) < 6000 and abs(got[3] - 1_000_000) < 6000 and got.get(2, 0) <= 8 and 4 not in got
+    assert all(r["n"] == r["last"] for r in out)
+
+
+def test_mix_of_odd_rows(spark, odd, none):
     out = pm.mix(odd)
-    assert out.columns == [c for c in odd.columns if c != "copy"] + ["copy", "mix_key"] and out.count() >= 0
-    assert pm.mix(none).count() == 0
+    assert out.columns == [c for c in odd.columns if c != "copy"] + ["copy", "mix_key"]
+    rates = {r["source"]: r["rate"] for r in pm.source_rates(odd).collect()}
+    rows = [r.asDict() for r in odd.collect()]
+    u = {r["doc_id"]: r["u"] for r in odd.select("doc_id", pm.uniform(17, F.col("doc_id")).alias("u")).collect()}
+
+    def count(rate, x):  # by the distribution itself
+        import math
+
+        term = total = math.exp(-rate)
+        k = 0
+        while total <= x and rate > 0 and k < 1000:
+            k += 1
+            term *= rate / k
+            total += term
+        return k
+
+    want = sorted((str(r["doc_id"]), r["text"]) for r in rows for _ in range(count(rates[r["source"]], u[r["doc_id"]])))
+    assert sorted((str(r["doc_id"]), r["text"]) for r in out.collect()) == want and set(rates) == {"a", "b", None}
+    assert pm.mix(none).count() == 0 and pm.mix(odd, {}).count() == 0
+    only = pm.mix(odd, {None: 1.0})
+    assert {r["source"] for r in only.select("source").collect()} <= {None}
