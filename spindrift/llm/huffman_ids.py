@@ -11,8 +11,12 @@ one file in the shared folder. A file holds everything needed to read it:
 A block is ``block`` ids; its bit offset is a checkpoint, so any range of ids is read by decoding its blocks alone, and
 all blocks of a range decode side by side: one table look-up gives the next id and length of each.
 
+Documents come in ascending doc_id, or in that of another whole number, as the place in a mixed order. Ranges are cut at
+quantiles of that number; a number that many rows share is cut further by their content.
+
 Defined results: null and empty texts are the end id alone; null ids sort first; repeated rows and equal ids keep all their
-rows, ordered by content; further columns are ignored; an empty table writes no file and gives an empty result.
+rows, ordered by content; very long texts are encoded whole, one at a time; further columns are ignored; an empty table
+writes no file and gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,10 +29,10 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import filesystem, partitions, pick, work_dir, write_file, written
+from .common import filesystem, partitions, work_dir, write_file, written
 
 MAGIC = b"HUFFIDS1"
 _LATIN = "0-9A-Za-zÀ-ÖØ-öø-įı-ɏ"
@@ -95,7 +99,7 @@ class WordEncoder:
             cut.append(None if not self.by_words or any(x in low for x in self.added) else _pieces(t, low))
         if len(self.known) > self.most:
             self.known.clear()
-        new = list(set().union(*[c for c in cut if c]) - self.known.keys())
+        new = [p for p in set().union(*[c for c in cut if c]) if p not in self.known]
         if new:
             self._learn(new)
         get = self.known.__getitem__
@@ -106,14 +110,22 @@ class WordEncoder:
 _ENCODERS: dict[tuple, WordEncoder] = {}
 
 
-def _tokenise(path: str, end_id: int, by_words: bool, bounds: list[float]):
+def part_of(order: int | None, crc: int, bounds: np.ndarray, nulls: int) -> int:
+    """The range of a row: null orders in the first ``nulls`` ranges, others by sorted bounds; rows that equal several bounds are dealt over their ranges by crc."""
+    if order is None:
+        return crc * nulls >> 32
+    low, high = np.searchsorted(bounds, order, side="left"), np.searchsorted(bounds, order, side="right")
+    return nulls + int(low) + (crc * int(high - low + 1) >> 32)
+
+
+def _tokenise(path: str, end_id: int, by_words: bool, bounds: list[int], nulls: int):
     def run(batches):
         key = (path, end_id, by_words)
         if key not in _ENCODERS:  # a worker's tasks share it
             _ENCODERS[key] = WordEncoder(*key)
-        encoder, edges = _ENCODERS[key], np.array(bounds)
+        encoder, edges = _ENCODERS[key], np.array(bounds, dtype=np.int64)
         for batch in batches:
-            docs, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
+            orders, docs, texts = batch.column(0).to_pylist(), batch.column(1), [t or "" for t in batch.column(2).to_pylist()]
             at = 0
             while at < len(texts):
                 end, size = at, 0
@@ -121,10 +133,11 @@ def _tokenise(path: str, end_id: int, by_words: bool, bounds: list[float]):
                     size += len(texts[end])
                     end += 1
                 ids = encoder.encode(texts[at:end])
-                part = [0 if d is None else int(np.searchsorted(edges, d, side="right")) for d in docs[at:end]]
+                crc = [zlib.crc32(x) for x in ids]
+                part = [part_of(o, c, edges, nulls) for o, c in zip(orders[at:end], crc, strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(part, pa.int32()), pa.array(docs[at:end], pa.int64()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([zlib.crc32(x) for x in ids], pa.int64()), pa.array([_packed(x) for x in ids], pa.binary())],
-                    names=["part", "doc_id", "n_tokens", "crc", "ids"],
+                    [pa.array(part, pa.int32()), pa.array(orders[at:end], pa.int64()), docs.slice(at, end - at), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(crc, pa.int64()), pa.array([_packed(x) for x in ids], pa.binary())],
+                    names=["part", "place", "doc_id", "n_tokens", "crc", "ids"],
                 )
                 at = end
 
@@ -151,22 +164,26 @@ def _starts(batches):
         yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(start, pa.int64()), batch.column(4)], names=["part", "doc_id", "n_tokens", "start", "ids"])
 
 
-def tokenised(docs: DataFrame, tokenizer: str, end_id: int = 1, by_words: bool = True) -> DataFrame:
-    """part, doc_id, n_tokens, start (within the part), ids; written once, each part in ascending doc_id."""
-    plain = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+def tokenised(docs: DataFrame, tokenizer: str, end_id: int = 1, by_words: bool = True, order: Column | None = None) -> DataFrame:
+    """part, doc_id, n_tokens, start (within the part), ids; written once, each part in ascending order (doc_id where none is given)."""
+    doc_id = docs["doc_id"].cast("long")
+    plain = docs.select((doc_id if order is None else order.cast("long")).alias("place"), doc_id.alias("doc_id"), docs["text"])
     n = partitions(docs)
     # as many numbers as there are partitions; they only balance the ranges
-    bounds = plain.where("doc_id is not null").approxQuantile("doc_id", [i / n for i in range(1, n)], 0.2 / n) if n > 1 else []
-    rows = plain.mapInArrow(_tokenise(tokenizer, end_id, by_words, sorted(set(bounds))), "part int, doc_id long, n_tokens long, crc long, ids binary")
-    rows = rows.repartitionById(n, F.col("part")).sortWithinPartitions("doc_id", "crc", "n_tokens")
+    seen = plain.agg(F.count("*").alias("rows"), F.count_if(F.col("place").isNull()).alias("nulls"), F.percentile_approx("place", [i / n for i in range(1, n)] or [0.5], 20 * n).alias("bounds")).first()
+    bounds = seen["bounds"] if n > 1 and seen["bounds"] else []
+    nulls = -(-n * seen["nulls"] // seen["rows"]) if seen["nulls"] else 0
+    rows = plain.mapInArrow(_tokenise(tokenizer, end_id, by_words, sorted(bounds), nulls), "part int, place long, doc_id long, n_tokens long, crc long, ids binary")
+    rows = rows.repartitionById(n + nulls, F.col("part")).sortWithinPartitions("part", "place", "crc", "n_tokens").select("part", "doc_id", "n_tokens", "crc", "ids")
     return written(rows.mapInArrow(_starts, "part int, doc_id long, n_tokens long, start long, ids binary"), "token-ids")
 
 
 def _count(batches):
     total = np.zeros(0, dtype=np.int64)
     for batch in batches:
-        for raw in batch.column(0).to_pylist():
-            n = np.bincount(_unpacked(raw), minlength=len(total))
+        rows = [_unpacked(raw) for raw in batch.column(0).to_pylist()]
+        if rows:
+            n = np.bincount(np.concatenate(rows), minlength=len(total))
             n[: len(total)] += total
             total = n
     used = np.flatnonzero(total)
@@ -323,9 +340,9 @@ def _writer(folder: str, bases: dict[int, int], lengths: np.ndarray, block: int,
     return run
 
 
-def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1, by_words: bool = True, block: int = 512, limit: int = 16, shard_ids: int = 1 << 20) -> DataFrame:
-    """file, start, n_docs, n_ids of each file written; file names ascend with doc_id."""
-    rows = tokenised(docs, tokenizer, end_id, by_words)
+def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1, by_words: bool = True, block: int = 512, limit: int = 16, shard_ids: int = 1 << 20, order: Column | None = None) -> DataFrame:
+    """file, start, n_docs, n_ids of each file written; file names ascend with the order, which is doc_id where none is given."""
+    rows = tokenised(docs, tokenizer, end_id, by_words, order)
     counts = rows.select("ids").mapInArrow(_count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()  # at most one row per id of the vocabulary
     totals = np.zeros(int(counts["id"].max()) + 1 if len(counts) else 1, dtype=np.int64)
     totals[counts["id"].to_numpy(dtype=np.int64)] = counts["n"].to_numpy(dtype=np.int64)
@@ -351,13 +368,13 @@ def read_token_files(files: DataFrame) -> DataFrame:
     return files.select("file").repartition(n).mapInArrow(_read_documents, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def token_files(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1) -> DataFrame:
-    """Documents written to token files and read back."""
+def token_files(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1, order: Column | None = None) -> DataFrame:
+    """Documents written to token files, in the order given or by doc_id, and read back."""
     if tokenizer is None:
         import public_tokenizers
 
         tokenizer = public_tokenizers.path("word_bpe_49k.json")
-    return read_token_files(write_token_files(docs, work_dir(docs.sparkSession, "ids"), tokenizer, end_id))
+    return read_token_files(write_token_files(docs, work_dir(docs.sparkSession, "ids"), tokenizer, end_id, order=order))
 
 
 def op3_huffman_ids(spark, sf_dir: str) -> DataFrame:

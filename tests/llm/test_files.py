@@ -86,6 +86,23 @@ def test_token_files_of_odd_rows(odd, none):
     assert hf.token_files(none).count() == 0
 
 
+def test_ranges_ascend_and_split_hot_orders():
+    rng = random.Random(7)
+    bounds = np.array([5, 5, 5, 9, 2**62, 2**62])
+    rows = sorted(((rng.choice([None, 1, 4, 5, 5, 5, 6, 9, 10, 2**62 - 1, 2**62, 2**62 + 1]), rng.randrange(2**32)) for _ in range(600)), key=lambda r: (-1 if r[0] is None else r[0], r[1]))
+    parts = [hf.part_of(o, c, bounds, 2) for o, c in rows]
+    assert parts == sorted(parts) and set(parts) == set(range(9))
+
+
+def test_files_in_another_order(spark):
+    docs = spark.createDataFrame([(i % 7, f"text {i}", (i * 37) % 100) for i in range(100)], "doc_id long, text string, place int")
+    t = Tokenizer.from_file(PATH)
+    got = sorted(hf.token_files(docs, order=docs["place"]).collect(), key=lambda r: r["start"])
+    rows = sorted(docs.collect(), key=lambda r: r["place"])
+    want = [zlib.crc32(np.array([*t.encode(r["text"], add_special_tokens=False).ids, 1], dtype="<u4").tobytes()) for r in rows]
+    assert [r["ids_crc32"] for r in got] == want and [r["doc_id"] for r in got] == [r["doc_id"] for r in rows]
+
+
 class Bytes:
     def __init__(self, data):
         self.data, self.size = data, len(data)
