@@ -37,12 +37,26 @@ _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 _ALIGNED = "row long, source long, start long, end long, source_start long, source_end long, matched long, identity double"
 
 
+#: A seed's place is its position times this, plus the words from the seed before it, which are at most a window's.
+STEP = 64
+
+
 def seed_positions(grams: np.ndarray, window: int) -> np.ndarray:
-    """Positions of the smallest hash of each window of grams; of all grams where there are fewer."""
-    if len(grams) <= window:
+    """Positions of the smallest hash of each window of grams, the first of equal ones; of all grams where there are fewer."""
+    n = len(grams) - window + 1
+    if n < 2:
         return np.array([int(grams.argmin())]) if len(grams) else np.zeros(0, dtype=np.int64)
-    views = np.lib.stride_tricks.sliding_window_view(grams, window)
-    return np.unique(views.argmin(axis=1) + np.arange(len(views)))
+    best, at = grams[:n].copy(), np.arange(n)
+    for j in range(1, window):
+        less = grams[j : n + j] < best
+        at[less] = np.flatnonzero(less) + j
+        np.minimum(best, grams[j : n + j], out=best)
+    return at[np.concatenate([[True], at[1:] != at[:-1]])]
+
+
+def places(pos: np.ndarray) -> np.ndarray:
+    """Positions with the distance to the one before, 0 for the first."""
+    return pos * STEP + np.diff(pos, prepend=pos[:1])
 
 
 def _seeder(k: int, window: int):
@@ -54,12 +68,15 @@ def _seeder(k: int, window: int):
                 words = hashes.of(folded_words(text))
                 g = gram_hashes(words, k)
                 pos = seed_positions(g, window)
-                grams.append(g[pos].view(np.int64))
-                again = np.ones(len(pos), dtype=bool)
-                again[np.unique(g[pos], return_index=True)[1]] = False
-                at.append(np.where(again, ~pos, pos).astype(np.int32))  # a seed's later places in a text are negative
+                g, place = g[pos], places(pos)
+                if len(pos) > 1:
+                    order = np.argsort(g, kind="stable")
+                    again = order[1:][g[order[1:]] == g[order[:-1]]]
+                    place[again] = ~place[again]  # a seed's later places in a text are negative
+                grams.append(g.view(np.int64))
+                at.append(place)
                 sizes.append(len(words))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(sizes, pa.int64()), pa.array(grams, pa.list_(pa.int64())), pa.array(at, pa.list_(pa.int32()))], names=["row", "doc_id", "k1", "k2", "n_words", "grams", "at"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(sizes, pa.int64()), pa.array(grams, pa.list_(pa.int64())), pa.array(at, pa.list_(pa.int64()))], names=["row", "doc_id", "k1", "k2", "n_words", "grams", "at"])
 
     return run
 
@@ -96,6 +113,17 @@ def runs(pos: np.ndarray, other: np.ndarray, k: int, gap: int) -> list[tuple[int
     return list(zip(p[new].tolist(), o[new].tolist(), (p[last] - p[new] + k).tolist(), strict=True))
 
 
+def one_run(pos: list[int], other: list[int], k: int, gap: int) -> list[int] | None:
+    """The piece, if all matches make one."""
+    shift, last = pos[0] - other[0], None
+    for p, o in sorted(zip(pos, other, strict=True)):
+        if p - o != shift or last is not None and p - last > gap:
+            return None
+        last = p
+    low = min(pos)
+    return [low, low - shift, last - low + k]
+
+
 def chain(pieces: list[tuple[int, int, int]], cost: float) -> list[list[tuple[int, int, int]]]:
     """Chains of pieces that ascend in both texts, the best first.
 
@@ -158,6 +186,12 @@ def _chainer(k: int, gap: int, cost: float, least: int):
                 for a, b in zip(cuts, cuts[1:], strict=False):
                     if b - a == 1 and k < least:
                         continue
+                    if (simple := one_run(pos[a:b].tolist(), other[a:b].tolist(), k, gap)) is not None:
+                        if simple[2] >= least:
+                            rows["row"].append(row)
+                            rows["source"].append(int(source[a]))
+                            rows["pieces"].append(simple)
+                        continue
                     for found in chain(runs(pos[a:b], other[a:b], k, gap), cost):
                         if found[-1][0] + found[-1][2] - found[0][0] >= least:
                             rows["row"].append(row)
@@ -207,9 +241,9 @@ def _matches(batch):
     """row, source, pos and other, by source, of each row's matches to earlier texts."""
     for row, matches in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
         m = matches.values
-        source, pos, other = (m.field(n).to_numpy(zero_copy_only=False).astype(np.int64) for n in ("source", "pos", "other"))
+        source, pos, other = (m.field(n).to_numpy(zero_copy_only=False) for n in ("source", "at", "other"))
         later = source != row
-        source, pos, other = source[later], pos[later], other[later]
+        source, pos, other = source[later], pos[later] // STEP, other[later] // STEP
         if len(source):
             order = np.argsort(source, kind="stable")
             yield row, source[order], pos[order], other[order]
@@ -357,7 +391,7 @@ def _aligner(min_words: int, min_identity: float):
 
 
 def _verified(plain: DataFrame, keys: DataFrame, matches: DataFrame, chainer, min_words: int, min_identity: float, margin: int) -> DataFrame:
-    """Passages (row, source, start, end, source_start, source_end, matched, identity) in the chains of matches (row, list of source, pos, other)."""
+    """Passages (row, source, start, end, source_start, source_end, matched, identity) in the chains of matches (row, list of source, at, other)."""
     chains = written(matches.mapInArrow(chainer, "row long, source long, pieces array<long>"), "chains")
     nodes = chains.select("row").unionByName(chains.select(F.col("source").alias("row"))).distinct()
     named = written(keys.join(few(nodes), "row").select("row", "k1", "k2"), "chain-nodes")
@@ -385,7 +419,7 @@ def _verified(plain: DataFrame, keys: DataFrame, matches: DataFrame, chainer, mi
 
 
 def _open_runs(k: int, window: int, size: int, later: bool):
-    """Ranges of starts of runs of ``size`` words whose seeds all occur elsewhere, less those inside spans; and the seeds of those ranges, named by their anchors.
+    """Ranges of starts of runs of ``size`` words that have none but the given seeds, less those inside spans; and the seeds of those ranges, named by their anchors.
 
     later: only runs that may have an earlier holder; a text that is itself the anchor of one of a run's seeds is the first to hold the run.
     """
@@ -395,15 +429,17 @@ def _open_runs(k: int, window: int, size: int, later: bool):
             out = {n: [] for n in ("row", "low", "high", "source", "other")}
             for row, seeds, n_words, spans in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 m = seeds.values
-                ord_, source, pos, other = (m.field(n).to_numpy(zero_copy_only=False).astype(np.int64) for n in ("ord", "source", "pos", "other"))
-                order = np.argsort(ord_)
+                source, at, other = (m.field(n).to_numpy(zero_copy_only=False) for n in ("source", "at", "other"))
                 if later:
-                    order = order[source[order] != row]
-                ord_, source, pos, other = ord_[order], source[order], pos[order], other[order]
-                ranges = [(a, min(b, n_words - size + 1)) for a, b in shared_runs(ord_, pos, k, window, size)]
+                    keep = source != row
+                    source, at, other = source[keep], at[keep], other[keep]
+                order = np.argsort(at)
+                source, at, other = source[order], at[order], other[order]
+                pos = at // STEP
+                ranges = [(a, min(b, n_words - size + 1)) for a, b in shared_runs(at, k, window, size)]
                 for low, high in without(ranges, [(a, b - size + 1) for a, b in union((s["start"], s["end"]) for s in spans or ())]):
-                    inside = (pos >= low) & (pos <= high + size)
-                    for n, v in zip(out, (row, low, high, source[inside].tolist(), other[inside].tolist()), strict=True):
+                    inside = slice(*np.searchsorted(pos, [low, high + size]))
+                    for n, v in zip(out, (row, low, high, source[inside] if later else (), other[inside] if later else ()), strict=True):
                         out[n].append(v)
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)], names=list(out))
@@ -411,16 +447,19 @@ def _open_runs(k: int, window: int, size: int, later: bool):
     return run
 
 
-def shared_runs(ord_: np.ndarray, pos: np.ndarray, k: int, window: int, size: int) -> list[tuple[int, int]]:
-    """Ranges [low, high) of starts of runs of ``size`` words that may have nothing but shared seeds. ord_ and pos: number and place of the text's shared seeds.
+def shared_runs(at: np.ndarray, k: int, window: int, size: int) -> list[tuple[int, int]]:
+    """Ranges [low, high) of starts of runs of ``size`` words that may have nothing but shared seeds. at: sorted places of the text's shared seeds.
 
     Seeds from ``window`` - 1 words behind a run's start to ``window`` + k - 2 words before its end are decided by the run alone, so two texts that
     share the run share them; neighbouring ones are at most ``window`` words apart.
     """
-    new = np.flatnonzero(np.concatenate([[True], np.diff(ord_) != 1])) if len(ord_) else np.zeros(0, dtype=np.int64)
-    last = np.concatenate([new[1:], [len(ord_)]]).astype(np.int64) - 1
-    low = np.maximum(pos[new] - 2 * window + 2, 0) if len(new) else new
-    high = pos[last] - (size - k - 2 * window + 1) if len(new) else new
+    if not len(at):
+        return []
+    pos, step = at // STEP, at % STEP
+    new = np.flatnonzero(np.concatenate([[True], (pos - step)[1:] != pos[:-1]]))
+    last = np.concatenate([new[1:], [len(pos)]]) - 1
+    low = np.maximum(pos[new] - 2 * window + 2, 0)
+    high = pos[last] - (size - k - 2 * window + 1)
     return union((a, b) for a, b in zip(low.tolist(), high.tolist(), strict=True) if a < b)
 
 
@@ -469,44 +508,45 @@ def _run_hashes(size: int):
 
 
 def _exact(plain: DataFrame, keys: DataFrame, shared: DataFrame, found: DataFrame, k: int, window: int, size: int) -> DataFrame | None:
-    """Matches (row, list of source, pos, other) of the runs of ``size`` words that no passage in found covers, to the first text that holds the same run."""
+    """Matches (row, list of source, at, other) of the runs of ``size`` words that no passage in found covers, to the first text that holds the same run."""
     spans = found.groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     open_ = written(shared.join(spans, "row", "left").select("row", "seeds", "n_words", "spans").mapInArrow(_open_runs(k, window, size, True), "row long, low long, high long, source array<long>, other array<long>"), "open")
     if not open_.limit(1).count():
         return None
     wanted = written(open_.select(F.explode(F.arrays_zip("source", "other")).alias("x")).select("x.source", "x.other").distinct(), "open-seeds")
-    holders = shared.select("row", F.explode("seeds").alias("x")).select("row", "x.source", "x.other").join(few(wanted), ["source", "other"], "left_semi").select("row").distinct()
-    holders = written(holders, "holders")
+    # only runs of these seeds can be the same
+    held = shared.select("row", "n_words", F.explode("seeds").alias("x")).select("row", "n_words", "x.source", "x.at", "x.other").join(few(wanted), ["source", "other"], "left_semi")
+    held = held.groupBy("row").agg(F.collect_list(F.struct("source", "at", "other")).alias("seeds"), F.max("n_words").alias("n_words"))  # bounded by the text's seeds
     none = F.lit(None).cast("array<struct<start:long,end:long>>").alias("spans")
-    all_runs = shared.join(few(holders), "row").select("row", "seeds", "n_words", none).mapInArrow(_open_runs(k, window, size, False), "row long, low long, high long, source array<long>, other array<long>")
+    all_runs = held.select("row", "seeds", "n_words", none).mapInArrow(_open_runs(k, window, size, False), "row long, low long, high long, source array<long>, other array<long>")
     listed = lambda df, name: df.groupBy("row").agg(F.collect_list(F.struct("low", "high")).alias(name))  # noqa: E731  bounded by the text's words
     ranges = listed(all_runs, "ranges").join(listed(open_, "open"), "row", "left")
     ranges = written(ranges.join(keys.select("row", "k1", "k2"), "row"), "ranges")
-    texts = plain.join(few(ranges.select("row")), "row").select("row", "text")
-    grams = written(texts.join(ranges, "row").select("row", "text", "ranges", "open").mapInArrow(_run_hashes(size), "row long, gram long, pos long, open boolean"), "run-hashes")
+    texts = plain.select("k1", "k2", "text").join(few(ranges.select("k1", "k2")), ["k1", "k2"]).dropDuplicates(["k1", "k2"])
+    grams = written(texts.join(ranges, ["k1", "k2"]).select("row", "text", "ranges", "open").mapInArrow(_run_hashes(size), "row long, gram long, pos long, open boolean"), "run-hashes")
     first = grams.groupBy("gram").agg(F.count("*").alias("n"), F.min("row").alias("source"), F.max("row").alias("last"), F.min_by("pos", F.struct("row", "pos")).alias("other"), F.max("open").alias("any"))
     first = written(first.where("any and source <> last").select("gram", "n", "source", "other"), "first-runs")
     both = spread_join(grams.where("open").select("row", "gram", "pos"), first.drop("n"), ["gram"], "row", first.select("gram", "n")).where("row <> source")
-    return both.groupBy("row").agg(F.collect_list(F.struct("source", "pos", "other")).alias("seeds"))  # bounded by the text's words
+    return both.groupBy("row").agg(F.collect_list(F.struct("source", (F.col("pos") * STEP).alias("at"), (F.col("other") * STEP).alias("other"))).alias("seeds"))  # bounded by the text's words
 
 
 def repeated_passages(docs: DataFrame, k: int = 6, window: int = 6, min_words: int = 50, min_identity: float = 0.8, gap: int = 40, cost: float = 0.1, margin: int = 128) -> DataFrame:
     """A row for each passage of a document that an earlier document (by input order) holds too: word spans in both, equal words, identity, and the text keys of the document."""
-    if min_words < k + 3 * window:
-        raise ValueError("min_words must be at least k + 3 * window")
+    if min_words < k + 3 * window or window >= STEP:
+        raise ValueError(f"min_words must be at least k + 3 * window, and window less than {STEP}")
     plain = pick(docs, "doc_id", "text").select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), *text_keys(), F.coalesce("text", F.lit("")).alias("text"))
-    seeded = written(plain.mapInArrow(_seeder(k, window), "row long, doc_id long, k1 long, k2 long, n_words long, grams array<long>, at array<int>"), "seeds")
+    seeded = written(plain.mapInArrow(_seeder(k, window), "row long, doc_id long, k1 long, k2 long, n_words long, grams array<long>, at array<long>"), "seeds")
     keys = seeded.select("row", "doc_id", "k1", "k2", "n_words")
     repeated = written(keys.groupBy("k1", "k2").agg(F.min("row").alias("node"), F.count("*").alias("n")).where("n > 1"), "repeated")
     copies = written(spread_join(keys, repeated.drop("n"), ["k1", "k2"], "row", repeated.drop("node")).where("row <> node").select("row", "node", "n_words"), "copies")
     texts = seeded.join(few(copies.select("row")), "row", "left_anti")
-    seeds = texts.select("row", F.posexplode(F.arrays_zip(F.col("grams").alias("gram"), F.col("at").alias("pos"))).alias("ord", "x")).select("row", "ord", "x.gram", "x.pos")
+    seeds = texts.select("row", F.explode(F.arrays_zip(F.col("grams").alias("gram"), "at")).alias("x")).select("row", "x.gram", "x.at")
     # a text has one place that is not negative for each seed
-    first = seeds.where("pos >= 0").groupBy("gram").agg(F.count("*").alias("n"), F.min("row").alias("source"), F.min_by("pos", "row").alias("other")).where("n > 1")
+    first = seeds.where("at >= 0").groupBy("gram").agg(F.count("*").alias("n"), F.min("row").alias("source"), F.min_by("at", "row").alias("other")).where("n > 1")
     first = written(first, "anchors")
-    placed = seeds.withColumn("pos", F.greatest("pos", F.bitwise_not("pos")))
+    placed = seeds.withColumn("at", F.greatest("at", F.bitwise_not("at")))
     shared = spread_join(placed, first.drop("n"), ["gram"], "row", first.select("gram", "n"))
-    shared = shared.select("row", F.struct("ord", "source", "pos", "other").alias("x"), F.lit(None).cast("long").alias("n_words"))
+    shared = shared.select("row", F.struct("source", "at", "other").alias("x"), F.lit(None).cast("long").alias("n_words"))
     sized = shared.unionByName(texts.where(F.col("n_words") >= min_words).select("row", "n_words"), allowMissingColumns=True)
     shared = sized.groupBy("row").agg(F.collect_list("x").alias("seeds"), F.max("n_words").alias("n_words")).where("n_words is not null and size(seeds) > 0")
     shared = written(shared, "shared-seeds")  # bounded by the text's seeds
