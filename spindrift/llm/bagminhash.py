@@ -31,10 +31,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import WordHashes, components, folded_words, gram_hashes, pick, text_keys, written
+from .common import WordHashes, components, few, folded_words, gram_hashes, pick, spread_join, text_keys, written
 
-#: Rows of ids or keys that are broadcast at most; beyond it the join is by shuffle.
-MAX_BROADCAST = 500_000
+#: Rows of one pivot from which a join by pivot is dealt over several tasks; each row has a whole bag or is compared with many.
+SPREAD = 300
 _NULL = -(2**63)
 _U = np.uint64
 
@@ -187,18 +187,15 @@ def _novel(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.int64())), pa.array(more, pa.list_(pa.int64()))], names=["a", "b", "novel", "more"])
 
 
-def _few(df: DataFrame) -> DataFrame:
-    """The rows, to be broadcast where their checked count allows it."""
-    return F.broadcast(df) if df.count() <= MAX_BROADCAST else df
-
-
 def _bag_pairs(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, name: str) -> DataFrame:
     """a, b and both bags of written pairs of nodes. Texts of these nodes alone are read again, as bags, and moved."""
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     wanted = written(wanted.join(nodes.select("node", "id", "k1", "k2"), "node"), f"{name}-nodes")
-    texts = docs.join(_few(wanted), ["id", "k1", "k2"]).select("node", "text")
+    texts = docs.join(few(wanted), ["id", "k1", "k2"]).select("node", "text")
     bags = written(texts.mapInArrow(_bags(size), "node long, bag binary").dropDuplicates(["node"]), f"{name}-bags")
-    return pairs.select("a", "b").join(bags.select(F.col("node").alias("b"), F.col("bag").alias("bag_b")), "b").join(bags.select(F.col("node").alias("a"), F.col("bag").alias("bag_a")), "a").select("a", "b", "bag_a", "bag_b")
+    counts = written(pairs.groupBy("a").agg(F.count("*").alias("n")), f"{name}-counts")  # a pivot may have many pairs
+    both = pairs.select("a", "b").join(bags.select(F.col("node").alias("b"), F.col("bag").alias("bag_b")), "b")
+    return spread_join(both, bags.select(F.col("node").alias("a"), F.col("bag").alias("bag_a")), ["a"], "b", counts, least=SPREAD).select("a", "b", "bag_a", "bag_b")
 
 
 def _similarities(both: DataFrame, name: str) -> DataFrame:
@@ -222,27 +219,27 @@ def _apart(known: DataFrame, parts: DataFrame, both: DataFrame, threshold: float
     named = place(place(named, "node", "component"), "pivot", "main")
     open_ = named.groupBy("pivot").agg(F.count("*").alias("n"), F.count_if(F.col("component") != F.col("main")).alias("off")).where("n > 1 and off > 0").select("pivot")
     named = written(named.join(open_, "pivot"), "open")
-    x, y = named.where("component <> main").alias("x"), named.alias("y")
-    m = F.least("x.m", "y.m")
-    differ = (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("y.main")) | (F.col("x.node") < F.col("y.node")))
-    fits = m >= threshold * (F.col("x.size") + F.col("y.size") - m) - 1e-9
-    pair = [F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")]
-    near = x.join(y, (F.col("x.pivot") == F.col("y.pivot")) & differ & fits).select(*pair)
+    other = lambda df, *keys: df.where("component <> main").select(*keys, *[F.col(c).alias(f"x_{c}") for c in ("node", "component", "m", "size")])
+    counts = written(named.groupBy("pivot").agg(F.count("*").alias("n")), "open-counts")
+    m = F.least("x_m", "m")
+    differ = (F.col("x_component") != F.col("component")) & ((F.col("component") == F.col("main")) | (F.col("x_node") < F.col("node")))
+    fits = m >= threshold * (F.col("x_size") + F.col("size") - m) - 1e-9
+    pair = [F.least("x_node", "node").alias("a"), F.greatest("x_node", "node").alias("b")]
+    near = spread_join(named, other(named, "pivot"), ["pivot"], "node", counts, least=SPREAD).where(differ & fits).select(*pair)
     novel = both.join(named.select(F.col("pivot").alias("a"), F.col("node").alias("b")), ["a", "b"]).select("a", "b", "bag_a", "bag_b").mapInArrow(_novel, "a long, b long, novel array<long>, more array<long>")
     novel = written(novel.select(F.col("a").alias("pivot"), F.col("b").alias("node"), F.explode(F.arrays_zip("novel", "more")).alias("s")).select("pivot", "node", F.col("s.novel").alias("shingle"), F.col("s.more").alias("weight")), "novel")
-    common_ = novel.groupBy("pivot", "shingle").agg(F.count("*").alias("n")).where("n > 1")
+    common_ = written(novel.groupBy("pivot", "shingle").agg(F.count("*").alias("n")).where("n > 1"), "novel-common")
     rest = W.partitionBy("pivot", "node").orderBy(F.desc("n"), F.desc("shingle"))  # one document's shingles
-    ranked = novel.join(common_, ["pivot", "shingle"], "left").withColumn("n", F.coalesce("n", F.lit(1))).withColumn("suffix", F.sum("weight").over(rest))
+    ranked = spread_join(novel, common_, ["pivot", "shingle"], "node", common_, "left", least=SPREAD).withColumn("n", F.coalesce("n", F.lit(1))).withColumn("suffix", F.sum("weight").over(rest))
     ranked = ranked.join(named, ["pivot", "node"]).where((F.col("n") > 1) & (F.col("suffix") >= F.greatest(F.lit(1.0), F.ceil(threshold * F.col("size") - F.col("m") - 1e-9))))
     # by shingle: its most frequent component is compared with the others, whatever shares it within one component is not
     ranked = written(ranked.select("pivot", "shingle", "node", "component", "m", "size"), "ranked")
     sizes = ranked.groupBy("pivot", "shingle", "component").agg(F.count("*").alias("n"))
     most = sizes.groupBy("pivot", "shingle").agg(F.max(F.struct("n", "component"))["component"].alias("main"), F.count("*").alias("parts")).where("parts > 1").select("pivot", "shingle", "main")
-    mixed = written(ranked.join(most, ["pivot", "shingle"]), "mixed")
-    x, y = mixed.where("component <> main").alias("x"), mixed.alias("y")
-    most_common = m + F.least(F.col("x.size") - F.col("x.m"), F.col("y.size") - F.col("y.m"))
-    allowed = most_common >= threshold * (F.col("x.size") + F.col("y.size") - most_common) - 1e-9
-    shared = x.join(y, (F.col("x.pivot") == F.col("y.pivot")) & (F.col("x.shingle") == F.col("y.shingle")) & differ & allowed).select(*pair)
+    mixed = written(spread_join(ranked, most, ["pivot", "shingle"], "node", common_, least=SPREAD), "mixed")
+    most_common = m + F.least(F.col("x_size") - F.col("x_m"), F.col("size") - F.col("m"))
+    allowed = most_common >= threshold * (F.col("x_size") + F.col("size") - most_common) - 1e-9
+    shared = spread_join(mixed, other(mixed, "pivot", "shingle"), ["pivot", "shingle"], "node", common_, least=SPREAD).where(differ & allowed).select(*pair)
     pairs = near.unionByName(shared).distinct()
     return written(pairs.join(known.select("a", "b"), ["a", "b"], "left_anti"), "cross")
 
@@ -258,13 +255,13 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.8, band
     signed = written(plain.mapInArrow(_signer(size, bands, rows), "row long, doc_id long, k1 long, k2 long, n_shingles long, bands array<long>"), "signatures")
     nodes = written(signed.groupBy("k1", "k2").agg(F.min("row").alias("node"), F.min("doc_id").alias("id"), F.first("bands").alias("bands")), "nodes")
     in_bucket = nodes.select("node", F.explode("bands").alias("bucket"))
-    shared = in_bucket.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    members = written(in_bucket.join(shared, "bucket"), "buckets")
+    shared = written(in_bucket.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "shared")
+    members = written(spread_join(in_bucket, shared, ["bucket"], "node", shared), "buckets")
     # the pivot of a bucket is its document with most company over all buckets: of edited copies, most likely their original
     company = members.groupBy("node").agg(F.sum("n").alias("company"))
     members = written(members.join(company, "node").select("bucket", "node", "company"), "members")
     pivots = members.groupBy("bucket").agg(F.max(F.struct("company", (-F.col("node")).alias("k")))["k"].alias("k")).select("bucket", (-F.col("k")).alias("pivot"))
-    pairs = members.join(pivots, "bucket").where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+    pairs = spread_join(members, pivots, ["bucket"], "node", shared).where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
     pairs = written(pairs, "pairs")
     both = _bag_pairs(pairs, nodes, keyed, size, "star")
     known = _similarities(both, "star")
@@ -294,7 +291,7 @@ def keep_one(docs: DataFrame, **settings) -> DataFrame:
     members = written(members, "classes")
     gone = members.where("id <> class_id").select("id", "k1", "k2").distinct()
     names = [F.coalesce(docs["doc_id"].cast("long"), F.lit(_NULL)).alias("_id"), *[c.alias(f"_{k}") for c, k in zip([F.xxhash64(F.coalesce(docs["text"], F.lit(""))), F.xxhash64(F.lit(7), F.coalesce(docs["text"], F.lit("")))], ("k1", "k2"), strict=True)]]
-    kept = docs.select("*", *names).join(_few(gone.toDF("_id", "_k1", "_k2")), ["_id", "_k1", "_k2"], "left_anti")
+    kept = docs.select("*", *names).join(few(gone.toDF("_id", "_k1", "_k2")), ["_id", "_k1", "_k2"], "left_anti")
     # rows that repeat an id and a text, or texts of one class under one id, are rare: only then are rows compared again
     if members.where("id = class_id").groupBy("class_id").count().where("count > 1").limit(1).count():
         first = members.where("id = class_id").groupBy("id").agg(F.min(F.struct("k1", "k2")).alias("k")).select(F.col("id").alias("_id"), F.col("k.k1").alias("_k1"), F.col("k.k2").alias("_k2"))
