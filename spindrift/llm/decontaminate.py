@@ -2,11 +2,12 @@
 
 The windows of the benchmark (n consecutive words of an item; an item with fewer words, but not none, is one window)
 form a hash set that is broadcast; every document is scanned once, in Arrow batches, and each hash hit is verified
-word by word. The benchmark's size is checked first: beyond ``max_windows`` it is dealt into blocks of at most about
-that many windows, each broadcast on its own, and the blocks' hits are merged per document.
+word by word. The benchmark's size is checked first: beyond ``max_windows`` (500,000: about 100 MB in the driver and in each worker) it is
+dealt into blocks of at most about that many windows, each broadcast on its own; each block scans the documents again, and the blocks' hits
+are merged per document.
 
 Defined results: null and empty texts have no words, no hits and are clean; items with null id or no words never match;
-repeated item rows count once; repeated document rows are each judged; a null doc_id is carried along; further columns
+repeated item rows count once; an item longer than a block is a block of its own; repeated document rows are each judged; a null doc_id is carried along; further columns
 are kept by :func:`decontaminate` and ignored by :func:`find_leaks`; an empty benchmark leaves all documents clean.
 """
 
@@ -29,36 +30,40 @@ _BITS = 20
 
 
 class WindowSet:
-    """Windows of some items by length: exact word ids behind 64-bit rolling hashes."""
+    """Windows of some items by length: exact word ids behind 64-bit rolling hashes, in arrays of about 70 bytes a window of ten words."""
 
     def __init__(self, items: list[tuple[str, str]], n: int) -> None:
         self.vocab: dict[bytes, int] = {}
-        windows: dict[int, dict[tuple[int, ...], set[str]]] = {}
-        for item, text in items:
-            ids = [self.vocab.setdefault(w, len(self.vocab) + 1) for w in folded_words(text)]
-            size = min(n, len(ids))
-            for i in range(len(ids) - size + 1 if ids else 0):
-                windows.setdefault(size, {}).setdefault(tuple(ids[i : i + size]), set()).add(item)
+        self.items = [item for item, _ in items]
+        by_size: dict[int, list[tuple[int, np.ndarray]]] = {}
+        for i, (_, text) in enumerate(items):
+            ids = np.array([self.vocab.setdefault(w, len(self.vocab) + 1) for w in folded_words(text)], dtype=np.int32)
+            if len(ids):
+                size = min(n, len(ids))
+                by_size.setdefault(size, []).append((i, np.lib.stride_tricks.sliding_window_view(ids, size)))
         self.sizes = {}
-        for size, found in windows.items():
-            rows = np.array(list(found), dtype=np.int64).reshape(len(found), size)
-            names = [sorted(x) for x in found.values()]
+        for size, found in by_size.items():
+            rows, owner = np.concatenate([w for _, w in found]), np.repeat(np.array([i for i, _ in found], dtype=np.int32), [len(w) for _, w in found])
             factor = np.uint64(0x9E3779B97F4A7C15)
             while True:
                 powers = np.array([pow(int(factor), j + 1, 1 << 64) for j in range(size)], dtype=np.uint64)
-                hashes = (rows.astype(np.uint64) * powers).sum(axis=1, dtype=np.uint64)
-                if len(np.unique(hashes)) == len(hashes):
+                hashes = np.zeros(len(rows), dtype=np.uint64)
+                for j in range(size):
+                    hashes += rows[:, j].astype(np.uint64) * powers[j]
+                order = np.argsort(hashes, kind="stable")
+                hashes, sorted_rows = hashes[order], rows[order]
+                new = np.concatenate([[True], hashes[1:] != hashes[:-1]])
+                first = np.flatnonzero(new)
+                if (sorted_rows == sorted_rows[first[np.cumsum(new) - 1]]).all():  # equal hashes are equal windows
                     break
                 factor += np.uint64(2)
-            order = np.argsort(hashes)
-            hashes = hashes[order]
             seen = np.zeros(1 << _BITS, dtype=bool)
-            seen[hashes >> np.uint64(64 - _BITS)] = True
-            self.sizes[size] = (powers, hashes, rows[order], [names[i] for i in order], seen)
+            seen[hashes[first] >> np.uint64(64 - _BITS)] = True
+            self.sizes[size] = (powers, hashes[first], sorted_rows[first], np.append(first, len(rows)), owner[order], seen)
 
     def scan(self, ids: np.ndarray):
         """(size, position, index of window) of verified hits; ids: words of many documents, 0 for others and between documents."""
-        for size, (powers, hashes, rows, names, seen) in self.sizes.items():
+        for size, (powers, hashes, rows, _, _, seen) in self.sizes.items():
             if len(ids) < size:
                 continue
             unknown = np.concatenate([[0], np.cumsum(ids == 0)])
@@ -75,7 +80,12 @@ class WindowSet:
             at, k = at[same], k[same]
             if len(at):
                 same = (ids[at[:, None] + np.arange(size)] == rows[k]).all(axis=1)
-                yield size, at[same], k[same], names
+                yield size, at[same], k[same]
+
+    def names(self, size: int, window: int) -> list[str]:
+        """The items that have a window."""
+        bounds, owner = self.sizes[size][3:5]
+        return [self.items[i] for i in owner[bounds[window] : bounds[window + 1]].tolist()]
 
 
 def _scanner(shared):
@@ -94,11 +104,12 @@ def _scanner(shared):
             flat = np.concatenate(ids) if ids else np.zeros(0, dtype=np.int64)
             spans: dict[int, list[tuple[int, int]]] = {}
             items: dict[int, set[str]] = {}
-            for size, at, k, names in found.scan(flat):
+            for size, at, k in found.scan(flat):
                 which = np.searchsorted(offset, at, side="right") - 1
-                for d, p, w in zip(which.tolist(), at.tolist(), k.tolist(), strict=True):
+                for d, p in zip(which.tolist(), at.tolist(), strict=True):
                     spans.setdefault(d, []).append((p - offset[d], p - offset[d] + size))
-                    items.setdefault(d, set()).update(names[w])
+                for d, w in set(zip(which.tolist(), k.tolist(), strict=True)):
+                    items.setdefault(d, set()).update(found.names(size, w))
             merged = [_merge(spans.get(d, ())) for d in range(len(texts))]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -152,7 +163,7 @@ def _hit_words(starts, ends):
     return F.aggregate(spans, none, lambda acc, s: F.struct((acc["n"] + F.greatest(F.lit(0).cast("long"), s["ends"].cast("long") - F.greatest(acc["to"], s["starts"].cast("long")))).alias("n"), F.greatest(acc["to"], s["ends"].cast("long")).alias("to")), lambda acc: acc["n"])
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, n: int = 10, max_windows: int = 2_000_000) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, n: int = 10, max_windows: int = 500_000) -> DataFrame:
     """doc_id, text_key (xxhash64 of the text), n_words, n_hit, n_items, items, starts, ends (word spans) and contaminated, a row for each row of docs."""
     plain = pick(docs, "doc_id", "text").select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
     hits = _scan(plain, pick(benchmark, "item_id", "text"), n, max_windows)
@@ -170,7 +181,7 @@ def _without(text: str, starts: list[int], ends: list[int]) -> str:
     return "".join([*out, (text or "")[at:]])
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, action: str = "documents", max_windows: int = 2_000_000) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, action: str = "documents", max_windows: int = 500_000) -> DataFrame:
     """docs without leaked documents, or (action="spans") with the leaked words cut out of their texts; columns as in docs."""
     if action not in ("documents", "spans"):
         raise ValueError("action is documents or spans")
@@ -179,7 +190,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, action: st
     same = docs["doc_id"].cast("long").eqNullSafe(spans["_leaked"]) & (F.xxhash64(docs["text"]) == spans["_key"])
     if action == "documents":
         return docs.join(spans, same, "left_anti")
-    cut = F.udf(_without, "string")
+    cut = F.udf(_without, "string", useArrow=True)
     text = F.when(spans["_spans"].isNull(), docs["text"]).otherwise(cut(docs["text"], spans["_spans.starts"], spans["_spans.ends"])).alias("text")
     return docs.join(spans, same, "left").select(*[text if c == "text" else docs[f"`{c}`"] for c in docs.columns])
 
