@@ -79,6 +79,13 @@ def spread_join(left: DataFrame, right: DataFrame, on: list[str], by: str, count
     return left.join(right, [*on, "_part"], how).drop("_part")
 
 
+def few_or_spread(left: DataFrame, right: DataFrame, on: list[str], by: str, counts: DataFrame) -> DataFrame:
+    """left joined to right by broadcast where the checked count of right allows it, and by :func:`spread_join` elsewhere."""
+    if right.count() <= MAX_BROADCAST:
+        return left.join(F.broadcast(right), on)
+    return spread_join(left, right, on, by, counts)
+
+
 def filesystem(url: str) -> tuple[pafs.FileSystem, str]:
     """pyarrow's file system and the path in it; plain paths and file: URLs are local."""
     parts = urlparse(url)

@@ -7,7 +7,8 @@ rejected, when the removed lines held more than ``max_removed`` of its words. :f
 :func:`clean_texts` the kept documents without their removed lines, both from the same flags.
 
 Only hashes and counts are shuffled, never texts: distinct (host, line, text) triples are counted after a partial
-aggregation, so a line that a third of all documents share arrives as one count per map task.
+aggregation. Lines meet their common ones by broadcast up to a checked count; beyond it lines of many rows are dealt over
+several tasks.
 
 Defined results: null and empty texts have no words and fail the base rules; null hosts form one host; a null doc_id is
 carried along and counts as larger than any other; repeated rows are one document for the counts and each get a verdict;
@@ -24,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, utf8, written
+from .common import few_or_spread, pick, utf8, written
 
 _NORMAL = bytes(b + 32 if 0x41 <= b <= 0x5A else 0x30 if 0x30 <= b <= 0x39 else b for b in range(256))
 _SYMBOLS = b"#*$%&|<>"
@@ -87,10 +88,13 @@ def _flagged(docs: DataFrame, host: str, max_documents: int) -> tuple[DataFrame,
     plain = pick(docs, "doc_id", host, "text").toDF("doc_id", "host", "text")
     plain = plain.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("host").cast("string").alias("host"), "text")
     stats = written(plain.mapInArrow(_stats, _STATS), "line-stats")
-    lines = stats.select("row", F.coalesce("doc_id", F.lit(2**63 - 1)).alias("id"), "host", "text_hash", F.explode(F.arrays_zip(F.col("lines").alias("line"), F.col("line_words").alias("words"))).alias("x")).select("row", "id", "host", "text_hash", "x.line", "x.words")
-    texts = lines.groupBy("host", "line", "text_hash").agg(F.min("id").alias("id"))
-    common = texts.groupBy("host", "line").agg(F.count("*").alias("n"), F.min("id").alias("first_id")).where(F.col("n") > max_documents).select(F.col("host").alias("h"), F.col("line").alias("l"), "first_id")
-    removed = lines.join(common, F.col("host").eqNullSafe(F.col("h")) & (F.col("line") == F.col("l")) & (F.col("id") != F.col("first_id")))
+    h = F.coalesce(F.concat(F.lit("="), "host"), F.lit("")).alias("h")
+    lines = stats.select("row", F.coalesce("doc_id", F.lit(2**63 - 1)).alias("id"), h, "text_hash", F.explode(F.arrays_zip(F.col("lines").alias("line"), F.col("line_words").alias("words"))).alias("x")).select("row", "id", "h", "text_hash", "x.line", "x.words")
+    texts = lines.groupBy("h", "line", "text_hash").agg(F.min("id").alias("id"), F.count("*").alias("rows"))
+    common = texts.groupBy("h", "line").agg(F.count("*").alias("texts"), F.min("id").alias("first_id"), F.sum("rows").alias("n")).where(F.col("texts") > max_documents)
+    common = written(common.select("h", "line", "first_id", "n"), "common-lines")
+    # a line may stand in a third of all documents
+    removed = few_or_spread(lines, common.drop("n"), ["h", "line"], "row", common.select("h", "line", "n")).where("id <> first_id")
     return stats.drop("lines", "line_words"), removed.select("row", "line", "words")
 
 
@@ -126,9 +130,9 @@ def clean_texts(docs: DataFrame, host: str = "source", max_documents: int = 50,
     out = _verdicts(*_flagged(docs, host, max_documents), max_removed).where("kept")
     # rows of one id, host and text have the same lines to remove
     rules = out.select(F.col("doc_id").alias("_id"), F.col("host").alias("_host"), F.col("text_hash").alias("_hash"), F.coalesce("cut", F.array()).alias("_cut")).dropDuplicates(["_id", "_host", "_hash"])
-    digest = F.udf(lambda t: xxhash.xxh3_64_intdigest(utf8(t)) - (1 << 63), "long")
+    digest = F.udf(lambda t: xxhash.xxh3_64_intdigest(utf8(t)) - (1 << 63), "long", useArrow=True)
     same = docs["doc_id"].cast("long").eqNullSafe(rules["_id"]) & docs[f"`{host}`"].cast("string").eqNullSafe(rules["_host"]) & (digest(docs["text"]) == rules["_hash"])
-    cut = F.udf(without_lines, "string")
+    cut = F.udf(without_lines, "string", useArrow=True)
     text = F.when(F.size(rules["_cut"]) == 0, docs["text"]).otherwise(cut(docs["text"], rules["_cut"])).alias("text")
     return docs.join(rules, same).select(*[text if c == "text" else docs[f"`{c}`"] for c in docs.columns])
 
