@@ -7,11 +7,12 @@ locates the stored members by their local headers, reads the index, and fetches
 extracted, and no task holds more than a run of records.
 
 Payloads that occur more than once (equal SHA-1, at least ``min_bytes`` long) are written once, as the response of the
-largest page_id; the others become revisit records that refer to it.
+largest page_id; the others become revisit records that refer to it. Digests that occur more than once (about 60 bytes
+each) are broadcast up to a checked count; beyond it rows and digests are joined, hot digests spread, without payloads.
 
 Defined results: null html is an empty payload; null urls become empty target URIs and are read back as null; a null
-page_id counts as smaller than any other; repeated rows of the response's page are all responses; further columns are
-ignored; an empty table writes no archive and gives an empty result.
+page_id counts as smaller than any other; repeated rows of the response's page are all responses, also where their urls
+differ; a very long payload is a package of its own; further columns are ignored; an empty table writes no archive and gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,12 +30,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import filesystem, partitions, pick, utf8, work_dir, write_file, written
+from .common import MAX_BROADCAST, filesystem, partitions, pick, spread_join, utf8, work_dir, write_file, written
 
 _DATE = "2020-01-01T00:00:00Z"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: Duplicated payloads' digests (about 60 bytes each) are broadcast up to this many, and joined by shuffle beyond it.
-MAX_BROADCAST = 200_000
 
 
 def payload_digest(payload: bytes) -> str:
@@ -246,10 +245,16 @@ def _writer(folder: str, package_bytes: int):
 def write_packages(pages: DataFrame, folder: str, min_bytes: int = 0, package_bytes: int = 16 << 20) -> DataFrame:
     """file, records of each package written; a package holds about package_bytes of payloads, or one larger payload."""
     plain = pick(pages, "page_id", "url", "html").select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    keyed = plain.withColumn("key", F.when(F.octet_length("html") >= min_bytes, F.sha1("html")))
-    copies = written(keyed.where("key is not null").groupBy("key").agg(F.count("*").alias("n"), F.max("page_id").alias("response")).where("n > 1").select(F.col("key").alias("k"), "response"), "copies")
-    copies = F.broadcast(copies) if copies.count() <= MAX_BROADCAST else copies
-    rows = keyed.join(copies, F.col("key") == F.col("k"), "left").select("page_id", "url", "html", F.when(~F.col("page_id").eqNullSafe(F.col("response")), F.col("response")).alias("refers_to"))
+    keyed = plain.withColumn("row", F.monotonically_increasing_id()).withColumn("key", F.when(F.octet_length("html") >= min_bytes, F.sha1("html")))
+    copies = written(keyed.where("key is not null").groupBy("key").agg(F.count("*").alias("n"), F.max("page_id").alias("response")).where("n > 1"), "copies")
+    responses = copies.select("key", "response")
+    if copies.count() <= MAX_BROADCAST:
+        rows = keyed.join(F.broadcast(responses), "key", "left")
+    else:  # digests meet without the payloads, which move once, by row
+        keyed = written(keyed, "pages")
+        found = written(spread_join(keyed.where("key is not null").select("row", "key"), responses, ["key"], "row", copies.select("key", "n")).drop("key"), "revisits")
+        rows = keyed.join(found, "row", "left")
+    rows = rows.select("page_id", "url", "html", F.when(~F.col("page_id").eqNullSafe(F.col("response")), F.col("response")).alias("refers_to"))
     return written(rows.mapInArrow(_writer(folder, package_bytes), "file string, records long"), "packages")
 
 
