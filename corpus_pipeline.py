@@ -1,8 +1,17 @@
-"""A training corpus from raw documents: five stages, each a Spark job over all that its predecessor kept."""
+"""A training corpus from raw documents: five stages, each a Spark job over all that its predecessor kept.
+
+Defined results: null and empty texts are documents that the classifier judges like others (as a rule it rejects them); a
+null doc_id, lang or source is carried along, null sources are mixed as one source; repeated rows and equal texts are one
+document after the second stage; very long texts are taken whole; of ties in near-duplicates the smallest id stays; columns
+beyond those of documents are dropped by the first stage, whatever their names; without labels every document scores 0.5 and
+none is kept; an empty table, or one of which nothing is kept, gives an empty result. Copies that mixing makes are documents
+of their own in the files.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from spindrift.llm import bagminhash, decontaminate, huffman_ids, poisson_mix, rule_ensemble
 from spindrift.llm.common import pick, work_dir
@@ -26,13 +35,17 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents replicated to the sources' target shares, in a global order by hash."""
+    """Documents replicated to the sources' target shares, in a global order by hash: the rows of one file after another."""
     return pick(poisson_mix.mix(docs), *COLUMNS)
 
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' ids in Huffman-coded files, read back: doc_id, start, n_tokens, ids_crc32."""
-    return huffman_ids.token_files(docs)
+    """The documents' ids in Huffman-coded files, read back: doc_id, start, n_tokens, ids_crc32.
+
+    The files keep the order in which Spark reads the mixed rows: whole runs of the mixed order one after another, so the
+    copies of a document lie apart.
+    """
+    return huffman_ids.token_files(docs, order=F.monotonically_increasing_id())
 
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("mixing", mixing), ("token_files", token_files)]
