@@ -10,8 +10,12 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark, name: str) -> str:
-    """A new folder below spark.checkpoint.dir; a local one only where the setting is missing (one machine)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    """A new folder below spark.checkpoint.dir; a local one only where the setting is missing and the master is local."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from .graph import written
+
 
 def neighbours(df: DataFrame, by: list[str], row: str, col: str, value: str) -> DataFrame:
     """df with the value to the right and below where that node exists: right, below."""
@@ -117,3 +119,30 @@ def mode_per(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """The most frequent value of each group; of equally frequent ones the smallest."""
     n = df.groupBy(*by, value).agg(F.count("*").alias("n"))
     return n.groupBy(*by).agg(F.max_by(value, F.struct("n", (-F.col(value)).alias("v"))).alias("mode"))
+
+
+def largest_square(cells: DataFrame) -> DataFrame:
+    """map_id, side and squares: the side of the largest full square of cells of each map, and how many there are.
+
+    Corners of full squares of side s give those of side s + d (d at most s) from four corners d apart. Sides double while
+    some square is full, then each map adds what still fits, so there are two rounds for each doubling of the largest side.
+    """
+
+    def grown(corners: DataFrame, d: int) -> DataFrame:
+        at = [F.struct((F.col("y") - i * d).alias("y"), (F.col("x") - j * d).alias("x")) for i in (0, 1) for j in (0, 1)]
+        moved = corners.select("map_id", "side", F.explode(F.array(*at)).alias("c")).groupBy("map_id", "side", "c").agg(F.count("*").alias("n"))
+        return moved.where("n = 4").select("map_id", (F.col("side") + d).alias("side"), "c.y", "c.x")
+
+    best = written(cells.select("map_id", F.lit(1).alias("side"), "y", "x").distinct(), "squares")
+    d, steps = 1, []
+    while True:
+        more = written(grown(best.where(F.col("side") == d), d), "squares")
+        if not more.limit(1).count():
+            break
+        best = written(best.join(more.select("map_id").distinct(), "map_id", "left_anti").unionByName(more), "squares")
+        steps.append(d)
+        d *= 2
+    for d in reversed(steps):
+        more = written(grown(best.where(F.col("side") >= d), d), "squares")
+        best = written(best.join(more.select("map_id").distinct(), "map_id", "left_anti").unionByName(more), "squares")
+    return best.groupBy("map_id", "side").agg(F.count("*").alias("squares"))

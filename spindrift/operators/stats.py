@@ -88,8 +88,8 @@ def curve_stats(df: DataFrame, score: str, label: str, by: list[str]) -> DataFra
 
 
 def select_scored(px: DataFrame, size: int, inner: int = 0, keep_zero: bool = False) -> DataFrame:
-    """Supervised pixels inside the edge margin, without exact zeros unless kept."""
-    edge = F.col("y").between(inner, size - 1 - inner) & F.col("x").between(inner, size - 1 - inner)
+    """Supervised pixels inside the edge margin of squares of this size, one above the other, without exact zeros unless kept."""
+    edge = (F.col("y") % size).between(inner, size - 1 - inner) & F.col("x").between(inner, size - 1 - inner)
     return px.where((F.col("sup") == 1) & edge & (F.lit(keep_zero) | (F.col("v") != 0)))
 
 
@@ -100,10 +100,14 @@ def tile_auc(px: DataFrame, tile: int, min_px: int) -> DataFrame:
 
 
 def window_auc(px: DataFrame, tile: int, tiles: int, size: int) -> DataFrame:
-    """AUC of sliding windows of tiles x tiles tiles: tile histograms are summed, pixels are counted once."""
+    """AUC of sliding windows of tiles x tiles tiles inside squares of this size: tile histograms are summed, pixels are counted once."""
     cut = px.withColumns({"ty": F.floor(F.col("y") / tile).cast("int"), "tx": F.floor(F.col("x") / tile).cast("int")})
-    hist, last = histogram(cut, "v", "ink", ["map_id", "ty", "tx"]), size // tile - tiles
-    spread = lambda c: F.explode(F.sequence(F.greatest(F.col(c) - tiles + 1, F.lit(0)), F.least(F.col(c), F.lit(last))))
+    hist, side = histogram(cut, "v", "ink", ["map_id", "ty", "tx"]), size // tile
+
+    def spread(c: str):
+        first = F.col(c) - F.col(c) % side  # of the square's tiles
+        return F.explode(F.sequence(F.greatest(F.col(c) - tiles + 1, first), F.least(F.col(c), first + side - tiles)))
+
     hist = hist.withColumn("wy", spread("ty")).withColumn("wx", spread("tx")).groupBy("map_id", "wy", "wx", "level").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     return auc_of(hist, ["map_id", "wy", "wx"])
 

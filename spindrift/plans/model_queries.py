@@ -26,12 +26,12 @@ def g1(t):
 
 @query("g2_interior_holes", views="px", sql="""
 WITH RECURSIVE h AS (SELECT y, x, y * 64 + x AS id FROM px WHERE map_id = 1 AND v < 60), e AS (SELECT a.id AS a, b.id AS b FROM h a JOIN h b ON abs(a.y - b.y) + abs(a.x - b.x) = 1), w(id, root) AS (SELECT id, id FROM h UNION SELECT e.b, w.root FROM w JOIN e ON e.a = w.id AND w.root < e.b),
-c AS (SELECT id, min(root) AS comp FROM w GROUP BY 1), o AS (SELECT DISTINCT comp FROM c JOIN h USING (id) WHERE y IN (0, 63) OR x IN (0, 63)) SELECT comp AS component, count(*) AS n FROM c WHERE comp NOT IN (SELECT comp FROM o) GROUP BY 1""")
+c AS (SELECT id, min(root) AS comp FROM w GROUP BY 1), o AS (SELECT DISTINCT comp FROM c JOIN h USING (id) WHERE y % 64 IN (0, 63) OR x IN (0, 63)) SELECT comp AS component, count(*) AS n FROM c WHERE comp NOT IN (SELECT comp FROM o) GROUP BY 1""")
 def g2(t):
     h = t.px.where("map_id = 1 and v < 60").select((F.col("y") * 64 + F.col("x")).alias("node"), "y", "x")
     step = h.select(F.col("node").alias("a"), "y", (F.col("x") + 1).alias("x")).unionByName(h.select(F.col("node").alias("a"), (F.col("y") + 1).alias("y"), "x"))
     c = g.components(h.select("node"), step.join(h, ["y", "x"]).select("a", F.col("node").alias("b"))).join(h, "node")
-    border = c.where("y in (0, 63) or x in (0, 63)").select("component").distinct()
+    border = c.where("y % 64 in (0, 63) or x in (0, 63)").select("component").distinct()
     return c.join(border, "component", "left_anti").groupBy("component").agg(F.count("*").alias("n"))
 
 

@@ -121,15 +121,13 @@ def w19(t):
 
 
 @query("w22_largest_square", views="px", sql="""
-WITH m AS (SELECT map_id, y, x FROM px WHERE v >= 20), s AS (SELECT unnest([2, 3, 4, 5, 6, 8, 10, 12]) AS s), f AS (SELECT a.map_id, s, a.y, a.x FROM m a, s JOIN m b ON b.map_id = a.map_id AND b.y BETWEEN a.y AND a.y + s - 1 AND b.x BETWEEN a.x AND a.x + s - 1 GROUP BY 1, 2, 3, 4 HAVING count(*) = max(s * s)) SELECT map_id, max(s) AS side, count(*) AS squares FROM f GROUP BY 1""")
+WITH m AS (SELECT map_id, y, x, x - row_number() OVER (PARTITION BY map_id, y ORDER BY x) AS island FROM px WHERE v >= 20),
+r AS (SELECT map_id, y, x, count(*) OVER (PARTITION BY map_id, y, island ORDER BY x DESC) AS run FROM m),
+f AS (SELECT a.map_id, a.y, a.x, b.y - a.y + 1 AS s, min(b.run) OVER w AS low, count(*) OVER w AS n FROM r a JOIN r b ON b.map_id = a.map_id AND b.x = a.x AND b.y BETWEEN a.y AND a.y + a.run - 1 WINDOW w AS (PARTITION BY a.map_id, a.y, a.x ORDER BY b.y)),
+k AS (SELECT map_id, s FROM f WHERE n = s AND low >= s), best AS (SELECT map_id, max(s) AS side FROM k GROUP BY 1)
+SELECT map_id, side, count(*) AS squares FROM best JOIN k USING (map_id) WHERE s = side GROUP BY 1, 2""")
 def w22(t):
-    m = t.px.where("v >= 20").select("map_id", "y", "x").withColumn("one", F.lit(1))
-    found = []
-    for s in (2, 3, 4, 5, 6, 8, 10, 12):
-        row = F.sum("one").over(W.partitionBy("map_id", "y").orderBy("x").rangeBetween(0, s - 1))
-        box = F.sum("row").over(W.partitionBy("map_id", "x").orderBy("y").rangeBetween(0, s - 1))
-        found.append(m.withColumn("row", row).withColumn("box", box).where(F.col("box") == s * s).select("map_id", F.lit(s).alias("s")))
-    return reduce(lambda a, b: a.unionByName(b), found).groupBy("map_id").agg(F.max("s").alias("side"), F.count("*").alias("squares"))
+    return gr.largest_square(t.px.where("v >= 20"))
 
 
 @query("t6_suggest_margin", views="px", sql="""
@@ -169,9 +167,13 @@ def g5(t):
     up = n.select(F.col("id").alias("u"), F.col("v").alias("uv"), (F.col("y") + 1).alias("y"), "x")
     p = n.join(left, ["y", "x"], "left").join(up, ["y", "x"], "left")
     tree = g.written(p.select("id", F.coalesce("l", "u", "id").alias("root"), (F.col("v") - F.coalesce("lv", "uv", "v")).cast("long").alias("climb")), "forest")
-    for _ in range(7):  # pointer doubling: paths are shorter than 2 ** 7 nodes on a lattice of 64 by 64
+    while True:  # pointer doubling until all stand at a root
         up_ = tree.select(F.col("id").alias("root"), F.col("root").alias("r2"), F.col("climb").alias("c2"))
-        tree = g.written(tree.join(up_, "root").select("id", F.col("r2").alias("root"), (F.col("climb") + F.when(F.col("id") == F.col("root"), 0).otherwise(F.col("c2"))).alias("climb")), "forest")
+        moved = tree.join(up_, "root").select("id", F.col("r2").alias("root"), (F.col("climb") + F.when(F.col("id") == F.col("root"), 0).otherwise(F.col("c2"))).alias("climb"), (F.col("r2") != F.col("root")).alias("moved"))
+        moved = g.written(moved, "forest")
+        tree = moved.drop("moved")
+        if not moved.where("moved").limit(1).count():
+            break
     return tree.groupBy("root").agg(F.count("*").alias("n"), F.sum("climb").alias("climb"))
 
 

@@ -42,11 +42,11 @@ def a2(t):
     return st.curve_stats(t.scored_docs, "score", "label", ["lang"])
 
 
-_SCORED = "sc AS (SELECT * FROM px WHERE sup = 1 AND v <> 0 AND y BETWEEN 2 AND 61 AND x BETWEEN 2 AND 61)"
+_SCORED = "sc AS (SELECT * FROM px WHERE sup = 1 AND v <> 0 AND y % 64 BETWEEN 2 AND 61 AND x BETWEEN 2 AND 61)"
 
 
 @query("p5_select_scored", views="px", sql="""
-SELECT map_id, count(*) FILTER (v <> 0) AS n_scored, count(*) FILTER (v = 0) AS n_zero, count(*) FILTER (v <> 0 AND ink = 1) AS n_ink FROM px WHERE sup = 1 AND y BETWEEN 2 AND 61 AND x BETWEEN 2 AND 61 GROUP BY 1""")
+SELECT map_id, count(*) FILTER (v <> 0) AS n_scored, count(*) FILTER (v = 0) AS n_zero, count(*) FILTER (v <> 0 AND ink = 1) AS n_ink FROM px WHERE sup = 1 AND y % 64 BETWEEN 2 AND 61 AND x BETWEEN 2 AND 61 GROUP BY 1""")
 def p5(t):
     kept = st.select_scored(t.px, 64, inner=2, keep_zero=True)
     return kept.groupBy("map_id").agg(F.count_if(F.col("v") != 0).alias("n_scored"), F.count_if(F.col("v") == 0).alias("n_zero"), F.count_if((F.col("v") != 0) & (F.col("ink") == 1)).alias("n_ink"))
@@ -63,7 +63,7 @@ def a3(t):
 
 
 @query("a4_window_auc", views="px", sql=f"""
-WITH {_SCORED}, c AS (SELECT * FROM sc, (SELECT unnest(range(0, 6)) AS wy), (SELECT unnest(range(0, 6)) AS wx) WHERE y // 8 BETWEEN wy AND wy + 2 AND x // 8 BETWEEN wx AND wx + 2),
+WITH {_SCORED}, c AS (SELECT sc.* EXCLUDE (y), y // 64 * 8 + w AS wy, wx FROM sc, (SELECT unnest(range(0, 6)) AS w), (SELECT unnest(range(0, 6)) AS wx) WHERE y // 8 % 8 BETWEEN w AND w + 2 AND x // 8 BETWEEN wx AND wx + 2),
 h AS (SELECT map_id, wy, wx, v AS level, sum(ink) AS a, sum(1 - ink) AS b FROM c GROUP BY 1, 2, 3, 4)
 {AUC.format(by="map_id, wy, wx", hist="h")}""")
 def a4(t):
@@ -71,12 +71,12 @@ def a4(t):
 
 
 def _blocks(t):
-    px = st.select_scored(t.px, 64, 2).withColumn("unit", (F.floor(F.col("y") / 16) * 4 + F.floor(F.col("x") / 16)).cast("long"))
+    px = st.select_scored(t.px, 64, 2).withColumn("unit", (F.floor(F.col("y") / 16) % 4 * 4 + F.floor(F.col("x") / 16)).cast("long"))
     return st.histogram(px, "v", "ink", ["map_id", "unit"]), rs.resample_weights(t.spark.range(16).select(F.col("id").alias("unit")), 16, 40, seed=1)
 
 
 _BOOT = f"""{_SCORED}, w AS (SELECT d AS draw, {_draw("s", "d", 1)} % 16 AS unit, count(*) AS weight FROM (SELECT unnest(range(0, 16)) AS s), (SELECT unnest(range(0, 40)) AS d) GROUP BY 1, 2),
-u AS (SELECT map_id, (y // 16) * 4 + x // 16 AS unit, v AS level, sum(ink) AS a, sum(1 - ink) AS b FROM sc GROUP BY 1, 2, 3),
+u AS (SELECT map_id, (y // 16 % 4) * 4 + x // 16 AS unit, v AS level, sum(ink) AS a, sum(1 - ink) AS b FROM sc GROUP BY 1, 2, 3),
 h AS (SELECT map_id, draw, level, sum(a * weight) AS a, sum(b * weight) AS b FROM u JOIN w USING (unit) GROUP BY 1, 2, 3),
 r AS ({AUC.format(by="map_id, draw", hist="h")})"""
 
@@ -267,12 +267,12 @@ def a23(t):
 
 @query("a24_shift_null", views="px", sql=f"""
 WITH m AS (SELECT * FROM px WHERE map_id = 0), s AS (SELECT unnest(range(1, 8)) * 8 AS dy, unnest(range(1, 8)) * 5 AS dx),
-j AS (SELECT s.dy, l.ink, v.v AS level FROM m l, s JOIN m v ON v.y = (l.y + s.dy) % 64 AND v.x = (l.x + s.dx) % 64 WHERE l.sup = 1 AND v.v <> 0), h AS (SELECT dy, level, sum(ink) AS a, sum(1 - ink) AS b FROM j GROUP BY 1, 2)
+j AS (SELECT s.dy, l.ink, v.v AS level FROM m l, s JOIN m v ON v.y = l.y - l.y % 64 + (l.y + s.dy) % 64 AND v.x = (l.x + s.dx) % 64 WHERE l.sup = 1 AND v.v <> 0), h AS (SELECT dy, level, sum(ink) AS a, sum(1 - ink) AS b FROM j GROUP BY 1, 2)
 {AUC.format(by="dy", hist="h")}""")
 def a24(t):
     m = t.px.where("map_id = 0")
     shifts = F.explode(F.transform(F.sequence(F.lit(1), F.lit(7)), lambda i: F.struct((i * 8).alias("dy"), (i * 5).alias("dx")))).alias("s")
-    labels = m.where("sup = 1").select("y", "x", "ink", shifts).select("ink", F.col("s.dy").alias("dy"), ((F.col("y") + F.col("s.dy")) % 64).alias("y"), ((F.col("x") + F.col("s.dx")) % 64).alias("x"))
+    labels = m.where("sup = 1").select("y", "x", "ink", shifts).select("ink", F.col("s.dy").alias("dy"), (F.col("y") - F.col("y") % 64 + (F.col("y") + F.col("s.dy")) % 64).alias("y"), ((F.col("x") + F.col("s.dx")) % 64).alias("x"))
     return st.auc(labels.join(m.where("v <> 0").select("y", "x", "v"), ["y", "x"]), "v", "ink", ["dy"])
 
 

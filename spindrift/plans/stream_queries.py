@@ -20,42 +20,67 @@ def r1(t):
     return rows.groupBy("event_type").agg(F.count("*").alias("n"))
 
 
+def _table(t, name):
+    """A table of versions and the folder of its stream's progress."""
+    return feeds.Versions(t.spark, shared_dir(t.spark, name)), shared_dir(t.spark, "progress")
+
+
 @query("r2_upsert", sql="SELECT user_id, arg_max(event_type, ts) AS event_type, min(ts) AS first_seen, max(ts) AS last_seen, count(DISTINCT ts) - 1 AS updates FROM events GROUP BY 1")
 def r2(t):
-    table = feeds.Versions(t.spark, "items")
-    feeds.upsert_stream(_events(t).select("user_id", "event_type", "ts"), table, "user_id", "ts", shared_dir(t.spark, "progress")).awaitTermination()
+    table, progress = _table(t, "items")
+    feeds.upsert_stream(_events(t).select("user_id", "event_type", "ts"), table, "user_id", "ts", progress).awaitTermination()
     return table.read().select("user_id", "event_type", "first_seen", "last_seen", "updates")
 
 
-@query("r3_evict", sql="SELECT user_id, max(ts) AS last_seen FROM events GROUP BY 1 HAVING max(ts) >= TIMESTAMP '2024-01-30 12:00:00'")
+@query("r3_evict", sql="SELECT user_id, max(ts) AS last_seen FROM events GROUP BY 1 HAVING max(ts) >= (SELECT max(ts) FROM events) - INTERVAL 12 HOURS")
 def r3(t):
-    state = feeds.upsert(None, t.events.select("user_id", "event_type", "ts"), "user_id", "ts")
-    return feeds.evict(state, "2024-01-31 00:00:00", "12 hours").select("user_id", "last_seen")
+    table, progress = _table(t, "items")
+    feeds.upsert_stream(_events(t).select("user_id", "event_type", "ts"), table, "user_id", "ts", progress, "12 hours").awaitTermination()
+    return table.read().select("user_id", "last_seen")
 
 
-@query("r4_stream_timeline", sql="""
-WITH b AS (SELECT time_bucket(INTERVAL 6 HOURS, ts) AS bin, event_type, count(*) AS n FROM events GROUP BY 1, 2) SELECT bin, event_type, n FROM b""")
+@query("r4_stream_timeline", sql="SELECT time_bucket(INTERVAL 6 HOURS, ts) AS bin, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def r4(t):
-    return feeds.run_to_table(feeds.timeline(_events(t), "ts", "event_type", "6 hours", "1 hour"), "timeline", "append").unionByName(_open_bins(t))
+    table, progress = _table(t, "timeline")
+    feeds.timeline_stream(_events(t), table, "ts", "event_type", "6 hours", "1 hour", progress).awaitTermination()
+    return table.read()
+
+
+@query("r7_ledger_stream", sql="SELECT event_id, user_id, value FROM events")
+def r7(t):
+    table, progress = _table(t, "ledger")
+    sent = _events(t).withColumn("_again", F.explode(F.array(F.lit(0), F.lit(1)))).select("event_id", "user_id", "value")
+    feeds.ledger_stream(sent, table, "event_id", progress).awaitTermination()
+    return table.read_all()
+
+
+@query("r9_late_activity", sql="""
+SELECT i.event_id AS id, a.event_id AS act_id FROM events i JOIN events a ON i.event_type = 'purchase' AND a.event_type = 'click' AND a.user_id = i.user_id AND a.ts BETWEEN i.ts - INTERVAL 2 HOURS AND i.ts + INTERVAL 2 HOURS""")
+def r9(t):
+    items = _events(t).where("event_type = 'purchase'").select(F.col("event_id").alias("id"), F.col("user_id").alias("who"), "ts")
+    acts = _events(t).where("event_type = 'click'").select(F.col("event_id").alias("act_id"), F.col("user_id").alias("who"), F.col("ts").alias("at"))
+    return feeds.run_to_table(feeds.with_activity(items, acts, "2 hours", "inner"), "activity")
 
 
-def _open_bins(t):
-    """The windows that the watermark has not passed when the stream's input ends."""
-    mark = t.events.agg((F.max("ts") - F.expr("interval 1 hour")).alias("mark"))
-    late = t.events.join(F.broadcast(mark))  # one row
-    w = F.window("ts", "6 hours")
-    return late.groupBy(w.alias("w"), "event_type").agg(F.count("*").alias("n"), F.first("mark").alias("mark")).where(F.col("w.end") > F.date_trunc("millisecond", "mark")).select(F.col("w.start").alias("bin"), "event_type", "n")
+@query("r10_stream_sessions", sql="""
+WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOURS THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
+SELECT user_id, min(ts) AS "start", max(ts) + INTERVAL 6 HOURS AS "end", count(*) AS n FROM s GROUP BY user_id, k""")
+def r10(t):
+    table, progress = _table(t, "sessions")
+    feeds.sessions_stream(_events(t), table, "ts", "user_id", "6 hours", "1 hour", progress).awaitTermination()
+    return table.read()
 
 
 @query("r6_watch", views="cat_old cat_new", sql="""
 SELECT coalesce(n.id, o.id) AS id, CASE WHEN o.id IS NULL THEN 'new' WHEN n.id IS NULL THEN 'gone' ELSE 'changed' END AS change FROM cat_old o FULL JOIN cat_new n ON o.id = n.id WHERE o.id IS NULL OR n.id IS NULL OR o.val <> n.val OR o.grp <> n.grp""")
 def r6(t):
     folder = shared_dir(t.spark, "snapshots")
-    seen, queue = feeds.Versions(t.spark, "seen"), feeds.Versions(t.spark, "queue")
-    schema, progress = t.cat_old.schema, shared_dir(t.spark, "progress")
-    for snapshot in (t.cat_old, t.cat_new):  # each arrives as a batch of its own
-        snapshot.coalesce(1).write.mode("append").parquet(folder)
-        feeds.watch_stream(feeds.read_stream(t.spark, folder, "*.parquet", schema), seen, queue, "id", ["grp", "val"], progress).awaitTermination()
+    seen, progress = _table(t, "seen")
+    queue = feeds.Versions(t.spark, shared_dir(t.spark, "queue"))
+    for n, snapshot in enumerate((t.cat_old, t.cat_new)):  # each arrives as a batch of its own: a batch takes all files that are new
+        snapshot.write.parquet(f"{folder}/{n}")
+        stream = feeds.read_stream(t.spark, f"{folder}/*", "*.parquet", t.cat_old.schema, 1_000_000)
+        feeds.watch_stream(stream, seen, queue, "id", ["grp", "val"], progress).awaitTermination()
     return queue.read().where("batch > 0").select("id", "change")
 
 

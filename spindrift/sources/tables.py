@@ -10,9 +10,9 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 
 VIEWS = {
-    # a lattice of three maps: value, truth and supervision for each pixel
+    # a lattice of three maps, 64 wide and 64 high for each 3,072 orders: value, truth and supervision for each pixel
     "px": """
-SELECT CAST(l_linenumber % 3 AS INT) AS map_id, CAST(l_orderkey % 64 AS INT) AS y, CAST(l_partkey % 64 AS INT) AS x,
+SELECT CAST(l_linenumber % 3 AS INT) AS map_id, CAST(FLOOR(l_orderkey / CAST(3072 AS DOUBLE)) * 64 + l_orderkey % 64 AS INT) AS y, CAST(l_partkey % 64 AS INT) AS x,
        CAST(MAX(CAST(FLOOR(l_extendedprice) AS BIGINT) % 256) AS INT) AS v,
        MAX(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS ink, MAX(CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END) AS sup
 FROM {lineitem} GROUP BY 1, 2, 3""",
@@ -39,7 +39,7 @@ FROM {orders}""",
     "feed": """
 SELECT e.event_id AS id, e.event_type AS source, d.lang AS kind, d.source AS topic, d.text AS title,
        e.ts, CAST(e.event_id % 101 AS INT) AS score, e.user_id AS who, e.value AS popularity
-FROM {events} e JOIN {documents} d ON e.event_id % 200 = d.doc_id""",
+FROM {events} e CROSS JOIN (SELECT COUNT(*) AS n FROM {documents}) k JOIN {documents} d ON e.event_id % k.n = d.doc_id""",
     "cat_old": "SELECT s_suppkey AS id, s_nationkey AS grp, s_acctbal AS val FROM {supplier} WHERE s_suppkey % 10 <> 3",
     "cat_new": "SELECT s_suppkey AS id, s_nationkey AS grp, CASE WHEN s_suppkey % 7 = 0 THEN s_acctbal + 1 ELSE s_acctbal END AS val FROM {supplier} WHERE s_suppkey % 10 <> 5",
     "bill": """

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from ..operators.graph import shared_dir
-from ..operators.setops import snapshot_diff
+from ..operators.setops import ledger_append, snapshot_diff
 
 
 def read_stream(spark: SparkSession, folder: str, pattern: str, schema: StructType, files_per_trigger: int = 1) -> DataFrame:
@@ -31,27 +32,54 @@ def sessions(stream: DataFrame, time: str, by: str, gap: str, late: str) -> Data
     return stream.withWatermark(time, late).groupBy(F.session_window(time, gap).alias("w"), by).agg(F.count("*").alias("n")).select(by, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
-def with_activity(items: DataFrame, acts: DataFrame, slack: str) -> DataFrame:
-    """Stream-stream join: activity within slack of an item's time; both sides carry watermarks, so state is bounded."""
+def with_activity(items: DataFrame, acts: DataFrame, slack: str, how: str = "leftOuter") -> DataFrame:
+    """Stream-stream join: activity within slack of an item's time; both sides carry watermarks, so state is bounded.
+
+    With leftOuter an item without activity comes once the watermark has passed its time and the slack.
+    """
     i = items.withWatermark("ts", slack).alias("i")
     a = acts.withWatermark("at", slack).alias("a")
     close = (F.col("i.who") == F.col("a.who")) & (F.col("a.at") >= F.col("i.ts") - F.expr(f"interval {slack}")) & (F.col("a.at") <= F.col("i.ts") + F.expr(f"interval {slack}"))
-    return i.join(a, close, "leftOuter").select(F.col("i.id").alias("id"), F.col("a.act_id").alias("act_id"))
+    return i.join(a, close, how).select(F.col("i.id").alias("id"), F.col("a.act_id").alias("act_id"))
 
 
 class Versions:
-    """A table kept as numbered folders: a batch writes the next one, a retried batch writes its own again."""
+    """A table kept as numbered folders below root, one for each batch of one stream, whose checkpoint belongs to it.
+
+    A batch reads only versions of earlier batches and writes its own, so a batch that is run again gives the same table;
+    a new process finds the newest finished version by its record.
+    """
+
+    def __init__(self, spark: SparkSession, root: str) -> None:
+        self.spark, self.root = spark, root.rstrip("/")
+
+    def newest(self, before: int | None = None) -> int | None:
+        try:
+            done = self.spark.read.schema("batch int").parquet(f"{self.root}/done")
+            return done.where(F.lit(True) if before is None else F.col("batch") < before).agg(F.max("batch").alias("n")).first()["n"]
+        except AnalysisException as e:
+            if e.getCondition() == "PATH_NOT_FOUND":
+                return None
+            raise
 
-    def __init__(self, spark: SparkSession, name: str) -> None:
-        self.spark, self.root, self.current = spark, shared_dir(spark, name), None
+    def read(self, before: int | None = None) -> DataFrame | None:
+        """The newest finished version, or that before a batch; None if there is none."""
+        n = self.newest(before)
+        return None if n is None else self.spark.read.parquet(f"{self.root}/rows/batch={n}")
 
-    def read(self) -> DataFrame | None:
-        return self.spark.read.parquet(self.current) if self.current else None
+    def read_all(self, before: int | None = None) -> DataFrame | None:
+        """The rows of all finished batches, or of those before a batch, for tables to which batches add."""
+        n = self.newest(before)
+        return None if n is None else self.spark.read.parquet(f"{self.root}/rows").where(F.col("batch") <= n).drop("batch")
 
     def replace(self, df: DataFrame, batch: int) -> None:
-        path = f"{self.root}/{batch:08d}"
-        df.write.mode("overwrite").parquet(path)
-        self.current = path
+        df.write.mode("overwrite").parquet(f"{self.root}/rows/batch={batch}")
+        self.spark.range(1).select(F.lit(batch).cast("int").alias("batch")).coalesce(1).write.mode("append").parquet(f"{self.root}/done")
+
+
+def _into(stream: DataFrame, table: Versions, step, checkpoint: str, mode: str = "append") -> StreamingQuery:
+    """Each batch makes the table's next version by step(version before, rows of the batch)."""
+    return stream.writeStream.outputMode(mode).foreachBatch(lambda df, n: table.replace(step(table.read(n), df), n)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def upsert(state: DataFrame | None, batch: DataFrame, key: str, time: str) -> DataFrame:
@@ -71,17 +99,46 @@ def evict(state: DataFrame, now, retention: str) -> DataFrame:
     return state.where(F.col("last_seen") >= F.lit(now).cast("timestamp") - F.expr(f"interval {retention}"))
 
 
-def upsert_stream(stream: DataFrame, table: Versions, key: str, time: str, checkpoint: str) -> StreamingQuery:
-    return stream.writeStream.foreachBatch(lambda df, n: table.replace(upsert(table.read(), df, key, time), n)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def upsert_stream(stream: DataFrame, table: Versions, key: str, time: str, checkpoint: str, retention: str | None = None) -> StreamingQuery:
+    """Upserts of each batch; with a retention, rows last seen longer before the newest one are evicted."""
+
+    def step(state: DataFrame | None, df: DataFrame) -> DataFrame:
+        new = upsert(state, df, key, time)
+        return new if retention is None else evict(new, new.agg(F.max("last_seen")).first()[0], retention)
+
+    return _into(stream, table, step, checkpoint)
+
+
+def ledger_stream(stream: DataFrame, table: Versions, key: str, checkpoint: str) -> StreamingQuery:
+    """Rows by key, each once and as it first came, whatever is sent again: batches add their new rows, :meth:`Versions.read_all` reads them."""
+
+    def step(df: DataFrame, n: int) -> None:
+        ledger = table.read_all(n)
+        table.replace(ledger_append(df.limit(0) if ledger is None else ledger, df, key), n)
+
+    return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def timeline_stream(stream: DataFrame, table: Versions, time: str, by: str, width: str, late: str, checkpoint: str) -> StreamingQuery:
+    """Tumbling counts so far, open windows included: each batch updates the windows that it touches."""
+
+    def step(state: DataFrame | None, df: DataFrame) -> DataFrame:
+        return df if state is None else df.unionByName(state.join(df, ["bin", by], "left_anti"))
+
+    return _into(timeline(stream, time, by, width, late), table, step, checkpoint, "update")
+
+
+def sessions_stream(stream: DataFrame, table: Versions, time: str, by: str, gap: str, late: str, checkpoint: str) -> StreamingQuery:
+    """All sessions so far, those still open included."""
+    return _into(sessions(stream, time, by, gap, late), table, lambda state, df: df, checkpoint, "complete")
 
 
 def watch_stream(stream: DataFrame, seen: Versions, queue: Versions, key: str, cols: list[str], checkpoint: str) -> StreamingQuery:
-    """Each batch is a snapshot: its differences to the last one join the queue."""
+    """Each batch is a snapshot: its differences to the last one join the queue. Both tables are read as of the batch before, so a batch that is run again counts once."""
 
     def step(df: DataFrame, n: int) -> None:
-        old = seen.read()
+        old, before = seen.read(n), queue.read(n)
         change = snapshot_diff(old if old is not None else df.limit(0), df, key, cols).withColumn("batch", F.lit(n))
-        before = queue.read()
         queue.replace(change if before is None else before.unionByName(change), n)
         seen.replace(df, n)
 
