@@ -66,28 +66,46 @@ def box_scan(df: DataFrame, box: dict[str, tuple[float, float]], family: str | N
 
 
 def box_pairs(df: DataFrame, axes: list[str], size: float) -> DataFrame:
-    """Pairs of boxes that overlap on all axes. A pair is made in the first cell that both cover, so it is made once."""
+    """Pairs of boxes that overlap on all axes, a < b by id.
+
+    Cells of a level are twice as wide as those of the one below. A box belongs to the level at which it covers at most two cells an axis, and is
+    also looked up at the levels above, so a box of any extent makes few rows. Two boxes meet at the upper one's level, in the first cell that both
+    cover there, so a pair is made once.
+    """
+    extent = F.greatest(*[F.col(f"bmax_{x}") - F.col(f"bmin_{x}") for x in axes]) if len(axes) > 1 else F.col(f"bmax_{axes[0]}") - F.col(f"bmin_{axes[0]}")
+    own = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(extent / size, F.lit(1e-300))))).cast("int")
+    boxes = df.select("id", *[f"bm{n}_{x}" for n in ("in", "ax") for x in axes], own.alias("own"))
+    top = boxes.agg(F.coalesce(F.max("own"), F.lit(0)).alias("top"))
+
     def cover(d: DataFrame) -> DataFrame:
         for x in axes:
-            d = d.withColumn(f"_{x}", F.explode(F.sequence(cell(f"bmin_{x}", size), cell(f"bmax_{x}", size))))
+            wide = size * F.pow(F.lit(2.0), F.col("_l"))
+            d = d.withColumn(f"_{x}", F.explode(F.sequence(F.floor(F.col(f"bmin_{x}") / wide), F.floor(F.col(f"bmax_{x}") / wide))))
         return d
 
-    a, b = cover(df).alias("a"), cover(df).alias("b")
-    on = F.col("a.id") < F.col("b.id")
+    named = lambda d, n: d.select(*[F.col(c).alias(f"{n}_{c}") for c in boxes.columns], "_l", *[f"_{x}" for x in axes])
+    upper = named(cover(boxes.withColumn("_l", F.col("own"))), "p")
+    lower = named(cover(boxes.join(F.broadcast(top)).withColumn("_l", F.explode(F.sequence(F.col("own"), F.col("top")))).drop("top")), "q")  # one row
+    both = upper.join(lower, ["_l", *[f"_{x}" for x in axes]]).where((F.col("q_own") < F.col("p_own")) | (F.col("p_id") < F.col("q_id")))
+    wide = size * F.pow(F.lit(2.0), F.col("_l"))
     for x in axes:
-        on = on & (F.col(f"a._{x}") == F.col(f"b._{x}")) & (F.col(f"a._{x}") == F.greatest(cell(F.col(f"a.bmin_{x}"), size), cell(F.col(f"b.bmin_{x}"), size)))
-        on = on & (F.col(f"a.bmin_{x}") <= F.col(f"b.bmax_{x}")) & (F.col(f"b.bmin_{x}") <= F.col(f"a.bmax_{x}"))
-    return a.join(b, on).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
+        both = both.where((F.col(f"_{x}") == F.floor(F.greatest(f"p_bmin_{x}", f"q_bmin_{x}") / wide)) & (F.col(f"p_bmin_{x}") <= F.col(f"q_bmax_{x}")) & (F.col(f"q_bmin_{x}") <= F.col(f"p_bmax_{x}")))
+    return both.where("p_id <> q_id").select(F.least("p_id", "q_id").alias("a"), F.greatest("p_id", "q_id").alias("b"))
 
 
 def asof_interp(points: DataFrame, line: DataFrame, z: str, value: str, width: float) -> DataFrame:
     """points with the line's value at z: linear between control points, constant beyond them.
 
-    Intervals are spread over the cells of the z axis they cover and joined by cell. line: z, value, one row per z.
+    A control point's successor is found inside its cell of the z axis, for a cell's last point in the next cell that has one: only the cells' first
+    points are ordered as a whole. Intervals are spread over the cells they cover and joined by cell. line: z, value, one row per z.
     """
-    order = W.orderBy("_z")  # the control points of one line
-    pts = line.select(F.col(z).alias("_z"), F.col(value).alias("_v"))
-    iv = pts.select("_z", "_v", F.lead("_z").over(order).alias("_z2"), F.lead("_v").over(order).alias("_v2")).where("_z2 is not null")
+    pts = line.select(F.col(z).alias("_z"), F.col(value).alias("_v"), cell(z, width).alias("_k"))
+    firsts = pts.groupBy("_k").agg(F.min("_z").alias("_fz"), F.min_by("_v", "_z").alias("_fv"))
+    cells = W.orderBy("_k")  # one row for each cell that has a point
+    following = firsts.select("_k", F.lead("_fz").over(cells).alias("_nz"), F.lead("_fv").over(cells).alias("_nv"))
+    inside = W.partitionBy("_k").orderBy("_z")
+    iv = pts.withColumns({"_z2": F.lead("_z").over(inside), "_v2": F.lead("_v").over(inside)}).join(following, "_k")
+    iv = iv.select("_z", "_v", F.coalesce("_z2", "_nz").alias("_z2"), F.when(F.col("_z2").isNull(), F.col("_nv")).otherwise(F.col("_v2")).alias("_v2")).where("_z2 is not null")
     ends = pts.agg(F.min("_z").alias("z_low"), F.min_by("_v", "_z").alias("v_low"), F.max("_z").alias("z_high"), F.max_by("_v", "_z").alias("v_high"))
     iv = iv.withColumn("_c", F.explode(F.sequence(cell("_z", width), cell("_z2", width))))
     p = points.join(F.broadcast(ends)).withColumn("_c", cell(z, width))  # ends is one row

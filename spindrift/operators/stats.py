@@ -166,3 +166,9 @@ def hash_rank(df: DataFrame, key: str, by: list[str], seed: int, number: Column
 
 def tally(df: DataFrame, key: str) -> DataFrame:
     return df.groupBy(F.col(key).alias("value")).agg(F.count("*").alias("n"))
+
+
+def people_by_works(items: DataFrame, works: DataFrame, key: str, who: str, score: str) -> DataFrame:
+    """who, total, works, items: each work (component of similar items of a person) is worth its best score. works: node, component."""
+    best = items.join(works, items[key] == works["node"]).groupBy(who, "component").agg(F.max(score).alias("best"), F.count("*").alias("items"))
+    return best.groupBy(who).agg(F.sum("best").alias("total"), F.count("*").alias("works"), F.sum("items").alias("items"))

@@ -39,6 +39,18 @@ def similar(df: DataFrame, key: str, vector: str, k: int, every: int = 50, block
     return local.withColumn("place", best([])).where(F.col("place") <= k).select("query", key, "cosine", "place")
 
 
+def sim_pairs(df: DataFrame, key: str, by: str, vector: str, least: float, blocks: int = 16) -> DataFrame:
+    """a, b, cosine: pairs of rows of one group at least that similar.
+
+    Rows are dealt into blocks by hash and pairs of blocks meet, so a large group is compared by many tasks; only pairs that are similar leave them.
+    """
+    unit = normalize(df.select(key, by, vector), vector).withColumn("_b", F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int"))
+    left = unit.select(F.col(by).alias("_g"), F.col(key).alias("a"), F.col(vector).alias("_u"), F.col("_b").alias("_i"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_j"))
+    right = unit.select(F.col(by).alias("_g"), F.col(key).alias("b"), F.col(vector).alias("_v"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_i"), F.col("_b").alias("_j"))
+    cosine = F.round(dot(F.col("_u"), F.col("_v")), 6)
+    return left.join(right, ["_g", "_i", "_j"]).where(F.col("a") < F.col("b")).select("a", "b", cosine.alias("cosine")).where(F.col("cosine") >= least)
+
+
 def anchor_score(df: DataFrame, key: str, vector: str, anchors: DataFrame, floor: float, ceiling: float) -> DataFrame:
     """key, best anchor and its cosine rescaled from floor..ceiling to 0..1. anchors: anchor, vector; a handful of rows."""
     unit, a = normalize(df.select(key, vector), vector), normalize(anchors.select("anchor", F.col(vector).alias("_a")), "_a")

@@ -30,9 +30,9 @@ def read_ledger(spark: SparkSession, path: str, schema: StructType | None = None
     return reader.schema(schema).csv(path) if schema else reader.csv(path)
 
 
-def collect_records(spark: SparkSession, path: str, schema: StructType, pattern: str = "provenance*.json", required: str | None = None) -> DataFrame:
-    """JSON records of a name below a folder; unreadable or shapeless ones are skipped."""
-    df = spark.read.schema(schema).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
+def collect_records(spark: SparkSession, path: str, schema: StructType, pattern: str = "provenance*.json", required: str | None = None, one_each: bool = True) -> DataFrame:
+    """JSON records of a name below a folder, one in each file or one in each line; unreadable or shapeless ones are skipped."""
+    df = spark.read.schema(schema).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).option("multiLine", one_each).option("mode", "PERMISSIVE").json(path)
     return df.where(F.col(required or schema.fieldNames()[0]).isNotNull())
 
 
