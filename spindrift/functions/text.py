@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The five predefined character references and the no-break space.
@@ -90,8 +90,8 @@ def letter_hits(a: Column, b: Column) -> Column:
 
 
 def term_hits(c: Column, terms: list[str]) -> Column:
-    """Distinct terms of a list that stand in the text as whole words, lower-cased and sorted."""
-    pattern = r"\b(" + "|".join(sorted(map(str.lower, terms), key=lambda x: (-len(x), x))) + r")\b"
+    """Distinct terms of a list that stand in the text as whole words of letters, digits and _ of any script, lower-cased and sorted."""
+    pattern = r"(?<![\p{L}\p{N}_])(" + "|".join(sorted(map(str.lower, terms), key=lambda x: (-len(x), x))) + r")(?![\p{L}\p{N}_])"
     return F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(pattern), F.lit(1))))
 
 
@@ -103,14 +103,27 @@ def keyword_score(c: Column, groups: dict[str, tuple[list[str], int, int]], nega
     return F.greatest(F.lit(0), F.least(F.lit(100), total)), parts
 
 
+def has_word(c: Column, terms: list[str]) -> Column:
+    """Whether one of the terms stands in the text as a whole word."""
+    return F.lower(c).rlike(r"(^|[^\p{L}\p{N}_])(" + "|".join(terms) + r")([^\p{L}\p{N}_]|$)")
+
+
 def words(c: Column) -> Column:
     return F.split(c, " ")
 
 
-def windows_at(w: Column, query_words: int, gram: int) -> Column:
-    """Array of (gram, window) for a column of words: at each word, the next few words as a key and the next query_words words.
+def locate(queries: DataFrame, texts: DataFrame, query: str, key: str, gram: int, broadcast_rows: int = 100_000) -> DataFrame:
+    """query, candidates, distance, key, start: where each query reads best in the texts, by edit distance. queries and texts: an id and w, an array of words.
 
-    w is a column of its own (not an expression), else every window would split the text again.
+    Every run of ``gram`` words that both share proposes the window that lines it up; windows are as long as the query. The queries' runs are
+    broadcast up to a checked count.
     """
-    part = lambda i, n: F.array_join(F.slice(w, i, F.lit(n)), " ")
-    return F.when(F.size(w) >= query_words, F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - query_words + 1, F.lit(1))), lambda i: F.struct(part(i, gram).alias("gram"), part(i, query_words).alias("window"))))
+    runs = lambda df, at: df.where(F.size("w") >= gram).select("*", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("w") - gram + 1), lambda i: F.array_join(F.slice("w", i, F.lit(gram)), " "))).alias(at, "g"))
+    wanted = runs(queries, "i").select(query, F.size("w").alias("n"), "i", "g")
+    wanted = F.broadcast(wanted) if wanted.count() <= broadcast_rows else wanted
+    spots = runs(texts, "j").drop("w").join(wanted, "g").select(query, key, F.greatest(F.lit(0), F.col("j") - F.col("i")).alias("start"), "n").distinct()
+    read = spots.join(queries.select(query, F.array_join("w", " ").alias("q")), query).join(texts, key)
+    window = F.array_join(F.slice("w", F.col("start") + 1, F.col("n")), " ")
+    found = read.select(query, key, "start", F.levenshtein("q", window).alias("distance"))
+    best = F.min(F.struct("distance", key, "start")).alias("b")
+    return found.groupBy(query).agg(F.count("*").alias("candidates"), best).select(query, "candidates", "b.distance", f"b.{key}", "b.start")

@@ -322,11 +322,15 @@ _TERMS = {"core": (["the", "and"], 15, 30), "topic": (["with", "from", "this"],
 
 
 @query("x4_keyword_score", sql="""
-WITH w AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9_à-ÿ]+')) AS w FROM documents WHERE lang = 'en')
-SELECT doc_id, greatest(0, least(100, least(len(list_intersect(w, ['the', 'and'])) * 15, 30) + least(len(list_intersect(w, ['with', 'from', 'this'])) * 10, 20) + least(len(list_intersect(w, ['for', 'that'])) * 5, 10) - len(list_intersect(w, ['idiot', 'moron'])) * 25))::INT AS score FROM w""")
+WITH w AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS w FROM documents),
+p AS (SELECT doc_id, least(len(list_intersect(w, ['the', 'and'])) * 15, 30) AS core, least(len(list_intersect(w, ['with', 'from', 'this'])) * 10, 20) AS topic, least(len(list_intersect(w, ['for', 'that'])) * 5, 10) AS form, len(list_intersect(w, ['idiot', 'moron'])) * 25 AS cost FROM w)
+SELECT doc_id, CASE WHEN core > 0 THEN greatest(0, least(100, core + topic + form - cost)) ELSE 0 END::INT AS score, concat_ws(',', CASE WHEN core > 0 THEN 'core:' || core END, CASE WHEN topic > 0 THEN 'topic:' || topic END, CASE WHEN form > 0 THEN 'form:' || form END) AS parts FROM p""")
 def x4(t):
-    score, _ = tx.keyword_score(F.col("text"), _TERMS, ["idiot", "moron"], 25)
-    return t.documents.where("lang = 'en'").select("doc_id", score.alias("score"))
+    score, parts = tx.keyword_score(F.col("text"), _TERMS, ["idiot", "moron"], 25)
+    gate = F.exists("parts", lambda p: (p["label"] == "core") & (p["points"] > 0))  # without a core term nothing counts
+    scored = t.documents.select("doc_id", score.alias("score"), parts.alias("parts"))
+    told = F.transform(F.filter("parts", lambda p: p["points"] > 0), lambda p: F.concat_ws(":", p["label"], p["points"].cast("string")))
+    return scored.select("doc_id", F.when(gate, F.col("score")).otherwise(0).cast("int").alias("score"), F.array_join(told, ",").alias("parts"))
 
 
 @query("x5_finish_scores", views="feed", sql="""
@@ -381,23 +385,31 @@ def x14(t):
     return lines.where(F.trim("line") != "").select("doc_id", "block", F.length("line").alias("n_chars"), F.col("line").contains(" | ").alias("table_row"))
 
 
-@query("x15_fingerprint", sql="SELECT source, sha256(string_agg(doc_id || ':' || md5(text), ',' ORDER BY doc_id)) AS digest FROM documents GROUP BY 1")
+@query("x15_fingerprint", sql="""
+WITH a AS (SELECT source, doc_id // 1000 AS k, sha256(string_agg(doc_id || ':' || md5(text), ',' ORDER BY doc_id)) AS h FROM documents GROUP BY 1, 2), b AS (SELECT source, k // 1000 AS k, sha256(string_agg(k || ':' || h, ',' ORDER BY k)) AS h FROM a GROUP BY 1, 2), c AS (SELECT source, k // 1000 AS k, sha256(string_agg(k || ':' || h, ',' ORDER BY k)) AS h FROM b GROUP BY 1, 2)
+SELECT source, sha256(string_agg(k || ':' || h, ',' ORDER BY k)) AS digest FROM c GROUP BY 1""")
 def x15(t):
-    rows = t.documents.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("doc_id", F.md5("text").alias("h")))).alias("m"))
-    return rows.select("source", F.sha2(F.array_join(F.transform("m", lambda x: F.concat_ws(":", x["doc_id"].cast("string"), x["h"])), ","), 256).alias("digest"))
+    """A digest of digests: a group at a level holds at most a thousand ranges of ids, whatever the source's size (up to 10 ** 12 ids)."""
+    level = t.documents.select("source", F.col("doc_id").alias("k"), F.md5("text").alias("h"))
+    for by in (["source", "up"], ["source", "up"], ["source", "up"], ["source"]):
+        joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "h"))), lambda x: F.concat_ws(":", x["k"].cast("string"), x["h"])), ",")
+        level = level.withColumn("up", F.floor(F.col("k") / 1000)).groupBy(*by).agg(F.sha2(joined, 256).alias("h")).withColumnRenamed("up", "k")
+    return level.select("source", F.col("h").alias("digest"))
 
 
-@query("x16_said", sql="SELECT conv_id, turn, left(trim(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')), 80) AS said FROM conversations WHERE NOT contains(text, '```') AND NOT contains(text, '<!--') AND NOT contains(text, '>')")
+@query("x16_said", sql="SELECT conv_id, turn, left(trim(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')), 80) AS said FROM conversations")
 def x16(t):
-    plain = ~F.contains(F.col("text"), F.lit("```")) & ~F.contains(F.col("text"), F.lit("<!--")) & ~F.contains(F.col("text"), F.lit(">"))
-    return t.conversations.where(plain).select("conv_id", "turn", tx.said(F.col("text"), 80).alias("said"))
+    k = F.col("conv_id") % 4  # planted around the text: a comment, a fence, quoted lines
+    wrapped = F.when(k == 0, F.concat(F.lit("<!-- a\nnote -->"), "text")).when(k == 1, F.concat("text", F.lit("\n```py\nx > 1\n``` "))).when(k == 2, F.concat(F.lit("> said before\n> by others\n"), "text")).otherwise(F.col("text"))
+    return t.conversations.select("conv_id", "turn", tx.said(wrapped, 80).alias("said"))
 
 
 @query("x13_wording", sql="""
-WITH s AS (SELECT doc_id, unnest(string_split(text, '. ')) AS s FROM documents WHERE lang = 'en') SELECT doc_id, count(*) AS sentences, count(*) FILTER (regexp_matches(lower(s), '\\b(worthless|pathetic|idiot)\\b') AND NOT regexp_matches(lower(s), '\\b(not|no)\\b')) AS findings FROM s GROUP BY 1""")
+WITH s AS (SELECT doc_id, unnest(string_split(text, '. ')) AS s FROM documents) SELECT doc_id, count(*) AS sentences,
+ count(*) FILTER (regexp_matches(lower(s), '(^|[^\\p{L}\\p{N}_])(worthless|pathetic|idiot)([^\\p{L}\\p{N}_]|$)') AND NOT regexp_matches(lower(s), '(^|[^\\p{L}\\p{N}_])(not|no|never|nor)([^\\p{L}\\p{N}_]|$)')) AS findings FROM s GROUP BY 1""")
 def x13(t):
-    s = t.documents.where("lang = 'en'").select("doc_id", F.explode(F.split("text", r"\. ")).alias("s"))
-    bad = F.lower("s").rlike(r"\b(worthless|pathetic|idiot)\b") & ~F.lower("s").rlike(r"\b(not|no)\b")
+    s = t.documents.select("doc_id", F.explode(F.split("text", r"\. ")).alias("s"))
+    bad = tx.has_word(F.col("s"), ["worthless", "pathetic", "idiot"]) & ~tx.has_word(F.col("s"), ["not", "no", "never", "nor"])
     return s.groupBy("doc_id").agg(F.count("*").alias("sentences"), F.count_if(bad).alias("findings"))
 
 

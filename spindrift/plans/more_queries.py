@@ -241,15 +241,18 @@ def e6(t):
     return a.groupBy("m", "cx", "cy").agg(r6(F.sum(F.abs(d)) / (2 * F.pi())).alias("turns"))
 
 
-@query("x11_locate", sql="""
-WITH q AS (SELECT item_id, string_split(text, ' ') AS w FROM benchmark), k AS (SELECT item_id, array_to_string(w[1:3], ' ') AS gram, array_to_string(w[1:10], ' ') AS q FROM q WHERE len(w) >= 10),
-t AS (SELECT doc_id, string_split(text, ' ') AS w FROM documents WHERE lang = 'en'), p AS (SELECT doc_id, w, unnest(range(1, len(w) - 8)) AS i FROM t WHERE len(w) >= 10), x AS (SELECT doc_id, array_to_string(w[i:i + 2], ' ') AS gram, array_to_string(w[i:i + 9], ' ') AS win FROM p)
-SELECT item_id, count(*) AS candidates, min(levenshtein(win, q))::INT AS distance FROM k JOIN x USING (gram) GROUP BY 1""")
+_FOLD = "trim(regexp_replace(upper(translate(text, 'ßàáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ', 'saaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY')), '[^A-Z]+', ' ', 'g'))"
+
+
+@query("x11_locate", sql=f"""
+WITH q AS (SELECT item_id, string_split({_FOLD}, ' ') AS w FROM benchmark), d AS (SELECT doc_id, string_split({_FOLD}, ' ') AS w FROM documents),
+qg AS (SELECT item_id, len(w) AS n, i, array_to_string(w[i:i + 2], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - 1)) AS i FROM q WHERE len(w) >= 3)), dg AS (SELECT doc_id, j, array_to_string(w[j:j + 2], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - 1)) AS j FROM d WHERE len(w) >= 3)),
+c AS (SELECT DISTINCT item_id, doc_id, greatest(1, j - i + 1) AS s, n FROM qg JOIN dg USING (g)), l AS (SELECT item_id, doc_id, s, levenshtein(array_to_string(q.w, ' '), array_to_string(d.w[s:s + n - 1], ' ')) AS distance FROM c JOIN q USING (item_id) JOIN d USING (doc_id)),
+r AS (SELECT *, count(*) OVER (PARTITION BY item_id) AS candidates, row_number() OVER (PARTITION BY item_id ORDER BY distance, doc_id, s) AS k FROM l)
+SELECT item_id, candidates, distance::INT AS distance, doc_id, (s - 1)::INT AS "start" FROM r WHERE k = 1""")
 def x11(t):
-    q = t.benchmark.select("item_id", tx.words(F.col("text")).alias("w")).where(F.size("w") >= 10)
-    q = q.select("item_id", F.array_join(F.slice("w", 1, 3), " ").alias("gram"), F.array_join(F.slice("w", 1, 10), " ").alias("q"))
-    x = t.documents.where("lang = 'en'").select(tx.words(F.col("text")).alias("w")).select(F.explode(tx.windows_at(F.col("w"), 10, 3)).alias("x")).select("x.gram", "x.window")
-    return x.join(q, "gram").groupBy("item_id").agg(F.count("*").alias("candidates"), F.min(F.levenshtein("window", "q")).alias("distance"))
+    fold = lambda df, key: df.select(key, F.split(tx.letters_only(F.col("text")), " ").alias("w"))
+    return tx.locate(fold(t.benchmark, "item_id"), fold(t.documents, "doc_id"), "item_id", "doc_id", 3)
 
 
 @query("j7_missing_sector", sql="""
