@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, few, folded_words, gram_hashes, pick, spread_join, text_keys, written
+from .common import HOT_KEYS, WordHashes, few, folded_words, gram_hashes, pick, spread_join, text_keys, written
 
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 _ALIGNED = "row long, source long, start long, end long, source_start long, source_end long, matched long, identity double"
@@ -530,6 +530,32 @@ def _exact(plain: DataFrame, keys: DataFrame, shared: DataFrame, found: DataFram
     return both.groupBy("row").agg(F.collect_list(F.struct("source", (F.col("pos") * STEP).alias("at"), (F.col("other") * STEP).alias("other"))).alias("seeds"))  # bounded by the text's words
 
 
+def _hot_grams(seeds: DataFrame, of: int = 64, least: int = 1000) -> DataFrame:
+    """The grams that more than about ``least`` texts share, or more of a larger table, so that they are :data:`HOT_KEYS` or so at most. Counted in every
+    ``of``-th text: this only decides which of two ways a gram takes to the same result."""
+    some = written(seeds.where(F.pmod(F.xxhash64("row"), F.lit(of)) == 0).groupBy("gram").agg(F.count("*").alias("n")).where("n > 1"), "frequent")
+    most = max(least, (some.agg(F.sum("n")).first()[0] or 0) * of // HOT_KEYS)
+    return written(some.where(F.col("n") * of > most).select("gram"), "hot-grams")
+
+
+def _anchored(seeds: DataFrame) -> DataFrame:
+    """row, at, source, other of the seeds (row, gram, at) that several texts hold: their first text and the place there.
+
+    Seeds move once, by gram; hot grams do not move at all, their anchors come from partial minima and are broadcast.
+    """
+    hot = _hot_grams(seeds)
+    # a text has one place that is not negative for each seed
+    key = F.col("row") * 2 + (F.col("at") < 0).cast("long")
+    anchor = [F.count_if(F.col("at") >= 0).alias("n"), F.min(key).alias("first"), F.min_by("at", key).alias("other")]
+    anchors = lambda df: df.groupBy("gram").agg(*anchor).where("n > 1").select("gram", F.shiftright("first", 1).alias("source"), "other")
+    cold = seeds.join(F.broadcast(hot), "gram", "left_anti").repartition("gram")
+    out = cold.join(anchors(cold).hint("merge"), "gram")
+    if hot.limit(1).count():
+        warm = seeds.join(F.broadcast(hot), "gram")  # HOT_KEYS or so
+        out = out.unionByName(warm.join(F.broadcast(written(anchors(warm), "hot-anchors")), "gram"))
+    return out.select("row", F.greatest("at", F.bitwise_not("at")).alias("at"), "source", "other")
+
+
 def repeated_passages(docs: DataFrame, k: int = 6, window: int = 6, min_words: int = 50, min_identity: float = 0.8, gap: int = 40, cost: float = 0.1, margin: int = 128) -> DataFrame:
     """A row for each passage of a document that an earlier document (by input order) holds too: word spans in both, equal words, identity, and the text keys of the document."""
     if min_words < k + 3 * window or window >= STEP:
@@ -541,11 +567,7 @@ def repeated_passages(docs: DataFrame, k: int = 6, window: int = 6, min_words: i
     copies = written(spread_join(keys, repeated.drop("n"), ["k1", "k2"], "row", repeated.drop("node")).where("row <> node").select("row", "node", "n_words"), "copies")
     texts = seeded.join(few(copies.select("row")), "row", "left_anti")
     seeds = texts.select("row", F.explode(F.arrays_zip(F.col("grams").alias("gram"), "at")).alias("x")).select("row", "x.gram", "x.at")
-    # a text has one place that is not negative for each seed
-    first = seeds.where("at >= 0").groupBy("gram").agg(F.count("*").alias("n"), F.min("row").alias("source"), F.min_by("at", "row").alias("other")).where("n > 1")
-    first = written(first, "anchors")
-    placed = seeds.withColumn("at", F.greatest("at", F.bitwise_not("at")))
-    shared = spread_join(placed, first.drop("n"), ["gram"], "row", first.select("gram", "n"))
+    shared = _anchored(seeds)
     shared = shared.select("row", F.struct("source", "at", "other").alias("x"), F.lit(None).cast("long").alias("n_words"))
     sized = shared.unionByName(texts.where(F.col("n_words") >= min_words).select("row", "n_words"), allowMissingColumns=True)
     shared = sized.groupBy("row").agg(F.collect_list("x").alias("seeds"), F.max("n_words").alias("n_words")).where("n_words is not null and size(seeds) > 0")
