@@ -52,7 +52,7 @@ _BYTE_LETTERS = _byte_letters()
 
 def _pieces(text: str, raw: bytes) -> list[bytes]:
     """Pieces that are encoded one by one: cut at ASCII white space and, in plain Latin text, where punctuation follows a letter or digit. raw: its UTF-8 with A-Z lower-cased."""
-    if _OTHER.search(text):
+    if not text.isascii() and _OTHER.search(text):
         return raw.split()
     if _STOP.search(text):  # stops after other punctuation belong to it
         return [p.encode() for p in _PIECE.findall(raw.decode())]
@@ -61,50 +61,56 @@ def _pieces(text: str, raw: bytes) -> list[bytes]:
     return raw.split()
 
 
-class WordEncoder:
-    """The ids of whole texts, by encoding each distinct piece once.
+class WordEncoder(dict):
+    """The ids of whole texts, by encoding each distinct piece once: a dictionary of the pieces' ids as little-endian unsigned 32-bit numbers.
 
     For tokenizers that drop white space and split letters, digits and punctuation (``by_words``), a text's ids are those
     of its pieces one after another: pieces end at white space and, in plain Latin text, also where punctuation follows a
-    letter or digit. Texts that hold an added token's string are encoded whole.
+    letter or digit. Texts that hold an added token's string are encoded whole. Words of plain Latin letters go straight to
+    the tokenizer's model: its normalizer only lower-cases them and its pre-tokenizer keeps them whole.
     """
 
     def __init__(self, path: str, end_id: int, by_words: bool = True, most: int = 1_200_000) -> None:
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.end, self.by_words, self.most = Tokenizer.from_file(path), np.array([end_id], dtype="<u4").tobytes(), by_words, most
+        super().__init__()
+        self.tokenizer, self.end, self.by_words, self.most = Tokenizer.from_file(path), struct.pack("<I", end_id), by_words, most
         config = json.loads(self.tokenizer.to_str())
         self.added = [x["content"].encode().lower() for x in config["added_tokens"]]
         kinds = lambda part, many: [x["type"] for x in (config[part] or {}).get(many, [])]
         self.plain = kinds("normalizer", "normalizers") == ["NFC", "Replace", "Lowercase"] and kinds("pre_tokenizer", "pretokenizers") == ["Split", "ByteLevel"]
-        self.known: dict[bytes, bytes] = {}
+        self.model = self.tokenizer.model
+
+    @staticmethod
+    def _packed(ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _batch(self, texts: list[str]) -> list[bytes]:
+        return [self._packed(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, pieces: list[bytes]) -> None:
-        """Words of plain Latin letters go straight to the tokenizer's model: its normalizer only lower-cases them and its pre-tokenizer keeps them whole."""
         rest = []
         for p in pieces:
             word = p.decode()
-            if self.plain and word.isalpha() and not _OTHER.search(word):
-                self.known[p] = np.array([t.id for t in self.tokenizer.model.tokenize(word.lower().encode().decode("latin-1").translate(_BYTE_LETTERS))], dtype="<u4").tobytes()
+            if self.plain and word.isalpha() and (word.isascii() or not _OTHER.search(word)):
+                letters = word if word.isascii() else word.lower().encode().decode("latin-1").translate(_BYTE_LETTERS)
+                self[p] = self._packed([t.id for t in self.model.tokenize(letters)])
             else:
-                rest.append(p)
-        for p, e in zip(rest, self.tokenizer.encode_batch_fast([p.decode() for p in rest], add_special_tokens=False), strict=True):
-            self.known[p] = np.array(e.ids, dtype="<u4").tobytes()
+                rest.append(word)
+        self.update(zip([w.encode() for w in rest], self._batch(rest), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text, the end id last."""
+        if len(self) > self.most:
+            self.clear()
         cut: list[list[bytes] | None] = []
         for t in texts:
             low = t.encode("utf-8", "replace").lower()
             cut.append(None if not self.by_words or any(x in low for x in self.added) else _pieces(t, low))
-        if len(self.known) > self.most:
-            self.known.clear()
-        new = [p for p in set().union(*[c for c in cut if c]) if p not in self.known]
-        if new:
-            self._learn(new)
-        get = self.known.__getitem__
-        whole = iter(self.tokenizer.encode_batch_fast([t for t, c in zip(texts, cut, strict=True) if c is None], add_special_tokens=False))
-        return [(np.array(next(whole).ids, dtype="<u4").tobytes() if c is None else b"".join(map(get, c))) + self.end for c in cut]
+        self._learn([p for p in set().union(*filter(None, cut)) if p not in self])
+        whole = iter(self._batch([t for t, c in zip(texts, cut, strict=True) if c is None]))
+        get = self.__getitem__
+        return [(next(whole) if c is None else b"".join(map(get, c))) + self.end for c in cut]
 
 
 _ENCODERS: dict[tuple, WordEncoder] = {}
