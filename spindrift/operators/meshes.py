@@ -71,7 +71,7 @@ def plane_cut(tri: DataFrame, first: float, step: float) -> DataFrame:
         points.append(F.when((up < F.col("_z")) != (down < F.col("_z")), F.struct(*[(F.col(f"{i}{c}") + share * (F.col(f"{j}{c}") - F.col(f"{i}{c}"))).alias(c) for c in "xy"])))
     cut = cut.withColumn("_p", F.filter(F.array(*points), lambda p: p.isNotNull())).where(F.size("_p") == 2)
     rest = [c for c in tri.columns if c not in {f"{k}{c}" for k in "abc" for c in "xyz"}]
-    return cut.select(*rest, "plane", *[F.col("_p")[i][c].alias(f"{c}{i + 1}") for i in (0, 1) for c in "xy"])
+    return cut.select(*rest, "plane", *[F.get("_p", F.lit(i))[c].alias(f"{c}{i + 1}") for i in (0, 1) for c in "xy"])
 
 
 def ray_hits(pieces: DataFrame, n: int, turn: float = 0.0) -> DataFrame:
