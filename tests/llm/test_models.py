@@ -396,3 +396,42 @@ def test_pipeline_stages_against_brute_force(spark):
     assert mixed.columns == cp.COLUMNS and 0.5 < mixed.count() / clean.count() < 1.6
     files = cp.token_files(spark, mixed, SF)
     assert files.count() == mixed.count() and files.select(F.sum("n_tokens")).first()[0] == files.agg(F.max(F.col("start") + F.col("n_tokens"))).first()[0]
+
+
+def test_pipeline_of_odd_and_empty_tables(spark, odd, none, tmp_path):
+    import zlib
+
+    import corpus_pipeline as cp
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    given = {t: spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels", "benchmark")}
+
+    def folder(name, docs):
+        for t, df in {**given, "documents": docs}.items():
+            df.write.parquet(f"file://{tmp_path}/{name}/{t}.parquet")
+        return f"file://{tmp_path}/{name}"
+
+    more = odd.withColumn("doc_id", F.col("doc_id") + 1_000_000)  # null ids stay null
+    both = folder("both", given["documents"].unionByName(more, allowMissingColumns=True))
+    docs = spark.read.parquet(f"{both}/documents.parquet")
+    stages = {}
+    for name, stage in cp.STAGES[:-1]:
+        docs = stage(spark, docs, both)
+        assert docs.columns == cp.COLUMNS
+        docs.write.parquet(f"file://{tmp_path}/{name}")
+        stages[name] = docs = spark.read.parquet(f"file://{tmp_path}/{name}")
+    mixed = docs.collect()
+    got = sorted(cp.token_files(spark, docs, both).collect(), key=lambda r: r["start"])
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    ids = [np.array([*t.encode(r["text"] or "", add_special_tokens=False).ids, 1], dtype="<u4") for r in mixed]
+    # the files keep the mixed rows in the order they are read, and copies of a document apart
+    assert [(r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in got] == [(r["doc_id"], len(x), zlib.crc32(x.tobytes())) for r, x in zip(mixed, ids, strict=True)]
+    assert [r["start"] for r in got] == [sum(map(len, ids[:i])) for i in range(len(ids))]
+    counts = Counter(r["doc_id"] for r in got)
+    assert max(counts.values()) > 1 and sum(a["doc_id"] == b["doc_id"] for a, b in zip(got, got[1:], strict=False)) < 0.1 * sum(n for n in counts.values() if n > 1)
+    assert {r["doc_id"] for r in mixed} <= {r["doc_id"] for r in stages["decontamination"].collect()}
+    empty = cp.run(spark, folder("empty", none))
+    assert empty.columns == ["doc_id", "start", "n_tokens", "ids_crc32"] and empty.count() == 0
+    rejected = cp.run(spark, folder("rejected", odd.where("text is null")))
+    assert rejected.count() == 0
