@@ -146,3 +146,14 @@ def largest_square(cells: DataFrame) -> DataFrame:
         more = written(grown(best.where(F.col("side") >= d), d), "squares")
         best = written(best.join(more.select("map_id").distinct(), "map_id", "left_anti").unionByName(more), "squares")
     return best.groupBy("map_id", "side").agg(F.count("*").alias("squares"))
+
+
+def exclude_boxes(cells: DataFrame, boxes: DataFrame, margin: int, tile: int = 16) -> DataFrame:
+    """cells with cut: whether a box, grown by the margin, holds the cell. boxes: y0, y1, x0, x1 (inclusive); they meet the cells by tile, so a box of any place makes as many rows as it covers tiles."""
+    grown = boxes.select(*[(F.col(f"{c}{i}") + d).alias(f"_{c}{i}") for c in "yx" for i, d in ((0, -margin), (1, margin))])
+    spread = lambda c: F.explode(F.sequence(F.floor(F.col(f"_{c}0") / tile), F.floor(F.col(f"_{c}1") / tile)))
+    tiled = grown.withColumn("_ty", spread("y")).withColumn("_tx", spread("x"))
+    placed = cells.withColumns({f"_t{c}": F.floor(F.col(c) / tile) for c in "yx"})
+    inside = F.col("y").between(F.col("_y0"), F.col("_y1")) & F.col("x").between(F.col("_x0"), F.col("_x1"))
+    spots = placed.select("y", "x", "_ty", "_tx").distinct().join(tiled, ["_ty", "_tx"]).where(inside).select("y", "x").distinct().withColumn("_in", F.lit(True))
+    return cells.join(spots, ["y", "x"], "left").withColumn("cut", F.col("_in").isNotNull()).drop("_in")

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window as W
 
 from ..functions import text as tx
 from ..operators import feed as fd
+from ..operators import grids as gr
 from ..operators import setops as so
 from ..operators.stats import r6
 from .registry import query
@@ -81,14 +82,12 @@ def p7(t):
 
 
 @query("p6_exclude_boxes", views="px", sql="""
-WITH b AS (SELECT * FROM (VALUES (10, 20, 10, 20), (40, 50, 5, 60)) AS t(y0, y1, x0, x1)), k AS (SELECT *, EXISTS (SELECT 1 FROM b WHERE y BETWEEN y0 - 2 AND y1 + 2 AND x BETWEEN x0 - 2 AND x1 + 2) AS cut FROM px)
-SELECT map_id, count(*) FILTER (cut) AS removed, count(*) FILTER (NOT cut) AS kept, round(avg(ink) FILTER (NOT cut), 6) AS kept_ink FROM k GROUP BY 1""")
+WITH b AS (SELECT s_suppkey * 37 AS y0, s_suppkey * 37 + 5 AS y1, s_suppkey * 11 % 50 AS x0, s_suppkey * 11 % 50 + 8 AS x1 FROM supplier), k AS (SELECT *, EXISTS (SELECT 1 FROM b WHERE y BETWEEN y0 - 2 AND y1 + 2 AND x BETWEEN x0 - 2 AND x1 + 2) AS cut FROM px)
+SELECT map_id, count(*) FILTER (cut) AS removed, count(*) FILTER (NOT cut) AS kept, round(sum(ink) FILTER (NOT cut)::DOUBLE / sum(ink), 6) AS ink_kept FROM k GROUP BY 1""")
 def p6(t):
-    boxes, margin = [(10, 20, 10, 20), (40, 50, 5, 60)], 2
-    cut = F.lit(False)
-    for y0, y1, x0, x1 in boxes:
-        cut = cut | (F.col("y").between(y0 - margin, y1 + margin) & F.col("x").between(x0 - margin, x1 + margin))
-    return t.px.groupBy("map_id").agg(F.count_if(cut).alias("removed"), F.count_if(~cut).alias("kept"), r6(F.avg(F.when(~cut, F.col("ink")))).alias("kept_ink"))
+    y, x = F.col("s_suppkey") * 37, F.col("s_suppkey") * 11 % 50
+    cut = gr.exclude_boxes(t.px, t.supplier.select(y.alias("y0"), (y + 5).alias("y1"), x.alias("x0"), (x + 8).alias("x1")), 2)
+    return cut.groupBy("map_id").agg(F.count_if("cut").alias("removed"), F.count_if(~F.col("cut")).alias("kept"), r6(F.sum(F.when(~F.col("cut"), F.col("ink"))) / F.sum("ink")).alias("ink_kept"))
 
 
 @query("t1_ranked", views="feed", sql="SELECT id, score, popularity FROM feed ORDER BY score DESC, ts DESC, id LIMIT 25 OFFSET 10")
@@ -306,10 +305,15 @@ def x1(t):
     return t.pages.select("page_id", F.length(tx.clean_text(F.col("html"))).alias("n"))
 
 
-@query("x2_code_links", sql="""SELECT page_id, CASE WHEN regexp_matches(url, '^https?://[^/]+') THEN lower(regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1)) END AS host, len(string_split(url, '/')) > 4 AS deep FROM pages""")
+@query("x2_code_links", sql="""
+SELECT page_id, lower(regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1)) AS host, 4 AS links, 'https://code.example.org/u' || page_id || '/repo; https://git.example.net/a/b' AS code FROM pages""")
 def x2(t):
-    u = F.element_at(tx.links(F.concat(F.lit("see "), F.col("url"), F.lit(" now"))), 1)
-    return t.pages.select("page_id", tx.url_host(tx.safe_url(u)).alias("host"), (F.size(F.split(u, "/")) > 4).alias("deep"))
+    page = F.col("page_id").cast("string")
+    text = F.concat(F.lit("see "), "url", F.lit(" or <https://code.example.org/u"), page, F.lit("/repo> and \"https://code.example.org/short\" again "), "url", F.lit("\nhttps://git.example.net/a/b"))
+    found = t.pages.select("page_id", text.alias("text"))
+    links = tx.links(F.col("text"))
+    code = tx.code_links(F.col("text"), ["code.example.org", "git.example.net"])
+    return found.select("page_id", tx.url_host(tx.safe_url(links[0])).alias("host"), F.size(links).alias("links"), F.array_join(code, "; ").alias("code"))
 
 
 @query("x3_unwrap", sql="SELECT page_id, url AS target FROM pages")
