@@ -50,6 +50,33 @@ def briefing(df: DataFrame, per_topic: int) -> DataFrame:
     return ranked_.withColumn("place", rn).where(F.col("place") <= per_topic)
 
 
+def greedy_briefing(df: DataFrame, topics: str, key: str, order: list[Column], per_topic: int, most_topics: int = 200) -> DataFrame:
+    """topic, place, key: topics in order of their counts (then names) each take their first items that no topic before took. topics: an array.
+
+    The topic in place p can lose at most per_topic * p of its items to those before, so its first per_topic * (p + 1) items decide. Only these,
+    at most per_topic * most_topics ** 2 / 2 rows whatever the table's size, come together in one group, where the topics take turns.
+    """
+    flat = df.select(key, F.explode(F.array_distinct(topics)).alias("topic"), *[c.alias(f"_o{i}") for i, c in enumerate(order)])
+    counts = flat.groupBy("topic").agg(F.count("*").alias("_n"))
+    if counts.limit(most_topics + 1).count() > most_topics:
+        raise ValueError(f"more than {most_topics} topics")
+    turns = counts.withColumn("turn", F.row_number().over(W.orderBy(F.desc("_n"), "topic")) - 1).drop("_n")
+    best = F.row_number().over(W.partitionBy("topic").orderBy(*[f"_o{i}" for i in range(len(order))], key))
+    few = flat.withColumn("rank", best).join(F.broadcast(turns), "topic").where(F.col("rank") <= per_topic * (F.col("turn") + 1))  # most_topics rows
+
+    def take(rows):
+        taken, out = set(), []
+        rows = rows.sort_values(["turn", "rank"])
+        for topic, part in rows.groupby("topic", sort=False):
+            mine = [k for k in part[key] if k not in taken][:per_topic]
+            taken.update(mine)
+            out += [(topic, i + 1, k) for i, k in enumerate(mine)]
+        return type(rows)(out, columns=["topic", "place", key])
+
+    schema = f"topic string, place int, {key} {dict(df.dtypes)[key]}"
+    return few.select("topic", "turn", "rank", key, F.lit(True).alias("_all")).groupBy("_all").applyInPandas(take, schema)
+
+
 def dedup_stories(df: DataFrame, title: str, quality: list[Column]) -> DataFrame:
     """One copy of each story: key is the title's letters and digits, the best quality stays."""
     key = F.regexp_replace(F.lower(title), r"[^\p{L}\p{N}]+", "")

@@ -157,3 +157,28 @@ def exclude_boxes(cells: DataFrame, boxes: DataFrame, margin: int, tile: int = 1
     inside = F.col("y").between(F.col("_y0"), F.col("_y1")) & F.col("x").between(F.col("_x0"), F.col("_x1"))
     spots = placed.select("y", "x", "_ty", "_tx").distinct().join(tiled, ["_ty", "_tx"]).where(inside).select("y", "x").distinct().withColumn("_in", F.lit(True))
     return cells.join(spots, ["y", "x"], "left").withColumn("cut", F.col("_in").isNotNull()).drop("_in")
+
+
+def holdout_layout(px: DataFrame, height: Column, width: int, block: int, tile: int, period: int, guard: int, min_test: float, min_valid: float) -> DataFrame:
+    """map_id, kind (test or pool), y, x: test blocks are those of a diagonal pattern with enough supervision, pool tiles have enough supervision and lie more
+    than guard tiles from any pattern block, test or not. Absent pixels are not supervised. height: of each map, as a column of px."""
+    side = block // tile
+    share = lambda size: px.groupBy("map_id", height.alias("_h"), F.floor(F.col("y") / size).alias("by"), F.floor(F.col("x") / size).alias("bx")).agg((F.sum("sup") / (size * size)).alias("share"))
+    whole = lambda y, x, size: (y >= 0) & (x >= 0) & (y < F.floor(F.col("_h") / size)) & (x < width // size)
+    pattern = lambda y, x: whole(y, x, block) & ((y + x) % period == 0)
+    test = share(block).where(pattern(F.col("by"), F.col("bx")) & (F.col("share") >= min_test))
+    near = F.lit(False)
+    for dy in range(-guard, guard + 1):
+        for dx in range(-guard, guard + 1):
+            near = near | pattern(F.floor((F.col("by") + dy) / side), F.floor((F.col("bx") + dx) / side))
+    pool = share(tile).where(whole(F.col("by"), F.col("bx"), tile) & (F.col("share") >= min_valid) & ~near)
+    cut = lambda df, kind, size: df.select("map_id", F.lit(kind).alias("kind"), (F.col("by") * size).cast("int").alias("y"), (F.col("bx") * size).cast("int").alias("x"))
+    return cut(test, "test", block).unionByName(cut(pool, "pool", tile))
+
+
+def disjoint(layout: DataFrame, block: int, tile: int, guard: int) -> DataFrame:
+    """Pool tiles of a layout that lie within guard tiles of a test block; there should be none."""
+    tests = layout.where("kind = 'test'").select("map_id", F.explode(F.sequence(F.floor(F.col("y") / tile) - guard, F.floor((F.col("y") + block - 1) / tile) + guard)).alias("ty"), "x")
+    tests = tests.select("map_id", "ty", F.explode(F.sequence(F.floor(F.col("x") / tile) - guard, F.floor((F.col("x") + block - 1) / tile) + guard)).alias("tx")).distinct()
+    pool = layout.where("kind = 'pool'").withColumns({"ty": F.floor(F.col("y") / tile), "tx": F.floor(F.col("x") / tile)})
+    return pool.join(tests, ["map_id", "ty", "tx"], "left_semi").select("map_id", "y", "x")

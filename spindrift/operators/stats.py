@@ -172,3 +172,16 @@ def people_by_works(items: DataFrame, works: DataFrame, key: str, who: str, scor
     """who, total, works, items: each work (component of similar items of a person) is worth its best score. works: node, component."""
     best = items.join(works, items[key] == works["node"]).groupBy(who, "component").agg(F.max(score).alias("best"), F.count("*").alias("items"))
     return best.groupBy(who).agg(F.sum("best").alias("total"), F.count("*").alias("works"), F.sum("items").alias("items"))
+
+
+def mixture_weights(df: DataFrame, component: str, shares: dict[str, float]) -> DataFrame:
+    """component, n, weight: each sample's weight, so that a component's samples together carry its share; components without a share get 0."""
+    total = sum(shares.values())
+    if total <= 0 or min(shares.values()) < 0:
+        raise ValueError("shares must not be negative, and not all zero")
+    counts = df.groupBy(component).agg(F.count("*").alias("n"))
+    asked = df.sparkSession.createDataFrame([(k, float(v) / total) for k, v in shares.items()], f"{component} string, _share double")
+    both = F.broadcast(asked).join(counts, component, "full_outer")  # the named shares
+    bad = (F.col("_share") > 0) & F.col("n").isNull()
+    weight = F.when(bad, F.raise_error(F.concat(F.lit("no samples of "), component)).cast("double")).when(F.col("_share") > 0, F.col("_share") / F.col("n")).otherwise(0.0)
+    return both.select(component, F.coalesce("n", F.lit(0)).cast("long").alias("n"), weight.alias("weight"))

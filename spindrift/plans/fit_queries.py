@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions import text as tx
+from ..operators import feed as fd
 from ..operators import fits, graph, meshes
+from ..operators import grids as gr
 from ..operators import resampling as rs
 from ..operators import spatial as sp
 from ..operators import stats as st
@@ -249,3 +251,36 @@ def s7(t):
     line = F.when(F.col("s_suppkey") % 3 != 0, good).when(F.col("s_suppkey") % 2 == 0, F.lit('{"other": [1')).otherwise(F.lit('{"shape": "none"}'))  # planted: unreadable and shapeless ones
     t.supplier.select(line.alias("value")).write.text(f"{path}/a/b")
     return files.collect_records(t.spark, path, StructType.fromDDL("id long, name string, nation int"), "part-*", "id", one_each=False)
+
+
+@query("a20_mixture_weights", views="scored_docs", sql="""
+WITH s(lang, share) AS (VALUES ('en', 5.0::DOUBLE), ('de', 3.0), ('fr', 0.0)), c AS (SELECT lang, count(*) AS n FROM scored_docs GROUP BY 1)
+SELECT c.lang, n, round(CASE WHEN share > 0 THEN share / 8 / n ELSE 0 END, 9) AS weight FROM c LEFT JOIN s ON s.lang = c.lang""")
+def a20c(t):
+    return st.mixture_weights(t.scored_docs, "lang", {"en": 5.0, "de": 3.0, "fr": 0.0}).select("lang", "n", F.round("weight", 9).alias("weight"))
+
+
+@query("t2_greedy_briefing", views="feed", sql="""
+WITH RECURSIVE f AS (SELECT id, score, unnest(list_distinct([topic, 'lang ' || kind, 'who ' || who % 5])) AS topic FROM feed WHERE source <> 'view'), c AS (SELECT topic, row_number() OVER (ORDER BY count(*) DESC, topic) AS turn FROM f GROUP BY 1),
+r AS (SELECT f.topic, turn, id, row_number() OVER (PARTITION BY f.topic ORDER BY score DESC, id) AS k FROM f JOIN c USING (topic)),
+g(turn, used, picks) AS (SELECT 0::BIGINT, []::BIGINT[], []::BIGINT[] UNION ALL SELECT g.turn + 1, list_concat(g.used, p.l), p.l FROM g, LATERAL (SELECT list(id ORDER BY k)[1:3] AS l FROM r WHERE r.turn = g.turn + 1 AND r.k <= 3 * r.turn AND NOT list_contains(g.used, id)) p WHERE g.turn < (SELECT max(turn) FROM c)),
+o AS (SELECT turn, unnest(picks) AS id, unnest(range(1, len(picks) + 1)) AS place FROM g WHERE turn > 0) SELECT topic, place::INT AS place, id FROM o JOIN c USING (turn)""")
+def t2g(t):
+    items = t.feed.where("source <> 'view'").select("id", "score", F.array("topic", F.concat(F.lit("lang "), "kind"), F.concat(F.lit("who "), (F.col("who") % 5).cast("string"))).alias("topics"))
+    return fd.greedy_briefing(items, "topics", "id", [-F.col("score")], 3)
+
+
+@query("u12_holdout_layout", views="px", sql="""
+WITH h AS (SELECT (max(y) // 64 + 1) * 64 AS h FROM px), bs AS (SELECT map_id, y // 16 AS by_, x // 16 AS bx, sum(sup) / CAST(256 AS DOUBLE) AS share FROM px GROUP BY 1, 2, 3), ts AS (SELECT map_id, y // 4 AS ty, x // 4 AS tx, sum(sup) / CAST(16 AS DOUBLE) AS share FROM px GROUP BY 1, 2, 3)
+SELECT map_id, 'test' AS kind, (by_ * 16)::INT AS y, (bx * 16)::INT AS x FROM bs WHERE (by_ + bx) % 4 = 0 AND share >= CAST(0.3 AS DOUBLE)
+UNION ALL SELECT map_id, 'pool', (ty * 4)::INT, (tx * 4)::INT FROM ts, h WHERE share >= CAST(0.25 AS DOUBLE) AND NOT EXISTS (SELECT 1 FROM range(-1, 2) a(dy), range(-1, 2) b(dx) WHERE ty + dy >= 0 AND tx + dx >= 0 AND ty + dy < h // 4 AND tx + dx < 16 AND ((ty + dy) // 4 + (tx + dx) // 4) % 4 = 0)""")
+def u12(t):
+    top = t.px.agg(((F.floor(F.max("y") / 64) + 1) * 64).alias("_top"))
+    px = t.px.join(F.broadcast(top))  # one row
+    return gr.holdout_layout(px, F.col("_top"), 64, 16, 4, 4, 1, 0.3, 0.25)
+
+
+@query("u12_disjoint", views="px", sql="SELECT 0::BIGINT AS broken")
+def u12b(t):
+    layout = graph.written(u12(t), "layout")
+    return gr.disjoint(layout, 16, 4, 1).agg(F.count("*").alias("broken"))
