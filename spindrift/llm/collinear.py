@@ -406,7 +406,8 @@ def _verified(plain: DataFrame, keys: DataFrame, matches: DataFrame, chainer, mi
         for side, base, at, of in (("row", "low", -3, "a"), ("source", "low2", -2, "b")):
             counts = written(spans.groupBy(F.col(side).alias("node")).agg(F.count("*").alias("n")), "chain-counts")
             high = F.least(x(at) + x(-1) + margin, F.col("size"))
-            spans = spread_join(spans.withColumn("node", F.col(side)).withColumn("by", F.xxhash64("row", "source", "pieces")), words.withColumnRenamed("row", "node"), ["node"], "by", counts)
+            mine = words.withColumnRenamed("row", "node").join(few(counts.select("node")), "node", "left_semi")  # words of this side's texts alone move
+            spans = spread_join(spans.withColumn("node", F.col(side)).withColumn("by", F.xxhash64("row", "source", "pieces")), mine, ["node"], "by", counts)
             spans = spans.withColumn(of, cut(F.col(base), high)).withColumn(f"last_{of}", high == F.col("size")).drop("words", "size", "node", "by")
         both = spans.select("row", "source", "pieces", "low", "low2", ((F.col("low") == 0) | (F.col("low2") == 0)).alias("first"), (F.col("last_a") | F.col("last_b")).alias("last"), "a", "b")
         aligned = written(both.mapInArrow(_aligner(min_words, min_identity), f"{_ALIGNED}, again array<long>"), "aligned")
