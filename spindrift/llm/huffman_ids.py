@@ -61,8 +61,8 @@ def _pieces(text: str, raw: bytes) -> list[bytes]:
     return raw.split()
 
 
-class WordEncoder(dict):
-    """The ids of whole texts, by encoding each distinct piece once: a dictionary of the pieces' ids as little-endian unsigned 32-bit numbers.
+class WordEncoder:
+    """The ids of whole texts, by encoding each distinct piece once.
 
     For tokenizers that drop white space and split letters, digits and punctuation (``by_words``), a text's ids are those
     of its pieces one after another: pieces end at white space and, in plain Latin text, also where punctuation follows a
@@ -73,7 +73,7 @@ class WordEncoder(dict):
     def __init__(self, path: str, end_id: int, by_words: bool = True, most: int = 1_200_000) -> None:
         from tokenizers import Tokenizer
 
-        super().__init__()
+        self.known: dict[bytes, bytes] = {}  # a piece's ids as little-endian unsigned 32-bit numbers
         self.tokenizer, self.end, self.by_words, self.most = Tokenizer.from_file(path), struct.pack("<I", end_id), by_words, most
         config = json.loads(self.tokenizer.to_str())
         self.added = [x["content"].encode().lower() for x in config["added_tokens"]]
@@ -88,28 +88,28 @@ class WordEncoder(dict):
     def _batch(self, texts: list[str]) -> list[bytes]:
         return [self._packed(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, pieces: list[bytes]) -> None:
+    def _learn(self, pieces: set[bytes]) -> None:
         rest = []
         for p in pieces:
             word = p.decode()
             if self.plain and word.isalpha() and (word.isascii() or not _OTHER.search(word)):
                 letters = word if word.isascii() else word.lower().encode().decode("latin-1").translate(_BYTE_LETTERS)
-                self[p] = self._packed([t.id for t in self.model.tokenize(letters)])
+                self.known[p] = self._packed([t.id for t in self.model.tokenize(letters)])
             else:
                 rest.append(word)
-        self.update(zip([w.encode() for w in rest], self._batch(rest), strict=True))
+        self.known.update(zip([w.encode() for w in rest], self._batch(rest), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text, the end id last."""
-        if len(self) > self.most:
-            self.clear()
+        if len(self.known) > self.most:
+            self.known.clear()
         cut: list[list[bytes] | None] = []
         for t in texts:
             low = t.encode("utf-8", "replace").lower()
             cut.append(None if not self.by_words or any(x in low for x in self.added) else _pieces(t, low))
-        self._learn([p for p in set().union(*filter(None, cut)) if p not in self])
+        self._learn(set().union(*filter(None, cut)).difference(self.known))
         whole = iter(self._batch([t for t, c in zip(texts, cut, strict=True) if c is None]))
-        get = self.__getitem__
+        get = self.known.__getitem__
         return [(next(whole) if c is None else b"".join(map(get, c))) + self.end for c in cut]
 
 
