@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bagminhash, collinear, consensus_html, decontaminate, huffman_ids, licenses, line_frequency, packaged_warc, poisson_mix, rule_ensemble
+from . import bagminhash, collinear, consensus_html, decontaminate, huffman_ids, licenses, line_frequency, packaged_warc, poisson_mix, rule_ensemble, turn_repair
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_license_scan": licenses.op8_license_scan,
     "op9_collinear": collinear.op9_collinear,
     "op10_consensus_html": consensus_html.op10_consensus_html,
+    "op11_turn_repair": turn_repair.op11_turn_repair,
 }
 
 ORACLES = {
     "op1_decontaminate": decontaminate.SQL,
     "op2_line_frequency": line_frequency.SQL,
     "op6_poisson_mix": poisson_mix.SQL,
+    "op11_turn_repair": turn_repair.SQL,
 }
