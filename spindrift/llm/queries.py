@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bagminhash, collinear, consensus_html, decontaminate, edit_walks, huffman_ids, licenses, line_frequency, packaged_warc, poisson_mix, rule_ensemble, turn_repair
+from . import bagminhash, collinear, consensus_html, decontaminate, edit_walks, huffman_ids, licenses, line_frequency, packaged_warc, poisson_mix, rule_ensemble, token_alignment, turn_repair
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_consensus_html": consensus_html.op10_consensus_html,
     "op11_turn_repair": turn_repair.op11_turn_repair,
     "op12_edit_walks": edit_walks.op12_edit_walks,
+    "op13_token_alignment": token_alignment.op13_token_alignment,
 }
 
 ORACLES = {
