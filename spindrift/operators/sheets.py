@@ -47,7 +47,7 @@ def orient_meshes(nodes: DataFrame, pairs: DataFrame, min_matched: float = 0) ->
     nodes: node, area, outward (how far its normals point outward on average, null counts as 0). Signs spread by
     :func:`forest` over pairs with ``min_matched`` or more; all of them are turned if together they point inward.
     """
-    used = pairs.where(F.col("matched") >= min_matched)
+    used = pairs.where(F.col("matched") >= min_matched).select("a", "b", "matched", "orient")
     found = written(forest(nodes, used), "signs")
     vote = found.join(nodes.groupBy("node").agg(F.max("outward").alias("outward")), "node").agg(F.sum(F.col("sign") * F.coalesce("outward", F.lit(0.0))).alias("v")).first()["v"]
     turn = -1 if vote is not None and vote < 0 else 1
@@ -66,7 +66,7 @@ def mesh_positions(pairs: DataFrame, signs: DataFrame, min_matched: float = 0, r
     beyond ``reach``, without an offset or of one node are left out, and nodes without a pair have no row.
     """
     ok = (F.col("matched") >= min_matched) & (F.col("matched") > 0) & F.col("offset").isNotNull() & (F.abs("offset") <= reach) & (F.col("a") != F.col("b"))
-    turned = pairs.where(ok).join(signs.select(F.col("node").alias("b"), "sign"), "b").join(signs.select(F.col("node").alias("a")), "a", "left_semi")
+    turned = pairs.where(ok).select("a", "b", "matched", "offset").join(signs.select(F.col("node").alias("b"), "sign"), "b").join(signs.select(F.col("node").alias("a")), "a", "left_semi")
     links = written(turned.groupBy("a", "b").agg(F.sum("matched").cast("double").alias("w"), F.sum(F.col("matched") * F.col("sign") * F.col("offset")).cast("double").alias("wo")), "equations")
     links = written(_both(links, "wo").groupBy("a", "b").agg(F.sum("w").alias("w"), F.sum("wo").alias("wo")), "equations")
     parts = components(links.select(F.col("a").alias("node")).distinct(), links.select("a", "b"))
@@ -170,7 +170,7 @@ def sure_pieces(pieces: DataFrame, edges: DataFrame, least: int = 3) -> DataFram
     is null from ``least`` on, and there a labelled piece is sure. The main component of a slice has the most sure pieces
     (ties: the smallest number).
     """
-    once = pieces.where("piece is not null").dropDuplicates(["piece"])
+    once = pieces.where("piece is not null").dropDuplicates(["piece"]).select("piece", "slice", "component", "label")
     labels = once.select("piece", "label")
     e = edges.join(labels.select(F.col("piece").alias("a"), F.col("label").alias("la")), "a").join(labels.select(F.col("piece").alias("b"), F.col("label").alias("lb")), "b")
     e = written(e.select("a", "b", F.coalesce(F.col("lb") - F.col("la") != F.col("step"), F.lit(True)).alias("wrong")), "piece-edges")
@@ -214,7 +214,7 @@ def ladder_report(pieces: DataFrame, points: DataFrame) -> DataFrame:
     """By slice: pieces, bad, sure, written, left_out, components with a sure piece, points, levels, span and the widest step of theta."""
     a = pieces.groupBy("slice").agg(F.count("*").alias("pieces"), F.count_if("bad").alias("bad"), F.count_if("sure").alias("sure"), F.count_if("main").alias("written"), F.count_distinct(F.when(F.col("sure"), F.col("component"))).alias("components"))
     step = F.col("theta") - F.lag("theta").over(Window.partitionBy("slice").orderBy("theta"))  # the k points of each piece of one slice
-    b = points.withColumn("_gap", step).groupBy("slice").agg(F.count("*").alias("points"), F.count_distinct("wind").alias("levels"), (F.max("wind") - F.min("wind")).alias("span"), F.coalesce(F.max("_gap"), F.lit(0.0)).alias("max_gap"))
+    b = points.withColumn("_gap", step).groupBy("slice").agg(F.count("*").alias("points"), F.count_distinct("wind").alias("levels"), (F.max("wind") - F.min("wind")).alias("span"), F.max("_gap").alias("max_gap"))
     out = a.join(b, "slice", "left").withColumn("left_out", F.col("sure") - F.col("written"))
-    return out.select("slice", "pieces", "bad", "sure", "written", "left_out", "components", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("points", "levels")], "span", "max_gap")
+    return out.select("slice", "pieces", "bad", "sure", "written", "left_out", "components", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("points", "levels")], "span", F.coalesce("max_gap", F.lit(0.0)).alias("max_gap"))
 

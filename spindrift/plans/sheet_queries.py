@@ -143,7 +143,7 @@ def e11_points(t):
 
 @query("e11_ladder_report", sql=f"""
 WITH {_LADDER}, a AS (SELECT slice, count(*) AS pieces, count(*) FILTER (bad) AS bad, count(*) FILTER (sure) AS sure, count(*) FILTER (main) AS written, count(DISTINCT CASE WHEN sure THEN component END) AS components FROM mp GROUP BY 1),
-b AS (SELECT slice, count(*) AS points, count(DISTINCT wind) AS levels, max(wind) - min(wind) AS span, coalesce(max(gap), 0) AS max_gap FROM (SELECT *, theta - lag(theta) OVER (PARTITION BY slice ORDER BY theta) AS gap FROM pt) GROUP BY 1)
-SELECT slice, pieces, bad, sure, written, sure - written AS left_out, components, coalesce(points, 0) AS points, coalesce(levels, 0) AS levels, span, round(max_gap, 6) AS max_gap FROM a LEFT JOIN b USING (slice)""")
+b AS (SELECT slice, count(*) AS points, count(DISTINCT wind) AS levels, max(wind) - min(wind) AS span, max(gap) AS max_gap FROM (SELECT *, theta - lag(theta) OVER (PARTITION BY slice ORDER BY theta) AS gap FROM pt) GROUP BY 1)
+SELECT slice, pieces, bad, sure, written, sure - written AS left_out, components, coalesce(points, 0) AS points, coalesce(levels, 0) AS levels, span, round(coalesce(max_gap, 0), 6) AS max_gap FROM a LEFT JOIN b USING (slice)""")
 def e11_report(t):
     return sheets.ladder_report(*_ladder(t)).withColumn("max_gap", F.round("max_gap", 6))
