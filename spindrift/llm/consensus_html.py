@@ -9,10 +9,11 @@ is widened to the outermost article around it (and to a main element with a head
 there is none, to the outermost container below body that has headings or paragraphs of its own; headings that stand in
 body itself are kept too.
 
-Menus, headers (but for an article's headings), footers, sidebars, notices, adverts, forms, reader comments, scripts and
-styles are left out by element, by role and by class or id; class names count as whole (``no-sidebar`` is no sidebar and
-``entry-header`` no page header), and headings' and sections' ids say what they are about, not what they are. If nothing
-is left then, the page is read again without these names and with the text in forms.
+Menus, headers (but for the headings and paragraphs of an article's own), footers, sidebars, notices, adverts, forms, reader
+comments, scripts and styles are left out by element, by role and by class or id. A name counts as a whole: each of its
+words must say what it is, where it stands or what it is made of (``share-buttons`` goes, ``share-price`` and ``no-sidebar``
+stay, and ``entry-header`` is no page header). Headings' and sections' ids say what they are about, not what they are, but
+for readers' comments. If nothing is left then, the page is read again without these names and with the text in forms.
 
 Votes are sums with a partial aggregation, so a hot host arrives as one row per map task and path. Hosts' winners are
 broadcast only up to a checked count. Time and memory are linear in a page's size, whatever its nesting and however its
@@ -42,7 +43,7 @@ MAX_BROADCAST = 20_000
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|=)*+)>", re.S)
 _PLAIN_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>", re.S)
 _START = re.compile(r"<(?:/?[a-zA-Z]|[!?])")
-_CLASS = re.compile(r"(?:^|[\s\"'])(class|id|role)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++))", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++)))?")
 _RAW = {t: re.compile(rf"</{t}[\s/>]", re.I) for t in ("script", "style", "textarea", "title", "noscript", "iframe", "template")}
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -52,51 +53,54 @@ _CONTAINER = frozenset("article main section div td body".split())
 _CLOSES_P = _BLOCK - {"body", "html", "tbody", "thead", "tfoot", "tr", "td", "th"}
 _PEERS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _LIMITS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
-#: What is left out if an element's class, or the id of an element that is no heading or section, has this word.
+#: A class or id names what is left out if it consists of these words,
 _BOILERPLATE = frozenset(
     "ad ads adv advert adverts advertisement advertisements advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus footer gdpr header masthead menu menubar modal nav navbar navigation newsletter notice notices notification notifications pager pagination "
-    "popup promo promoted promotion related respond rightbar share sharing sidebar sidenav signup social sponsor sponsored sponsors subscribe subscription toolbar topbar widget widgets".split()
+    "popup promo promoted promotion related respond responses rightbar share sharing sidebar sidenav signup social sponsor sponsored sponsors subscribe subscription toolbar topbar widget widgets".split()
+)
+#: and of words that say where it stands, what it is made of or what it holds.
+_AFFIXES = frozenset(
+    "main site page global top bottom left right primary secondary upper lower inner outer first last wrapper wrap container box area bar section list links link block content group row col column panel button buttons icon icons item items post posts article articles entry story text body title "
+    "slot unit zone thread form head holder region sticky fixed mobile desktop small large dark light desk message overlay dialog js open active aside count reply author meta children even odd depth threads image img".split()
 )
-#: These words say that an element has, or lacks, what the next word names.
-_ABOUT = frozenset("no not has have with without".split())
 #: Beside one of these words, those of _PART name a part of the article.
 _ARTICLE = frozenset("article body content entry post story text title".split())
 _PART = frozenset("banner header masthead notice notices notification notifications toolbar widget widgets".split())
+#: Names of what readers add, which count for articles and for ids of sections too.
+_READERS = frozenset("comment comments commentlist disqus respond responses".split())
 _ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 _SPLIT = re.compile(r"[_\-:]+|(?<=[a-z])(?=[A-Z])")
 _DIGITS = re.compile(r"\d+")
 _STEPS = 30
 
 
-def _boilerplate(name: str) -> bool:
-    """Whether a class or id, taken as a whole, names what is no part of the main text."""
-    words = [w.lower().rstrip("0123456789") for w in _SPLIT.split(name) if w]
-    if _ABOUT.intersection(words[:-1]):
-        return False
+def _boilerplate(name: str) -> frozenset[str]:
+    """The words by which a class or id, taken as a whole, names what is no part of the main text."""
+    words = [w for w in (w.lower().rstrip("0123456789") for w in _SPLIT.split(name)) if w]
     found = _BOILERPLATE.intersection(words)
-    if _ARTICLE.intersection(words):
-        found -= _PART
-    return bool(found)
+    if not found or any(w not in _BOILERPLATE and w not in _AFFIXES for w in words):
+        return frozenset()
+    return found - _PART if _ARTICLE.intersection(words) else found
 
 
 def _left_out(tag: str, named: dict[str, str]) -> bool:
-    if tag in ("html", "body", "main"):
+    if tag in ("html", "body", "main") or tag in _HEADINGS:
         return False
+    classes, ids = named.get("class", "").split(), named.get("id", "").split()
     if tag == "article":
-        return bool({"comment", "comments"} & set(named.get("class", "").lower().split()))
-    if tag in _HEADINGS:
-        return False
-    names = named.get("class", "").split() + (named.get("id", "").split() if tag != "section" else [])
-    return named.get("role", "").strip().lower() in _ROLES or any(map(_boilerplate, names))
+        return any(_READERS & _boilerplate(c) for c in classes + ids)
+    if tag == "section":  # its id says what it is about
+        ids = [i for i in ids if _READERS & _boilerplate(i)]
+    return named.get("role", "").strip().lower() in _ROLES or any(map(_boilerplate, classes + ids))
 
 
 class _Open:
     """An open element. block: place of the nearest block in the stack; container: of the nearest container."""
 
-    __slots__ = ("tag", "skip", "container", "link", "block", "heading", "titles")
+    __slots__ = ("tag", "skip", "container", "link", "block", "heading", "titles", "prose")
 
-    def __init__(self, tag, skip, container, link, block, heading, titles):
-        self.tag, self.skip, self.container, self.link, self.block, self.heading, self.titles = tag, skip, container, link, block, heading, titles
+    def __init__(self, tag, skip, container, link, block, heading, titles, prose):
+        self.tag, self.skip, self.container, self.link, self.block, self.heading, self.titles, self.prose = tag, skip, container, link, block, heading, titles, prose
 
 
 class Page:
@@ -119,7 +123,7 @@ class Page:
         return len(self.tags) - 1
 
     def _read(self, html: str) -> None:
-        stack = [_Open("", False, 0, False, 0, False, False)]
+        stack = [_Open("", False, 0, False, 0, False, False, False)]
         at_tag: dict[str, list[int]] = {}
         text: list[str] = []
         linked, at, end, last = 0, 0, len(html), html.rfind(">")
@@ -143,7 +147,7 @@ class Page:
         def add(raw):
             nonlocal linked
             top = stack[-1]
-            if raw and (not top.skip or top.titles and top.heading):
+            if raw and (not top.skip or top.titles and top.prose):
                 text.append(raw)
                 if top.link:
                     linked += len(raw)
@@ -185,10 +189,10 @@ class Page:
             if tag in _VOID:
                 continue
             top = stack[-1]
-            named = {k.lower(): a or b or c for k, a, b, c in reversed(_CLASS.findall(m[3]))} if m[3] else {}
+            named = {k.lower(): a or b or c for k, a, b, c in reversed(_ATTRIBUTE.findall(m[3]))} if m[3] else {}
             out = tag in _SKIP and (self._names or tag != "form") or self._names and bool(named) and _left_out(tag, named)
             skip = top.skip or out
-            # an article's header has its headings
+            # an article's header has its headings and its standfirst
             titles = top.titles and not out if top.skip else tag == "header" and out and self.tags[top.container] in ("article", "main")
             container = top.container
             if tag in _CONTAINER and not skip:
@@ -197,7 +201,7 @@ class Page:
             if skip and not top.skip:
                 close()
             at_tag.setdefault(tag, []).append(len(stack))
-            stack.append(_Open(tag, skip, container, top.link or tag == "a", len(stack) if tag in _BLOCK else top.block, tag in _HEADINGS or top.heading and tag not in _BLOCK, titles))
+            stack.append(_Open(tag, skip, container, top.link or tag == "a", len(stack) if tag in _BLOCK else top.block, tag in _HEADINGS or top.heading and tag not in _BLOCK, titles, tag == "p" or tag in _HEADINGS or top.prose and tag not in _BLOCK))
             if m[3].endswith("/") and tag in ("svg", "path", "use"):
                 pop(len(stack) - 1)
             if tag in _RAW:

@@ -435,3 +435,24 @@ def test_pipeline_of_odd_and_empty_tables(spark, odd, none, tmp_path):
     assert empty.columns == ["doc_id", "start", "n_tokens", "ids_crc32"] and empty.count() == 0
     rejected = cp.run(spark, folder("rejected", odd.where("text is null")))
     assert rejected.count() == 0
+
+
+def test_readers_comments_go_and_look_alike_names_stay():
+    body = "<h1>Title</h1><p>The article has a long first paragraph, with commas, and more of it.</p><p>And a second paragraph that goes on for a while.</p>"
+    plain = "Title\n\nThe article has a long first paragraph, with commas, and more of it.\n\nAnd a second paragraph that goes on for a while."
+    page = lambda inner: f"<html><body><nav><a href=/x>Home</a></nav><article>{body}{inner}</article><footer>foot</footer></body></html>"
+    gone = [
+        '<section id="comments"><p>First! I like this text a lot.</p></section>', '<section class="responses"><p>A reply of a reader.</p></section>', '<article class="comment-body"><p>Nested comment.</p></article>', '<div id="disqus_thread"><p>Loading</p></div>',
+        '<div class="comment-list"><p>one</p></div>', '<div class="share-buttons"><p>Share</p></div>', '<div class="related-posts"><p>More</p></div>', '<div class="site-header"><p>Site</p></div>', '<ol class="commentlist"><li>c</li></ol>', '<div class="cookie-banner"><p>We use cookies</p></div>',
+    ]
+    for inner in gone:
+        assert ch.main_text(page(inner), None) == plain, inner
+    kept = [
+        '<p title="see class=ad here">Kept text.</p>', '<p data-x="a id=comments b">Kept text.</p>', "<p data-y='role=navigation'>Kept text.</p>", '<div class="share-price"><p>Kept text.</p></div>', '<div class="related-work"><p>Kept text.</p></div>', '<div class="comment-on-method"><p>Kept text.</p></div>',
+        '<div class="informed-consent"><p>Kept text.</p></div>', '<div id="navigation-theory"><p>Kept text.</p></div>', '<section id="related"><p>Kept text.</p></section>', '<div class="no-sidebar"><p>Kept text.</p></div>', '<p data-class="ad">Kept text.</p>', '<p CLASS=lead id=x>Kept text.</p>',
+    ]
+    for inner in kept:
+        assert ch.main_text(page(inner), None) == plain + "\n\nKept text.", inner
+    standfirst = page("").replace(body, "<header><h1>Title</h1><p class='lead'>A standfirst.</p><nav><a href=/>up</a></nav><p class='share'>Share</p></header>" + body[14:])
+    assert ch.main_text(standfirst, None) == plain.replace("Title", "Title\n\nA standfirst.")
+    assert ch.main_text(page("").replace("<article>", "<header><h2>Site</h2><p>Slogan</p></header><article>"), None) == plain
