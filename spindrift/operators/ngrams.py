@@ -51,14 +51,10 @@ def kn_model(docs: DataFrame, text: str, order: int) -> list[DataFrame]:
     return tables[::-1]
 
 
-def kn_score(docs: DataFrame, key: str, text: str, model: list[DataFrame], letters: int) -> DataFrame:
-    """key, letters, bits: minus log2 of the interpolated probability, summed over the text; unseen letters fall to uniform.
-
-    Positions are grouped by gram first, so each distinct gram of a document is looked up once.
-    """
+def gram_probs(seen: DataFrame, model: list[DataFrame], letters: int) -> DataFrame:
+    """gram, prob: the interpolated probability of the last letter behind the others; seen: distinct grams of the model's order."""
     order = len(model)
-    pos = docs.where(F.length(text) > 0).select(key, F.explode(grams(F.col(text), order)).alias("gram")).groupBy(key, "gram").agg(F.count("*").alias("times"))
-    seen = pos.select("gram").distinct().withColumn("prob", F.lit(1.0 / letters))
+    seen = seen.select("gram", F.lit(1.0 / letters).alias("prob"))
     for k, table in enumerate(model, 1):
         tail = F.expr(f"substring(gram, {order - k + 1}, {k})")
         t = table.select(F.col("gram").alias("_g"), F.col("p").alias("_p"))
@@ -66,6 +62,16 @@ def kn_score(docs: DataFrame, key: str, text: str, model: list[DataFrame], lette
         s = seen.withColumn("_t", tail).withColumn("_c", F.expr(f"substring(_t, 1, {k - 1})"))
         s = s.join(t, F.col("_t") == F.col("_g"), "left").join(c, F.col("_c") == F.col("context"), "left")
         seen = s.select("gram", (F.coalesce("_p", F.lit(0.0)) + F.coalesce("back", F.lit(1.0)) * F.col("prob")).alias("prob"))
+    return seen
+
+
+def kn_score(docs: DataFrame, key: str, text: str, model: list[DataFrame], letters: int) -> DataFrame:
+    """key, letters, bits: minus log2 of the interpolated probability, summed over the text; unseen letters fall to uniform.
+
+    Positions are grouped by gram first, so each distinct gram of a document is looked up once.
+    """
+    pos = docs.where(F.length(text) > 0).select(key, F.explode(grams(F.col(text), len(model))).alias("gram")).groupBy(key, "gram").agg(F.count("*").alias("times"))
+    seen = gram_probs(pos.select("gram").distinct(), model, letters)
     return pos.join(seen, "gram").groupBy(key).agg(F.sum("times").alias("letters"), F.sum(-F.log2("prob") * F.col("times")).alias("bits"))
 
 
