@@ -17,45 +17,103 @@ def cross2(px, py, qx, qy, rx, ry):
     return (qx - px) * (ry - py) - (qy - py) * (rx - px)
 
 
-def _separated(a: list[tuple[Column, Column]], b: list[tuple[Column, Column]], area: Column, eps: float) -> Column:
+def _separated(a: list[tuple[Column, Column]], b: list[tuple[Column, Column]], area: Column) -> Column:
     """Whether a line along an edge of triangle a has b on its outer side."""
     out = F.lit(False)
     for i in range(3):
         (px, py), (qx, qy) = a[i], a[(i + 1) % 3]
         outside = F.lit(True)
         for rx, ry in b:
-            outside = outside & (F.signum(area) * cross2(px, py, qx, qy, rx, ry) <= eps)
+            outside = outside & (F.signum(area) * cross2(px, py, qx, qy, rx, ry) <= 0)
         out = out | outside
     return out
 
 
+_POLYGON = "array<struct<x:double,y:double>>"
+
+
+def _point(x: Column, y: Column) -> Column:
+    return F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+
+
+def _turned(corners: list[tuple[Column, Column]], area: Column) -> Column:
+    """The corners against the clock."""
+    a, b, c = (_point(*p) for p in corners)
+    return F.when(area > 0, F.array(a, b, c)).otherwise(F.array(a, c, b)).cast(_POLYGON)
+
+
+def _before(polygon: Column, i: Column) -> Column:
+    return F.element_at(polygon, F.when(i == 0, -1).otherwise(i))
+
+
+def shared_area(a: Column, b: Column) -> Column:
+    """The area that two convex polygons against the clock share: a is clipped along each edge of b."""
+
+    def clipped(polygon: Column, edge: Column) -> Column:
+        def cut(now: Column, i: Column) -> Column:
+            last = _before(polygon, i)
+            at = lambda p: cross2(edge["p"]["x"], edge["p"]["y"], edge["q"]["x"], edge["q"]["y"], p["x"], p["y"])
+            share = at(last) / (at(last) - at(now))
+            hit = _point(last["x"] + share * (now["x"] - last["x"]), last["y"] + share * (now["y"] - last["y"]))
+            inside, was = at(now) >= 0, at(last) >= 0
+            return F.when(inside & was, F.array(now).cast(_POLYGON)).when(inside, F.array(hit, now).cast(_POLYGON)).when(was, F.array(hit).cast(_POLYGON)).otherwise(F.array().cast(_POLYGON))
+
+        return F.flatten(F.transform(polygon, cut))
+
+    edges = F.transform(b, lambda q, i: F.struct(_before(b, i).alias("p"), q.alias("q")))
+    whole = F.aggregate(edges, a, clipped)
+    doubled = F.transform(whole, lambda q, i: _before(whole, i)["x"] * q["y"] - q["x"] * _before(whole, i)["y"])
+    return F.abs(F.aggregate(doubled, F.lit(0.0), lambda x, y: x + y)) / 2
+
+
+_CORNERS = ("ax", "ay", "bx", "by", "cx", "cy")
+
+
 def triangle_overlaps(tri: DataFrame, sheet: str, size: float, eps: float = 0.0) -> DataFrame:
-    """a, b: pairs of triangles of one sheet whose interiors meet by more than eps. tri: id, sheet, ax, ay, bx, by, cx, cy; flat triangles are left out.
+    """a, b, shared: pairs of triangles of one sheet whose interiors share an area above eps; shared is null where eps is 0.
 
-    Candidates share a cell of their bounding boxes; the interiors meet unless one of the six edges separates the triangles.
+    tri: id, sheet, ax, ay, bx, by, cx, cy; triangles without area or with a null are left out. Candidates are of one sheet
+    and share a cell of their bounding boxes, which carry the corners; the interiors meet unless one of the six edges separates
+    the triangles, and only where eps is above 0 the area is measured by clipping.
     """
-    t = tri.withColumn("area", cross2(*[F.col(c) for c in ("ax", "ay", "bx", "by", "cx", "cy")])).where(F.abs("area") > eps)
-    t = graph.written(t, "triangles")
+    t = tri.select("id", F.col(sheet).alias("sheet"), *_CORNERS).withColumn("area", cross2(*[F.col(c) for c in _CORNERS])).where("area <> 0")
     low, high = (lambda c: F.least(f"a{c}", f"b{c}", f"c{c}").cast("double")), (lambda c: F.greatest(f"a{c}", f"b{c}", f"c{c}").cast("double"))
-    boxes = t.select("id", *[f(c).alias(f"bm{n}_{c}") for c in "xy" for f, n in ((low, "in"), (high, "ax"))], F.col(sheet).cast("double").alias("bmin_s"), F.col(sheet).cast("double").alias("bmax_s"))
-    side = lambda n: t.select(*[F.col(c).alias(f"{n}_{c}") for c in ("id", "area", "ax", "ay", "bx", "by", "cx", "cy")])
-    both = box_pairs(boxes, ["x", "y", "s"], size).join(side("l"), F.col("a") == F.col("l_id")).join(side("r"), F.col("b") == F.col("r_id"))
-    corners = lambda n: [(F.col(f"{n}_{k}x"), F.col(f"{n}_{k}y")) for k in "abc"]
-    apart = _separated(corners("l"), corners("r"), F.col("l_area"), eps) | _separated(corners("r"), corners("l"), F.col("r_area"), eps)
-    return both.where(~apart).select("a", "b")
+    boxes = t.select("*", *[f(c).alias(f"bm{n}_{c}") for c in "xy" for f, n in ((low, "in"), (high, "ax"))])
+    both = box_pairs(graph.written(boxes, "triangles"), ["x", "y"], size, ["sheet"], [*_CORNERS, "area"])
+    corners = lambda n: [(F.col(n)[f"{k}x"], F.col(n)[f"{k}y"]) for k in "abc"]
+    area = lambda n: F.col(n)["area"]
+    both = both.where(~(_separated(corners("at_a"), corners("at_b"), area("at_a")) | _separated(corners("at_b"), corners("at_a"), area("at_b"))))
+    if not eps:
+        return both.select("a", "b", F.lit(None).cast("double").alias("shared"))
+    shared = shared_area(_turned(corners("at_a"), area("at_a")), _turned(corners("at_b"), area("at_b")))
+    return both.select("a", "b", shared.alias("shared")).where(F.col("shared") > eps)
 
 
 def overlap_gate(tri: DataFrame, sheet: str, size: float, eps: float = 0.0) -> DataFrame:
-    """By sheet: triangles, flat ones, overlapping pairs, the first of them as witness, and verdict."""
+    """By sheet: triangles, flat ones (without area), pairs that share more than eps, the first of them as witness, and verdict."""
     pairs = triangle_overlaps(tri, sheet, size, eps).join(tri.select(F.col("id").alias("a"), F.col(sheet).alias("_s")), "a")
     found = pairs.groupBy("_s").agg(F.count("*").alias("overlaps"), F.min(F.struct("a", "b")).alias("w"))
-    flat = F.abs(cross2(*[F.col(c) for c in ("ax", "ay", "bx", "by", "cx", "cy")])) <= eps
+    flat = cross2(*[F.col(c) for c in _CORNERS]) == 0
     counts = tri.groupBy(sheet).agg(F.count("*").alias("triangles"), F.count_if(flat).alias("flat"))
     out = counts.join(found, F.col(sheet) == F.col("_s"), "left")
     n = F.coalesce("overlaps", F.lit(0)).cast("long")
     return out.select(sheet, "triangles", "flat", n.alias("overlaps"), F.col("w.a").alias("witness_a"), F.col("w.b").alias("witness_b"), F.when(n > 0, "overlap").when(F.col("flat") == F.col("triangles"), "empty").otherwise("clear").alias("verdict"))
 
 
+def sheet_verdict(tri: DataFrame, sheets: DataFrame, sheet: str, size: float, eps: float = 0.0, least: float = 0.9) -> DataFrame:
+    """By row of sheets (sheet, source_area): the counts and verdict of :func:`overlap_gate`, coverage (the triangles' areas over source_area) and passed.
+
+    A sheet passes if it is clear and covered by ``least`` or more. A sheet without triangles is empty and covered by 0; without
+    a positive source_area its coverage is null, and it does not pass.
+    """
+    sizes = tri.groupBy(F.col(sheet).alias("_c")).agg((F.sum(F.abs(cross2(*[F.col(c) for c in _CORNERS]))) / 2).alias("_area"))
+    gate = overlap_gate(tri, sheet, size, eps).withColumnRenamed(sheet, "_g")
+    out = sheets.select(sheet, "source_area").join(gate, F.col(sheet) == F.col("_g"), "left").join(sizes, F.col(sheet) == F.col("_c"), "left")
+    coverage = F.when(F.col("source_area") > 0, F.coalesce("_area", F.lit(0.0)) / F.col("source_area"))
+    out = out.select(sheet, *[F.coalesce(c, F.lit(0)).alias(c) for c in ("triangles", "flat", "overlaps")], F.coalesce("verdict", F.lit("empty")).alias("verdict"), coverage.alias("coverage"))
+    return out.withColumn("passed", F.coalesce((F.col("verdict") == "clear") & (F.col("coverage") >= least), F.lit(False)))
+
+
 def plane_cut(tri: DataFrame, first: float, step: float) -> DataFrame:
     """tri's columns but the corners, plane (number) and the piece x1, y1 to x2, y2 in which each plane z = first + plane * step cuts a triangle.
 

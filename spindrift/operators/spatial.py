@@ -65,8 +65,8 @@ def box_scan(df: DataFrame, box: dict[str, tuple[float, float]], family: str | N
     return out.where(F.col("family") == family) if family else out
 
 
-def box_pairs(df: DataFrame, axes: list[str], size: float) -> DataFrame:
-    """Pairs of boxes that overlap on all axes, a < b by id.
+def box_pairs(df: DataFrame, axes: list[str], size: float, by: list[str] = (), carry: list[str] = ()) -> DataFrame:
+    """Pairs of boxes that overlap on all axes and are equal in ``by``, a < b by id; with ``carry``, these columns of both as structs at_a and at_b.
 
     Cells of a level are twice as wide as those of the one below. A box belongs to the level at which it covers at most two cells an axis, and is
     also looked up at the levels above, so a box of any extent makes few rows. Two boxes meet at the upper one's level, in the first cell that both
@@ -74,7 +74,7 @@ def box_pairs(df: DataFrame, axes: list[str], size: float) -> DataFrame:
     """
     extent = F.greatest(*[F.col(f"bmax_{x}") - F.col(f"bmin_{x}") for x in axes]) if len(axes) > 1 else F.col(f"bmax_{axes[0]}") - F.col(f"bmin_{axes[0]}")
     own = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(extent / size, F.lit(1e-300))))).cast("int")
-    boxes = df.select("id", *[f"bm{n}_{x}" for n in ("in", "ax") for x in axes], own.alias("own"))
+    boxes = df.select("id", *[f"bm{n}_{x}" for n in ("in", "ax") for x in axes], own.alias("own"), *by, *([F.struct(*carry).alias("row")] if carry else []))
     top = boxes.agg(F.coalesce(F.max("own"), F.lit(0)).alias("top"))
 
     def cover(d: DataFrame) -> DataFrame:
@@ -83,14 +83,16 @@ def box_pairs(df: DataFrame, axes: list[str], size: float) -> DataFrame:
             d = d.withColumn(f"_{x}", F.explode(F.sequence(F.floor(F.col(f"bmin_{x}") / wide), F.floor(F.col(f"bmax_{x}") / wide))))
         return d
 
-    named = lambda d, n: d.select(*[F.col(c).alias(f"{n}_{c}") for c in boxes.columns], "_l", *[f"_{x}" for x in axes])
+    named = lambda d, n: d.select(*[F.col(c).alias(f"{n}_{c}") for c in boxes.columns if c not in by], "_l", *by, *[f"_{x}" for x in axes])
     upper = named(cover(boxes.withColumn("_l", F.col("own"))), "p")
     lower = named(cover(boxes.join(F.broadcast(top)).withColumn("_l", F.explode(F.sequence(F.col("own"), F.col("top")))).drop("top")), "q")  # one row
-    both = upper.join(lower, ["_l", *[f"_{x}" for x in axes]]).where((F.col("q_own") < F.col("p_own")) | (F.col("p_id") < F.col("q_id")))
+    both = upper.join(lower, ["_l", *by, *[f"_{x}" for x in axes]]).where((F.col("q_own") < F.col("p_own")) | (F.col("p_id") < F.col("q_id")))
     wide = size * F.pow(F.lit(2.0), F.col("_l"))
     for x in axes:
         both = both.where((F.col(f"_{x}") == F.floor(F.greatest(f"p_bmin_{x}", f"q_bmin_{x}") / wide)) & (F.col(f"p_bmin_{x}") <= F.col(f"q_bmax_{x}")) & (F.col(f"q_bmin_{x}") <= F.col(f"p_bmax_{x}")))
-    return both.where("p_id <> q_id").select(F.least("p_id", "q_id").alias("a"), F.greatest("p_id", "q_id").alias("b"))
+    first = F.col("p_id") < F.col("q_id")
+    rows = [F.when(first, F.col("p_row")).otherwise(F.col("q_row")).alias("at_a"), F.when(first, F.col("q_row")).otherwise(F.col("p_row")).alias("at_b")] if carry else []
+    return both.where("p_id <> q_id").select(F.least("p_id", "q_id").alias("a"), F.greatest("p_id", "q_id").alias("b"), *rows)
 
 
 def asof_interp(points: DataFrame, line: DataFrame, z: str, value: str, width: float) -> DataFrame:

@@ -128,6 +128,36 @@ def e5(t):
     return meshes.overlap_gate(_triangles(t).distinct(), "sheet", 16.0)
 
 
+# the shared area from its corners: those of one triangle inside the other and the crossings of edges, by angle about their mean
+_SHARED = f"""{_TRI}, t AS (SELECT DISTINCT *, (bx - ax) * (cy - ay) - (by_ - ay) * (cx - ax) AS area FROM tri), f AS (SELECT id, sheet, ax, ay, CASE WHEN area > 0 THEN bx ELSE cx END AS bx, CASE WHEN area > 0 THEN by_ ELSE cy END AS by_, CASE WHEN area > 0 THEN cx ELSE bx END AS cx, CASE WHEN area > 0 THEN cy ELSE by_ END AS cy FROM t WHERE area <> 0),
+p AS (SELECT a.sheet, a.id AS a, b.id AS b FROM f a JOIN f b ON a.sheet = b.sheet AND a.id < b.id AND least(a.ax, a.bx, a.cx) <= greatest(b.ax, b.bx, b.cx) AND least(b.ax, b.bx, b.cx) <= greatest(a.ax, a.bx, a.cx) AND least(a.ay, a.by_, a.cy) <= greatest(b.ay, b.by_, b.cy) AND least(b.ay, b.by_, b.cy) <= greatest(a.ay, a.by_, a.cy)),
+ed AS (SELECT id, ax AS x, ay AS y, bx AS u, by_ AS v FROM f UNION ALL SELECT id, bx, by_, cx, cy FROM f UNION ALL SELECT id, cx, cy, ax, ay FROM f), d AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+ins AS (SELECT d.a, d.b, e.x, e.y FROM d JOIN ed e ON e.id = d.a JOIN ed o ON o.id = d.b GROUP BY ALL HAVING bool_and((o.u - o.x) * (e.y - o.y) - (o.v - o.y) * (e.x - o.x) >= 0)),
+cr AS (SELECT p.a, p.b, e.x + s * (e.u - e.x) AS x, e.y + s * (e.v - e.y) AS y FROM (SELECT p.a, p.b, e, ((o.x - e.x) * (o.v - o.y) - (o.y - e.y) * (o.u - o.x)) / CAST((e.u - e.x) * (o.v - o.y) - (e.v - e.y) * (o.u - o.x) AS DOUBLE) AS s, ((o.x - e.x) * (e.v - e.y) - (o.y - e.y) * (e.u - e.x)) / CAST((e.u - e.x) * (o.v - o.y) - (e.v - e.y) * (o.u - o.x) AS DOUBLE) AS r
+  FROM p JOIN ed e ON e.id = p.a JOIN ed o ON o.id = p.b WHERE (e.u - e.x) * (o.v - o.y) <> (e.v - e.y) * (o.u - o.x)) p WHERE s BETWEEN 0 AND 1 AND r BETWEEN 0 AND 1),
+po AS (SELECT least(a, b) AS a, greatest(a, b) AS b, x::DOUBLE AS x, y::DOUBLE AS y FROM ins UNION SELECT a, b, x, y FROM cr), ce AS (SELECT a, b, x - avg(x) OVER w AS x, y - avg(y) OVER w AS y FROM po WINDOW w AS (PARTITION BY a, b)),
+an AS (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY atan2(y, x), x, y) AS k, count(*) OVER (PARTITION BY a, b) AS n FROM ce), sh AS (SELECT l.a, l.b, abs(sum(l.x * r.y - r.x * l.y)) / 2 AS shared FROM an l JOIN an r ON r.a = l.a AND r.b = l.b AND r.k = l.k % l.n + 1 GROUP BY 1, 2)"""
+
+
+@query("e5_shared_area", sql=f"""
+WITH {_SHARED} SELECT sheet, count(*) AS pairs, round(sum(shared), 4) AS shared, round(max(shared), 4) AS most FROM sh JOIN p USING (a, b) WHERE shared > CAST(0.37 AS DOUBLE) GROUP BY 1""")
+def e5_shared(t):
+    tri = _triangles(t).distinct()
+    found = meshes.triangle_overlaps(tri, "sheet", 16.0, 0.37).join(tri.select(F.col("id").alias("a"), "sheet"), "a")
+    return found.groupBy("sheet").agg(F.count("*").alias("pairs"), F.round(F.sum("shared"), 4).alias("shared"), F.round(F.max("shared"), 4).alias("most"))
+
+
+# small overlaps pass; the stated area differs by sheet, so some are not covered
+@query("e5_sheet_verdict", sql=f"""
+WITH {_SHARED}, o AS (SELECT sheet, count(*) AS n FROM sh JOIN p USING (a, b) WHERE shared > CAST(5.3 AS DOUBLE) GROUP BY 1), g AS (SELECT sheet, count(*) AS triangles, count(*) FILTER (area = 0) AS flat, sum(abs(area)) / CAST(2 AS DOUBLE) AS area FROM t GROUP BY 1),
+v AS (SELECT sheet, triangles, flat, coalesce(n, 0) AS overlaps, CASE WHEN n > 0 THEN 'overlap' WHEN flat = triangles THEN 'empty' ELSE 'clear' END AS verdict, area / (450 + sheet % 5 * 60) AS coverage FROM g LEFT JOIN o USING (sheet))
+SELECT sheet, triangles, flat, "overlaps", verdict, round(coverage, 6) AS coverage, verdict = 'clear' AND coverage >= CAST(0.9 AS DOUBLE) AS passed FROM v""")
+def e5_verdict(t):
+    tri = _triangles(t).distinct()
+    sheets = tri.select("sheet").distinct().withColumn("source_area", 450.0 + F.col("sheet") % 5 * 60)
+    return meshes.sheet_verdict(tri, sheets, "sheet", 16.0, 5.3).withColumn("coverage", F.round("coverage", 6))
+
+
 _SURFACE = """v AS (SELECT m, r, c, x - 1000 AS x, y - 1000 AS y, z FROM spiral), g AS (SELECT a.m, a.r, a.c, a.x AS ax, a.y AS ay, a.z AS az, b.x AS bx, b.y AS by_, b.z AS bz, d.x AS cx, d.y AS cy, d.z AS cz FROM v a JOIN v b ON b.m = a.m AND b.r = a.r + 1 AND b.c = a.c JOIN v d ON d.m = a.m AND d.r = a.r AND d.c = a.c + 1),
 h AS (SELECT m, r, c, (105 + 10 * r - az) / (bz - az) AS s, (105 + 10 * r - bz) / (cz - bz) AS q, * EXCLUDE (m, r, c) FROM g), pc AS (SELECT m, r AS plane, ax + s * (bx - ax) AS x1, ay + s * (by_ - ay) AS y1, bx + q * (cx - bx) AS x2, by_ + q * (cy - by_) AS y2 FROM h)"""
 

@@ -163,3 +163,40 @@ def test_lines_of_boxes(spark):
     boxes = [("i", 1, 0, 10, 0, 10), ("i", 2, 12, 20, 1, 11), ("i", 3, 60, 70, 0, 10), ("i", 4, 0, 10, 30, 40), ("i", 5, 2, 12, 31, 41), ("i", 5, 2, 12, 31, 41)]
     got = {r["id"]: (r["line"], r["place"], r["ambiguous"]) for r in meshes.group_lines(spark.createDataFrame(boxes, "img string, id long, x0 int, x1 int, y0 int, y1 int"), "img").collect()}
     assert got == {1: (1, 1, False), 2: (1, 2, False), 3: (3, 1, False), 4: (4, 1, True), 5: (4, 2, True)}
+
+
+def clip_area(a, b):
+    """The shared area of two triangles by clipping in exact numbers."""
+    from fractions import Fraction
+
+    cross = lambda p, q, r: (q[0] - p[0]) * (r[1] - p[1]) - (q[1] - p[1]) * (r[0] - p[0])
+    a, b = ([tuple(map(Fraction, p)) for p in t] for t in (a, b))
+    a, b = (t if cross(*t) > 0 else [t[0], t[2], t[1]] for t in (a, b))
+    for i in range(3):
+        p, q, out = b[i], b[(i + 1) % 3], []
+        for last, now in zip([a[-1], *a[:-1]] if a else [], a, strict=True):
+            x, y = cross(p, q, last), cross(p, q, now)
+            if (x >= 0) != (y >= 0):
+                out.append((last[0] + x / (x - y) * (now[0] - last[0]), last[1] + x / (x - y) * (now[1] - last[1])))
+            if y >= 0:
+                out.append(now)
+        a = out
+    return abs(sum(p[0] * q[1] - q[0] * p[1] for p, q in zip(a, a[1:] + a[:1], strict=True))) / 2 if a else Fraction(0)
+
+
+def test_shared_areas_like_exact_clipping(spark):
+    rng = random.Random(11)
+    tri = {i: (i % 2, [(rng.randrange(12), rng.randrange(12)) for _ in range(3)]) for i in range(60)}
+    schema = "id long, sheet int, ax int, ay int, bx int, by int, cx int, cy int, area int, shared double"
+    df = spark.createDataFrame([(i, s, *t[0], *t[1], *t[2], 1, 0.0) for i, (s, t) in tri.items()] + [(99, 0, 1, 1, 2, 2, 3, 3, 1, 0.0), (98, 0, None, 1, 2, 2, 3, 9, 1, 0.0)], schema)
+    flat = lambda t: (t[1][0] - t[0][0]) * (t[2][1] - t[0][1]) == (t[1][1] - t[0][1]) * (t[2][0] - t[0][0])
+    areas = {(i, j): clip_area(tri[i][1], tri[j][1]) for i in tri for j in tri if i < j and tri[i][0] == tri[j][0] and not flat(tri[i][1]) and not flat(tri[j][1])}
+    assert {(r["a"], r["b"]) for r in meshes.triangle_overlaps(df, "sheet", 4.0).collect()} == {k for k, x in areas.items() if x > 0}
+    for eps in (0.1234, 2.0):
+        got = {(r["a"], r["b"]): r["shared"] for r in meshes.triangle_overlaps(df, "sheet", 4.0, eps).collect()}
+        assert got == {k: pytest.approx(float(x)) for k, x in areas.items() if x > eps} and got
+    sheets = spark.createDataFrame([(0, 100.0), (1, 1.0), (2, 5.0), (3, 0.0)], "sheet int, source_area double")
+    got = {r["sheet"]: r for r in meshes.sheet_verdict(df, sheets, "sheet", 4.0, 1e6).collect()}
+    total = sum(abs((t[1][0] - t[0][0]) * (t[2][1] - t[0][1]) - (t[1][1] - t[0][1]) * (t[2][0] - t[0][0])) / 2 for s, t in tri.values() if s == 0)
+    assert got[0]["coverage"] == pytest.approx(total / 100) and got[1]["passed"] and (got[2]["verdict"], got[2]["coverage"], got[2]["passed"]) == ("empty", 0.0, False) and got[3]["coverage"] is None and not got[3]["passed"]
+    assert meshes.overlap_gate(df.limit(0), "sheet", 4.0, 1.0).count() == 0
