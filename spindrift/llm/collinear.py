@@ -13,8 +13,8 @@ a chain; where an end grows up to that edge, the chain is aligned again with six
 Anchors alone would lose a passage whose seeds have different first holders, each of which holds less than a passage. So
 every run of ``min_words`` words that the passages found so far do not cover, and whose seeds all occur in earlier texts, is
 hashed whole and joined to the first text that holds the same run; as few of these as cover the same words are reported.
-Thus, of every exact repeat of ``min_words`` words or more between two texts, all words lie in reported passages. Edited passages are found where exact runs of k + w - 1
-words or luckily equal seeds remain, at least two of one anchor; the README states the recall.
+Thus, of every exact repeat of ``min_words`` words or more between two texts, all words lie in reported passages. Edited passages are found where two seeds of one anchor
+remain: a chain's ends grow by alignment past words that one side has more; the README states the recall.
 
 Repeats inside one document are not reported. Defined results: null and empty texts and texts shorter than k words have no
 passages; a copy's passage is its whole text, if that has ``min_words`` words; repeated rows are copies of each other; very
@@ -254,13 +254,19 @@ def _chains(rows: dict[str, list]):
 
 
 def common_words(a: np.ndarray, b: np.ndarray) -> int:
-    """Length of the longest common subsequence."""
+    """Length of the longest common subsequence, bit-parallel: a step for each word of the longer side, over bits of the shorter one."""
     if len(a) > len(b):
         a, b = b, a
-    best = np.zeros(len(b) + 1, dtype=np.int32)
-    for w in a:
-        best[1:] = np.maximum.accumulate(np.maximum(best[1:], best[:-1] + (b == w)))
-    return int(best[-1])
+    places: dict[int, int] = {}
+    for i, w in enumerate(a.tolist()):
+        places[w] = places.get(w, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    rows = full
+    for w in b.tolist():
+        if at := places.get(w):
+            met = rows & at
+            rows = ((rows + met) | (rows - met)) & full
+    return len(a) - rows.bit_count()
 
 
 def extension(a: np.ndarray, b: np.ndarray, drop: int = 4) -> tuple[int, int, bool]:
@@ -283,6 +289,37 @@ def extension(a: np.ndarray, b: np.ndarray, drop: int = 4) -> tuple[int, int, bo
     return best + 1, int(same[: best + 1].sum()), not len(low)
 
 
+def end_alignment(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
+    """Words of a and of b, and how many are equal, in the best alignment from the beginnings of both (equal 1, each edit -1; of ties, with most equal words)."""
+    # a score and the equal words behind it in one number
+    slope = 1000 * np.arange(len(b) + 1, dtype=np.int64)
+    row, top = -slope, (0, 0, 0)
+    for i, w in enumerate(a.tolist()):
+        start = row - 1000
+        start[1:] = np.maximum(start[1:], row[:-1] + np.where(b == w, 1001, -1000))
+        row = np.maximum.accumulate(start + slope) - slope
+        j = int(row.argmax())
+        if row[j] > top[0]:
+            top = (int(row[j]), i + 1, j)
+    return top[1], top[2], top[0] % 1000
+
+
+def end_growth(a: np.ndarray, b: np.ndarray, edited: bool, window: int = 64) -> tuple[int, int, int, bool]:
+    """How far an end grows into a and into b, how many of these words are equal, and whether it came to the end of one.
+
+    The ends of an edited passage grow past words that one side has more: by alignment, a window at a time.
+    """
+    i, same, edge = extension(a, b)
+    j = i
+    while edited and not edge:
+        x, y, more = end_alignment(a[i : i + window], b[j : j + window])
+        i, j, same = i + x, j + y, same + more
+        edge = min(len(a) - i, len(b) - j) < window  # what follows may matter
+        if 2 * max(x, y) < window:
+            break
+    return i, j, same, edge
+
+
 def blocks(a: np.ndarray, b: np.ndarray, pieces: list[tuple[int, int, int]], most: int = 8, least: int = 4) -> list[tuple[int, int, int, int]]:
     """A chain's pieces without overlaps, cut where ``most`` words in a row differ, as (start, other start, words, equal words). Grams are hashed, so words are compared."""
     out, i, j = [], 0, 0
@@ -311,30 +348,27 @@ def align(a: np.ndarray, b: np.ndarray, pieces: list[tuple[int, int, int]], min_
     Of all ways to cut the chain at gaps into passages of ``min_words`` and ``min_identity``, the one whose blocks hold most
     equal words; among those, a gap stays inside a passage if its different words outnumber its equal ones by at most ``joint``.
     """
-    parts = [list(x) for x in blocks(a, b, pieces)]
+    parts = [[s, t, s + n, t + n, e] for s, t, n, e in blocks(a, b, pieces)]
     m = len(parts)
     if not m:
         return [], False, False
     inside, worth, edges = [0] * m, [0] * m, [False, False]
-    for x in range(m + 1):  # ends grow into the gap before part x, then its other words are aligned
-        i, j = (parts[x - 1][0] + parts[x - 1][2], parts[x - 1][1] + parts[x - 1][2]) if x else (0, 0)
-        s, t = (parts[x][0], parts[x][1]) if x < m else (len(a), len(b))
-        if x:
-            n, same, edge = extension(a[i:s], b[j:t])
-            parts[x - 1][2] += n
-            parts[x - 1][3] += same
-            i, j = i + n, j + n
-            edges[1] |= edge and x == m
-        if x < m:
-            n, same, edge = extension(a[i:s][::-1], b[j:t][::-1])
-            parts[x] = [s - n, t - n, parts[x][2] + n, parts[x][3] + same]
-            s, t = s - n, t - n
-            edges[0] |= edge and x == 0
-        if 0 < x < m:
-            inside[x] = common_words(a[i:s], b[j:t]) if s > i and t > j else 0
-            worth[x] = 2 * inside[x] - max(s - i, t - j)
-    low, low2, n, e = (np.array(c, dtype=np.int64) for c in zip(*parts, strict=True))
-    high, high2 = low + n, low2 + n
+    edited = m > 1 or parts[0][4] < parts[0][2] - parts[0][0] or parts[0][4] < min_words
+    n, n2, same, edges[0] = end_growth(a[: parts[0][0]][::-1], b[: parts[0][1]][::-1], edited)
+    parts[0] = [parts[0][0] - n, parts[0][1] - n2, *parts[0][2:4], parts[0][4] + same]
+    n, n2, same, edges[1] = end_growth(a[parts[-1][2] :], b[parts[-1][3] :], edited)
+    parts[-1] = [*parts[-1][:2], parts[-1][2] + n, parts[-1][3] + n2, parts[-1][4] + same]
+    for x in range(1, m):  # ends grow into the gap before part x, then its other words are aligned
+        (_, _, i, j, _), (s, t, _, _, _) = parts[x - 1], parts[x]
+        n, same, _ = extension(a[i:s], b[j:t])
+        parts[x - 1][2:] = [i + n, j + n, parts[x - 1][4] + same]
+        i, j = i + n, j + n
+        n, same, _ = extension(a[i:s][::-1], b[j:t][::-1])
+        parts[x][:2], parts[x][4] = [s - n, t - n], parts[x][4] + same
+        s, t = s - n, t - n
+        inside[x] = common_words(a[i:s], b[j:t]) if s > i and t > j else 0
+        worth[x] = 2 * inside[x] - max(s - i, t - j)
+    low, low2, high, high2, e = (np.array(c, dtype=np.int64) for c in zip(*parts, strict=True))
     equal, gaps, gains = (np.concatenate([[0], np.cumsum(c)]) for c in (e, inside, worth))
 
     def matched(x, y):
@@ -557,7 +591,7 @@ def _anchored(seeds: DataFrame) -> DataFrame:
     return out.select("row", F.greatest("at", F.bitwise_not("at")).alias("at"), "source", "other")
 
 
-def repeated_passages(docs: DataFrame, k: int = 6, window: int = 6, min_words: int = 50, min_identity: float = 0.8, gap: int = 40, cost: float = 0.1, margin: int = 128) -> DataFrame:
+def repeated_passages(docs: DataFrame, k: int = 5, window: int = 6, min_words: int = 50, min_identity: float = 0.8, gap: int = 40, cost: float = 0.1, margin: int = 128) -> DataFrame:
     """A row for each passage of a document that an earlier document (by input order) holds too: word spans in both, equal words, identity, and the text keys of the document."""
     if min_words < k + 3 * window or window >= STEP:
         raise ValueError(f"min_words must be at least k + 3 * window, and window less than {STEP}")
