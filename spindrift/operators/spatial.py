@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from .graph import written
+
 
 def cell(c: Column | str, size: float) -> Column:
     return F.floor((F.col(c) if isinstance(c, str) else c) / size)
@@ -44,6 +46,35 @@ def nearest_join(a: DataFrame, b: DataFrame, axes: list[str], key: list[str], re
     return pairs.groupBy(*key).agg(best.alias("n")).select(*key, *[F.col(f"n.b_{c}").alias(c) for c in other], F.round(F.sqrt("n.d2"), 6).alias("distance"))
 
 
+def k_nearest(a: DataFrame, b: DataFrame, axes: list[str], key: list[str], other: list[str], size: float, k: int = 1) -> DataFrame:
+    """key, place (1 to k), other and distance of the k nearest rows of b, however far (ties: the smaller other; all of b where it has fewer).
+
+    Rounds of :func:`within` at a reach that doubles from ``size``: a row that finds k others within the reach has its
+    nearest ones, and only the other rows go on. They end at the diagonal of all points' box, so there are never more rounds
+    than doublings to it. Rows with a null or NaN coordinate take no part.
+    """
+    whole = lambda df: df.where(" and ".join(f"{x} is not null and not isnan({x})" for x in axes))
+    left = written(whole(a).select(*key, *[F.col(x).cast("double").alias(x) for x in axes]), "nearest")
+    right = written(whole(b).select(*[F.col(x).cast("double").alias(x) for x in axes], *[c for c in other if c not in axes]), "nearest")
+    both = left.select(*axes).unionByName(right.select(*axes)).agg(*[(F.max(x) - F.min(x)).alias(x) for x in axes]).first()
+    last = sum((both[x] or 0.0) ** 2 for x in axes) ** 0.5
+    found, reach, n = None, size, right.count()
+    nearest = W.partitionBy(*key).orderBy("d2", *[f"b_{c}" for c in other])
+    while n and (found is None or left.limit(1).count()):
+        pairs = within(left, right, axes, reach).withColumn("d2", F.round("d2", 6)).withColumn("place", F.row_number().over(nearest)).where(F.col("place") <= k)
+        pairs = written(pairs.select(*key, "place", *[f"b_{c}" for c in other], "d2"), "nearest")
+        done = pairs.groupBy(*key).agg(F.count("*").alias("_n")).where(F.col("_n") >= min(k, n)).select(*key) if reach < last else left.select(*key).distinct()
+        sure = pairs.join(done, key, "left_semi")
+        found = sure if found is None else found.unionByName(sure)
+        if reach >= last:
+            break
+        left = written(left.join(done, key, "left_anti"), "nearest")
+        reach *= 2
+    if found is None:  # b is empty
+        found = within(left, right, axes, size).withColumn("place", F.lit(1))
+    return found.select(*key, "place", *[F.col(f"b_{c}").alias(c) for c in other], F.round(F.sqrt("d2"), 6).alias("distance"))
+
+
 def near(a: DataFrame, b: DataFrame, axes: list[str], size: float, how: str = "left_semi") -> DataFrame:
     """Rows of a with (or, left_anti, without) a row of b in the same or a neighbouring cube."""
     keys = [f"_{x}" for x in axes]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import sheets
+from ..operators import sheets, spatial
 from .registry import query
 
 # neighbours in an order as overlapping meshes; every 29th pair contradicts the hidden signs
@@ -147,3 +147,12 @@ b AS (SELECT slice, count(*) AS points, count(DISTINCT wind) AS levels, max(wind
 SELECT slice, pieces, bad, sure, written, sure - written AS left_out, components, coalesce(points, 0) AS points, coalesce(levels, 0) AS levels, span, round(coalesce(max_gap, 0), 6) AS max_gap FROM a LEFT JOIN b USING (slice)""")
 def e11_report(t):
     return sheets.ladder_report(*_ladder(t)).withColumn("max_gap", F.round("max_gap", 6))
+
+
+@query("j3_nearest_any", sql="""
+WITH a AS (SELECT c_custkey AS k, c_acctbal AS x, c_nationkey * CAST(400 AS DOUBLE) AS y FROM customer), b AS (SELECT s_suppkey AS id, s_acctbal AS x, s_nationkey * CAST(400 AS DOUBLE) AS y FROM supplier),
+p AS (SELECT k, id, round((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y), 6) AS d2 FROM a, b), r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY d2, id) AS place FROM p) SELECT k, place::INT AS place, id, round(sqrt(d2), 6) AS distance FROM r WHERE place <= 3""")
+def j3_any(t):
+    a = t.customer.select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("x"), (F.col("c_nationkey") * 400.0).alias("y"))
+    b = t.supplier.select(F.col("s_suppkey").alias("id"), F.col("s_acctbal").alias("x"), (F.col("s_nationkey") * 400.0).alias("y"))
+    return spatial.k_nearest(a, b, ["x", "y"], ["k"], ["id"], 60.0, 3)
