@@ -93,3 +93,27 @@ def r8(t):
     state = t.bill.where("job_id % 4 <> 0").select("job_id", F.md5(cents.cast("string")).alias("digest"), status.alias("status"))
     plan = t.bill.select("job_id", F.md5((cents + F.when(F.col("job_id") % 5 == 0, 1).otherwise(0)).cast("string")).alias("digest"), ((F.col("state") == "running") & (F.col("cost") > 400000)).alias("blocked"))
     return feeds.queue_refresh(state, plan, "job_id")
+
+
+# every 50th event comes without a key, sources read in one batch
+@query("r5_run_log", sql="""
+WITH e AS (SELECT event_type AS source, CASE WHEN event_id % 50 <> 0 THEN event_id END AS id, ts, value FROM events), r AS (SELECT source, count(*) AS read, count(*) FILTER (id IS NULL) AS failed, count(*) FILTER (id IS NOT NULL AND value > 5) AS kept, count(DISTINCT id) FILTER (value > 5) AS "new", max(ts) AS finished FROM e GROUP BY GROUPING SETS ((source), ()))
+SELECT source, read, failed, kept, "new", finished, CASE WHEN failed = read THEN 'error' WHEN failed > 0 THEN 'partial' ELSE 'ok' END AS state FROM r""")
+def r5_log(t):
+    return _run_log(t).drop("run")
+
+
+def _run_log(t):
+    items, progress = _table(t, "items")
+    log, _ = _table(t, "runs")
+    rows = _events(t).select(F.when(F.col("event_id") % 50 != 0, F.col("event_id")).alias("id"), F.col("event_type").alias("source"), "ts", "value")
+    feeds.runs_stream(rows, items, log, "id", "source", "ts", F.col("value") > 5, progress).awaitTermination()
+    return log.read_all()
+
+
+@query("r5_run_status", sql="""
+WITH e AS (SELECT event_type AS source, CASE WHEN event_id % 50 <> 0 THEN event_id END AS id, ts, value FROM events), n AS (SELECT max(ts) + INTERVAL 15 MINUTES AS now FROM events)
+SELECT source, count(*) FILTER (id IS NOT NULL AND value > 5) AS collected, max(ts) + INTERVAL 30 MINUTES AS next_due, max(ts) + INTERVAL 30 MINUTES < any_value(now) AS overdue FROM e, n GROUP BY 1""")
+def r5_status(t):
+    now = t.events.agg(F.max(F.col("ts").cast("timestamp")).alias("m")).first()["m"]
+    return feeds.run_status(_run_log(t), "30 minutes", F.lit(now) + F.expr("interval 15 minutes")).select("source", "collected", "next_due", "overdue")

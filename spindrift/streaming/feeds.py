@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
@@ -145,6 +145,40 @@ def watch_stream(stream: DataFrame, seen: Versions, queue: Versions, key: str, c
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def runs_stream(stream: DataFrame, items: Versions, log: Versions, key: str, by: str, time: str, keep: Column, checkpoint: str) -> StreamingQuery:
+    """Collection with a log of its runs: kept rows join ``items`` once by key, and each batch adds a row a source to ``log``.
+
+    log: batch, source, read, failed (rows without key or time), kept (of the others, those that ``keep`` holds for), new (kept
+    keys that were not there), finished (the newest time read; null if none) and state: error if all rows failed, partial if
+    some did, else ok. The row with a null source has the whole batch's counts, observed while its rows are written; rows
+    without a source are only in it. Both tables are read as of the batch before, so a batch that is run again counts once.
+    """
+
+    def step(df: DataFrame, n: int) -> None:
+        bad = F.col(key).isNull() | F.col(time).isNull()
+        kept = ~bad & F.coalesce(keep, F.lit(False))
+        seen, known = Observation(), items.read_all(n)
+        counted = df.observe(seen, F.count("*").alias("read"), F.count_if(bad).alias("failed"), F.count_if(kept).alias("kept"), F.max(time).alias("finished"))
+        items.replace(ledger_append(df.limit(0) if known is None else known, counted.where(kept), key), n)
+        fresh = df.sparkSession.read.schema(df.schema).parquet(f"{items.root}/rows/batch={n}")
+        total = seen.get
+        one = df.where(F.col(by).isNotNull()).groupBy(F.col(by).alias("source")).agg(F.count("*").alias("read"), F.count_if(bad).alias("failed"), F.count_if(kept).alias("kept"), F.max(time).alias("finished"))
+        new = fresh.groupBy(F.col(by).alias("_s")).agg(F.count("*").alias("new"))
+        one = one.join(new, F.col("source") == F.col("_s"), "left").select("source", "read", "failed", "kept", F.coalesce("new", F.lit(0)).alias("new"), "finished")
+        whole = df.sparkSession.createDataFrame([(None, total["read"], total["failed"], total["kept"], fresh.count(), total["finished"])], one.schema)
+        state = F.when((F.col("failed") > 0) & (F.col("failed") == F.col("read")), "error").when(F.col("failed") > 0, "partial").otherwise("ok")
+        log.replace(one.unionByName(whole).select(F.lit(n).alias("run"), "*", state.alias("state")), n)
+
+    return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def run_status(log: DataFrame, every: str, now: Column | None = None) -> DataFrame:
+    """The newest run of each source with next_due, ``every`` after it finished, and whether that is past (null without ``now``)."""
+    last = log.where(F.col("source").isNotNull()).groupBy("source").agg(F.max_by(F.struct("run", "read", "failed", "kept", "new", "finished", "state"), "run").alias("r"), F.sum("new").alias("collected"))
+    due = F.col("r.finished") + F.expr(f"interval {every}")
+    return last.select("source", "r.*", "collected", due.alias("next_due"), (due < now if now is not None else F.lit(None).cast("boolean")).alias("overdue"))
+
+
 def queue_refresh(state: DataFrame, plan: DataFrame, key: str) -> DataFrame:
     """Statuses after a new plan: finished work stays while its digest is the same, approvals fall when it changed, the rest is planned.
 

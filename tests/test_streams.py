@@ -51,3 +51,23 @@ def test_watch_and_ledger_survive_retries(spark, tmp_path):
     changes = {(r["batch"], r["id"], r["change"]) for r in queue.read().collect()}
     assert {c for c in changes if c[0] == 1} == {(1, 1, "gone"), (1, 2, "changed"), (1, 3, "new")}
     assert sorted((r["id"], r["v"]) for r in ledger.read_all().collect()) == [(1, 1), (2, 2), (3, 3)]
+
+
+def test_runs_are_logged_once_by_source(spark, tmp_path):
+    folder, items, log, progress = (f"file://{tmp_path}/{n}" for n in ("in", "items", "log", "progress"))
+    put = lambda n, rows: spark.createDataFrame(rows, "id long, source string, v int, at string").withColumn("at", F.col("at").cast("timestamp")).coalesce(1).write.parquet(f"{folder}/{n}")
+    schema = spark.createDataFrame([], "id long, source string, v int, at timestamp").schema
+
+    def run():
+        rows = feeds.read_stream(spark, f"{folder}/*", "*.parquet", schema, 1)
+        feeds.runs_stream(rows, feeds.Versions(spark, items), feeds.Versions(spark, log), "id", "source", "at", F.col("v") > 0, progress).awaitTermination()
+        return {(r["run"], r["source"]): (r["read"], r["failed"], r["kept"], r["new"], r["state"]) for r in feeds.Versions(spark, log).read_all().collect()}
+
+    put(0, [(1, "a", 5, "2024-01-01 00:00:00"), (1, "a", 5, "2024-01-01 00:00:00"), (2, "a", -1, "2024-01-01 01:00:00"), (None, "b", 5, "2024-01-01 00:00:00"), (3, None, 5, "2024-01-02 00:00:00"), (4, "c", None, "2024-01-02 00:00:00")])
+    got = run()
+    assert got == {(0, "a"): (3, 0, 2, 1, "ok"), (0, "b"): (1, 1, 0, 0, "error"), (0, "c"): (1, 0, 0, 0, "ok"), (0, None): (6, 1, 3, 2, "partial")}
+    put(1, [(1, "a", 9, "2024-01-03 00:00:00"), (7, "a", 9, "2024-01-03 00:00:00"), (8, "b", 9, "2024-01-03 00:00:00"), (9, "b", 9, None)])
+    got = {k: v for k, v in run().items() if k[0] == 1}
+    assert got == {(1, "a"): (2, 0, 2, 1, "ok"), (1, "b"): (2, 1, 1, 1, "partial"), (1, None): (4, 1, 3, 2, "partial")}
+    status = {r["source"]: r for r in feeds.run_status(feeds.Versions(spark, log).read_all(), "30 minutes", F.lit("2024-01-02 12:00:00").cast("timestamp")).collect()}
+    assert (status["a"]["run"], status["a"]["collected"], status["a"]["overdue"], status["c"]["overdue"], status["b"]["state"]) == (1, 2, False, True, "partial")
