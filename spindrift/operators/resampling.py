@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import written
+
 _M = 2147483647
 
 
@@ -22,13 +24,30 @@ def resample_weights(units: DataFrame, n: int, draws: int, seed: int = 0) -> Dat
 def dense_units(df: DataFrame, key: str) -> tuple[DataFrame, int]:
     """key, unit (0.. in order of key) of the distinct keys, and how many there are.
 
-    Numbers come from the keys' place in range partitions: sorted once, counted per partition, no single-task window.
+    The keys are written with the number of their range partition; each partition is numbered by itself, above the keys of
+    the partitions before it, which come from a table of one row a partition.
+    """
+    keys = written(df.select(key).distinct().repartitionByRange(key).withColumn("_p", F.spark_partition_id()), "units")
+    counts = written(keys.groupBy("_p").agg(F.count("*").alias("_n")), "unit-counts")
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row a partition
+    base = counts.select("_p", before.alias("_base"))
+    unit = F.col("_base") + F.row_number().over(Window.partitionBy("_p").orderBy(key)) - 1  # one range of keys
+    return keys.join(F.broadcast(base), "_p").select(key, unit.alias("unit")), counts.agg(F.sum("_n")).first()[0] or 0
+
+
+def smallest_by_hash(df: DataFrame, n: int, digest: Column, ties: list[str]) -> DataFrame:
+    """The n rows with the smallest digests (hexadecimal text; ties: the smaller of these columns), or all rows where there are no more.
+
+    The first four digits are counted; buckets below the one that holds the boundary are taken whole, and only that one, a
+    65,536th of the rows or so, is ordered.
     """
-    keys = df.select(key).distinct().orderBy(key).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id())
-    keys = keys.persist()
-    counts = sorted((r["_p"], r["n"], r["low"]) for r in keys.groupBy("_p").agg(F.count("*").alias("n"), F.min("_i").alias("low")).collect())  # a row per partition
-    base, at = F.lit(0).cast("long"), 0
-    for p, n, low in counts:
-        base = F.when(F.col("_p") == p, F.lit(at).cast("long") + F.col("_i") - F.lit(low)).otherwise(base)
-        at += n
-    return keys.select(key, base.alias("unit")), at
+    rows = df.withColumn("_h", digest).withColumn("_k", F.substring("_h", 1, 4))
+    counts = rows.groupBy("_k").agg(F.count("*").alias("_n"))
+    upto = F.sum("_n").over(Window.orderBy("_k"))  # at most 65,536 rows
+    edge = counts.withColumn("_upto", upto).where(F.col("_upto") >= n).orderBy("_k").first() if n > 0 else None
+    if n <= 0:
+        return df.limit(0)
+    if edge is None:
+        return df
+    part = rows.where(F.col("_k") == edge["_k"]).orderBy("_h", *ties).limit(n - edge["_upto"] + edge["_n"])
+    return rows.where(F.col("_k") < edge["_k"]).unionByName(part).drop("_h", "_k")

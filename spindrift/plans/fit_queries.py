@@ -314,3 +314,12 @@ def u12(t):
 def u12b(t):
     layout = graph.written(u12(t), "layout")
     return gr.disjoint(layout, 16, 4, 1).agg(F.count("*").alias("broken"))
+
+
+# a pool tile planted inside each test block must be found, and nothing else
+@query("u12_planted", views="px", sql="""
+WITH bs AS (SELECT map_id, y // 16 AS by_, x // 16 AS bx, sum(sup) / CAST(256 AS DOUBLE) AS share FROM px GROUP BY 1, 2, 3) SELECT map_id, (by_ * 16 + 4)::INT AS y, (bx * 16 + 8)::INT AS x FROM bs WHERE (by_ + bx) % 4 = 0 AND share >= CAST(0.3 AS DOUBLE)""")
+def u12_planted(t):
+    layout = graph.written(u12(t), "layout")
+    planted = layout.where("kind = 'test'").select("map_id", F.lit("pool").alias("kind"), (F.col("y") + 4).alias("y"), (F.col("x") + 8).alias("x"))
+    return gr.disjoint(layout.unionByName(planted), 16, 4, 1).select("map_id", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"))

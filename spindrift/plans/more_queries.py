@@ -10,6 +10,7 @@ from pyspark.sql.window import Window as W
 from ..functions import text as tx
 from ..operators import graph as g
 from ..operators import grids as gr
+from ..operators import resampling as rs
 from ..operators import stats as st
 from ..operators import vectors as vc
 from ..operators.stats import r6
@@ -149,7 +150,7 @@ def u10(t):
     b = t.px.select(cell("y", 8).alias("by"), cell("x", 8).alias("bx")).distinct()
     order = F.md5(F.concat_ws("|", F.col("by").cast("string"), F.col("bx").cast("string"), F.lit("3")))
     n = b.count() // 10  # blocks of the grid, not pixels
-    held = g.written(b.orderBy(order, "by", "bx").limit(n), "held")
+    held = g.written(rs.smallest_by_hash(b, n, order, ["by", "bx"]), "held")
     guard = held.withColumn("by", F.explode(F.sequence(F.col("by") - 1, F.col("by") + 1))).withColumn("bx", F.explode(F.sequence(F.col("bx") - 1, F.col("bx") + 1))).distinct().withColumn("near", F.lit(True))
     p = t.px.where("map_id = 0").groupBy(cell("y", 4).alias("py"), cell("x", 4).alias("qx")).agg(F.avg("sup").alias("support"))
     p = p.withColumns({"by": cell("py", 2), "bx": cell("qx", 2)}).join(guard, ["by", "bx"], "left")

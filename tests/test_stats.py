@@ -59,3 +59,21 @@ def test_digest_ignores_order_and_sees_multiplicity(spark):
     c = spark.createDataFrame([(1,), (2,)], "x int")
     one = lambda d: tuple(st.multiset_digest(d).first())
     assert one(a) == one(b) != one(c)
+
+
+def test_units_and_smallest_hashes_like_sorting(spark):
+    import hashlib
+
+    from pyspark.sql import functions as F
+
+    from spindrift.operators import resampling as rs
+
+    keys = [i * 7 % 501 for i in range(900)]
+    df = spark.createDataFrame([(k, f"k{k}") for k in keys], "key long, name string")
+    units, n = rs.dense_units(df, "key")
+    assert n == len(set(keys)) and {r["key"]: r["unit"] for r in units.collect()} == {k: i for i, k in enumerate(sorted(set(keys)))}
+    assert rs.dense_units(df.limit(0), "key")[1] == 0
+    order = sorted(set(keys), key=lambda k: hashlib.md5(f"k{k}".encode()).hexdigest())
+    once = df.distinct()
+    for n in (0, 1, 37, 500, 501, 9999):
+        assert sorted(r["key"] for r in rs.smallest_by_hash(once, n, F.md5("name"), ["key"]).collect()) == sorted(order[:n])
