@@ -6,12 +6,12 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import ngrams as ng
-from ..operators import reading
+from ..operators import paired, reading
 from ..operators.stats import r6
 from .model_queries import _kn
 from .more_queries import _FOLD
 from .registry import query
-from .stats_queries import _draw
+from .stats_queries import _draw, _pair
 
 _ALIGNED = f"""q0 AS (SELECT item_id, string_split({_FOLD}, ' ') AS w FROM benchmark), d AS (SELECT doc_id, string_split({_FOLD}, ' ') AS w FROM documents),
 q1 AS (SELECT item_id, unnest(range(10)) AS draw, w FROM q0), q2 AS (SELECT item_id, draw, unnest(range(1, len(w) + 1)) AS i, w FROM q1),
@@ -90,3 +90,54 @@ def l6_report(t):
     fills = [reading.fill_gaps(items, "doc_id", model, _ALPHABET, beam) for beam in (16, 1)]
     found = reading.score_fills(items, *fills, "doc_id", 200, 64, 13)
     return found.select(F.col("length").cast("long").alias("length"), "items", "letters", *[r6(c).alias(c) for c in ("accuracy", "exact", "other_accuracy", "diff", "low", "high")])
+
+
+_DIFF = """pq AS (SELECT a.y, a.x, a.v AS p, b.v AS q, CASE WHEN (a.y + a.x) % 3 = 0 THEN a.v ELSE b.v END AS w, (a.y // 16 % 4) * 4 + a.x // 16 AS unit FROM px a JOIN px b ON a.y = b.y AND a.x = b.x AND a.map_id = 0 AND b.map_id = 1)"""
+
+
+def _drawn(diff: str, seed: int, draws: int) -> str:
+    """Share and median of each draw of clusters; a difference stands as often as its cluster is drawn."""
+    return f"""lv AS (SELECT unit, {diff} AS d FROM pq), wt AS (SELECT d AS draw, {_draw("s", "d", seed)} % 16 AS unit, count(*) AS weight FROM (SELECT unnest(range(0, 16)) AS s), (SELECT unnest(range(0, {draws})) AS d) GROUP BY 1, 2)"""
+
+
+_READOUT = """dr AS (SELECT draw, avg(CASE WHEN d > 0 THEN 1 ELSE 0 END) AS share, median(d) AS median FROM (SELECT draw, d, unnest(range(weight)) FROM lv JOIN wt USING (unit)) GROUP BY 1),
+o AS (SELECT count(*) AS n, count(DISTINCT unit) AS clusters, avg(CASE WHEN d > 0 THEN 1 ELSE 0 END) AS share, median(d) AS median FROM lv), e AS (SELECT quantile_cont(share, 0.025) AS share_low, quantile_cont(share, 0.975) AS share_high, quantile_cont(median, 0.025) AS median_low, quantile_cont(median, 0.975) AS median_high FROM dr)
+SELECT n, clusters, round(share, 6) AS share, median, round(share_low, 6) AS share_low, round(share_high, 6) AS share_high, round(median_low, 6) AS median_low, round(median_high, 6) AS median_high, share_low > 0.5 AND median_low > 0 AS passes FROM o, e"""
+
+
+def _units(t):
+    unit = F.floor(F.col("y") / 16) % 4 * 4 + F.floor(F.col("x") / 16)
+    return _pair(t).withColumns({"unit": unit, "w": F.when((F.col("y") + F.col("x")) % 3 == 0, F.col("p")).otherwise(F.col("q"))})
+
+
+def _rounded(df):
+    return df.select(*[r6(c).alias(c) if c.startswith(("share", "median_")) else c for c in df.columns])
+
+
+@query("a36_readout", views="px", sql=f"WITH {_DIFF}, {_drawn('p - q + 9', 17, 60)}, {_READOUT}")
+def a36_readout(t):
+    return _rounded(paired.paired_readout(_units(t), F.col("p") - F.col("q") + 9, "unit", 16, 60, 17))
+
+
+# processing control: the side damaged at two of three places against the other
+@query("a36_processing", views="px", sql=f"WITH {_DIFF}, {_drawn('w - q', 19, 60)}, {_READOUT}")
+def a36_processing(t):
+    return _rounded(paired.paired_readout(_units(t), F.col("w") - F.col("q"), "unit", 16, 60, 19))
+
+
+@query("a36_degradation", views="px", sql=f"WITH {_DIFF} SELECT median(p - q + 9) AS median, median(w - q) AS median_lead, CASE WHEN median(p - q + 9) > 0 THEN median(w - q) <= median(p - q + 9) / 2 END AS holds FROM pq")
+def a36_degradation(t):
+    return paired.degradation(_units(t), F.col("p") - F.col("q") + 9, F.col("w") - F.col("q"))
+
+
+@query("a36_sign_flips", views="px", sql=f"""
+WITH {_DIFF}, {_drawn('p - q + 9', 24, 40)}, fl AS (SELECT f, unit, CASE WHEN {_draw("unit", "f", 23)} % 2 = 0 THEN d ELSE -d END AS d FROM lv, (SELECT unnest(range(0, 20)) AS f)),
+dr AS (SELECT f, draw, avg(CASE WHEN d > 0 THEN 1 ELSE 0 END) AS share, median(d) AS median FROM (SELECT f, draw, d, unnest(range(weight)) FROM fl JOIN wt USING (unit)) GROUP BY 1, 2), lo AS (SELECT f, quantile_cont(share, 0.025) AS share, quantile_cont(median, 0.025) AS median FROM dr GROUP BY 1)
+SELECT 20 AS flips, count(*) FILTER (share > 0.5 AND median > 0) AS passes, count(*) FILTER (share > 0.5 AND median > 0) / CAST(20 AS DOUBLE) AS share, count(*) FILTER (share > 0.5 AND median > 0) / CAST(20 AS DOUBLE) <= 0.05 AS holds FROM lo""")
+def a36_sign_flips(t):
+    return paired.sign_flips(_units(t), F.col("p") - F.col("q") + 9, "unit", 16, seed=23)
+
+
+@query("a36_border", views="px", sql=f"WITH {_DIFF} SELECT count(*) AS n, count(*) FILTER (p % 16 IN (0, 15)) AS at_border, round(count(*) FILTER (p % 16 IN (0, 15)) / count(*)::DOUBLE, 6) AS share, count(*) FILTER (p % 16 IN (0, 15)) / count(*)::DOUBLE <= 0.1 AS holds FROM pq")
+def a36_border(t):
+    return _rounded(paired.border_share(_units(t), (F.col("p") % 16).isin(0, 15)))
