@@ -28,6 +28,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,10 +36,17 @@ from pyspark.sql import functions as F
 from .common import filesystem, partitions, work_dir, write_file, written
 
 MAGIC = b"HUFFIDS1"
+#: Characters of texts that are encoded together; a longer text is alone.
+TOGETHER = 8_000_000
 _LATIN = "0-9A-Za-zÀ-ÖØ-öø-įı-ɏ"
 _OTHER = re.compile(f"[^\x00-\x7f{_LATIN}]")
-_STOP = re.compile(f"[^ \t\n\r\x0b\x0c{_LATIN}][.,]")
 _PIECE = re.compile(f"[^ \t\n\r\x0b\x0c{_LATIN}]*[{_LATIN}]+|[^ \t\n\r\x0b\x0c{_LATIN}]+")
+#: Punctuation that may follow a word in its piece.
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Bytes of UTF-8 that lead no character outside plain Latin text but those of _OTHERS; what each byte is for finding stops.
+_PLAIN = bytes([*range(0xC2), *range(0xC3, 0xCA)])
+_OTHERS = ("×".encode(), "÷".encode(), "İ".encode())
+_KIND = bytes(0x20 if b in b" \t\n\r\x0b\x0c" else 0x2E if b in b".," else 0x61 if b > 0x7F or chr(b).isalnum() else 0x23 for b in range(256))
 
 
 def _byte_letters() -> dict[int, int]:
@@ -50,15 +58,21 @@ def _byte_letters() -> dict[int, int]:
 _BYTE_LETTERS = _byte_letters()
 
 
-def _pieces(text: str, raw: bytes) -> list[bytes]:
-    """Pieces that are encoded one by one: cut at ASCII white space and, in plain Latin text, where punctuation follows a letter or digit. raw: its UTF-8 with A-Z lower-cased."""
-    if not text.isascii() and _OTHER.search(text):
-        return raw.split()
-    if _STOP.search(text):  # stops after other punctuation belong to it
-        return [p.encode() for p in _PIECE.findall(raw.decode())]
+def _foreign(raw: bytes) -> bool:
+    """Whether a text (in UTF-8) has letters beyond plain Latin ones."""
+    return bool(raw.translate(None, _PLAIN)) or any(x in raw for x in _OTHERS) or (b"\xc9" in raw and bool(_OTHER.search(raw.decode())))
+
+
+def _spaced(raw: bytes) -> bytes:
+    """The text with white space between pieces that are encoded one by one: in plain Latin text also where punctuation follows a letter or digit. raw: its UTF-8 with A-Z lower-cased."""
+    if not raw.isascii() and _foreign(raw):
+        return raw
+    kinds = raw.translate(_KIND)
+    if b"#." in kinds or b".." in kinds:  # stops after other punctuation belong to it
+        return " ".join(_PIECE.findall(raw.decode())).encode()
     for a, b in ((b". ", b" . "), (b", ", b" , "), (b".\n", b" . "), (b",\n", b" , ")):
         raw = raw.replace(a, b)
-    return raw.split()
+    return raw
 
 
 class WordEncoder:
@@ -73,7 +87,7 @@ class WordEncoder:
     def __init__(self, path: str, end_id: int, by_words: bool = True, most: int = 1_200_000) -> None:
         from tokenizers import Tokenizer
 
-        self.known: dict[bytes, bytes] = {}  # a piece's ids as little-endian unsigned 32-bit numbers
+        self.known: dict[str, bytes] = {"": b""}  # a piece's ids as little-endian unsigned 32-bit numbers
         self.tokenizer, self.end, self.by_words, self.most = Tokenizer.from_file(path), struct.pack("<I", end_id), by_words, most
         config = json.loads(self.tokenizer.to_str())
         self.added = [x["content"].encode().lower() for x in config["added_tokens"]]
@@ -88,29 +102,55 @@ class WordEncoder:
     def _batch(self, texts: list[str]) -> list[bytes]:
         return [self._packed(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, pieces: set[bytes]) -> None:
+    def _word(self, word: str) -> bytes | None:
+        """The ids of a word of plain Latin letters."""
+        if not self.plain or not word.isalpha() or not (word.isascii() or not _OTHER.search(word)):
+            return None
+        letters = word if word.isascii() else word.lower().encode().decode("latin-1").translate(_BYTE_LETTERS)
+        return self._packed([t.id for t in self.model.tokenize(letters)])
+
+    def _learn(self, pieces: list[str]) -> None:
         rest = []
-        for p in pieces:
-            word = p.decode()
-            if self.plain and word.isalpha() and (word.isascii() or not _OTHER.search(word)):
-                letters = word if word.isascii() else word.lower().encode().decode("latin-1").translate(_BYTE_LETTERS)
-                self.known[p] = self._packed([t.id for t in self.model.tokenize(letters)])
+        for piece in pieces:
+            word = piece.rstrip(_MARKS)  # letters and punctuation are never in one token
+            ids, marks = self.known.get(word) or self._word(word), self.known.get(piece[len(word) :])
+            if not self.plain or ids is None or marks is None or not word.isalpha():
+                rest.append(piece)
             else:
-                rest.append(word)
-        self.known.update(zip([w.encode() for w in rest], self._batch(rest), strict=True))
+                self.known[piece] = ids + marks
+        self.known.update(zip(rest, self._batch(rest), strict=True))
+
+    def _by_pieces(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of texts cut at white space: distinct pieces are looked up, all others are gathered by number."""
+        if not texts:
+            return []
+        pieces = pc.ascii_split_whitespace(pa.array(texts, pa.large_binary()).cast(pa.large_string()))
+        distinct = pieces.values.dictionary_encode()
+        words, of = distinct.dictionary.to_numpy(zero_copy_only=False).tolist(), distinct.indices.to_numpy()
+        if len(self.known) > self.most:
+            self.known = {"": b""}
+        ids = list(map(self.known.get, words))
+        if None in ids:
+            self._learn([w for w, x in zip(words, ids, strict=True) if x is None])
+            ids = list(map(self.known.__getitem__, words))
+        flat, sizes = np.frombuffer(b"".join(ids), dtype="<u4"), np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
+        n = sizes[of]
+        ends = np.cumsum(n)
+        at = np.repeat((np.cumsum(sizes) - sizes)[of] - (ends - n), n)
+        at += np.arange(len(at))
+        out = flat[at]
+        cuts = np.concatenate([[0], ends])[pieces.offsets.to_numpy()].tolist()
+        return [out[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text, the end id last."""
-        if len(self.known) > self.most:
-            self.known.clear()
-        cut: list[list[bytes] | None] = []
+        cut: list[bytes | None] = []
         for t in texts:
             low = t.encode("utf-8", "replace").lower()
-            cut.append(None if not self.by_words or any(x in low for x in self.added) else _pieces(t, low))
-        self._learn(set().union(*filter(None, cut)).difference(self.known))
+            cut.append(None if not self.by_words or any(x in low for x in self.added) else _spaced(low))
         whole = iter(self._batch([t for t, c in zip(texts, cut, strict=True) if c is None]))
-        get = self.known.__getitem__
-        return [(next(whole) if c is None else b"".join(map(get, c))) + self.end for c in cut]
+        parts = iter(self._by_pieces([c for c in cut if c is not None]))
+        return [next(whole if c is None else parts) + self.end for c in cut]
 
 
 _ENCODERS: dict[tuple, WordEncoder] = {}
@@ -135,7 +175,7 @@ def _tokenise(path: str, end_id: int, by_words: bool, bounds: list[int], nulls:
             at = 0
             while at < len(texts):
                 end, size = at, 0
-                while end < len(texts) and (end == at or size + len(texts[end]) < 2_000_000):
+                while end < len(texts) and (end == at or size + len(texts[end]) < TOGETHER):
                     size += len(texts[end])
                     end += 1
                 ids = encoder.encode(texts[at:end])

@@ -75,6 +75,15 @@ def test_pieces_give_the_library_s_ids():
     assert encoder.encode(texts) == want and encoder.encode(texts[::-1]) == want[::-1]
 
 
+def test_words_with_marks_give_the_library_s_ids_text_by_text():
+    rng = random.Random(6)
+    alphabet = list("abEÉßøıɏɐ×÷ª\xa0٣¼'\"#$%&()*+,-./:;<=>?@[]^_`{|}~\\ \ń̈Σςﬁ")
+    texts = ["".join(rng.choice(alphabet) + rng.choice(["", "", "ab", " "]) for _ in range(rng.randrange(25))) for _ in range(4000)]
+    encoder, tokenizer = hf.WordEncoder(PATH, 1, most=2000), Tokenizer.from_file(PATH)
+    for t in texts:
+        assert encoder.encode([t]) == [np.array([*tokenizer.encode(t, add_special_tokens=False).ids, 1], dtype="<u4").tobytes()], t
+
+
 def test_token_files_of_odd_rows(odd, none):
     rows = sorted(odd.collect(), key=lambda r: -1 if r["doc_id"] is None else r["doc_id"])
     t = Tokenizer.from_file(PATH)
