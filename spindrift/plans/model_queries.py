@@ -7,6 +7,7 @@ from pyspark.sql.window import Window as W
 
 from ..functions import text as tx
 from ..operators import graph as g
+from ..operators import heads as hd
 from ..operators import ngrams as ng
 from ..operators import vectors as vc
 from ..operators.stats import r6
@@ -170,3 +171,29 @@ def t12(t):
     w = W.partitionBy("s_nationkey").orderBy(F.md5(F.concat_ws("|", F.col("s_suppkey").cast("string"), F.lit("5"))), "s_suppkey")
     first = F.first("s_suppkey").over(w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
     return t.supplier.select("s_suppkey", F.coalesce(F.lead("s_suppkey").over(w), first).alias("paired"))
+
+
+def _rated(t):
+    """Vectors beside what is known of the document of the same number; ten points a label."""
+    docs = t.documents.select("doc_id", "lang", "source", "n_chars")
+    return t.embeddings.join(docs, F.col("vec_id") == F.col("doc_id"), "left").withColumn("rating", F.col("label") * 10.0).withColumn("size", F.log1p("n_chars"))
+
+
+@query("v4_nested_report")
+def v4_nested(t):
+    rated = _rated(t)
+    kinds = hd.levels(rated, ["lang", "source"])
+    out = None
+    for name, vector in (("full", "embedding"), ("meta", None)):
+        scored = hd.nested_scores(rated, "vec_id", "rating", hd.features(vector, ["size"], kinds), reps=3)
+        part = hd.band_report(scored, 70).select(F.lit(name).alias("head"), *[F.round(c, 6).alias(c) for c in ("spearman", "spearman_sd", "high_precision", "high_recall", "high_items", "rated_high")])
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("v4_fitted_head")
+def v4_fitted(t):
+    rated = _rated(t)
+    x = hd.features("embedding", ["size"], hd.levels(rated, ["lang", "source"]))
+    head = hd.fit_head(rated, "vec_id", "rating", x, how="isotonic")
+    return rated.select("vec_id", F.round(head.apply(x), 4).alias("score"))
