@@ -37,7 +37,7 @@ from .common import filesystem, partitions, work_dir, write_file, written
 
 MAGIC = b"HUFFIDS1"
 #: Characters of texts that are encoded together; a longer text is alone.
-TOGETHER = 8_000_000
+TOGETHER = 4_000_000
 _LATIN = "0-9A-Za-zÀ-ÖØ-öø-įı-ɏ"
 _OTHER = re.compile(f"[^\x00-\x7f{_LATIN}]")
 _PIECE = re.compile(f"[^ \t\n\r\x0b\x0c{_LATIN}]*[{_LATIN}]+|[^ \t\n\r\x0b\x0c{_LATIN}]+")
