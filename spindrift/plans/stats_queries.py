@@ -273,7 +273,7 @@ def a24(t):
     m = t.px.where("map_id = 0")
     shifts = F.explode(F.transform(F.sequence(F.lit(1), F.lit(7)), lambda i: F.struct((i * 8).alias("dy"), (i * 5).alias("dx")))).alias("s")
     labels = m.where("sup = 1").select("y", "x", "ink", shifts).select("ink", F.col("s.dy").alias("dy"), (F.col("y") - F.col("y") % 64 + (F.col("y") + F.col("s.dy")) % 64).alias("y"), ((F.col("x") + F.col("s.dx")) % 64).alias("x"))
-    return st.auc(labels.join(m.where("v <> 0").select("y", "x", "v"), ["y", "x"]), "v", "ink", ["dy"])
+    return st.auc(labels.hint("merge").join(m.where("v <> 0").select("y", "x", "v"), ["y", "x"]), "v", "ink", ["dy"])  # seven rows for each pixel
 
 
 @query("a24_offset_scan", views="px", sql=f"""
@@ -284,7 +284,8 @@ def a24b(t):
     m, shift = t.px.where("map_id = 0"), lambda: F.explode(F.sequence(F.lit(-2), F.lit(2)))
     labels = m.where("sup = 1").select("y", "x", "ink").withColumn("dy", shift()).withColumn("dx", shift())
     moved = labels.select("ink", "dy", "dx", (F.col("y") + F.col("dy")).alias("y"), (F.col("x") + F.col("dx")).alias("x"))
-    return st.auc(moved.join(m.where("v <> 0").select("y", "x", "v"), ["y", "x"]), "v", "ink", ["dy", "dx"])
+    # 25 rows for each pixel, of which the planner sees one: never broadcast
+    return st.auc(moved.hint("merge").join(m.where("v <> 0").select("y", "x", "v"), ["y", "x"]), "v", "ink", ["dy", "dx"])
 
 
 @query("a26_pool_rates", sql="""
