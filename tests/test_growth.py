@@ -2,8 +2,11 @@
 
 import random
 
-from spindrift.operators import spatial
+from pyspark.sql import functions as F
+
+from spindrift.operators import fits, meshes, ngrams, reading, spatial
 from spindrift.plans import registry
+from spindrift.sources import tables
 
 
 def plan(df) -> str:
@@ -32,3 +35,13 @@ def test_pairs_within_reach_like_all_pairs_without_a_broadcast(spark):
         assert "BroadcastHashJoin" not in text and "SortMergeJoin" in text
     for n in ("j19_exposure_matrix", "j21_pair_stats"):  # totals of meshes may be
         assert "SortMergeJoin [_x" in plan(registry.QUERIES[n](spark, SMALL))
+
+
+def test_feed_is_one_join_by_key(spark):
+    for name in ("p2_named_view", "p1_feed_filter"):
+        df = registry.QUERIES[name](spark, SMALL)
+        assert plan(df).count("NestedLoop") == 1 and "Cartesian" not in plan(df)  # that with the count
+        assert "% n" in plan(df).split("HashJoin")[1].split("\n")[0]
+    t = tables.Tables(spark, SMALL)
+    view = spark.sql(tables.VIEWS["feed"], events=t.events, documents=t.documents)
+    assert t.feed.columns == view.columns and t.feed.exceptAll(view).count() == 0 and view.exceptAll(t.feed).count() == 0 and view.count() > 0
