@@ -85,9 +85,14 @@ def t_quantile(p: float, df: int) -> float:
     return math.sqrt(df) * math.tan((low + high) / 2)
 
 
-def t_interval(df: DataFrame, by: list[str], value: str, level: float = 0.95, most: int = 200) -> DataFrame:
-    """by, n, mean, low and high of the mean's t interval; null ends for one row. Quantiles of up to ``most`` degrees of freedom are a broadcast table, beyond it their series about the normal one."""
+def t_interval(df: DataFrame, by: list[str], value: str, level: float = 0.95, most: int = 200, freedom: int | None = None) -> DataFrame:
+    """by, n, mean, low and high of the mean's t interval; null ends for one row. With ``freedom``, all groups take the quantile of
+    so many degrees of freedom (blocks planned for one size, of which the last may be short). Quantiles of up to ``most`` degrees of freedom are a broadcast table, beyond it their series about the normal one."""
     p, z = 0.5 + level / 2, 0.0
+    groups = df.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"))
+    ends = lambda out, q: out.select(*by, "n", "mean", *[(F.col("mean") + k * F.when(F.col("n") > 1, q * F.col("sd") / F.sqrt("n"))).alias(c) for c, k in (("low", -1), ("high", 1))])
+    if freedom:
+        return ends(groups, F.lit(t_quantile(p, freedom)))
     table = df.sparkSession.createDataFrame([(i + 1, t_quantile(p, i)) for i in range(1, most + 1)], "n long, q double")
     low, high = 0.0, 10.0
     for _ in range(80):  # of the normal distribution
@@ -95,10 +100,7 @@ def t_interval(df: DataFrame, by: list[str], value: str, level: float = 0.95, mo
         low, high = (z, high) if 0.5 * (1 + math.erf(z / math.sqrt(2))) < p else (low, z)
     k = F.col("n") - 1
     series = z + (z**3 + z) / 4 / k + (5 * z**5 + 16 * z**3 + 3 * z) / 96 / (k * k)
-    groups = df.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"))
-    out = groups.join(F.broadcast(table), "n", "left")  # ``most`` rows
-    half = F.when(k > 0, F.coalesce("q", series) * F.col("sd") / F.sqrt("n"))
-    return out.select(*by, "n", "mean", (F.col("mean") - half).alias("low"), (F.col("mean") + half).alias("high"))
+    return ends(groups.join(F.broadcast(table), "n", "left"), F.coalesce("q", series))  # ``most`` rows
 
 
 def sign_flip_exact(units: DataFrame, value: str) -> DataFrame:

@@ -45,3 +45,10 @@ def test_feed_is_one_join_by_key(spark):
     t = tables.Tables(spark, SMALL)
     view = spark.sql(tables.VIEWS["feed"], events=t.events, documents=t.documents)
     assert t.feed.columns == view.columns and t.feed.exceptAll(view).count() == 0 and view.exceptAll(t.feed).count() == 0 and view.count() > 0
+
+
+def test_blocks_of_one_size_take_one_quantile(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("a", 4.0), ("b", 1.0)], "g string, x double")
+    got = {r["g"]: r for r in fits.t_interval(df, ["g"], "x", freedom=19).collect()}
+    half = 2.093024054408263 * (7 / 3) ** 0.5 / 3**0.5
+    assert abs(got["a"]["high"] - 7 / 3 - half) < 1e-6 and abs(7 / 3 - got["a"]["low"] - half) < 1e-6 and got["b"]["low"] is None
