@@ -61,3 +61,16 @@ def test_shared_area_of_exactly_the_threshold(spark):
     for eps in (0.24, 2.16, 11.76):  # the areas of the smaller triangles
         got = meshes.triangle_overlaps(tri, "sheet", 16.0, eps).select("shared").collect()
         assert all(r["shared"] > eps + 1e-6 for r in got)
+
+
+def test_mean_of_exactly_the_limit_does_not_hold(spark, tmp_path):
+    rng = random.Random(1)
+    rows = []
+    for g in range(40):
+        v = [rng.randrange(9) for _ in range(600)]
+        while sum(v) != 2460:
+            i, d = rng.randrange(600), 1 if sum(v) < 2460 else -1
+            v[i] += d if 0 <= v[i] + d <= 8 else 0
+        rows += [(g, 0.05, "ARN"[i % 3], x / 100) for i, x in enumerate(v)]
+    spark.createDataFrame(rows, "l_suppkey long, l_discount double, l_returnflag string, l_tax double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert {r["violations"] for r in registry.QUERIES["q6_contract"](spark, str(tmp_path)).collect()} == {"holds"}
