@@ -13,6 +13,8 @@ from .resampling import draw, resample_weights
 
 #: Runs of words that a read shares with more texts than this are dealt over several tasks.
 HOT = 1000
+#: Tables of so many grams are broadcast.
+MOST_GRAMS = 100_000
 
 
 def decoys(reads: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
@@ -125,9 +127,13 @@ def make_gaps(docs: DataFrame, key: str, text: str, lengths: list[int], left: in
 
 
 def _log_probs(rows: DataFrame, model: list[DataFrame], letters: int) -> DataFrame:
-    """rows with logp, the log2 probability of the last letter of column gram behind the others."""
-    known = ngrams.gram_probs(rows.select("gram").distinct(), model, letters)
-    return rows.join(known.select("gram", F.log2("prob").alias("logp")), "gram")
+    """rows with logp, the log2 probability of the last letter of column gram behind the others.
+
+    The grams are broadcast where the alphabet and the order bound them; rows never are, whose number the planner cannot see.
+    """
+    known = written(ngrams.gram_probs(rows.select("gram").distinct(), model, letters).select("gram", F.log2("prob").alias("logp")), "known")
+    few = (letters + 1) ** len(model) <= MOST_GRAMS
+    return rows.join(F.broadcast(known) if few else known.hint("merge"), "gram")
 
 
 def fill_gaps(items: DataFrame, key: str, model: list[DataFrame], alphabet: str, beam: int, places: int = 9) -> DataFrame:

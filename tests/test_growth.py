@@ -74,3 +74,12 @@ def test_mean_of_exactly_the_limit_does_not_hold(spark, tmp_path):
         rows += [(g, 0.05, "ARN"[i % 3], x / 100) for i, x in enumerate(v)]
     spark.createDataFrame(rows, "l_suppkey long, l_discount double, l_returnflag string, l_tax double").write.parquet(f"{tmp_path}/lineitem.parquet")
     assert {r["violations"] for r in registry.QUERIES["q6_contract"](spark, str(tmp_path)).collect()} == {"holds"}
+
+
+def test_gap_rows_are_not_broadcast(spark):
+    rows = spark.createDataFrame([("^^A",), ("^AB",), ("AAA",)], "gram string").withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(27))))
+    model = ngrams.kn_model(spark.createDataFrame([("ABAB A",), ("BAAB",)], "t string"), "t", 3)
+    got = reading._log_probs(rows, model, 27)
+    assert got.count() == 81 and "BuildRight" in plan(got)
+    text = plan(reading._log_probs(rows, model, 99))  # too many grams for a broadcast
+    assert "SortMergeJoin" in text and "BroadcastHashJoin" not in text
