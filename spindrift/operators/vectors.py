@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression, LinearRegression
@@ -9,6 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+#: Rows of a block of :func:`sim_pairs`.
+BLOCK = 500
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -39,16 +44,43 @@ def similar(df: DataFrame, key: str, vector: str, k: int, every: int = 50, block
     return local.withColumn("place", best([])).where(F.col("place") <= k).select("query", key, "cosine", "place")
 
 
-def sim_pairs(df: DataFrame, key: str, by: str, vector: str, least: float, blocks: int = 16) -> DataFrame:
+def _block_pairs(least: float):
+    """a, b and cosine of the rows of two blocks (or of one with itself) that may reach the least."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("cosine", pa.float64())])
+
+    def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return schema.empty_table()
+        x, y = left["a"].to_numpy(), right["b"].to_numpy()
+        u, v = (np.stack(t[c].to_numpy(zero_copy_only=False)) for t, c in ((left, "_u"), (right, "_v")))
+        dots = np.zeros((len(x), len(y)))
+        for d in range(u.shape[1]):  # summed in the order of the dimensions, as dot does
+            dots += u[:, d, None] * v[None, :, d]
+        near = ~(dots < least - 1e-6)
+        if key[2].as_py() == key[3].as_py():
+            near &= x[:, None] < y[None, :]
+        i, j = np.nonzero(near)
+        return pa.Table.from_arrays([pa.array(np.minimum(x[i], y[j])), pa.array(np.maximum(x[i], y[j])), pa.array(dots[i, j])], schema=schema)
+
+    return run
+
+
+def sim_pairs(df: DataFrame, key: str, by: str, vector: str, least: float, blocks: int | None = None) -> DataFrame:
     """a, b, cosine: pairs of rows of one group at least that similar.
 
-    Rows are dealt into blocks by hash and pairs of blocks meet, so a large group is compared by many tasks; only pairs that are similar leave them.
+    A group's rows are dealt by hash into blocks (``blocks`` of them, or one for each BLOCK rows), and each two blocks meet once, in a task of their
+    own that holds no others; only pairs that are similar leave it. All pairs of a group are compared, so the time grows with
+    the square of its size. Rows without a key, group, or a number in the vector have no pairs.
     """
-    unit = normalize(df.select(key, by, vector), vector).withColumn("_b", F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int"))
-    left = unit.select(F.col(by).alias("_g"), F.col(key).alias("a"), F.col(vector).alias("_u"), F.col("_b").alias("_i"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_j"))
-    right = unit.select(F.col(by).alias("_g"), F.col(key).alias("b"), F.col(vector).alias("_v"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_i"), F.col("_b").alias("_j"))
-    cosine = F.round(dot(F.col("_u"), F.col("_v")), 6)
-    return left.join(right, ["_g", "_i", "_j"]).where(F.col("a") < F.col("b")).select("a", "b", cosine.alias("cosine")).where(F.col("cosine") >= least)
+    unit = normalize(df.select(F.col(by).alias("_g"), F.col(key).alias("_k"), F.col(vector).alias("_u")), "_u").where(F.col("_k").isNotNull() & ~F.exists("_u", lambda x: x.isNull())).where(F.size("_u") > 0)
+    sizes = unit.groupBy("_g").agg((F.lit(blocks) if blocks else F.ceil(F.count("*") / BLOCK)).cast("int").alias("_n"))
+    unit = unit.join(sizes, "_g").withColumn("_b", F.pmod(F.xxhash64("_k"), F.col("_n")).cast("int")).withColumn("_size", F.size("_u"))
+    unit = unit.withColumn("_k", F.col("_k").cast("long"))
+    left = unit.select("_g", "_size", F.col("_k").alias("a"), "_u", F.col("_b").alias("_i"), F.explode(F.sequence(F.col("_b"), F.col("_n") - 1)).alias("_j"))
+    right = unit.select(F.col("_g").alias("_h"), F.col("_size").alias("_length"), F.col("_k").alias("b"), F.col("_u").alias("_v"), F.explode(F.sequence(F.lit(0), F.col("_b"))).alias("_p"), F.col("_b").alias("_q"))
+    found = left.groupBy("_g", "_size", "_i", "_j").cogroup(right.groupBy("_h", "_length", "_p", "_q")).applyInArrow(_block_pairs(least), "a long, b long, cosine double")
+    kind = df.schema[key].dataType
+    return found.select(F.col("a").cast(kind).alias("a"), F.col("b").cast(kind).alias("b"), F.round("cosine", 6).alias("cosine")).where(F.col("cosine") >= least)
 
 
 def anchor_score(df: DataFrame, key: str, vector: str, anchors: DataFrame, floor: float, ceiling: float) -> DataFrame:

@@ -2,9 +2,10 @@
 
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from spindrift.operators import fits, meshes, ngrams, reading, spatial
+from spindrift.operators import fits, meshes, ngrams, reading, spatial, vectors
 from spindrift.plans import registry
 from spindrift.sources import tables
 
@@ -83,3 +84,15 @@ def test_gap_rows_are_not_broadcast(spark):
     assert got.count() == 81 and "BuildRight" in plan(got)
     text = plan(reading._log_probs(rows, model, 99))  # too many grams for a broadcast
     assert "SortMergeJoin" in text and "BroadcastHashJoin" not in text
+
+
+def test_similar_pairs_meet_as_blocks(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(1100, 3)).round(1)
+    rows = [(i, "g", [float(v) for v in r]) for i, r in enumerate(x)] + [(2000, "g", None), (2001, "g", [1.0, None, 0.0]), (2002, "g", [1.0, 2.0]), (2003, None, [1.0, 0.0, 0.0])]
+    got = vectors.sim_pairs(spark.createDataFrame(rows, "k int, g string, v array<float>"), "k", "g", "v", 0.99)
+    assert "FlatMapCoGroupsInArrow" in plan(got) and "Join" not in plan(got).split("FlatMapCoGroupsInArrow")[0]
+    unit = np.float32(x).astype(float)
+    unit /= np.maximum(np.linalg.norm(unit, axis=1), 1e-300)[:, None]
+    a, b = np.nonzero(np.triu((unit @ unit.T).round(6) >= 0.99, 1))
+    assert got.dtypes[0] == ("a", "int") and {(r["a"], r["b"]) for r in got.collect()} == set(zip(a.tolist(), b.tolist(), strict=True))
