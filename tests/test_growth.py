@@ -5,7 +5,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from spindrift.operators import fits, meshes, ngrams, reading, spatial, vectors
+from spindrift.operators import claims, fits, meshes, ngrams, reading, spatial, vectors
 from spindrift.plans import registry
 from spindrift.sources import tables
 
@@ -96,3 +96,17 @@ def test_similar_pairs_meet_as_blocks(spark):
     unit /= np.maximum(np.linalg.norm(unit, axis=1), 1e-300)[:, None]
     a, b = np.nonzero(np.triu((unit @ unit.T).round(6) >= 0.99, 1))
     assert got.dtypes[0] == ("a", "int") and {(r["a"], r["b"]) for r in got.collect()} == set(zip(a.tolist(), b.tolist(), strict=True))
+
+
+def test_blocks_stay_in_the_row_of_their_document(spark):
+    text = "\n".join(f"- item {'abc'[i % 3]}\n  more" if i % 2 else f"| item {'abc'[i % 3]} more |" for i in range(300))
+    got = claims.blocks(spark.createDataFrame([(1, text), (2, None)], "k long, t string"), "k", "t")
+    assert "Window" not in plan(got) and plan(got).count("Exchange") == 1  # that of the distinct keys
+    seen, want = {}, []
+    for i in range(300):
+        base = f"item-{'abc'[i % 3]}-more"
+        seen[base] = seen.get(base, 0) + 1
+        want.append((i // 2 * 3 + 1 + i % 2, base if seen[base] == 1 else f"{base}-{seen[base]}"))
+    assert sorted((r["block"], r["name"]) for r in got.collect()) == want
+    found = registry.QUERIES["j17_findings"](spark, SMALL)
+    assert "regexp_extract_all" not in plan(found) and "Window" not in plan(found)  # numbers are written once
