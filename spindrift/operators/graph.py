@@ -5,9 +5,14 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Edges that are joined to components before the rounds, in one task at a time.
+CHUNK = 1_000_000
+
 
 def shared_dir(spark, name: str) -> str:
     """A new folder below spark.checkpoint.dir; a local one only where the setting is missing and the master is local."""
@@ -25,24 +30,76 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """node, component (smallest node of it). nodes: node; edges: a, b. Labels spread along edges, then jump to their label's label."""
+def _forests(batches):
+    """The edges of each chunk as stars: each node of a component of the chunk with its smallest node."""
+    for batch in batches:
+        names, ends = np.unique(np.concatenate([c.to_numpy(zero_copy_only=False) for c in batch.columns]), return_inverse=True)
+        a, b = ends.reshape(2, -1)
+        root = np.arange(len(names))
+        while True:
+            low = np.minimum(root[a], root[b])
+            now = root.copy()
+            for side in (a, b):  # the root of each end, and the end itself, take the smaller root
+                np.minimum.at(now, root[side], low)
+                np.minimum.at(now, side, low)
+            while not np.array_equal(now, now[now]):
+                now = now[now]
+            if np.array_equal(now, root):
+                break
+            root = now
+        moved = np.flatnonzero(root != np.arange(len(names)))
+        yield pa.RecordBatch.from_arrays([pa.array(names[moved]), pa.array(names[root[moved]])], names=["a", "b"])
+
+
+def _chunks(batches):
+    """Arrow batches joined to chunks of at least CHUNK rows (but the last)."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= CHUNK:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, n = [], 0
+    if n:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
+def components(nodes: DataFrame, edges: DataFrame, near: str | None = None) -> DataFrame:
+    """node, component (smallest node of it). nodes: node; edges: a, b. Labels spread along edges, then jump to their label's label.
+
+    Edges between whole numbers become stars of each chunk's components first, so what goes through the rounds is at most a
+    row for each node of a chunk; with ``near``, a column that both ends of an edge share, chunks hold edges of the same values,
+    and few rounds are left. Edges with an end that is no node count nowhere (with ``near`` there must be none). Nodes
+    without an edge take no part in the rounds, and no round broadcasts.
+    """
+    nodes = nodes.select("node")
+    if not near:
+        for end in ("a", "b"):
+            edges = edges.join(nodes.select(F.col("node").alias(end)).hint("merge"), end, "left_semi")
+    whole = edges.schema["a"].dataType.typeName() in ("integer", "long") and edges.schema["a"].dataType == edges.schema["b"].dataType
+    if whole:
+        kind = edges.schema["a"].dataType.simpleString()
+        some = edges.where("a is not null and b is not null and a <> b")
+        some = some.repartition(near).select("a", "b") if near else some.select("a", "b")
+        edges = written(some.mapInArrow(lambda batches: _forests(_chunks(batches)), f"a {kind}, b {kind}"), "stars")
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     both = written(both, "edges")
-    labels = written(nodes.select("node", F.col("node").alias("label")), "labels")
+    labels = written(both.select(F.col("a").alias("node")).distinct().withColumn("label", F.col("node")), "labels")
     while True:
-        seen = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("label").alias("near"))
-        step = labels.join(seen, F.col("node") == F.col("a"), "left").select("node", "label", F.least("label", F.coalesce("near", "label")).alias("now"))
-        jump = step.alias("s").join(step.alias("t"), F.col("s.now") == F.col("t.node"), "left")
+        seen = both.join(labels.withColumnRenamed("node", "b").hint("merge"), "b").groupBy("a").agg(F.min("label").alias("near"))
+        step = labels.hint("merge").join(seen, F.col("node") == F.col("a"), "left").select("node", "label", F.least("label", F.coalesce("near", "label")).alias("now"))
+        step = written(step, "labels")
+        jump = step.alias("s").join(step.alias("t").hint("merge"), F.col("s.now") == F.col("t.node"), "left")
         new = written(jump.select(F.col("s.node").alias("node"), F.least("s.now", F.coalesce("t.now", "s.now")).alias("label"), F.col("s.label").alias("was")), "labels")
         done = new.where("label <> was").limit(1).count() == 0
         labels = new.select("node", "label")
         if done:
-            return labels.select("node", F.col("label").alias("component"))
+            found = labels.withColumnRenamed("node", "_n")
+            return nodes.join(found.hint("merge"), F.col("node") == F.col("_n"), "left").select("node", F.coalesce(F.col("label").cast(nodes.schema["node"].dataType), "node").alias("component"))
 
 
 def potentials(both: DataFrame) -> DataFrame:
-    """node, label (smallest node of its component) and p, its potential relative to that node along some path.
+    """node, label (smallest node of its component) and p, its potential relative to that node along some path. No round broadcasts.
 
     both: a, b, k with p(b) = p(a) + k, in both directions. Labels and offsets spread along edges, then jump over their
     label's own label, so long chains take few rounds.
@@ -50,11 +107,11 @@ def potentials(both: DataFrame) -> DataFrame:
     state = written(both.select(F.col("a").alias("node")).distinct().select("node", F.col("node").alias("label"), F.lit(0).cast("long").alias("p")), "potentials")
     while True:
         # what a neighbour b says of a: its label, and p(a) = p(b) - k
-        said = both.join(state.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min(F.struct("label", (F.col("p") - F.col("k")).alias("p"))).alias("near"))
-        step = state.join(said, F.col("node") == F.col("a"), "left").withColumn("better", F.coalesce(F.col("near.label") < F.col("label"), F.lit(False)))
+        said = both.join(state.withColumnRenamed("node", "b").hint("merge"), "b").groupBy("a").agg(F.min(F.struct("label", (F.col("p") - F.col("k")).alias("p"))).alias("near"))
+        step = state.hint("merge").join(said, F.col("node") == F.col("a"), "left").withColumn("better", F.coalesce(F.col("near.label") < F.col("label"), F.lit(False)))
         step = step.select("node", F.col("label").alias("was"), F.when(F.col("better"), F.col("near.label")).otherwise(F.col("label")).alias("label"), F.when(F.col("better"), F.col("near.p")).otherwise(F.col("p")).alias("p"))
         step = written(step, "potentials")
-        jump = step.alias("s").join(step.alias("t"), F.col("s.label") == F.col("t.node"), "left")
+        jump = step.alias("s").join(step.alias("t").hint("merge"), F.col("s.label") == F.col("t.node"), "left")
         new = written(jump.select(F.col("s.node").alias("node"), F.coalesce("t.label", "s.label").alias("label"), (F.col("s.p") + F.coalesce(F.col("t.p"), F.lit(0))).alias("p"), (F.coalesce("t.label", "s.label") != F.col("s.was")).alias("moved")), "potentials")
         state = new.select("node", "label", "p")
         if new.where("moved").limit(1).count() == 0:
@@ -75,7 +132,7 @@ def consistency(steps: DataFrame) -> DataFrame:
     both = written(pairs.select("a", "b", "k").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), (-F.col("k")).alias("k"))), "constraints")
     known = potentials(both)
     pa, pb = known.select(F.col("node").alias("a"), "label", F.col("p").alias("pa")), known.select(F.col("node").alias("b"), F.col("p").alias("pb"))
-    bad = e.join(pa, "a").join(pb, "b").where("pb - pa <> k").agg(F.countDistinct("label").alias("inconsistent"))
+    bad = e.join(pa.hint("merge"), "a").join(pb.hint("merge"), "b").where("pb - pa <> k").agg(F.countDistinct("label").alias("inconsistent"))
     one = known.agg(F.countDistinct("label").alias("components"))
     for row in (bad, loops, conflicts):  # each is one row
         one = one.join(F.broadcast(row))

@@ -126,8 +126,8 @@ def linked_components(points: DataFrame, link: float, hole: int = 0) -> DataFram
     near = _beside(p, _STEPS, ["id", *[f"c{a}" for a in "xyz"], *[f"n{a}" for a in "xyz"]])
     along = sum((((F.col(f"c{a}") - F.col(f"n_c{a}")) * (F.col(f"n{a}") + F.col(f"n_n{a}"))) for a in "xyz"), F.lit(0.0))
     size = F.sqrt(sum((F.pow(F.col(f"n{a}") + F.col(f"n_n{a}"), F.lit(2)) for a in "xyz"), F.lit(0.0)))
-    links = near.where((size > 1) & (F.abs(along) <= link * size)).select(F.col("id").alias("a"), F.col("n_id").alias("b"))
-    named = written(components(p.select(F.col("id").alias("node")), links).select(F.col("node").alias("id"), "component").join(p.select("id", "sheet", "r", "c"), "id"), "linked")
+    links = near.where((size > 1) & (F.abs(along) <= link * size)).select(F.col("id").alias("a"), F.col("n_id").alias("b"), "sheet")
+    named = written(components(p.select(F.col("id").alias("node")), links, "sheet").select(F.col("node").alias("id"), "component").join(p.select("id", "sheet", "r", "c"), "id"), "linked")
     out = named.select("sheet", "r", "c", "id", "component", F.lit(False).alias("filled"))
     if not hole:
         return out
@@ -137,8 +137,8 @@ def linked_components(points: DataFrame, link: float, hole: int = 0) -> DataFram
     edge = (F.col("r") == F.col("r0")) | (F.col("r") == F.col("r1")) | (F.col("c") == F.col("c0")) | (F.col("c") == F.col("c1"))
     empty = cells.join(named.select("sheet", "r", "c"), ["sheet", "r", "c"], "left_anti").select("sheet", "r", "c", edge.alias("edge"))
     empty = written(empty.withColumn("id", F.monotonically_increasing_id()), "empty")
-    touching = _beside(empty, ((0, 1), (1, 0)), ["id"]).select(F.col("id").alias("a"), F.col("n_id").alias("b"))
-    holes = components(empty.select(F.col("id").alias("node")), touching).select(F.col("node").alias("id"), F.col("component").alias("gap"))
+    touching = _beside(empty, ((0, 1), (1, 0)), ["id"]).select(F.col("id").alias("a"), F.col("n_id").alias("b"), "sheet")
+    holes = components(empty.select(F.col("id").alias("node")), touching, "sheet").select(F.col("node").alias("id"), F.col("component").alias("gap"))
     holes = written(holes.join(empty, "id"), "holes")
     small = holes.groupBy("gap").agg(F.count("*").alias("n"), F.bool_or("edge").alias("edge")).where((F.col("n") <= hole) & ~F.col("edge")).select("gap")
     around = [(dr, dc) for dr in (-1, 0, 1) for dc in (-1, 0, 1) if dr or dc]

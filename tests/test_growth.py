@@ -5,7 +5,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from spindrift.operators import claims, fits, meshes, ngrams, reading, spatial, vectors
+from spindrift.operators import claims, fits, graph, meshes, ngrams, reading, spatial, vectors
 from spindrift.plans import registry
 from spindrift.sources import tables
 
@@ -110,3 +110,23 @@ def test_blocks_stay_in_the_row_of_their_document(spark):
     assert sorted((r["block"], r["name"]) for r in got.collect()) == want
     found = registry.QUERIES["j17_findings"](spark, SMALL)
     assert "regexp_extract_all" not in plan(found) and "Window" not in plan(found)  # numbers are written once
+
+
+def test_components_of_near_edges_take_few_rounds(spark, monkeypatch):
+    rng = random.Random(5)
+    ids = rng.sample(range(10**6), 600)
+    pairs = [(p[i], p[i + 1]) for p in (ids[:500], ids[500:]) for i in range(len(p) - 1)] + [(ids[3], -1), (-1, ids[590]), (ids[0], None)]
+    rng.shuffle(pairs)
+    nodes, edges = spark.createDataFrame([(i,) for i in [*ids, 10**6 + 1]], "node long"), spark.createDataFrame(pairs, "a long, b long")
+    real, names, plans = graph.written, [], []
+    monkeypatch.setattr(graph, "written", lambda df, name: (names.append(name), plans.append(plan(df)), real(df, name))[2])
+    got = {r["node"]: r["component"] for r in graph.components(nodes, edges).collect()}
+    want = {i: min(p) for p in (ids[:500], ids[500:], [10**6 + 1]) for i in p}  # -1 is no node and joins nothing
+    assert got == want and not any("Broadcast" in p for p in plans)
+    names.clear()
+    inside = edges.where("a >= 0 and b >= 0").withColumn("sheet", F.lit(1))
+    assert {r["node"]: r["component"] for r in graph.components(nodes, inside, "sheet").collect()} == want
+    assert names.count("labels") <= 5  # a round that joins and one that finds nothing
+    plans.clear()
+    steps = spark.createDataFrame([(i, i + 1, 1) for i in range(50)] + [(0, 2, 2), (5, 7, 3)], "a long, b long, k long")
+    assert tuple(graph.consistency(steps).first()) == (1, 1, 0, 0) and not any("BroadcastHashJoin" in p for p in plans)
