@@ -13,6 +13,8 @@ from pyspark.sql.window import Window as W
 
 #: Rows of a block of :func:`sim_pairs`.
 BLOCK = 500
+#: Queries of :func:`similar` that are compared with a block at once.
+ASKED = 200
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -25,23 +27,57 @@ def normalize(df: DataFrame, vector: str) -> DataFrame:
     return df.withColumn(vector, F.when(n > 0, F.transform(vector, lambda x: x.cast("double") / n)).otherwise(F.transform(vector, lambda x: x.cast("double"))))
 
 
-def similar(df: DataFrame, key: str, vector: str, k: int, every: int = 50, block: int = 2000) -> DataFrame:
+def _block_best(k: int):
+    """query, key and cosine of the k best rows of a block for each query of a block; ties go to the smaller key."""
+    schema = pa.schema([("query", pa.int64()), ("key", pa.int64()), ("cosine", pa.float64())])
+
+    def run(_: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return schema.empty_table()
+        keys, asked = left["_k"].to_numpy(), right["_a"].to_numpy()
+        u, v = (np.stack(t[c].to_numpy(zero_copy_only=False)) for t, c in ((left, "_u"), (right, "_v")))
+        out = []
+        for at in range(0, len(asked), ASKED):
+            part, names = v[at : at + ASKED], asked[at : at + ASKED]
+            dots = part @ u.T
+            dots[names[:, None] == keys[None, :]] = -np.inf
+            if dots.shape[1] > k:  # what may be among the k best after rounding
+                near = dots >= np.partition(dots, -k, axis=1)[:, -k, None] - 2e-6
+            else:
+                near = np.ones(dots.shape, dtype=bool)
+            i, j = np.nonzero(near & ~np.isneginf(dots))
+            exact = np.zeros(len(i))
+            for d in range(u.shape[1]):  # summed in the order of the dimensions, as dot does
+                exact += u[j, d] * part[i, d]
+            exact = np.sign(exact) * np.floor(np.abs(exact) * 1e6 + 0.5) / 1e6 + 0.0  # no -0.0
+            order = np.lexsort((keys[j], -exact, i))
+            i, j, exact = i[order], j[order], exact[order]
+            kept = np.arange(len(i)) - np.searchsorted(i, i) < k
+            out.append(pa.Table.from_arrays([pa.array(names[i[kept]]), pa.array(keys[j[kept]]), pa.array(exact[kept])], schema=schema))
+        return pa.concat_tables(out)
+
+    return run
+
+
+def similar(df: DataFrame, key: str, vector: str, k: int, every: int = 50, rows: int = 20_000, queries: int = 20_000) -> DataFrame:
     """For each query row (key divisible by ``every``) its k nearest other rows by cosine, exactly.
 
-    Queries go out in blocks of at most ``block`` vectors, so what is broadcast is bounded; each map task keeps its own k
-    best per query before the shuffle (partial top-k), so a query costs k rows per task.
+    Rows are dealt by hash into blocks, queries too, and each two blocks meet in a task of their own, as matrices; only the k best of a query
+    leave it. Every query meets every row, so the time grows with the product of both, but no task holds more than two
+    blocks. Rows without a key or a number in the vector take no part.
     """
-    unit = normalize(df.select(key, vector), vector)
-    queries = unit.where(F.col(key) % every == 0).select(F.col(key).alias("query"), F.col(vector).alias("_q"))
-    n = queries.count()
-    out = None
-    for b in range(max(1, -(-n // block))):
-        part = queries.where(F.pmod(F.xxhash64("query"), F.lit(max(1, -(-n // block)))) == b)
-        pairs = unit.join(F.broadcast(part), F.col(key) != F.col("query")).select("query", key, F.round(dot(F.col(vector), F.col("_q")), 6).alias("cosine"))  # at most about block queries
-        out = pairs if out is None else out.unionByName(pairs)
-    best = lambda part: F.row_number().over(W.partitionBy("query", *part).orderBy(F.desc("cosine"), key))
-    local = out.withColumn("_p", F.pmod(F.xxhash64(key), F.lit(64))).withColumn("_r", best(["_p"])).where(F.col("_r") <= k)
-    return local.withColumn("place", best([])).where(F.col("place") <= k).select("query", key, "cosine", "place")
+    unit = normalize(df.select(F.col(key).cast("long").alias("_k"), F.col(vector).alias("_u")), "_u").where(F.col("_k").isNotNull() & (F.size("_u") > 0) & ~F.exists("_u", lambda x: x.isNull()))
+    unit = unit.withColumn("_size", F.size("_u"))
+    asked = unit.where(F.col("_k") % every == 0).select(F.col("_k").alias("_a"), F.col("_u").alias("_v"), F.col("_size").alias("_length"))
+    n = unit.agg(F.count("*").alias("rows"), F.count_if(F.col("_k") % every == 0).alias("queries")).first()
+    many, few = max(1, -(-n["rows"] // rows)), max(1, -(-n["queries"] // queries))
+    left = unit.select("_k", "_u", "_size", F.pmod(F.xxhash64("_k"), F.lit(many)).alias("_b"), F.explode(F.sequence(F.lit(0), F.lit(few - 1))).alias("_q"))
+    right = asked.select("_a", "_v", "_length", F.pmod(F.xxhash64("_a"), F.lit(few)).cast("int").alias("_i"), F.explode(F.sequence(F.lit(0), F.lit(many - 1)).cast("array<bigint>")).alias("_j"))
+    found = left.groupBy("_size", "_b", "_q").cogroup(right.groupBy("_length", "_j", "_i")).applyInArrow(_block_best(k), "query long, key long, cosine double")
+    place = F.row_number().over(W.partitionBy("query").orderBy(F.desc("cosine"), "key"))  # k rows a block
+    kind = df.schema[key].dataType
+    best = found.withColumn("place", place).where(F.col("place") <= k)
+    return best.select(F.col("query").cast(kind).alias("query"), F.col("key").cast(kind).alias(key), F.round("cosine", 6).alias("cosine"), "place")
 
 
 def _block_pairs(least: float):

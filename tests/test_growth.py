@@ -145,3 +145,15 @@ def test_nearest_of_dense_and_equal_points(spark, monkeypatch):
         near = sorted((round((x - u) ** 2 + (y - v) ** 2, 6), j) for j, u, v in b)[:3]
         want += [(key, n + 1, j) for n, (_, j) in enumerate(near)]
     assert got == sorted(want) and max(sizes[:4]) < 5000  # of 200,000 pairs within 60
+
+
+def test_similar_meets_blocks_of_queries_and_rows(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(700, 3)).round(1)
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(1000, None), (None, [1.0, 0.0, 0.0])]
+    got = vectors.similar(spark.createDataFrame(rows, "k int, v array<float>"), "k", "v", 7, 10, rows=200, queries=30)
+    assert "FlatMapCoGroupsInArrow" in plan(got) and "Union" not in plan(got) and "NestedLoop" not in plan(got)
+    unit = np.float32(x).astype(float)
+    unit /= np.maximum(np.linalg.norm(unit, axis=1), 1e-300)[:, None]
+    want = {(q, int(j), n + 1) for q in range(0, 700, 10) for n, j in enumerate([j for j in np.lexsort((np.arange(700), -(unit @ unit[q]).round(6))) if j != q][:7])}
+    assert got.dtypes[0] == ("query", "int") and {(r["query"], r["k"], r["place"]) for r in got.collect()} == want
