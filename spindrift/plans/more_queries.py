@@ -273,8 +273,8 @@ def j7b(t):
 WITH r AS (SELECT *, (rank() OVER (PARTITION BY map_id ORDER BY v) + (count(*) OVER (PARTITION BY map_id, v) - 1) / CAST(2 AS DOUBLE)) / count(*) OVER (PARTITION BY map_id) AS share FROM px), n AS (SELECT a.map_id, a.y, a.x, avg(b.v) AS near FROM px a JOIN px b ON b.map_id = a.map_id AND b.y BETWEEN a.y - 2 AND a.y + 2 AND b.x BETWEEN a.x - 2 AND a.x + 2 GROUP BY 1, 2, 3)
 SELECT map_id, count(*) FILTER (share > 0.95) AS by_rank, count(*) FILTER (v >= 250) AS by_value, count(*) FILTER (near > 160.01) AS by_near, count(*) FILTER (share > 0.95 OR v >= 250 OR near > 160.01) AS flagged FROM r JOIN n USING (map_id, y, x) GROUP BY 1""")
 def w5(t):
-    px = t.px.select("map_id", "y", "x", "v").withColumn("one", F.lit(1))
-    near = gr.box_sum(gr.box_sum(px, ["map_id"], "v", 2, "s"), ["map_id"], "one", 2, "n")
+    px = gr.written(t.px.select("map_id", "y", "x", "v", F.lit(1).alias("one")), "px")  # read three times
+    near = gr.box_sums(px, ["map_id"], {"s": "v", "n": "one"}, 2)
     total = px.groupBy("map_id").agg(F.count("*").alias("total"))
     r = st.mid_rank(near, "v", ["map_id"]).join(total, "map_id")
     rank, value, around = F.col("rank") / F.col("total") > 0.95, F.col("v") >= 250, F.col("s") / F.col("n") > 160.01

@@ -5,7 +5,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from spindrift.operators import claims, fits, graph, meshes, ngrams, reading, spatial, vectors
+from spindrift.operators import claims, fits, graph, grids, meshes, ngrams, reading, spatial, vectors
 from spindrift.plans import registry
 from spindrift.sources import tables
 
@@ -157,3 +157,15 @@ def test_similar_meets_blocks_of_queries_and_rows(spark):
     unit /= np.maximum(np.linalg.norm(unit, axis=1), 1e-300)[:, None]
     want = {(q, int(j), n + 1) for q in range(0, 700, 10) for n, j in enumerate([j for j in np.lexsort((np.arange(700), -(unit @ unit[q]).round(6))) if j != q][:7])}
     assert got.dtypes[0] == ("query", "int") and {(r["query"], r["k"], r["place"]) for r in got.collect()} == want
+
+
+def test_box_sums_run_in_strips(spark):
+    rng = random.Random(6)
+    cells = {(y, x): rng.randrange(9) for y in [*range(-4, 5), *range(250, 262), 509, 511, 512, 515, 770] for x in range(5) if rng.random() < 0.7}
+    df = spark.createDataFrame([(0, y, x, v) for (y, x), v in cells.items()], "m int, y int, x int, v int")
+    for radius in (1, 3, 200):
+        got = grids.box_sums(df.withColumn("one", F.lit(1)), ["m"], {"s": "v", "n": "one"}, radius)
+        near = lambda y, x: [v for (b, a), v in cells.items() if abs(b - y) <= radius and abs(a - x) <= radius]  # noqa: B023, E731
+        assert {(r["y"], r["x"]): (r["s"], r["n"]) for r in got.collect()} == {(y, x): (sum(near(y, x)), len(near(y, x))) for y, x in cells}
+        assert "_s" in plan(got).split("windowspecdefinition(")[1].split(" ASC")[0]  # not a whole column of a map
+    assert "l_orderkey" not in plan(registry.QUERIES["w5_flag_steps"](spark, SMALL))  # the lattice is made once
