@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from spindrift.operators import claims, fits, graph, grids, meshes, ngrams, reading, spatial, vectors
@@ -169,3 +170,30 @@ def test_box_sums_run_in_strips(spark):
         assert {(r["y"], r["x"]): (r["s"], r["n"]) for r in got.collect()} == {(y, x): (sum(near(y, x)), len(near(y, x))) for y, x in cells}
         assert "_s" in plan(got).split("windowspecdefinition(")[1].split(" ASC")[0]  # not a whole column of a map
     assert "l_orderkey" not in plan(registry.QUERIES["w5_flag_steps"](spark, SMALL))  # the lattice is made once
+
+
+def test_only_blocks_near_a_seed_are_aligned(spark, monkeypatch):
+    rng = random.Random(9)
+    read = [f"w{rng.randrange(30)}" for _ in range(20)]
+    spoilt = read[:9] + ["x"] + read[11:]
+    texts = []
+    for i in range(12):
+        t = [f"u{rng.randrange(9)}" for _ in range(900)]
+        for at in rng.sample(range(0, 880, 40), 2):
+            t[at : at + len(spoilt)] = rng.choice([read, spoilt, read[4:8], spoilt[5:]])
+        texts.append((i, t))
+    a = spark.createDataFrame([(1, 0, read), (2, 0, read[::-1]), (3, 0, ["u1", "u2", "u3", "w1"])], "item long, draw int, w array<string>")
+    b = spark.createDataFrame([*texts, (50, None), (51, [])], "doc long, w array<string>")
+    k = 3
+    seeds = lambda x, t: {tuple(x[i : i + k]) for i in range(len(x) - k + 1)} & {tuple(t[i : i + k]) for i in range(len(t) - k + 1)}
+    want = {(r["item"], i): reading.align(r["w"], t, 1, 2, 2) for r in a.collect() for i, t in texts if seeds(r["w"], t)}
+    for _ in range(2):
+        got = reading.local_alignments(a, b, "item", "doc")
+        assert {(r["item"], r["doc"]): tuple(r[3:]) for r in got.collect()} == want and len(want) > 15
+        monkeypatch.setattr(reading, "MOST_RUNS", 0)  # then runs of reads are not broadcast
+        monkeypatch.setattr(reading, "MOST_READS", 0)
+    run = tuple(np.array([x], dtype=np.int64) for x in (next(reading._runs(3, None)([pa.record_batch({"k": [0], "_w": [["a", "b", "c"]]})]))["run"][0][0].as_py(), 40, 10))
+    text = [*"x" * 500, "a", "b", "c", *"y" * 500]
+    out = next(reading._runs(3, run)([pa.record_batch({"k": [7, 8], "_w": [text, ["x"] * 9]})])).to_pylist()
+    blocks = list(range(460 // reading.BLOCK, 512 // reading.BLOCK + 1))
+    assert [(r["k"], r["at"], r["blocks"]) for r in out] == [(7, [500], blocks)] and sum(out[0]["pieces"], []) == text[blocks[0] * reading.BLOCK : (blocks[-1] + 1) * reading.BLOCK]
