@@ -2,21 +2,68 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import written
 
 
-def grams(text: Column, k: int, pad: str = "^") -> Column:
-    """All k-letter grams of the text behind k - 1 pads, found by a look-ahead in one pass over the text."""
-    return F.regexp_extract_all(F.concat(F.lit(pad * (k - 1)), text), F.lit(f"(?=(.{{{k}}}))"), F.lit(1))
+#: Letters that are counted together.
+LETTERS = 1_000_000
+#: Tables of so many grams are broadcast.
+MOST_GRAMS = 100_000
+
+
+def _counts(texts: list[str], k: int, pad: str, apart: bool) -> tuple[np.ndarray, list[str], np.ndarray]:
+    """Number of the text (0 for all unless apart), gram and times."""
+    points = np.frombuffer("".join(pad * (k - 1) + t for t in texts).encode("utf-32-le"), dtype="<u4")
+    size = np.array([len(t) for t in texts])
+    whole = size + k - 1
+    place = np.arange(size.sum()) + np.repeat(np.cumsum(whole) - whole - np.cumsum(size) + size, size)
+    own = np.repeat(np.arange(len(texts)), size) if apart else np.zeros(len(place), dtype=np.int64)
+    seen = np.zeros(0x110000, dtype=bool)
+    seen[points] = True
+    letters = np.flatnonzero(seen)
+    span = len(letters) ** k
+    if span * len(texts) < 2**62:
+        number = np.zeros(0x110000, dtype=np.int64)
+        number[letters] = np.arange(len(letters))
+        number, code = number[points], own
+        for i in range(k):
+            code = code * len(letters) + number[place + i]
+        code, times = np.unique(code, return_counts=True)
+        own, code = np.divmod(code, span)
+        code, at = np.unique(code, return_inverse=True)
+        rows = letters[np.stack([code // len(letters) ** (k - 1 - i) % len(letters) for i in range(k)], axis=1)]
+    else:
+        rows, times = np.unique(np.column_stack([own, *[points[place + i] for i in range(k)]]), axis=0, return_counts=True)
+        own, rows, at = rows[:, 0], rows[:, 1:], np.arange(len(rows))
+    text = rows.astype("<u4").tobytes().decode("utf-32-le")
+    return own, pa.array([text[i : i + k] for i in range(0, len(text), k)], pa.string()).take(pa.array(at)), times
+
+
+def gram_counts(docs: DataFrame, text: str, k: int, key: str | None = None, pad: str = "^") -> DataFrame:
+    """(key,) gram, times: all k-letter grams of each text behind k - 1 pads; without a key, of many texts together, so a gram has many rows."""
+
+    def run(batches):
+        for batch in batches:
+            texts = batch.columns[-1].to_pylist()
+            full = np.array([i for i, t in enumerate(texts) if t], dtype=np.int64)
+            cuts = np.cumsum([len(texts[i]) for i in full]) // LETTERS
+            for some in np.split(full, np.flatnonzero(np.diff(cuts)) + 1) if len(full) else []:
+                own, gram, times = _counts([texts[i] for i in some], k, pad, key is not None)
+                keys = [] if key is None else [batch.column(0).take(pa.array(some[own]))]
+                yield pa.RecordBatch.from_arrays([*keys, gram, pa.array(times, pa.int64())], names=[*([key] if key else []), "gram", "times"])
+
+    named = f"`{key}` {dict(docs.dtypes)[key]}, " if key else ""
+    return docs.select(*([key] if key else []), text).mapInArrow(run, f"{named}gram string, times bigint")
 
 
 def ngram_counts(docs: DataFrame, text: str, k: int, min_count: int = 1) -> DataFrame:
     """gram, n over all documents."""
-    g = docs.where(F.length(text) > 0).select(F.explode(grams(F.col(text), k)).alias("gram"))
-    return g.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") >= min_count)
+    return gram_counts(docs, text, k).groupBy("gram").agg(F.sum("times").alias("n")).where(F.col("n") >= min_count)
 
 
 def continuations(counts: DataFrame) -> DataFrame:
@@ -65,14 +112,17 @@ def gram_probs(seen: DataFrame, model: list[DataFrame], letters: int) -> DataFra
     return seen
 
 
-def kn_score(docs: DataFrame, key: str, text: str, model: list[DataFrame], letters: int) -> DataFrame:
+def kn_score(docs: DataFrame, key: str, text: str, model: list[DataFrame], letters: int, seen: DataFrame | None = None) -> DataFrame:
     """key, letters, bits: minus log2 of the interpolated probability, summed over the text; unseen letters fall to uniform.
 
-    Positions are grouped by gram first, so each distinct gram of a document is looked up once.
+    Grams are counted inside the row of their document, and each distinct gram of a document is looked up once.
+    seen: a table with every distinct gram of the documents once, such as the model's last where it was made from them.
     """
-    pos = docs.where(F.length(text) > 0).select(key, F.explode(grams(F.col(text), len(model))).alias("gram")).groupBy(key, "gram").agg(F.count("*").alias("times"))
-    seen = gram_probs(pos.select("gram").distinct(), model, letters)
-    return pos.join(seen, "gram").groupBy(key).agg(F.sum("times").alias("letters"), F.sum(-F.log2("prob") * F.col("times")).alias("bits"))
+    seen = ngram_counts(docs, text, len(model)) if seen is None else seen
+    known = written(gram_probs(seen.select("gram"), model, letters).select("gram", (-F.log2("prob")).alias("bits")), "known")
+    few = known.count() <= MOST_GRAMS
+    pos = gram_counts(docs, text, len(model), key).join(F.broadcast(known) if few else known.hint("merge"), "gram")
+    return pos.groupBy(key).agg(F.sum("times").alias("letters"), F.sum(F.col("bits") * F.col("times")).alias("bits"))
 
 
 def em_weights(probs: DataFrame, names: list[str], rounds: int = 20) -> dict[str, float]:

@@ -104,7 +104,8 @@ def l3(t):
 @query("l4_kn_score")
 def l4(t):
     docs = _letters(t)
-    s = ng.kn_score(docs, "doc_id", "t", ng.kn_model(docs, "t", 3), 27)
+    model = ng.kn_model(docs, "t", 3)
+    s = ng.kn_score(docs, "doc_id", "t", model, 27, model[-1])
     return s.select("doc_id", "letters", F.round(F.col("bits") / F.col("letters"), 4).alias("bits_per_letter"))
 
 

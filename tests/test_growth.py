@@ -1,6 +1,7 @@
 """Plans that hold on larger tables: what is broadcast, what is joined first, and results at the edges of thresholds."""
 
 import random
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -197,3 +198,17 @@ def test_only_blocks_near_a_seed_are_aligned(spark, monkeypatch):
     out = next(reading._runs(3, run)([pa.record_batch({"k": [7, 8], "_w": [text, ["x"] * 9]})])).to_pylist()
     blocks = list(range(460 // reading.BLOCK, 512 // reading.BLOCK + 1))
     assert [(r["k"], r["at"], r["blocks"]) for r in out] == [(7, [500], blocks)] and sum(out[0]["pieces"], []) == text[blocks[0] * reading.BLOCK : (blocks[-1] + 1) * reading.BLOCK]
+
+
+def test_grams_are_counted_in_batches(spark, monkeypatch):
+    rng = random.Random(12)
+    texts = ["".join(rng.choice("abc \n" + "é\U0001f600") for _ in range(rng.randrange(60))) for _ in range(40)] + ["", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "d int, t string")
+    windows = lambda t, k: [("^" * (k - 1) + t)[i : i + k] for i in range(len(t))] if t else []
+    for k in (1, 3, 25):  # the numbers of the longest do not fit in 64 bits
+        monkeypatch.setattr(ngrams, "LETTERS", 300 if k == 3 else 10**6)
+        want = Counter((d, g) for d, t in enumerate(texts) for g in windows(t, k))
+        counts = ngrams.gram_counts(docs, "t", k, "d")
+        assert "regexp" not in plan(counts) and "Exchange" not in plan(counts)
+        assert {(r["d"], r["gram"]): r["times"] for r in counts.collect()} == want
+        assert {r["gram"]: r["n"] for r in ngrams.ngram_counts(docs, "t", k).collect()} == Counter(g for t in texts for g in windows(t, k))
