@@ -381,8 +381,8 @@ def t7(t):
 
 @query("t11_z_ensemble", views="px", sql="WITH s AS (SELECT map_id, avg(v) AS m, stddev_pop(v) AS d FROM px GROUP BY 1) SELECT y, x, round(avg((v - m) / d), 6) AS z, round(avg(CASE WHEN v >= 128 THEN 1 ELSE 0 END), 6) AS stability FROM px JOIN s USING (map_id) GROUP BY 1, 2")
 def t11(t):
-    s = t.px.groupBy("map_id").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("d"))
-    return t.px.join(s, "map_id").groupBy("y", "x").agg(r6(F.avg((F.col("v") - F.col("m")) / F.col("d"))).alias("z"), r6(F.avg((F.col("v") >= 128).cast("double"))).alias("stability"))
+    s = t.px.groupBy("map_id").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("d"))  # three maps
+    return t.px.join(F.broadcast(s), "map_id").groupBy("y", "x").agg(r6(F.avg((F.col("v") - F.col("m")) / F.col("d"))).alias("z"), r6(F.avg((F.col("v") >= 128).cast("double"))).alias("stability"))
 
 
 @query("t10_decimate", views="spiral", sql="WITH k AS (SELECT m, ceil(sqrt(count(*) / CAST(300 AS DOUBLE)))::INT AS k FROM spiral GROUP BY 1) SELECT m, r, c FROM spiral JOIN k USING (m) WHERE r % k = 0 AND c % k = 0")

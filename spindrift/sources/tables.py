@@ -51,6 +51,15 @@ SELECT o_orderkey AS job_id, o_orderpriority AS flavor, o_orderdate AS started,
 #: documents together joins these two first, as a product, before the count that makes the key.
 PLANNED = {"feed": VIEWS["feed"].replace("SELECT", "SELECT /*+ BROADCAST(k) */", 1)}  # k is one row
 
+#: Rows of lineitem in a partition of the lattice: above that many in each shuffle partition, the lattice has more partitions.
+LINES = 500_000
+#: The lattice in a stated number of partitions by y, which also serve groups and windows by y.
+DEALT = """
+SELECT map_id, y, x, MAX(v) AS v, MAX(ink) AS ink, MAX(sup) AS sup FROM (
+SELECT /*+ REPARTITION(%d, y) */ CAST(l_linenumber %% 3 AS INT) AS map_id, CAST(FLOOR(l_orderkey / CAST(3072 AS DOUBLE)) * 64 + l_orderkey %% 64 AS INT) AS y, CAST(l_partkey %% 64 AS INT) AS x,
+       CAST(CAST(FLOOR(l_extendedprice) AS BIGINT) %% 256 AS INT) AS v, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS ink, CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END AS sup
+FROM {lineitem}) GROUP BY map_id, y, x"""
+
 _TABLE = re.compile(r"\{(\w+)\}")
 
 
@@ -65,12 +74,16 @@ class Tables:
             raise AttributeError(name)
         if name not in self._frames:
             if name in VIEWS:
-                text = PLANNED.get(name, VIEWS[name])
+                text = self._dealt() if name == "px" else PLANNED.get(name, VIEWS[name])
                 self._frames[name] = self.spark.sql(text, **{t: getattr(self, t) for t in set(_TABLE.findall(text))})
             else:
                 self._frames[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
         return self._frames[name]
 
+    def _dealt(self) -> str:
+        parts = self.lineitem.count() // LINES + 1
+        return DEALT % parts if parts > int(self.spark.conf.get("spark.sql.shuffle.partitions")) else VIEWS["px"]
+
 
 def oracle_views(names: list[str], sql: str) -> str:
     """sql behind the definitions of the views it names."""

@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from spindrift.operators import claims, fits, graph, grids, meshes, ngrams, reading, spatial, vectors
+from spindrift.operators import claims, fits, graph, grids, meshes, ngrams, reading, spatial, stats, vectors
 from spindrift.plans import registry
 from spindrift.sources import tables
 
@@ -212,3 +212,16 @@ def test_grams_are_counted_in_batches(spark, monkeypatch):
         assert "regexp" not in plan(counts) and "Exchange" not in plan(counts)
         assert {(r["d"], r["gram"]): r["times"] for r in counts.collect()} == want
         assert {r["gram"]: r["n"] for r in ngrams.ngram_counts(docs, "t", k).collect()} == Counter(g for t in texts for g in windows(t, k))
+
+
+def test_no_join_by_map_shuffles_the_lattice(spark, monkeypatch):
+    assert "SortMergeJoin [map_id" not in plan(registry.QUERIES["t11_z_ensemble"](spark, SMALL))
+    plans, real = [], grids.written
+    monkeypatch.setattr(grids, "written", lambda df, name: (plans.append(plan(df)), real(df, name))[1])
+    grids.largest_square(spark.createDataFrame([(m, y, x) for m in range(3) for y in range(m + 2) for x in range(m + 2)], "map_id int, y int, x int"))
+    assert any("LeftAnti" in p for p in plans) and not any("SortMergeJoin [map_id" in p for p in plans)
+    px = tables.Tables(spark, SMALL).px
+    monkeypatch.setattr(tables, "LINES", 500)
+    dealt = tables.Tables(spark, SMALL).px
+    assert dealt.dtypes == px.dtypes and "REPARTITION_BY_NUM" in plan(dealt) and "REPARTITION_BY_NUM" not in plan(px)
+    assert dealt.exceptAll(px).count() == 0 and px.exceptAll(dealt).count() == 0
