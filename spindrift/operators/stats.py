@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from .graph import written
 from .resampling import draw
 
 BUCKETS = 256
@@ -164,6 +165,23 @@ def hash_rank(df: DataFrame, key: str, by: list[str], seed: int, number: Column
     return df.withColumn("_h", h).withColumn("rank_hash", F.row_number().over(W.partitionBy(*by).orderBy("_h", key))).drop("_h")
 
 
+#: Buckets of the hashes below 2**31 in which :func:`first_by_hash` counts.
+BUCKETS = 4096
+#: So many buckets are broadcast.
+MOST_EDGES = 100_000
+
+
+def first_by_hash(df: DataFrame, key: str, by: list[str], seed: int, n: int, number: Column | None = None) -> DataFrame:
+    """The rows of :func:`hash_rank` up to place n. Rows are counted by bucket of their hash first, and only those up to the bucket that holds place n are ordered."""
+    h = draw(F.col(key).cast("long"), F.lit(0).cast("long") if number is None else number.cast("long"), seed)
+    rows = df.withColumn("_b", F.coalesce(F.floor(h / (2**31 // BUCKETS)).cast("int"), F.lit(-1)))  # nulls are first
+    upto = F.sum("_n").over(W.partitionBy(*by).orderBy("_b"))  # a group's buckets
+    counts = rows.groupBy(*by, "_b").agg(F.count("*").alias("_n")).withColumn("_upto", upto)
+    edge = written(counts.where(F.col("_upto") - F.col("_n") < n).select(*by, "_b"), "edge")
+    few = edge.count() <= MOST_EDGES
+    return hash_rank(rows.join(F.broadcast(edge) if few else edge, [*by, "_b"]).drop("_b"), key, by, seed, number).where(F.col("rank_hash") <= n)
+
+
 def tally(df: DataFrame, key: str) -> DataFrame:
     return df.groupBy(F.col(key).alias("value")).agg(F.count("*").alias("n"))
 

@@ -7,6 +7,7 @@ from pyspark.sql.window import Window as W
 
 from ..operators import resampling as rs
 from ..operators import stats as st
+from ..operators.graph import written
 from ..operators.stats import r6
 from .registry import query
 
@@ -349,8 +350,8 @@ def a36(t):
 WITH r AS (SELECT d, ink, row_number() OVER (PARTITION BY d ORDER BY {_draw("y * 64 + x", "d", 6)}, y * 64 + x) AS rk FROM px, (SELECT unnest(range(0, 20)) AS d) WHERE map_id = 0), s AS (SELECT d, avg(ink) AS share FROM r WHERE rk <= 500 GROUP BY 1)
 SELECT count(*) AS n, round(avg(share), 6) AS mean, round(quantile_cont(share, 0.025), 6) AS low, round(quantile_cont(share, 0.975), 6) AS high FROM s""")
 def a37(t):
-    px = t.px.where("map_id = 0").select((F.col("y") * 64 + F.col("x")).alias("cell"), "ink").withColumn("d", F.explode(F.sequence(F.lit(0), F.lit(19))))
-    shares = st.hash_rank(px, "cell", ["d"], 6, F.col("d")).where("rank_hash <= 500").groupBy("d").agg(F.avg("ink").alias("share"))
+    px = written(t.px.where("map_id = 0").select((F.col("y") * 64 + F.col("x")).alias("cell"), "ink"), "px").withColumn("d", F.explode(F.sequence(F.lit(0), F.lit(19))))
+    shares = st.first_by_hash(px, "cell", ["d"], 6, 500, F.col("d")).groupBy("d").agg(F.avg("ink").alias("share"))
     return st.interval(shares, "share")
 
 

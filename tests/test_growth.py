@@ -225,3 +225,11 @@ def test_no_join_by_map_shuffles_the_lattice(spark, monkeypatch):
     dealt = tables.Tables(spark, SMALL).px
     assert dealt.dtypes == px.dtypes and "REPARTITION_BY_NUM" in plan(dealt) and "REPARTITION_BY_NUM" not in plan(px)
     assert dealt.exceptAll(px).count() == 0 and px.exceptAll(dealt).count() == 0
+
+
+def test_first_by_hash_orders_few_rows(spark):
+    df = spark.createDataFrame([(i, i % 3) for i in range(9000)] + [(i, 7) for i in range(5)], "k long, g int")
+    want = {(r["g"], r["k"], r["rank_hash"]) for r in stats.hash_rank(df, "k", ["g"], 6, F.col("g")).where("rank_hash <= 50").collect()}
+    got = stats.first_by_hash(df, "k", ["g"], 6, 50, F.col("g"))
+    assert {(r["g"], r["k"], r["rank_hash"]) for r in got.collect()} == want and len(want) == 155
+    assert "_b" in plan(registry.QUERIES["a37_random_subsets"](spark, SMALL)).split("Window ")[-1]
