@@ -173,7 +173,8 @@ def w3(t):
 
 @query("w16_box_sum", views="px", sql="SELECT a.map_id, a.y, a.x, sum(b.ink)::BIGINT AS box FROM px a JOIN px b ON a.map_id = b.map_id AND b.y BETWEEN a.y - 3 AND a.y + 3 AND b.x BETWEEN a.x - 3 AND a.x + 3 GROUP BY 1, 2, 3")
 def w16(t):
-    return gr.box_sum(t.px, ["map_id"], "ink", 3).select("map_id", "y", "x", "box")
+    px, parts = t.dealt_px()
+    return gr.box_sum(px, ["map_id"], "ink", 3, parts=parts)
 
 
 @query("w17_high_pass", views="px", sql="""

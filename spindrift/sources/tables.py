@@ -53,6 +53,8 @@ PLANNED = {"feed": VIEWS["feed"].replace("SELECT", "SELECT /*+ BROADCAST(k) */",
 
 #: Rows of lineitem in a partition of the lattice: above that many in each shuffle partition, the lattice has more partitions.
 LINES = 500_000
+#: That in every partition of :meth:`Tables.dealt_px`.
+TASK_LINES = 250_000
 #: The lattice in a stated number of partitions by y, which also serve groups and windows by y.
 DEALT = """
 SELECT map_id, y, x, MAX(v) AS v, MAX(ink) AS ink, MAX(sup) AS sup FROM (
@@ -74,12 +76,19 @@ class Tables:
             raise AttributeError(name)
         if name not in self._frames:
             if name in VIEWS:
-                text = self._dealt() if name == "px" else PLANNED.get(name, VIEWS[name])
-                self._frames[name] = self.spark.sql(text, **{t: getattr(self, t) for t in set(_TABLE.findall(text))})
+                self._frames[name] = self._planned(self._dealt() if name == "px" else PLANNED.get(name, VIEWS[name]))
             else:
                 self._frames[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
         return self._frames[name]
 
+    def _planned(self, text: str) -> DataFrame:
+        return self.spark.sql(text, **{t: getattr(self, t) for t in set(_TABLE.findall(text))})
+
+    def dealt_px(self) -> tuple[DataFrame, int]:
+        """The lattice in partitions of TASK_LINES rows of lineitem on average, however many the session's shuffles have, and their number."""
+        parts = self.lineitem.count() // TASK_LINES + 1
+        return self._planned(DEALT % parts), parts
+
     def _dealt(self) -> str:
         parts = self.lineitem.count() // LINES + 1
         return DEALT % parts if parts > int(self.spark.conf.get("spark.sql.shuffle.partitions")) else VIEWS["px"]

@@ -254,3 +254,18 @@ def test_shared_areas_are_clipped_in_batches(spark):
     assert "MapInArrow" in text and "flatten" not in text and "l_orderkey" not in text  # the triangles are made once
     joins = [line for line in text.split("\n") if "HashJoin" in line or "SortMergeJoin" in line]
     assert len(joins) == 1 and "CASE" not in joins[0]  # a short condition, which is compiled
+
+
+def test_tiles_are_summed_in_the_partition_they_are_dealt_to(spark):
+    rng = random.Random(13)
+    cells = {(m, y, x): rng.choice([None, *range(9)]) for m in (0, 1) for y in [-65, -64, *range(-3, 4), *range(60, 70), 127, 130] for x in [-2, -1, 0, 3, 1021, 1023, 1024, 1026] if rng.random() < 0.7}
+    df = spark.createDataFrame([(*k, v) for k, v in cells.items()], "map_id int, y int, x int, v int")
+    for radius, parts in ((1, None), (3, 5), (40, 2)):
+        near = lambda m, y, x: [v for (k, b, a), v in cells.items() if k == m and abs(b - y) <= radius and abs(a - x) <= radius and v is not None]  # noqa: B023, E731
+        got = {(r["map_id"], r["y"], r["x"]): r["box"] for r in grids.box_sum(df, ["map_id"], "v", radius, parts=parts).collect()}
+        assert got == {k: sum(near(*k)) if near(*k) else None for k in cells}
+        if radius == 1:
+            got = {(r["map_id"], r["y"], r["x"]): r["smooth"] for r in grids.smooth3x3(df, ["map_id"], "v").collect()}
+            assert got == {k: sum(near(*k)) / len(near(*k)) if near(*k) else None for k in cells}
+    text = plan(registry.QUERIES["w16_box_sum"](spark, SMALL))
+    assert "Window" not in text and "Join" not in text and text.count("Exchange") == text.count("REPARTITION_BY_NUM") == 2
