@@ -165,10 +165,8 @@ def j18(t):
 
 @query("w3_smooth", views="px", sql="SELECT a.map_id, a.y, a.x, round(avg(b.v), 6) AS smooth FROM px a JOIN px b ON a.map_id = b.map_id AND b.y BETWEEN a.y - 1 AND a.y + 1 AND b.x BETWEEN a.x - 1 AND a.x + 1 GROUP BY 1, 2, 3")
 def w3(t):
-    nine = F.explode(F.sequence(F.lit(-1), F.lit(1)))
-    near = t.px.withColumn("dy", nine).withColumn("dx", nine).select("map_id", (F.col("y") + F.col("dy")).alias("y"), (F.col("x") + F.col("dx")).alias("x"), "v")
-    means = near.groupBy("map_id", "y", "x").agg(r6(F.avg("v")).alias("smooth"))
-    return t.px.select("map_id", "y", "x").join(means, ["map_id", "y", "x"])
+    px, parts = t.dealt_px()
+    return gr.smooth3x3(px, ["map_id"], "v", parts).withColumn("smooth", r6("smooth"))
 
 
 @query("w16_box_sum", views="px", sql="SELECT a.map_id, a.y, a.x, sum(b.ink)::BIGINT AS box FROM px a JOIN px b ON a.map_id = b.map_id AND b.y BETWEEN a.y - 3 AND a.y + 3 AND b.x BETWEEN a.x - 3 AND a.x + 3 GROUP BY 1, 2, 3")

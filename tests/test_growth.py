@@ -267,5 +267,6 @@ def test_tiles_are_summed_in_the_partition_they_are_dealt_to(spark):
         if radius == 1:
             got = {(r["map_id"], r["y"], r["x"]): r["smooth"] for r in grids.smooth3x3(df, ["map_id"], "v").collect()}
             assert got == {k: sum(near(*k)) / len(near(*k)) if near(*k) else None for k in cells}
-    text = plan(registry.QUERIES["w16_box_sum"](spark, SMALL))
-    assert "Window" not in text and "Join" not in text and text.count("Exchange") == text.count("REPARTITION_BY_NUM") == 2
+    for name in ("w16_box_sum", "w3_smooth"):
+        text = plan(registry.QUERIES[name](spark, SMALL))
+        assert "Window" not in text and "Join" not in text and text.count("Exchange") == text.count("REPARTITION_BY_NUM") == 2
